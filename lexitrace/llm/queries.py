@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, licences, mixing, quality_rules
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op6_licence_scan": licences.op6_licence_scan,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
+    "op6_licence_scan": licences.SQL,
     "op10_mix_sources": mixing.SQL,
 }
