@@ -32,3 +32,22 @@ def words_of(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bits of a membership filter: 256 bitmaps of 4 KB, whatever the size of the input.
+FILTER_BITS = 1 << 23
+
+
+def member_bitmaps(members: DataFrame, column: str) -> DataFrame:
+    """A filter of the values of ``column``: at most 256 rows of 4 KB, fit to broadcast."""
+    slot = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)) + 1
+    return members.groupBy(F.bitmap_bucket_number(slot).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("__bitmap"))
+
+
+def may_contain(rows: DataFrame, column: str, bitmaps: DataFrame) -> DataFrame:
+    """The rows whose ``column`` is among the members, and a few others by chance."""
+    slot = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)) + 1
+    bit = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring(F.col("__bitmap"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    probed = rows.withColumn("__bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bitmaps), "__bucket")
+    return probed.where(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1).drop("__bucket", "__bitmap")

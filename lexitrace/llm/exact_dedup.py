@@ -20,22 +20,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, table
-
-#: Bits of the hit filter: 256 bitmaps of 4 KB, whatever the size of the input.
-FILTER_BITS = 1 << 23
+from .common import may_contain, member_bitmaps, scratch_dir, table
 
 RUN_SCHEMA = "id long, digest long, sha string"
 LEVEL_SCHEMA = "digest long, min_id long, max_id long, n long"
 
 
-def _slot(digest: Column) -> Column:
-    return F.pmod(digest, F.lit(FILTER_BITS)) + 1
-
-
 @dataclass
 class ExactDedupIndex:
     """A persistent index; ``flush`` and ``compact`` may be called again and again."""
@@ -80,24 +73,11 @@ class ExactDedupIndex:
             self.level, self.fresh = level, []
         return self._read(LEVEL_SCHEMA, self.level)
 
-    def _filter(self) -> DataFrame:
-        """Bitmaps of the digests with more than one row: at most 256 rows of 4 KB."""
-        slot = _slot(F.col("digest"))
-        return (
-            self.compact()
-            .where("n > 1")
-            .groupBy(F.bitmap_bucket_number(slot).alias("bucket"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bitmap"))
-        )
-
     def resolve(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """The verdict of every flushed row; ``docs`` are the rows that were flushed."""
         text = F.coalesce(F.col(text_col), F.lit(""))
         rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("body")).withColumn("digest", F.xxhash64("body"))
-        slot = _slot(F.col("digest"))
-        probed = rows.withColumn("bucket", F.bitmap_bucket_number(slot)).withColumn("bit", F.bitmap_bit_position(slot))
-        byte = F.conv(F.hex(F.substring(F.col("bitmap"), (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        hits = probed.join(F.broadcast(self._filter()), "bucket").where(F.floor(byte / F.pow(F.lit(2), F.col("bit") % 8)) % 2 == 1)
+        hits = may_contain(rows, "digest", member_bitmaps(self.compact().where("n > 1"), "digest"))
         chosen = F.max("id") if self.keep == "largest" else F.min("id")
         verified = (
             hits.groupBy("digest", "body")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licences, mixing, quality_rules
+from . import exact_dedup, html_text, language_id, licences, mixing, pii, quality_rules, sentencepiece_codec
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_personal_data": pii.op3_personal_data,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_main_text": html_text.op5_main_text,
     "op6_licence_scan": licences.op6_licence_scan,
+    "op8_language_id": language_id.op8_language_id,
+    "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 SQL = {
