@@ -44,10 +44,12 @@ def member_bitmaps(members: DataFrame, column: str) -> DataFrame:
     return members.groupBy(F.bitmap_bucket_number(slot).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("__bitmap"))
 
 
-def may_contain(rows: DataFrame, column: str, bitmaps: DataFrame) -> DataFrame:
-    """The rows whose ``column`` is among the members, and a few others by chance."""
+def may_contain(rows: DataFrame, column: str, bitmaps: DataFrame, keep: bool = False) -> DataFrame:
+    """The rows whose ``column`` is among the members, and a few others by chance; with
+    ``keep`` all rows, and whether they pass in ``maybe``."""
     slot = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)) + 1
     bit = F.bitmap_bit_position(slot)
     byte = F.conv(F.hex(F.substring(F.col("__bitmap"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    probed = rows.withColumn("__bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bitmaps), "__bucket")
-    return probed.where(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1).drop("__bucket", "__bitmap")
+    probed = rows.withColumn("__bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bitmaps), "__bucket", "left" if keep else "inner")
+    passes = F.coalesce(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1, F.lit(False))
+    return (probed.withColumn("maybe", passes) if keep else probed.where(passes)).drop("__bucket", "__bitmap")

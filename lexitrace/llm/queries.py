@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, language_id, licences, mixing, pii, quality_rules, sentencepiece_codec
+from . import exact_dedup, html_text, language_id, licences, mixing, pii, quality_rules, sentencepiece_codec, substring_dedup
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_personal_data": pii.op3_personal_data,
     "op4_quality_rules": quality_rules.op4_quality_rules,
