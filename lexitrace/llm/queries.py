@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, language_id, licences, mixing, pii, quality_rules, sentencepiece_codec, substring_dedup
+from . import exact_dedup, html_text, language_id, licences, mixing, ngram_join, pii, quality_rules, sentencepiece_codec, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_main_text": html_text.op5_main_text,
     "op6_licence_scan": licences.op6_licence_scan,
+    "op7_ngram_jaccard_join": ngram_join.op7_ngram_jaccard_join,
     "op8_language_id": language_id.op8_language_id,
     "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
     "op10_mix_sources": mixing.op10_mix_sources,
