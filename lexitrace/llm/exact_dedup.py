@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import may_contain, member_bitmaps, scratch_dir, table
+from .common import materialise, may_contain, member_bitmaps, scratch_dir, table
 
 RUN_SCHEMA = "id long, digest long, sha string"
 LEVEL_SCHEMA = "digest long, min_id long, max_id long, n long"
@@ -73,18 +73,24 @@ class ExactDedupIndex:
             self.level, self.fresh = level, []
         return self._read(LEVEL_SCHEMA, self.level)
 
-    def resolve(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """The verdict of every flushed row; ``docs`` are the rows that were flushed."""
-        text = F.coalesce(F.col(text_col), F.lit(""))
-        rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("body")).withColumn("digest", F.xxhash64("body"))
-        hits = may_contain(rows, "digest", member_bitmaps(self.compact().where("n > 1"), "digest"))
+    def _verified(self, hits: DataFrame) -> DataFrame:
+        """Groups of two or more among the hits (id, body, digest), by their bytes."""
         chosen = F.max("id") if self.keep == "largest" else F.min("id")
-        verified = (
+        return (
             hits.groupBy("digest", "body")
             .agg(chosen.alias("best"), F.count(F.lit(1)).alias("n"))
             .where("n > 1")
             .select("digest", F.sha2("body", 256).alias("sha"), "best", "n")
         )
+
+    def _bitmaps(self) -> DataFrame:
+        return member_bitmaps(self.compact().where("n > 1"), "digest")
+
+    def resolve(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """The verdict of every flushed row; ``docs`` are the rows that were flushed."""
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("body")).withColumn("digest", F.xxhash64("body"))
+        verified = self._verified(may_contain(rows, "digest", self._bitmaps()))
         every = self._read(RUN_SCHEMA, *self.runs)
         return every.join(verified, ["digest", "sha"], "left").select(
             F.col("id").alias("doc_id"),
@@ -94,6 +100,19 @@ class ExactDedupIndex:
             F.col("sha").alias("text_sha256"),
         )
 
+    def survivors(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """The flushed rows that stay, with all columns: one for each text. Rows that
+        the filter passes over stay where they are; only hits are shuffled."""
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), text.alias("body"))
+        bitmaps = self._bitmaps()
+        marked = may_contain(rows.withColumn("digest", F.xxhash64("body")), "digest", bitmaps, keep=True)
+        hits = marked.where("maybe")
+        verified = materialise(self._verified(hits))
+        met = hits.withColumn("sha", F.sha2("body", 256)).drop("body", "maybe").join(verified, ["digest", "sha"], "left")
+        stay = met.where(F.col("n").isNull() | F.col("best").eqNullSafe(F.col("id"))).dropDuplicates(["digest", "sha"])
+        return marked.where(~F.col("maybe")).select("row.*").unionByName(stay.select("row.*"))
+
 
 def exact_dedup(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Flush, compact and resolve ``docs`` in a new index in the shared folder."""
@@ -102,6 +121,13 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id",
     return index.resolve(docs, id_col, text_col)
 
 
+def drop_copies(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row for each text."""
+    index = ExactDedupIndex(docs.sparkSession, scratch_dir(docs.sparkSession), keep)
+    index.flush(docs, id_col, text_col)
+    return index.survivors(docs, id_col, text_col)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 

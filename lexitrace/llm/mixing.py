@@ -105,6 +105,12 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     )
 
 
+def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
+    """``docs``, all rows and columns, in files whose order is that of the mixture."""
+    mixed = mix_sources(docs, **options)
+    return mixed.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"))
 

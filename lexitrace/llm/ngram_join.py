@@ -337,5 +337,15 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_c
     return out.unionByName(rest)
 
 
+def one_of_each_class(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose identifier is the least of its class, or null. Rows
+    that the filter of dropped identifiers passes over aren't shuffled."""
+    joined = jaccard_join(docs, n, threshold, id_col, text_col)
+    dropped = materialise(joined.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("id")).distinct())
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"))
+    marked = may_contain(rows, "id", member_bitmaps(dropped, "id"), keep=True)
+    return marked.where(~F.col("maybe")).select("row.*").unionByName(marked.where("maybe").join(dropped, "id", "left_anti").select("row.*"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))

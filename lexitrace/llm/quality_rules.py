@@ -72,10 +72,12 @@ def _repeat_words(words: Column) -> Column:
     return F.when(n < 4, F.lit(0).cast("long")).when(F.size(F.array_distinct(codes)) == n - 2, F.lit(0).cast("long")).otherwise(counted)
 
 
-def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the five counts, the rates that rules may test, and base_failed."""
+def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """doc_id (with ``whole`` the row, as a struct, in its place), the five counts, the
+    rates that rules may test, and base_failed."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("body")).withColumn("words", words_of(F.col("body")))
+    given = F.struct(*[F.col(c) for c in docs.columns]) if whole else F.col(id_col)
+    rows = docs.select(given.alias("doc_id"), text.alias("body")).withColumn("words", words_of(F.col("body")))
     lines = F.filter(F.split("body", "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     # One-element explode: a filter on a count stays above it, so counts are made once.
     counted = F.struct(
@@ -218,6 +220,12 @@ def quality_verdicts(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id",
     )
 
 
+def keep_good(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the base rules and ``rules`` keep, with all columns."""
+    judged = text_statistics(docs, text_col=text_col, whole=True).withColumn("rule", decision(rules))
+    return judged.where(~F.col("base_failed") & (F.col("rule") == 0)).select("doc_id.*")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_verdicts(docs, fit_rules(docs, table(spark, sf_dir, "labels")))
