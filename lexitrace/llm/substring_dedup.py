@@ -241,6 +241,8 @@ def duplicate_spans(docs: DataFrame, k: int = K, m: int = M, slot_bits: int = SL
             first, size, low = _super_k_mers(words, doc, k, m)
             warm = hot[_slots(low, slot_bits)]
             first, size = first[warm], size[warm]
+            if not len(first):
+                continue
             at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
             yield pd.DataFrame({"window": [" ".join(words[x : x + k]) for x in at.tolist()], "id": ids[doc[at]], "key": keys[doc[at]], "a": place[at]})
 
