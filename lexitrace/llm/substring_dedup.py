@@ -24,11 +24,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -163,7 +163,7 @@ def repeated_windows(packed: list[str], ids: np.ndarray, k: int = K) -> tuple[np
 
 
 def duplicate_spans(docs: DataFrame, k: int = K, m: int = M, slot_bits: int = SLOT_BITS, bucket_size: int = BUCKET_SIZE, hot_size: int = HOT) -> DataFrame:
-    """``docs``: id, key, body. Spans of words (id, key, a, b) whose windows also start in
+    """``docs``: id, key (a hash of the body, 31 bits), body. Spans of words (id, key, a, b) whose windows also start in
     a document with a smaller id; spans of one document may overlap."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -185,13 +185,14 @@ def duplicate_spans(docs: DataFrame, k: int = K, m: int = M, slot_bits: int = SL
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list] = {}
-        chars = 0
+        chars, squeeze = 0, zstandard.ZstdCompressor(3)
 
         def deal() -> pd.DataFrame:
             rows = []
             for bucket, parts in held.items():
                 numbers = np.array([p[:3] for p in parts], np.int64)
-                rows.append((bucket, numbers.tobytes(), zlib.compress("\n".join(p[3] for p in parts).encode("utf-8", "surrogatepass"), 1)))
+                columns = numbers[:, 0].tobytes() + numbers[:, 1:].T.astype(np.int32).tobytes()
+                rows.append((bucket, squeeze.compress(columns), squeeze.compress("\n".join(p[3] for p in parts).encode("utf-8", "surrogatepass"))))
             held.clear()
             return pd.DataFrame(rows, columns=["bucket", "numbers", "packed"])
 
@@ -213,21 +214,23 @@ def duplicate_spans(docs: DataFrame, k: int = K, m: int = M, slot_bits: int = SL
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def spans(numbers: list[bytes], packed: list[str]) -> pd.DataFrame:
-            number = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 3) for x in numbers])
+            number = np.concatenate(numbers)
             group, offset, flagged, _ = repeated_windows(packed, number[:, 0], k)
             first, a, b = _spans(flagged, group, offset + number[group, 2], k)
             owner = number[group[first]]
             return pd.DataFrame({"id": owner[:, 0], "key": owner[:, 1], "a": a, "b": b})
 
-        at, numbers, packed = None, [], []
+        at, numbers, packed, spread = None, [], [], zstandard.ZstdDecompressor()
         for batch in batches:
             for bucket, number, text in zip(batch["bucket"], batch["numbers"], batch["packed"]):
                 if bucket != at and numbers:
                     yield spans(numbers, packed)
                     numbers, packed = [], []
                 at = bucket
-                numbers.append(number)
-                packed += zlib.decompress(text).decode("utf-8", "surrogatepass").split("\n")
+                columns = spread.decompress(number)
+                n = len(columns) // 16
+                numbers.append(np.column_stack([np.frombuffer(columns, np.int64, n), np.frombuffer(columns, np.int32, 2 * n, 8 * n).reshape(2, n).T]))
+                packed += spread.decompress(text).decode("utf-8", "surrogatepass").split("\n")
         if numbers:
             yield spans(numbers, packed)
 
@@ -256,7 +259,7 @@ def remove_repeats(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col
     """doc_id, n_words, n_removed, kept_sha256 and, if wanted, the kept text."""
     body = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("body"))
-    rows = rows.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("key", F.xxhash64("body"))
+    rows = rows.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("key", F.pmod(F.xxhash64("body"), F.lit(1 << 31)))
     spans = duplicate_spans(rows.select("id", "key", "body"), k, **options)
     marks = materialise(spans.groupBy("id", "key").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("s")).select("id", "key", F.col("s.a").alias("a"), F.col("s.b").alias("b"), F.xxhash64("id", "key").alias("mark")))
     # Most documents lose nothing; their texts stay where they are.
