@@ -66,8 +66,9 @@ def coverage(query: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def top(scored: DataFrame, n: int) -> DataFrame:
-    """The best ``n`` of each query, with rank."""
-    order = W.partitionBy("query_id").orderBy(F.desc("confidence"), F.desc("match_count"), "media_id")
+    """The best ``n`` of each query, with rank. Nine decimals count, so that the order in
+    which shares were summed decides no tie."""
+    order = W.partitionBy("query_id").orderBy(F.desc(F.round("confidence", 9)), F.desc("match_count"), "media_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
@@ -209,6 +210,6 @@ def character_names(texts: DataFrame, key: str, text: str = "text", min_count: i
 
     sentence = texts.select(key, F.explode(F.split(F.coalesce(text, F.lit("")), "[.!?]+")).alias("s"))
     words = sentence.select(key, F.posexplode(F.filter(F.split("s", r"\s+"), lambda w: w != "")).alias("i", "w"))
-    name = F.lower(F.regexp_extract("w", r"^([A-Z][a-z]{2,})\b", 1))
+    name = F.lower(F.regexp_extract("w", r"^([A-Z][a-z]{2,})(?![\p{L}\p{N}\p{M}_])", 1))
     found = words.where(F.col("i") > 0).select(key, name.alias("name")).where((F.col("name") != "") & ~F.col("name").isin(*NAME_STOPWORDS))
     return found.groupBy(key, "name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)

@@ -1,5 +1,589 @@
-"""Registered queries over the driver tables, and their SQL."""
+"""Registered queries over the driver tables, and the same in DuckDB's SQL.
+
+Documents serve as the library (each line a cue), benchmark items as transcripts in
+three windows, events as time-stamped hits, and pages as names and markup. Tokens are
+words, not phonetic keys, so that SQL can follow.
+"""
+
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.phonetics import encode_vocabulary
+from ..operators import fingerprint as FP
+from ..operators import library as L
+from ..operators import sampling
+from ..operators import scoring as S
+from ..operators import verdict as V
+from ..sources import subtitles as SRC
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FP.cue_tokens(SRC.documents_as_cues(_table(spark, sf_dir, "documents")))
+
+
+def _fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FP.library_fingerprints(_tokens(spark, sf_dir))
+
+
+def _media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SRC.documents_as_media(_table(spark, sf_dir, "documents"))
+
+
+def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SRC.benchmark_as_windows(_table(spark, sf_dir, "benchmark"))
+
+
+def _query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FP.weighted_query(_windows(spark, sf_dir))
+
+
+def _idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.idf_factors(L.document_frequency(_fingerprints(spark, sf_dir)), _table(spark, sf_dir, "documents").count())
+
+
+def _streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FP.token_streams(_tokens(spark, sf_dir))
+
+
+def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), FP.text_tokens(F.col("text")).alias("tokens"))
+
+
+# -- pieces of SQL ----------------------------------------------------------------------
+
+
+def _clean(x: str) -> str:
+    s = f"coalesce({x}, '')"
+    for p in ("<[^>]+>", r"\{[^}]*\}", r"\[[^\]]*\]", r"\([^)]*\)", "^[A-Z][A-Z0-9 .''-]{1,20}:", "-"):
+        s = f"regexp_replace({s}, '{p}', ' ', 'g')"
+    for p in (r"[^a-z0-9''\s]", r"\s+"):
+        s = f"regexp_replace({s if p != '[^a-z0-9' + chr(39) * 2 + chr(92) + 's]' else 'lower(' + s + ')'}, '{p}', ' ', 'g')"
+    return f"trim({s})"
+
+
+def _words(x: str) -> str:
+    return f"list_filter(string_split({_clean(x)}, ' '), lambda w: length(w) >= 2 OR regexp_full_match(w, '[0-9]+'))"
+
+
+def _grams(words: str, k: int) -> str:
+    return f"list_transform(range(1, len({words}) - {k} + 2), lambda i: array_to_string({words}[i:i + {k - 1}], ' '))"
+
+
+def _shingles(source: str, keep: str) -> str:
+    return " UNION ALL ".join(f"SELECT {keep}, {k} AS shingle_size, unnest(list_transform({_grams('w', k)}, lambda g: md5(g)[1:16])) AS hash FROM {source}" for k in (3, 4, 5))
+
+
+CUES = f"""cue AS (SELECT doc_id AS media_id, unnest(range(0, len(l))) AS pos, unnest(l) AS text
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+tok AS (SELECT media_id, pos, pos * 3000 AS start_ms, pos * 3000 + 2500 AS end_ms, {_words('text')} AS w FROM cue)"""
+FPS = f"{CUES}, fp AS ({_shingles('tok', 'media_id, start_ms, end_ms')})"
+WINDOWS = f"""win AS (SELECT query_id, part, (part + 0.5::DOUBLE) / 3 * 1400.0::DOUBLE AS start_s, 1400.0::DOUBLE AS duration_s, {_words("array_to_string(a[part * k + 1:part * k + k], ' ')")} AS w
+  FROM (SELECT item_id AS query_id, a, CAST(ceil(len(a) / 3) AS BIGINT) AS k, unnest([0, 1, 2]) AS part FROM (SELECT item_id, string_split_regex(text, '\\s+') AS a FROM benchmark))),
+weighed AS (SELECT query_id, w, CASE WHEN f BETWEEN 0.2 AND 0.8 THEN 1.0::DOUBLE WHEN f < 0.2 THEN 0.6::DOUBLE + f / 0.2::DOUBLE * 0.4::DOUBLE ELSE 0.6::DOUBLE + (1.0::DOUBLE - f) / 0.2::DOUBLE * 0.4::DOUBLE END AS weight
+  FROM (SELECT *, start_s / duration_s AS f FROM win)),
+q AS (SELECT query_id, hash, max(weight) AS weight FROM ({_shingles('weighed', 'query_id, weight')}) GROUP BY ALL)"""
+IDF = """df AS (SELECT hash, count(DISTINCT media_id) AS df FROM fp GROUP BY hash),
+idf AS (SELECT hash, df, ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df)) + 1.0::DOUBLE AS idf FROM df, (SELECT count(*) AS n FROM documents)),
+factor AS (SELECT hash, df, least(3.0::DOUBLE, greatest(0.35::DOUBLE, idf / (SELECT avg(idf) FROM idf))) AS factor FROM idf)"""
+QI = "qi AS (SELECT q.query_id, q.hash, q.weight * coalesce(factor, 1.0::DOUBLE) AS weight FROM q LEFT JOIN factor USING (hash))"
+HITS = "hit AS (SELECT DISTINCT query_id, hash FROM q), hits AS (SELECT query_id, hash, media_id, start_ms FROM hit JOIN fp USING (hash))"
+
+
+def _coverage(q: str) -> str:
+    return f"""tot AS (SELECT query_id, greatest(sum(weight), 1e-9::DOUBLE) AS total, count(*) AS query_count FROM {q} GROUP BY 1),
+cov AS (SELECT query_id, media_id, sum(weight) / any_value(total) AS base, count(*) AS match_count, any_value(query_count) AS query_count
+  FROM (SELECT DISTINCT query_id, hash, media_id FROM hits) JOIN {q} USING (query_id, hash) JOIN tot USING (query_id) GROUP BY 1, 2)"""
+
+
+EXACT = """ts AS (SELECT query_id, media_id, start_ms, count(*) AS m FROM hits GROUP BY 1, 2, 3),
+dense AS (SELECT query_id, media_id, max(n) AS best FROM (
+  SELECT a.query_id, a.media_id, a.start_ms, sum(b.m) AS n FROM ts a JOIN ts b
+  ON a.query_id = b.query_id AND a.media_id = b.media_id AND b.start_ms BETWEEN a.start_ms - 30000 AND a.start_ms GROUP BY 1, 2, 3) GROUP BY 1, 2),
+isl AS (SELECT *, sum(CASE WHEN gap > 4000 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id, media_id ORDER BY start_ms) AS g FROM (
+  SELECT *, start_ms - lag(start_ms) OVER (PARTITION BY query_id, media_id ORDER BY start_ms) AS gap FROM ts)),
+runs AS (SELECT query_id, media_id, max(n) AS run FROM (SELECT query_id, media_id, g, sum(m) AS n FROM isl GROUP BY 1, 2, 3) GROUP BY 1, 2),
+scored AS (SELECT query_id, media_id, match_count, least(1.0::DOUBLE, base + least(0.25::DOUBLE, best / greatest(1, match_count) * 0.25::DOUBLE)
+  + CASE WHEN run > 1 THEN 0.2::DOUBLE * (1 - exp(-(run - 1) / 5.0::DOUBLE)) ELSE 0 END) AS confidence
+  FROM cov JOIN dense USING (query_id, media_id) JOIN runs USING (query_id, media_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(confidence, 9) DESC, match_count DESC, media_id) AS rank FROM scored)"""
+
+STREAMS = f"""{CUES}, stream AS (SELECT media_id, flatten(list(w ORDER BY pos)) AS tokens, flatten(list(list_transform(w, lambda x: start_ms) ORDER BY pos)) AS starts FROM tok WHERE len(w) > 0 GROUP BY 1),
+asked AS (SELECT item_id AS query_id, {_words('text')} AS tokens FROM benchmark)"""
+
+
+# -- text -------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, {_clean('text')} AS clean FROM documents")
+def clean_text(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", T.clean_text(F.col("text")).alias("clean"))
+
+
+@query(f"SELECT doc_id, len(w)::BIGINT AS n, len(list_distinct(w))::BIGINT AS n_distinct FROM (SELECT doc_id, {_words('text')} AS w FROM documents)")
+def tokenize_counts(spark, sf_dir):
+    words = _table(spark, sf_dir, "documents").select("doc_id", T.tokenize(F.col("text")).alias("w"))
+    return words.select("doc_id", F.size("w").cast("long").alias("n"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"))
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter({_words('text')}, lambda x: NOT list_contains({T.STOPWORDS}, x)), ' ') AS kept FROM documents")
+def stopword_filtered_tokens(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.tokenize(F.col("text"), drop_stopwords=True), " ").alias("kept"))
+
+
+@query(f"SELECT page_id, {_clean('html')} AS clean FROM pages")
+def html_clean(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", T.clean_text(F.col("html")).alias("clean"))
+
+
+@query(
+    """SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(url, '[^/]*$'), '\\(\\d{4}\\)', ' ', 'g').lower(), '[^0-9a-z]+', ' ', 'g')) AS norm,
+  regexp_replace(trim(regexp_replace(regexp_replace(url, '[\\\\/:*?"<>|]', ' ', 'g'), '\\s+', ' ', 'g')), '\\.+$', '') AS safe,
+  translate(url, '\\/:*?"<>|', '_________') AS replaced FROM pages"""
+)
+def title_normalisation(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", T.normalise_title(T.base_name(F.col("url"))).alias("norm"), T.sanitise_name(F.col("url")).alias("safe"), T.replace_illegal(F.col("url")).alias("replaced"))
+
+
+#: Names as releases have them, made from numbers of documents.
+_NAMES = "CASE doc_id % 6 WHEN 0 THEN 'Show.' || source || '.S0' || (doc_id % 9 + 1) || 'E' || (doc_id % 80 + 10) || '.The.Case.' || lang || '.1080p.WEB-DL-GRP.mkv' WHEN 1 THEN 'Show ' || source || ' 1x' || (doc_id % 80 + 10) || ' The Judge.en.srt' WHEN 2 THEN 'Show ' || (doc_id % 800 + 100) || '.mp4' WHEN 3 THEN 'Show (19' || (doc_id % 50 + 40) || ') - Season 2 Episode ' || (doc_id % 30) || ' - Part II.avi' WHEN 4 THEN '[x] Film ' || (1990 + doc_id % 30) || ' dvdrip.mkv' ELSE 'Show.S01E01E02.Double_' || source || '.srt' END"
+
+
+def _names(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").selectExpr("doc_id", "lang", "source", f"{_NAMES} AS name")
+
+
+_JUNK = "|".join(x.replace(".", r"\.") for x in T.JUNK_TOKENS)
+_E1, _E2, _E3 = T.EPISODE_PATTERNS
+_E3R = _E3.replace("(?i)", "")
+_CLEANED = f"""n AS (SELECT doc_id, {_NAMES} AS name FROM documents),
+b AS (SELECT doc_id, name, regexp_replace(regexp_replace(name, '\\.[a-z]{{2,3}}\\.(srt|vtt)$', '.\\1', 'i'), '\\.[^.]*$', '') AS base, regexp_replace(name, '\\.[^.]*$', '') AS raw FROM n),
+c AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(base, '[\\[\\{{].*?[\\]\\}}]', ' ', 'g'), '-[A-Za-z0-9]{{2,}}$', ' '), '\\b({_JUNK})\\b', ' ', 'gi'), '[._]+', ' ', 'g'), '\\s{{2,}}', ' ', 'g'), ' -_.') AS clean FROM b)"""
+
+
+@query(
+    f"""WITH {_CLEANED},
+m AS (SELECT *, CASE WHEN regexp_matches(clean, '{_E1}') THEN 1 WHEN regexp_matches(clean, '{_E2}') THEN 2 WHEN regexp_matches(clean, '{_E3R}', 'i') THEN 3 WHEN regexp_matches(clean, '(^|[^0-9])(\\d)(\\d{{2}})([^0-9]|$)') THEN 4 ELSE 0 END AS k FROM c),
+e AS (SELECT *, CASE k WHEN 1 THEN regexp_extract(clean, '{_E1}', 1) WHEN 2 THEN regexp_extract(clean, '{_E2}', 1) WHEN 3 THEN regexp_extract(clean, '{_E3R}', 1, 'i') WHEN 4 THEN regexp_extract(clean, '(^|[^0-9])(\\d)(\\d{{2}})([^0-9]|$)', 2) END AS s,
+  CASE k WHEN 1 THEN regexp_extract(clean, '{_E1}', 2) WHEN 2 THEN regexp_extract(clean, '{_E2}', 2) WHEN 3 THEN regexp_extract(clean, '{_E3R}', 2, 'i') WHEN 4 THEN regexp_extract(clean, '(^|[^0-9])(\\d)(\\d{{2}})([^0-9]|$)', 3) END AS e,
+  CASE k WHEN 1 THEN regexp_extract(clean, '^.*?{_E1}(.*)$', 3) WHEN 2 THEN regexp_extract(clean, '^.*?{_E2}(.*)$', 3) WHEN 3 THEN regexp_extract(clean, '^.*?{_E3R}(.*)$', 3, 'i') WHEN 4 THEN regexp_extract(clean, '^.*?(^|[^0-9])(\\d)(\\d{{2}})([^0-9].*|$)', 4) END AS tail FROM m)
+SELECT doc_id, clean, TRY_CAST(s AS INTEGER) AS season, TRY_CAST(e AS INTEGER) AS episode,
+  nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(tail, '^\\s*[-_.]+\\s*', ' '), '(19|20)\\d{{2}}', ' ', 'g'), '[-_.]+', ' ', 'g'), '\\s{{2,}}', ' ', 'g'), ' -_.'), '') AS episode_title,
+  TRY_CAST(regexp_extract(raw, '(19|20)\\d{{2}}') AS INTEGER) AS year, CASE WHEN k > 0 THEN 'tv' ELSE 'movie' END AS media_type FROM e"""
+)
+def filename_metadata(spark, sf_dir):
+    meta = _names(spark, sf_dir).select("doc_id", T.clean_release_name(F.col("name")).alias("clean"), T.file_metadata(F.col("name")).alias("m"))
+    return meta.select("doc_id", "clean", "m.season", "m.episode", "m.episode_title", "m.year", "m.media_type")
+
+
+_PARTS = "CASE doc_id % 5 WHEN 0 THEN 'The Case (Part ' || (doc_id % 9 + 1) || ')' WHEN 1 THEN 'The Case - Pt. IV' WHEN 2 THEN 'The Case (' || (doc_id % 7) || ')' WHEN 3 THEN 'Plain ' || lang ELSE ' The Case Part x ' END"
+
+
+@query(
+    f"""WITH n AS (SELECT doc_id, trim({_PARTS}) AS t FROM documents),
+p AS (SELECT *, regexp_matches(t, '[\\s\\-_]*\\(?(part|pt\\.?|p)?\\s*(\\d{{1,2}}|[ivx]{{1,4}})\\)?\\s*$', 'i') AS hit, lower(regexp_extract(t, '[\\s\\-_]*\\(?(?:part|pt\\.?|p)?\\s*(\\d{{1,2}}|[ivx]{{1,4}})\\)?\\s*$', 1, 'i')) AS num,
+  trim(regexp_replace(t, '[\\s\\-_]*\\(?(?:part|pt\\.?|p)?\\s*(\\d{{1,2}}|[ivx]{{1,4}})\\)?\\s*$', '', 'i'), ' -_') AS front FROM n)
+SELECT doc_id, CASE WHEN hit THEN lower(trim(front || ' part ' || coalesce(CAST(map({list(T.ROMAN)}, {list(T.ROMAN.values())})[num] AS VARCHAR), CAST(TRY_CAST(num AS INTEGER) AS VARCHAR), num))) ELSE lower(t) END AS part FROM p"""
+)
+def normalize_part_markers(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").selectExpr("doc_id", "lang", f"{_PARTS} AS t").select("doc_id", T.normalise_part(F.col("t")).alias("part"))
+
+
+@query(
+    """WITH n AS (SELECT doc_id, source, lang, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE CAST(doc_id % 12 + 1 AS INTEGER) END AS s, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE CAST(doc_id % 120 AS INTEGER) END AS e FROM documents),
+i AS (SELECT *, CASE WHEN e IS NULL THEN 'movie' WHEN s IS NULL THEN 'E' || lpad(CAST(e AS VARCHAR), CAST(greatest(2, length(CAST(e AS VARCHAR))) AS INTEGER), '0') ELSE 'S' || lpad(CAST(s AS VARCHAR), 2, '0') || 'E' || lpad(CAST(e AS VARCHAR), CAST(greatest(2, length(CAST(e AS VARCHAR))) AS INTEGER), '0') END AS id FROM n)
+SELECT doc_id, id AS episode_id, trim(replace('Show: ' || source, ':', ' ').regexp_replace('\\s+', ' ', 'g')) || CASE WHEN id = 'movie' THEN '' ELSE ' - ' || id END || ' - Title ' || lang || '.mkv' AS suggested FROM i"""
+)
+def suggested_filenames(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").selectExpr("doc_id", "source", "lang", "CASE WHEN doc_id % 7 = 0 THEN NULL ELSE CAST(doc_id % 12 + 1 AS INT) END AS s", "CASE WHEN doc_id % 11 = 0 THEN NULL ELSE CAST(doc_id % 120 AS INT) END AS e")
+    return docs.select("doc_id", T.episode_id(F.col("s"), F.col("e")).alias("episode_id"), T.suggested_name(F.concat(F.lit("Show: "), "source"), F.col("s"), F.col("e"), F.concat(F.lit("Title "), "lang"), F.lit(".mkv")).alias("suggested"))
+
+
+_LANGS = "CASE doc_id % 6 WHEN 0 THEN lang || '-XX' WHEN 1 THEN upper(lang) WHEN 2 THEN 'English' WHEN 3 THEN 'Auto-detect' WHEN 4 THEN '!!!' ELSE 'es_' || lang END"
+
+
+@query(
+    f"""WITH n AS (SELECT doc_id, lower(trim({_LANGS})) AS v FROM documents), b AS (SELECT *, split_part(replace(v, '_', '-'), '-', 1) AS b FROM n),
+c AS (SELECT doc_id, CASE WHEN v IN ('', 'auto', 'auto-detect', 'autodetect') THEN NULL WHEN v = 'english' THEN 'en' WHEN b IN ('en', 'es', 'fr', 'de', 'other') THEN b WHEN regexp_full_match(b, '[a-z]{{2}}') THEN b END AS code FROM b)
+SELECT doc_id, code, code IS NULL OR code = 'en' AS phonetic FROM c"""
+)
+def normalise_language(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").selectExpr("doc_id", "lang", f"{_LANGS} AS v")
+    return docs.select("doc_id", T.normalise_language(F.col("v")).alias("code"), T.uses_phonetics(F.col("v")).alias("phonetic"))
+
+
+@query()
+def phonetic_vocabulary(spark, sf_dir):
+    words = _table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(T.tokenize(F.col("text"))).alias("word"))
+    return encode_vocabulary(words).select("word", "code")
+
+
+# -- fingerprints and library -----------------------------------------------------------
+
+
+@query(f"WITH b AS (SELECT item_id, {_words('text')} AS w FROM benchmark) SELECT item_id, shingle_size, hash, count(*) AS n FROM ({_shingles('b', 'item_id')}) GROUP BY ALL")
+def shingle_hashes(spark, sf_dir):
+    items = _table(spark, sf_dir, "benchmark").select("item_id", F.explode(FP.text_fingerprints(FP.text_tokens(F.col("text")))).alias("f"))
+    return items.groupBy("item_id", "f.shingle_size", "f.hash").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {FPS} SELECT media_id, shingle_size, count(*) AS n, count(DISTINCT hash) AS n_distinct, max(end_ms)::BIGINT AS last_ms, min(hash) AS least FROM fp GROUP BY 1, 2")
+def library_fingerprints(spark, sf_dir):
+    return _fingerprints(spark, sf_dir).groupBy("media_id", "shingle_size").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("hash").alias("n_distinct"), F.max("end_ms").alias("last_ms"), F.min("hash").alias("least"))
+
+
+@query(
+    f"""WITH tok AS (SELECT conv_id AS media_id, turn AS pos, turn * 5000 AS start_ms, {_words('text')} AS w FROM conversations)
+SELECT media_id, md5(array_to_string(flatten(list(w ORDER BY pos, array_to_string(w, ' '))), ' ')) AS stream, sum(len(w))::BIGINT AS n, sum(len(w) * start_ms)::BIGINT AS starts FROM tok WHERE len(w) > 0 GROUP BY 1"""
+)
+def token_streams(spark, sf_dir):
+    cues = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("media_id"), F.col("turn").alias("pos"), (F.col("turn") * 5000).alias("start_ms"), "text")
+    streams = FP.token_streams(FP.cue_tokens(cues))
+    return streams.select("media_id", F.md5(F.array_join("tokens", " ")).alias("stream"), F.size("tokens").cast("long").alias("n"), F.aggregate("starts", F.lit(0).cast("long"), lambda a, b: a + b).alias("starts"))
+
+
+@query(f"WITH {FPS} SELECT (SELECT count(*) FROM documents) AS n_media, count(*) AS n_fingerprints FROM fp")
+def library_stats(spark, sf_dir):
+    return L.statistics(_media(spark, sf_dir), _fingerprints(spark, sf_dir))
+
+
+@query(f"WITH {FPS} SELECT media_id, count(*) AS n_fingerprints FROM fp GROUP BY 1")
+def media_fingerprint_counts(spark, sf_dir):
+    return L.media_counts(_fingerprints(spark, sf_dir))
+
+
+@query(f"WITH {FPS} SELECT count(*) AS n_fingerprints FROM fp WHERE media_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def scoped_count(spark, sf_dir):
+    return L.scoped_count(_fingerprints(spark, sf_dir), _table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("media_id")))
+
+
+@query(f"WITH {FPS} SELECT hash, count(DISTINCT media_id) AS df FROM fp GROUP BY 1")
+def hash_document_frequency(spark, sf_dir):
+    return L.document_frequency(_fingerprints(spark, sf_dir))
+
+
+@query(f"WITH {FPS}, {IDF} SELECT hash, round(factor, 6) AS factor FROM factor")
+def hash_idf_factors(spark, sf_dir):
+    return _idf(spark, sf_dir).select("hash", F.round("factor", 6).alias("factor"))
+
+
+@query(f"WITH {FPS}, {WINDOWS}, {HITS} SELECT query_id, media_id, hash, start_ms FROM hits")
+def hash_lookup(spark, sf_dir):
+    return L.lookup(_fingerprints(spark, sf_dir), _query(spark, sf_dir)).select("query_id", "media_id", "hash", "start_ms")
+
+
+@query(f"WITH {FPS}, {WINDOWS}, {HITS} SELECT query_id, media_id, count(*) AS n FROM hits WHERE media_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY 1, 2")
+def hash_lookup_scoped(spark, sf_dir):
+    scope = _table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("media_id"))
+    return L.lookup(_fingerprints(spark, sf_dir), _query(spark, sf_dir), scope).groupBy("query_id", "media_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {FPS} SELECT 'doc' || doc_id || '.srt' AS source, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IN (SELECT media_id FROM fp))")
+def unprocessed_sources(spark, sf_dir):
+    media = _media(spark, sf_dir)
+    done = _table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("media_id"))
+    return L.unprocessed(media.select("source", F.col("media_id").alias("doc_id")), media.join(done, "media_id", "left_semi"), _fingerprints(spark, sf_dir))
+
+
+_EPS = "SELECT doc_id AS media_id, source AS title, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE CAST(doc_id % 3 AS INT) END AS season, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE CAST(doc_id % 11 AS INT) END AS episode FROM documents"
+
+
+@query(f"WITH m AS ({_EPS}), w AS (SELECT DISTINCT title, season, episode FROM m JOIN labels ON media_id = doc_id WHERE quality = 0) SELECT DISTINCT m.media_id FROM m JOIN w ON m.title IS NOT DISTINCT FROM w.title AND m.season IS NOT DISTINCT FROM w.season AND m.episode IS NOT DISTINCT FROM w.episode")
+def null_safe_resolve(spark, sf_dir):
+    media = _table(spark, sf_dir, "documents").selectExpr("doc_id AS media_id", "source AS title", "CASE WHEN doc_id % 5 = 0 THEN NULL ELSE CAST(doc_id % 3 AS INT) END AS season", "CASE WHEN doc_id % 7 = 0 THEN NULL ELSE CAST(doc_id % 11 AS INT) END AS episode")
+    bad = _table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("media_id"))
+    return L.resolve_episodes(media, media.join(bad, "media_id", "left_semi"))
+
+
+@query(
+    """WITH old AS (SELECT doc_id AS media_id, 'doc ' || doc_id AS title, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 1 END AS season, lang AS language, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 60 END AS d FROM documents WHERE doc_id % 2 = 0),
+inc AS (SELECT 'doc ' || doc_id AS title, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 1 END AS season, CASE WHEN quality = 1 THEN 'fr' END AS language, 90 + toxic AS d FROM labels),
+fresh AS (SELECT inc.* FROM inc LEFT JOIN old USING (title) WHERE old.title IS NULL)
+SELECT media_id, title, season, coalesce(inc_language, language) AS language, coalesce(inc_d, d)::INTEGER AS duration_seconds FROM (SELECT old.*, inc.language AS inc_language, inc.d AS inc_d FROM old LEFT JOIN inc USING (title))
+UNION ALL SELECT (SELECT max(media_id) FROM old) + row_number() OVER (ORDER BY title), title, season, language, d::INTEGER FROM fresh"""
+)
+def upsert_backfill(spark, sf_dir):
+    same = ["CAST(NULL AS INT) AS year", "'tv' AS media_type", "CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 1 END AS season", "CAST(NULL AS INT) AS episode", "'x' AS source", "CAST(NULL AS STRING) AS show_title", "CAST(NULL AS STRING) AS episode_title"]
+    old = _table(spark, sf_dir, "documents").where("doc_id % 2 = 0").selectExpr("doc_id AS media_id", "concat('doc ', doc_id) AS title", *same, "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 60 END AS duration_seconds", "CAST(NULL AS STRING) AS duration_source", "lang AS language")
+    new = _table(spark, sf_dir, "labels").selectExpr("concat('doc ', doc_id) AS title", *same, "CAST(90 + toxic AS INT) AS duration_seconds", "CAST(NULL AS STRING) AS duration_source", "CASE WHEN quality = 1 THEN 'fr' END AS language")
+    return L.upsert(old, new).select("media_id", "title", "season", "language", "duration_seconds")
+
+
+@query("SELECT doc_id AS media_id, lang AS language FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def delete_media(spark, sf_dir):
+    gone = _table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("media_id"))
+    return L.delete_media(gone, _media(spark, sf_dir).select("media_id", "language"))[0]
+
+
+@query("SELECT doc_id AS media_id, 'doc ' || doc_id AS title, CAST(NULL AS VARCHAR) AS language, CAST(NULL AS INTEGER) AS duration_seconds FROM documents")
+def schema_migration(spark, sf_dir):
+    return L.migrate(_media(spark, sf_dir).select("media_id", "title", "year", "media_type", "season", "episode", "source")).select("media_id", "title", "language", "duration_seconds")
+
+
+@query(f"WITH {FPS} SELECT doc_id AS media_id, coalesce(n, 0) AS n_fingerprints FROM documents LEFT JOIN (SELECT media_id, count(*) AS n FROM fp GROUP BY 1) ON media_id = doc_id WHERE contains('doc ' || doc_id || ' ' || source || ' Part ' || (doc_id % 7) || ' doc' || doc_id || '.srt', 'src1')")
+def library_listing(spark, sf_dir):
+    return L.listing(_media(spark, sf_dir), _fingerprints(spark, sf_dir), "SRC1").select("media_id", "n_fingerprints")
+
+
+
+
+@query(
+    f"""WITH {CUES}, c AS (SELECT media_id, pos, text, pos * 3000 + (pos // 40) * 130000 * (media_id % 2) AS s, pos * 3000 + 2500 + (pos // 40) * 130000 * (media_id % 2) AS e FROM cue),
+g AS (SELECT *, greatest(s - lag(e) OVER (PARTITION BY media_id ORDER BY pos), 0) / 1000.0::DOUBLE AS gap, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS n FROM c),
+a AS (SELECT media_id, round_even(max(e) / 1000.0, 0)::INTEGER AS seconds, sum(n)::BIGINT AS n_words, coalesce(max(gap), 0.0::DOUBLE) AS max_gap_s FROM g GROUP BY 1)
+SELECT media_id, seconds, CASE WHEN n_words / (seconds / 60.0::DOUBLE) < 40 OR max_gap_s > 120 THEN 'low' ELSE 'high' END AS confidence, n_words, max_gap_s FROM a"""
+)
+def subtitle_duration_confidence(spark, sf_dir):
+    cues = SRC.documents_as_cues(_table(spark, sf_dir, "documents"))
+    late = F.floor(F.col("pos") / 40).cast("long") * 130000 * (F.col("media_id") % 2)
+    return L.subtitle_runtime(cues.withColumns({"start_ms": F.col("start_ms") + late, "end_ms": F.col("end_ms") + late}))
+
+
+@query("SELECT doc_id, round(CASE WHEN n_chars > 0 THEN len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) / (n_chars / 15.0::DOUBLE / 60.0::DOUBLE) ELSE 0 END, 6) AS density FROM documents")
+def dialogue_density(spark, sf_dir):
+    words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.round(T.dialogue_density(words, F.col("n_chars") / 15.0), 6).alias("density"))
+
+
+@query("SELECT doc_id, min(x.start_s) AS first_s, max(x.start_s) AS last_s, count(*) AS n, round(sum(x.len_s), 4) AS total FROM (SELECT doc_id, unnest(list_distinct(list_transform([0.1, 0.3, 0.5, 0.7, 0.9], lambda p: {start_s: round(greatest(0.0::DOUBLE, least(d - 12.0, d * p)), 2), len_s: round(least(12.0::DOUBLE, greatest(1.0::DOUBLE, d - greatest(0.0::DOUBLE, least(d - 12.0, d * p)))), 2)}))) AS x FROM (SELECT doc_id, n_chars / 15.0::DOUBLE AS d FROM documents)) GROUP BY 1")
+def sample_windows(spark, sf_dir):
+    points = F.array(*map(F.lit, sampling.sample_points(5)))
+    windows = _table(spark, sf_dir, "documents").select("doc_id", F.explode(sampling.sample_windows(F.col("n_chars") / 15.0, points, 12.0)).alias("x"))
+    return windows.groupBy("doc_id").agg(F.min("x.start_s").alias("first_s"), F.max("x.start_s").alias("last_s"), F.count(F.lit(1)).alias("n"), F.round(F.sum("x.len_s"), 4).alias("total"))
+
+
+@query("SELECT item_id, array_to_string(list_transform(CASE WHEN n = 1 THEN [0.5::DOUBLE] ELSE list_transform(range(0, n), lambda k: round(0.1::DOUBLE + 0.8::DOUBLE * k / (n - 1), 4)) END, lambda x: CAST(CAST(round(x * 10000) AS BIGINT) AS VARCHAR)), ',') AS points FROM (SELECT item_id, item_id % 7 + 1 AS n FROM benchmark)")
+def sample_points(spark, sf_dir):
+    points = sampling.sample_points_column((F.col("item_id") % 7 + 1).cast("int"))
+    return _table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.transform(points, lambda x: F.round(x * 10000).cast("long").cast("string")), ",").alias("points"))
+
+
+# -- scoring ----------------------------------------------------------------------------
+
+
+@query(f"WITH {WINDOWS} SELECT query_id, hash, round(weight, 6) AS weight FROM q")
+def time_weighted_query(spark, sf_dir):
+    return _query(spark, sf_dir).select("query_id", "hash", F.round("weight", 6).alias("weight"))
+
+
+@query(f"WITH {FPS}, {WINDOWS}, {HITS}, {_coverage('q')} SELECT query_id, media_id, round(base, 6) AS base, match_count, query_count FROM cov")
+def weighted_coverage(spark, sf_dir):
+    asked = _query(spark, sf_dir)
+    return S.coverage(asked, L.lookup(_fingerprints(spark, sf_dir), asked)).withColumn("base", F.round("base", 6))
+
+
+def _event_hits(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+
+
+@query(
+    """WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, count(*) AS m FROM events GROUP BY 1, 2),
+n AS (SELECT a.user_id, a.ms, sum(b.m)::BIGINT AS n, min(b.ms) AS lo FROM e a JOIN e b ON a.user_id = b.user_id AND b.ms BETWEEN a.ms - 30000 AND a.ms GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, ms) AS k, count(*) OVER (PARTITION BY user_id) AS c FROM n),
+t AS (SELECT user_id, sum(m) AS total FROM e GROUP BY 1)
+SELECT user_id, n AS best, CASE WHEN n > 1 THEN lo END AS win_start, CASE WHEN n > 1 THEN ms END AS win_end, round(least(0.25::DOUBLE, n / greatest(1, total) * 0.25::DOUBLE), 6) AS bonus FROM r JOIN t USING (user_id) WHERE k = 1"""
+)
+def densest_cluster(spark, sf_dir):
+    hits = _event_hits(spark, sf_dir)
+    total = hits.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"))
+    found = S.clusters(hits, ["user_id"], "ms").join(total, "user_id")
+    return found.select("user_id", "best", "win_start", "win_end", F.round(S.cluster_bonus(F.col("best"), F.col("total")), 6).alias("bonus"))
+
+
+@query(
+    """WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+g AS (SELECT *, sum(CASE WHEN ms - p > 3600000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY r) AS g FROM (SELECT *, lag(ms) OVER (PARTITION BY user_id ORDER BY r) AS p FROM e)),
+n AS (SELECT user_id, max(n) AS run FROM (SELECT user_id, g, count(*) AS n FROM g GROUP BY 1, 2) GROUP BY 1)
+SELECT user_id, run, round(CASE WHEN run > 1 THEN 0.2::DOUBLE * (1 - exp(-(run - 1) / 5.0::DOUBLE)) ELSE 0 END, 6) AS bonus FROM n"""
+)
+def contiguous_run_bonus(spark, sf_dir):
+    runs = S.longest_runs(_event_hits(spark, sf_dir), ["user_id"], "ms", gap_ms=3_600_000)
+    return runs.select("user_id", "run", F.round(S.run_bonus(F.col("run")), 6).alias("bonus"))
+
+
+def _exact(spark, sf_dir):
+    asked = S.apply_idf(_query(spark, sf_dir), _idf(spark, sf_dir))
+    return S.exact_scores(asked, L.lookup(_fingerprints(spark, sf_dir), asked))
+
+
+@query(f"WITH {FPS}, {WINDOWS}, {IDF}, {QI}, {HITS}, {_coverage('qi')}, {EXACT} SELECT query_id, media_id, round(confidence, 6) AS confidence, match_count, rank FROM ranked WHERE rank <= 5")
+def exact_match_topk(spark, sf_dir):
+    return _exact(spark, sf_dir).select("query_id", "media_id", F.round("confidence", 6).alias("confidence"), "match_count", F.col("rank").cast("long").alias("rank"))
+
+
+
+
+@query()
+def lcs_scores(spark, sf_dir):
+    found = S.lcs_scores(_transcripts(spark, sf_dir), _streams(spark, sf_dir))
+    return found.select("query_id", "media_id", F.round("confidence", 6).alias("confidence"), "match_count", "query_count", "win_start", "win_end", F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def fuzzy_stage(spark, sf_dir):
+    found = S.fuzzy_stage(_transcripts(spark, sf_dir), _streams(spark, sf_dir))
+    return found.select("query_id", "media_id", F.round("confidence", 6).alias("confidence"), F.col("rank").cast("long").alias("rank"))
+
+
+_DICE = f"""{STREAMS}, t AS (SELECT t, count(*) AS df FROM (SELECT DISTINCT media_id, unnest(tokens) AS t FROM stream) GROUP BY 1),
+idf AS (SELECT t, ln((1.0::DOUBLE + (SELECT count(*) FROM stream)) / (1.0::DOUBLE + df)) + 1.0::DOUBLE AS idf FROM t),
+ga AS (SELECT DISTINCT query_id, tokens[i] AS x, tokens[i + 1] AS y FROM (SELECT query_id, tokens, unnest(range(1, len(tokens))) AS i FROM asked)),
+gb AS (SELECT DISTINCT media_id, tokens[i] AS x, tokens[i + 1] AS y FROM (SELECT media_id, tokens, unnest(range(1, len(tokens))) AS i FROM stream)),
+wa AS (SELECT query_id, x, y, (coalesce(a.idf, 1.0::DOUBLE) + coalesce(b.idf, 1.0::DOUBLE)) / 2 AS w FROM ga LEFT JOIN idf a ON a.t = x LEFT JOIN idf b ON b.t = y),
+wb AS (SELECT media_id, x, y, (a.idf + b.idf) / 2 AS w FROM gb JOIN idf a ON a.t = x JOIN idf b ON b.t = y),
+sa AS (SELECT query_id, sum(w) AS w FROM wa GROUP BY 1), sb AS (SELECT media_id, sum(w) AS w FROM wb GROUP BY 1),
+sh AS (SELECT query_id, media_id, sum(wb.w) AS w, count(*) AS n FROM wa JOIN wb USING (x, y) GROUP BY 1, 2),
+dice AS (SELECT query_id, media_id, least(1.0::DOUBLE, 2 * sh.w / (sa.w + sb.w)) AS confidence, n AS match_count, greatest(1, len(tokens) - 1)::BIGINT AS query_count
+  FROM sh JOIN sa USING (query_id) JOIN sb USING (media_id) JOIN asked USING (query_id))"""
+
+
+@query(f"WITH {_DICE} SELECT query_id, media_id, round(confidence, 6) AS confidence, match_count, query_count FROM dice")
+def ngram_dice(spark, sf_dir):
+    return S.ngram_dice(_transcripts(spark, sf_dir), _streams(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(
+    f"""WITH {_DICE}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(confidence, 9) DESC, match_count DESC, media_id) AS rank FROM dice WHERE query_id IN (SELECT query_id FROM asked WHERE len(tokens) >= 4)),
+g AS (SELECT *, max(confidence) OVER (PARTITION BY query_id) AS best, max(CASE WHEN rank = 1 THEN confidence END) OVER (PARTITION BY query_id) - max(CASE WHEN rank = 2 THEN confidence END) OVER (PARTITION BY query_id) AS gap FROM r)
+SELECT query_id, media_id, round(confidence, 6) AS confidence, match_count, rank FROM g WHERE rank <= 5 AND best >= 0.2 AND (gap IS NULL OR gap >= 0.05)"""
+)
+def ngram_stage(spark, sf_dir):
+    found = S.ngram_stage(_transcripts(spark, sf_dir), _streams(spark, sf_dir))
+    return found.select("query_id", "media_id", F.round("confidence", 6).alias("confidence"), "match_count", F.col("rank").cast("long").alias("rank"))
+
+
+_NAMES_SQL = f"""s AS (SELECT doc_id, unnest(string_split_regex(text, '[.!?]+')) AS s FROM documents),
+w AS (SELECT doc_id, unnest(l[2:]) AS w FROM (SELECT doc_id, list_filter(string_split_regex(s, '\\s+'), lambda x: x <> '') AS l FROM s)),
+m AS (SELECT doc_id, lower(regexp_extract(w, '^([A-Z][a-z]{{2,}})([^\\pL\\pN\\pM_]|$)', 1)) AS name FROM w),
+names AS (SELECT doc_id, name, count(*) AS n FROM m WHERE name <> '' AND name NOT IN ({', '.join(f"'{x}'" for x in T.NAME_STOPWORDS)}) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_NAMES_SQL} SELECT doc_id, name, n FROM names")
+def character_names(spark, sf_dir):
+    return S.character_names(_table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query(f"WITH {_NAMES_SQL}, a AS (SELECT doc_id, name FROM names WHERE doc_id % 20 = 0), c AS (SELECT doc_id, count(*) AS k FROM a GROUP BY 1) SELECT a.doc_id AS query_id, names.doc_id AS media_id, round(least(0.1::DOUBLE, 0.1::DOUBLE * count(*) / any_value(k)), 6) AS bonus FROM a JOIN names USING (name) JOIN c ON c.doc_id = a.doc_id GROUP BY 1, 2")
+def name_overlap(spark, sf_dir):
+    """Queries: the documents whose id is divisible by 20, against all."""
+    names = S.character_names(_table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "name")
+    asked = names.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    total = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("k"))
+    shared = asked.join(names, "name").groupBy("query_id", F.col("doc_id").alias("media_id")).agg(F.count(F.lit(1)).alias("n"))
+    return shared.join(total, "query_id").select("query_id", "media_id", F.round(S.name_overlap(F.col("n"), F.col("k")), 6).alias("bonus"))
+
+
+# -- verdicts ---------------------------------------------------------------------------
+
+
+def _candidates(spark, sf_dir):
+    """Ranked candidates of made-up files, with what tie-breaks and boosts read."""
+    rows = _table(spark, sf_dir, "documents").selectExpr("CAST(floor(doc_id / 3) AS BIGINT) AS query_id", "doc_id AS media_id", "round(0.9 - (doc_id % 3) * 0.03 - (floor(doc_id / 3) % 5) * 0.1, 4) AS confidence", "CAST(20 - (doc_id % 3) * 7 AS BIGINT) AS match_count", "CAST(doc_id % 3 + 1 AS INT) AS rank")
+    more = _table(spark, sf_dir, "documents").selectExpr("doc_id AS media_id", "CAST(n_chars / 10 AS INT) AS duration_seconds", "CAST(n_chars / 6 AS INT) AS n_tokens")
+    files = _table(spark, sf_dir, "documents").selectExpr("CAST(doc_id AS BIGINT) AS query_id", "n_chars / 10.0D AS duration_s", "CAST(n_chars / 7 AS INT) AS n_words")
+    return rows.join(more, "media_id").join(files, "query_id")
+
+
+_CAND = """c AS (SELECT doc_id // 3 AS query_id, doc_id AS media_id, round(0.9::DOUBLE - (doc_id % 3) * 0.03::DOUBLE - ((doc_id // 3) % 5) * 0.1::DOUBLE, 4) AS confidence, 20 - (doc_id % 3) * 7 AS match_count, doc_id % 3 + 1 AS rank, trunc(n_chars / 10)::INTEGER AS duration_seconds, trunc(n_chars / 6)::INTEGER AS n_tokens FROM documents),
+f AS (SELECT doc_id AS query_id, n_chars / 10.0::DOUBLE AS duration_s, trunc(n_chars / 7)::INTEGER AS n_words FROM documents)"""
+
+
+@query(
+    f"""WITH {_CAND},
+p AS (SELECT a.query_id, a.media_id AS m1, b.media_id AS m2, b.confidence IS NOT NULL AND a.confidence - b.confidence < 0.06 AND duration_s > 0 AS near,
+  abs(duration_s - nullif(a.duration_seconds, 0)) AS d1, abs(duration_s - nullif(b.duration_seconds, 0)) AS d2, n_words / (duration_s / 60) AS q,
+  CASE WHEN a.n_tokens > 0 THEN a.n_tokens / (nullif(a.duration_seconds, 0) / 60.0::DOUBLE) END AS t1, CASE WHEN b.n_tokens > 0 THEN b.n_tokens / (nullif(b.duration_seconds, 0) / 60.0::DOUBLE) END AS t2
+  FROM (SELECT * FROM c WHERE rank = 1) a LEFT JOIN (SELECT * FROM c WHERE rank = 2) b USING (query_id) JOIN f USING (query_id)),
+s AS (SELECT *, near AND d2 IS NOT NULL AND (d1 IS NULL OR d2 < d1) AS x FROM p),
+y AS (SELECT *, CASE WHEN x THEN m2 ELSE m1 END AS w1, CASE WHEN x THEN m1 ELSE m2 END AS w2, abs(q - CASE WHEN x THEN t2 ELSE t1 END) AS e1, abs(q - CASE WHEN x THEN t1 ELSE t2 END) AS e2 FROM s)
+SELECT query_id, CASE WHEN near AND n_words > 0 AND e2 IS NOT NULL AND (e1 IS NULL OR e2 < e1) THEN w2 ELSE w1 END AS media_id FROM y JOIN (SELECT query_id, n_words FROM f) USING (query_id)"""
+)
+def tie_breaks(spark, sf_dir):
+    return V.tie_breaks(_candidates(spark, sf_dir)).where("rank = 1").select("query_id", "media_id")
+
+
+@query()
+def metadata_boosts(spark, sf_dir):
+    media = _media(spark, sf_dir).select("media_id", "show_title", "episode_title")
+    files = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("source").alias("expected_show"), F.concat(F.lit("part "), (F.col("doc_id") % 5).cast("string")).alias("query_title"))
+    found = V.metadata_boosts(_candidates(spark, sf_dir).join(media, "media_id").join(files, "query_id"))
+    return found.select("query_id", "media_id", F.round("confidence", 6).alias("confidence"), F.col("rank").cast("long").alias("rank"), "boost_notes")
+
+
+def _results(spark, sf_dir):
+    """Verdicts on made-up files, one for each leader of ``_candidates``."""
+    docs = _table(spark, sf_dir, "documents")
+    files = docs.selectExpr("CAST(doc_id AS BIGINT) AS query_id", "concat('Show.S0', doc_id % 4 + 1, 'E0', doc_id % 8 + 1, '.mkv') AS filename", "n_chars / 10.0D AS duration_s")
+    named = T.parse_episode(F.col("filename"))
+    files = files.withColumns({"file_season": named["season"], "file_episode": named["episode"]})
+    media = docs.selectExpr("doc_id AS media_id", "concat('doc ', doc_id) AS media_title", "source AS show_title", "concat('Part ', doc_id % 7) AS episode_title", "CAST(doc_id % 4 + 1 AS INT) AS season", "CAST(doc_id % 8 + 1 AS INT) AS episode", "CASE WHEN doc_id % 2 = 0 THEN 'manual' ELSE 'subtitle' END AS duration_source")
+    lead = V.leaders(_candidates(spark, sf_dir).drop("duration_s", "n_words")).join(media, "media_id").withColumns({"method": F.lit("phonetic"), "boost_notes": F.lit("")})
+    return V.verdicts(files, lead)
+
+
+_VERDICT = f"""{_CAND},
+g AS (SELECT *, confidence - lead(confidence) OVER (PARTITION BY query_id ORDER BY rank) AS margin FROM c),
+j AS (SELECT f.query_id, duration_s, g.*, media_id IS NULL AS none, 'S0' || (f.query_id % 4 + 1) || 'E0' || (f.query_id % 8 + 1) AS own, 'S0' || (media_id % 4 + 1) || 'E0' || (media_id % 8 + 1) AS id,
+  0.35::DOUBLE * CASE WHEN match_count >= 15 THEN 0.7::DOUBLE WHEN match_count >= 8 THEN 0.85::DOUBLE ELSE 1 END AS thr, media_id % 2 = 0 AS manual,
+  CASE WHEN duration_seconds > 0 AND duration_s > 0 THEN abs(duration_s - duration_seconds) / duration_seconds END AS rel FROM f LEFT JOIN (SELECT * FROM g WHERE rank = 1) g ON g.query_id = f.query_id),
+k AS (SELECT *, coalesce(confidence < thr, false) AS low, coalesce(margin < 0.06 AND confidence < 0.9, false) AS unclear FROM j),
+v AS (SELECT *, none OR low OR unclear AS review, CASE WHEN none OR low OR unclear THEN 'unknown' WHEN own = id THEN 'correct' ELSE 'rename' END AS status FROM k)"""
+
+
+@query(f"WITH {_VERDICT} SELECT query_id, CASE WHEN NOT none THEN id END AS episode_id, coalesce(confidence, 0.0::DOUBLE) AS confidence, review AS needs_review, status AS name_status FROM v")
+def review_verdict(spark, sf_dir):
+    return _results(spark, sf_dir).select("query_id", "episode_id", "confidence", "needs_review", "name_status")
+
+
+@query(f"WITH {_VERDICT}, b AS (SELECT CASE WHEN review OR status = 'unknown' THEN 'Review' WHEN status = 'correct' THEN 'Correct' ELSE 'Rename' END AS bucket FROM v) SELECT bucket, coalesce(n, 0) AS n FROM (VALUES ('All'), ('Rename'), ('Correct'), ('Review')) t(bucket) LEFT JOIN (SELECT bucket, count(*) AS n FROM b GROUP BY 1 UNION ALL SELECT 'All', count(*) FROM b) USING (bucket)")
+def status_counts(spark, sf_dir):
+    return V.status_counts(_results(spark, sf_dir))
+
+
+@query(f"WITH {_VERDICT} SELECT 'Show.' || own || '.mkv' AS filename, 'Season 0' || (media_id % 4 + 1) AS season_dir, source || '/Season 0' || (media_id % 4 + 1) || '/' || source || ' - ' || id || ' - Part ' || (media_id % 7) || '.mkv' AS target FROM v JOIN documents ON doc_id = media_id WHERE NOT none")
+def rename_plan(spark, sf_dir):
+    return V.rename_plan(_results(spark, sf_dir))
+
+
+@query(f"WITH {_VERDICT} SELECT count(*) AS files, coalesce(sum(CASE WHEN NOT review THEN 1 ELSE 0 END), 0)::BIGINT AS confident, coalesce(sum(CASE WHEN status = 'correct' THEN 1 ELSE 0 END), 0)::BIGINT AS correct, coalesce(sum(CASE WHEN status = 'rename' THEN 1 ELSE 0 END), 0)::BIGINT AS rename, coalesce(sum(CASE WHEN review THEN 1 ELSE 0 END), 0)::BIGINT AS review FROM v")
+def run_summary(spark, sf_dir):
+    return V.summary(_results(spark, sf_dir))
+
+
+@query()
+def identify_batch(spark, sf_dir):
+    """The whole cascade for every benchmark item: exact, ordered, set, boosts, verdict."""
+    media = _media(spark, sf_dir).withColumnRenamed("title", "media_title").drop("source", "year", "media_type", "language")
+    asked, streams = _transcripts(spark, sf_dir), _streams(spark, sf_dir).persist()
+    files = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("item"), "item_id", F.lit(".mkv")).alias("filename"), F.lit(1400.0).alias("duration_s"), F.size(F.split("text", r"\s+")).alias("n_words"), F.lit(None).cast("string").alias("expected_show"), F.lit(None).cast("string").alias("query_title"), F.lit(None).cast("int").alias("file_season"), F.lit(None).cast("int").alias("file_episode"))
+    tokens = streams.select("media_id", F.size("tokens").alias("n_tokens"))
+    exact = V.metadata_boosts(_exact(spark, sf_dir).select("query_id", "media_id", "confidence", "match_count", "rank").join(media, "media_id").join(files, "query_id").join(tokens, "media_id", "left"))
+    exact = V.leaders(V.tie_breaks(exact)).persist()
+    open_ = asked.join(exact, "query_id", "left_anti")
+    fuzzy = V.leaders(S.fuzzy_stage(open_, streams))
+    weak = asked.join(exact.where(F.col("confidence") >= 0.40), "query_id", "left_anti")
+    late = V.leaders(S.ngram_stage(weak, streams))
+    guess = V.cascade(exact, fuzzy, late).join(media, "media_id").withColumn("boost_notes", F.lit(""))
+    return V.verdicts(files.drop("n_words", "expected_show", "query_title"), guess)
