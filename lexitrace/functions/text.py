@@ -222,13 +222,17 @@ def uses_phonetics(language: Column) -> Column:
     return code.isNull() | code.isin(*PHONETIC_LANGUAGES)
 
 
+def _among(words: list[str]):
+    return lambda w: w.isin(*words)
+
+
 def vote_language(text: Column, default: str | None = None, min_chars: int = 40) -> Column:
     """A language from the share of frequent words; ``default`` for short texts. Our own
     heuristic, offline; it knows the languages that have labels."""
     #: Frequent words of four languages.
     frequent = {"en": "the and of to is that it was", "es": "el los las que una por con para", "fr": "le les des est dans une pour vous", "de": "der die das und ist nicht ein zu"}
     words = F.split(F.lower(_text(text)), r"[^\p{L}]+")
-    votes = F.array(*[F.struct(F.size(F.filter(words, lambda w, own=own: w.isin(*own.split()))).alias("n"), F.lit(code).alias("code")) for code, own in frequent.items()])
+    votes = F.array(*[F.struct(F.size(F.filter(words, _among(own.split()))).alias("n"), F.lit(code).alias("code")) for code, own in frequent.items()])
     best = F.array_max(votes)
     return F.when((F.length(F.trim(_text(text))) < min_chars) | (best["n"] == 0), F.lit(default)).otherwise(best["code"])
 

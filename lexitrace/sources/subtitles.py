@@ -31,7 +31,7 @@ def parse_cues(files: DataFrame) -> DataFrame:
     body = F.regexp_replace(known, "\r\n?", "\n")
     block = files.select("source", F.posexplode(F.split(body, r"\n[ \t]*\n")).alias("pos", "block")).where(F.col("block").rlike(TIMING))
     start, end = F.regexp_extract("block", TIMING, 1), F.regexp_extract("block", TIMING, 2)
-    words = F.regexp_replace(F.trim(F.regexp_extract("block", rf"(?s){TIMING}[^\n]*\n?(.*)$", 3)), "\n", " ")
+    words = F.regexp_replace(F.regexp_replace(F.regexp_extract("block", rf"(?s){TIMING}[^\n]*\n?(.*)$", 3), r"^\s+|\s+$", ""), "\n", " ")
     return block.select("source", "pos", T.timestamp_ms(start).alias("start_ms"), T.timestamp_ms(end).alias("end_ms"), words.alias("text")).where(F.trim("text") != "")
 
 
