@@ -184,32 +184,37 @@ def duplicate_spans(docs: DataFrame, k: int = K, m: int = M, slot_bits: int = SL
     buckets = max(64, total // bucket_size)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list] = {}
+        texts: list[str] = []
+        numbers: list[np.ndarray] = []  # bucket, id, key, place of each packed string
         chars, squeeze = 0, zstandard.ZstdCompressor(3)
 
         def deal() -> pd.DataFrame:
-            rows = []
-            for bucket, parts in held.items():
-                numbers = np.array([p[:3] for p in parts], np.int64)
-                columns = numbers[:, 0].tobytes() + numbers[:, 1:].T.astype(np.int32).tobytes()
-                rows.append((bucket, squeeze.compress(columns), squeeze.compress("\n".join(p[3] for p in parts).encode("utf-8", "surrogatepass"))))
-            held.clear()
+            number = np.concatenate(numbers)
+            order = np.argsort(number[:, 0], kind="stable")
+            number = number[order]
+            edges = np.append(np.flatnonzero(np.diff(number[:, 0], prepend=-1)), len(number)).tolist()
+            order, rows = order.tolist(), []
+            for a, b in zip(edges, edges[1:]):
+                columns = number[a:b, 1].tobytes() + number[a:b, 2:].T.astype(np.int32).tobytes()
+                packed = "\n".join([texts[k] for k in order[a:b]])
+                rows.append((int(number[a, 0]), squeeze.compress(columns), squeeze.compress(packed.encode("utf-8", "surrogatepass"))))
             return pd.DataFrame(rows, columns=["bucket", "numbers", "packed"])
 
         for words, doc, ids, keys, place in _chunks(batches):
             first, size, low = _super_k_mers(words, doc, k, m)
             cool = ~hot[_slots(low, slot_bits)]
             first, size, low = first[cool], size[cool], low[cool]
+            if not len(first):
+                continue
             target = (_mix(low) % np.uint64(buckets)).astype(np.int64)
-            number = zip(target.tolist(), ids[doc[first]].tolist(), keys[doc[first]].tolist(), place[first].tolist(), first.tolist(), (first + size + k - 1).tolist())
-            for bucket, i, key, p, a, b in number:
-                text = " ".join(words[a:b])
-                held.setdefault(bucket, []).append((i, key, p, text))
-                chars += len(text)
+            numbers.append(np.column_stack([target, ids[doc[first]], keys[doc[first]], place[first]]))
+            new = [" ".join(words[a:b]) for a, b in zip(first.tolist(), (first + size + k - 1).tolist())]
+            texts += new
+            chars += sum(map(len, new))
             if chars >= FLUSH_CHARS:
                 yield deal()
-                chars = 0
-        if held:
+                texts, numbers, chars = [], [], 0
+        if numbers:
             yield deal()
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -249,7 +254,8 @@ def duplicate_spans(docs: DataFrame, k: int = K, m: int = M, slot_bits: int = SL
             at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
             yield pd.DataFrame({"window": [" ".join(words[x : x + k]) for x in at.tolist()], "id": ids[doc[at]], "key": keys[doc[at]], "a": place[at]})
 
-    windows = docs.mapInPandas(single, "window string, id long, key long, a long")
+    # Written once, read twice: a scan of all texts costs more than the hot windows.
+    windows = materialise(docs.mapInPandas(single, "window string, id long, key long, a long"))
     firsts = windows.groupBy("window").agg(F.min("id").alias("first"), F.max("id").alias("last")).where(F.col("first") < F.col("last")).select("window", "first")
     more = windows.join(firsts, "window").where(F.col("id") > F.col("first")).select("id", "key", "a", (F.col("a") + k).alias("b"))
     return found.unionByName(more)
