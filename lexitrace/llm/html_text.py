@@ -38,8 +38,8 @@ IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr
 SCOPES = set("article main body div section table ul ol dl blockquote td th li nav header footer aside form html".split())
 ENDS_P = set("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Words of class, id or role that mark what isn't the article.
-MARKS = set("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices notification outbrain pager pagination popup promo promoted promotion related replies reply respond search share sharing sidebar skip social sponsor sponsored subscribe subscription taboola teaser toolbar widget".split())
-#: An article's own header holds its title, so these words don't count there.
+MARKS = set("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices notification outbrain pager pagination popup promo promoted promotion related replies reply respond search share sharing sidebar skip social sponsor sponsored subscribe subscription taboola toolbar".split())
+#: Elements that hold an article.
 REGION = set("article main".split())
 
 SIGMA = 1.0
@@ -91,10 +91,11 @@ class _Lines(HTMLParser):
         _, out, article, _ = self._top()
         self.made += 1
         if not out:
+            # An article's own header holds its title.
             words = {w for k, v in attrs if k in ("class", "id", "role") and v for w in re.split(r"[^a-z0-9]+", v.lower())}
-            out = tag in HIDDEN or tag in FRAME and not (tag == "header" and article) or tag not in ("html", "body") and tag not in REGION and bool(words & MARKS)
-            if out and tag == "header" and article:
-                out = False
+            framed = tag in FRAME and not (tag == "header" and article)
+            marked = tag not in ("html", "body") and tag not in REGION and bool(words & (MARKS - {"header"} if article else MARKS))
+            out = tag in HIDDEN or framed or marked
         if tag in REGION and not article:
             article = self.made
         self.stack.append((tag, out, article, self.made))
