@@ -40,7 +40,7 @@ BANDS, ROWS = 32, 5
 SKETCH, STEP = 64, 16
 TOLERANCE = 1e-7
 #: Nodes of a block of a bucket and of a component; n-grams of the latter.
-BLOCK, VERIFY_BLOCK, VERIFY_GRAMS = 2048, 256, 400_000
+BLOCK, VERIFY_BLOCK, VERIFY_GRAMS = 512, 256, 400_000
 CHUNK_WORDS, GATHER = 200_000, 20_000
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
