@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -20,6 +19,7 @@ from ..operators import library as L
 from ..operators import sampling
 from ..operators import scoring as S
 from ..operators import verdict as V
+from ..operators.identify import identify
 from ..sources import subtitles as SRC
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -575,15 +575,8 @@ def run_summary(spark, sf_dir):
 @query()
 def identify_batch(spark, sf_dir):
     """The whole cascade for every benchmark item: exact, ordered, set, boosts, verdict."""
-    media = _media(spark, sf_dir).withColumnRenamed("title", "media_title").drop("source", "year", "media_type", "language")
-    asked, streams = _transcripts(spark, sf_dir), _streams(spark, sf_dir).persist()
     files = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("item"), "item_id", F.lit(".mkv")).alias("filename"), F.lit(1400.0).alias("duration_s"), F.size(F.split("text", r"\s+")).alias("n_words"), F.lit(None).cast("string").alias("expected_show"), F.lit(None).cast("string").alias("query_title"), F.lit(None).cast("int").alias("file_season"), F.lit(None).cast("int").alias("file_episode"))
-    tokens = streams.select("media_id", F.size("tokens").alias("n_tokens"))
-    exact = V.metadata_boosts(_exact(spark, sf_dir).select("query_id", "media_id", "confidence", "match_count", "rank").join(media, "media_id").join(files, "query_id").join(tokens, "media_id", "left"))
-    exact = V.leaders(V.tie_breaks(exact)).persist()
-    open_ = asked.join(exact, "query_id", "left_anti")
-    fuzzy = V.leaders(S.fuzzy_stage(open_, streams))
-    weak = asked.join(exact.where(F.col("confidence") >= 0.40), "query_id", "left_anti")
-    late = V.leaders(S.ngram_stage(weak, streams))
-    guess = V.cascade(exact, fuzzy, late).join(media, "media_id").withColumn("boost_notes", F.lit(""))
-    return V.verdicts(files.drop("n_words", "expected_show", "query_title"), guess)
+    windows = _windows(spark, sf_dir).withColumn("tokens", FP.text_tokens(F.col("text")))
+    # Built once, as a library is: its tables are read again and again.
+    tokens = _tokens(spark, sf_dir).persist()
+    return identify(windows, files, _media(spark, sf_dir), FP.library_fingerprints(tokens), FP.token_streams(tokens).persist())
