@@ -21,6 +21,7 @@ from ..operators import scoring as S
 from ..operators import verdict as V
 from ..operators.identify import identify
 from ..sources import subtitles as SRC
+from ..sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,12 +37,8 @@ def query(sql: str | None = None):
     return register
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FP.cue_tokens(SRC.documents_as_cues(_table(spark, sf_dir, "documents")))
+    return FP.cue_tokens(SRC.documents_as_cues(read_table(spark, sf_dir, "documents")))
 
 
 def _fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,11 +46,11 @@ def _fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SRC.documents_as_media(_table(spark, sf_dir, "documents"))
+    return SRC.documents_as_media(read_table(spark, sf_dir, "documents"))
 
 
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SRC.benchmark_as_windows(_table(spark, sf_dir, "benchmark"))
+    return SRC.benchmark_as_windows(read_table(spark, sf_dir, "benchmark"))
 
 
 def _query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +58,7 @@ def _query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.idf_factors(L.document_frequency(_fingerprints(spark, sf_dir)), _table(spark, sf_dir, "documents").count())
+    return S.idf_factors(L.document_frequency(_fingerprints(spark, sf_dir)), read_table(spark, sf_dir, "documents").count())
 
 
 def _streams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +66,7 @@ def _streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), FP.text_tokens(F.col("text")).alias("tokens"))
+    return read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), FP.text_tokens(F.col("text")).alias("tokens"))
 
 
 # -- pieces of SQL ----------------------------------------------------------------------
@@ -139,23 +136,23 @@ asked AS (SELECT item_id AS query_id, {_words('text')} AS tokens FROM benchmark)
 
 @query(f"SELECT doc_id, {_clean('text')} AS clean FROM documents")
 def clean_text(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", T.clean_text(F.col("text")).alias("clean"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", T.clean_text(F.col("text")).alias("clean"))
 
 
 @query(f"SELECT doc_id, len(w)::BIGINT AS n, len(list_distinct(w))::BIGINT AS n_distinct FROM (SELECT doc_id, {_words('text')} AS w FROM documents)")
 def tokenize_counts(spark, sf_dir):
-    words = _table(spark, sf_dir, "documents").select("doc_id", T.tokenize(F.col("text")).alias("w"))
+    words = read_table(spark, sf_dir, "documents").select("doc_id", T.tokenize(F.col("text")).alias("w"))
     return words.select("doc_id", F.size("w").cast("long").alias("n"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"))
 
 
 @query(f"SELECT doc_id, array_to_string(list_filter({_words('text')}, lambda x: NOT list_contains({T.STOPWORDS}, x)), ' ') AS kept FROM documents")
 def stopword_filtered_tokens(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.tokenize(F.col("text"), drop_stopwords=True), " ").alias("kept"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.tokenize(F.col("text"), drop_stopwords=True), " ").alias("kept"))
 
 
 @query(f"SELECT page_id, {_clean('html')} AS clean FROM pages")
 def html_clean(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select("page_id", T.clean_text(F.col("html")).alias("clean"))
+    return read_table(spark, sf_dir, "pages").select("page_id", T.clean_text(F.col("html")).alias("clean"))
 
 
 @query(
@@ -164,7 +161,7 @@ def html_clean(spark, sf_dir):
   translate(url, '\\/:*?"<>|', '_________') AS replaced FROM pages"""
 )
 def title_normalisation(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select("page_id", T.normalise_title(T.base_name(F.col("url"))).alias("norm"), T.sanitise_name(F.col("url")).alias("safe"), T.replace_illegal(F.col("url")).alias("replaced"))
+    return read_table(spark, sf_dir, "pages").select("page_id", T.normalise_title(T.base_name(F.col("url"))).alias("norm"), T.sanitise_name(F.col("url")).alias("safe"), T.replace_illegal(F.col("url")).alias("replaced"))
 
 
 #: Names as releases have them, made from numbers of documents.
@@ -172,7 +169,7 @@ _NAMES = "CASE doc_id % 6 WHEN 0 THEN 'Show.' || source || '.S0' || (doc_id % 9
 
 
 def _names(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").selectExpr("doc_id", "lang", "source", f"{_NAMES} AS name")
+    return read_table(spark, sf_dir, "documents").selectExpr("doc_id", "lang", "source", f"{_NAMES} AS name")
 
 
 _JUNK = "|".join(x.replace(".", r"\.") for x in T.JUNK_TOKENS)
@@ -208,7 +205,7 @@ p AS (SELECT *, regexp_matches(t, '[\\s\\-_]*\\(?(part|pt\\.?|p)?\\s*(\\d{{1,2}}
 SELECT doc_id, CASE WHEN hit THEN lower(trim(front || ' part ' || coalesce(CAST(map({list(T.ROMAN)}, {list(T.ROMAN.values())})[num] AS VARCHAR), CAST(TRY_CAST(num AS INTEGER) AS VARCHAR), num))) ELSE lower(t) END AS part FROM p"""
 )
 def normalize_part_markers(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").selectExpr("doc_id", "lang", f"{_PARTS} AS t").select("doc_id", T.normalise_part(F.col("t")).alias("part"))
+    return read_table(spark, sf_dir, "documents").selectExpr("doc_id", "lang", f"{_PARTS} AS t").select("doc_id", T.normalise_part(F.col("t")).alias("part"))
 
 
 @query(
@@ -217,7 +214,7 @@ i AS (SELECT *, CASE WHEN e IS NULL THEN 'movie' WHEN s IS NULL THEN 'E' || lpad
 SELECT doc_id, id AS episode_id, trim(replace('Show: ' || source, ':', ' ').regexp_replace('\\s+', ' ', 'g')) || CASE WHEN id = 'movie' THEN '' ELSE ' - ' || id END || ' - Title ' || lang || '.mkv' AS suggested FROM i"""
 )
 def suggested_filenames(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").selectExpr("doc_id", "source", "lang", "CASE WHEN doc_id % 7 = 0 THEN NULL ELSE CAST(doc_id % 12 + 1 AS INT) END AS s", "CASE WHEN doc_id % 11 = 0 THEN NULL ELSE CAST(doc_id % 120 AS INT) END AS e")
+    docs = read_table(spark, sf_dir, "documents").selectExpr("doc_id", "source", "lang", "CASE WHEN doc_id % 7 = 0 THEN NULL ELSE CAST(doc_id % 12 + 1 AS INT) END AS s", "CASE WHEN doc_id % 11 = 0 THEN NULL ELSE CAST(doc_id % 120 AS INT) END AS e")
     return docs.select("doc_id", T.episode_id(F.col("s"), F.col("e")).alias("episode_id"), T.suggested_name(F.concat(F.lit("Show: "), "source"), F.col("s"), F.col("e"), F.concat(F.lit("Title "), "lang"), F.lit(".mkv")).alias("suggested"))
 
 
@@ -230,13 +227,13 @@ c AS (SELECT doc_id, CASE WHEN v IN ('', 'auto', 'auto-detect', 'autodetect') TH
 SELECT doc_id, code, code IS NULL OR code = 'en' AS phonetic FROM c"""
 )
 def normalise_language(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").selectExpr("doc_id", "lang", f"{_LANGS} AS v")
+    docs = read_table(spark, sf_dir, "documents").selectExpr("doc_id", "lang", f"{_LANGS} AS v")
     return docs.select("doc_id", T.normalise_language(F.col("v")).alias("code"), T.uses_phonetics(F.col("v")).alias("phonetic"))
 
 
 @query()
 def phonetic_vocabulary(spark, sf_dir):
-    words = _table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(T.tokenize(F.col("text"))).alias("word"))
+    words = read_table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(T.tokenize(F.col("text"))).alias("word"))
     return encode_vocabulary(words).select("word", "code")
 
 
@@ -245,7 +242,7 @@ def phonetic_vocabulary(spark, sf_dir):
 
 @query(f"WITH b AS (SELECT item_id, {_words('text')} AS w FROM benchmark) SELECT item_id, shingle_size, hash, count(*) AS n FROM ({_shingles('b', 'item_id')}) GROUP BY ALL")
 def shingle_hashes(spark, sf_dir):
-    items = _table(spark, sf_dir, "benchmark").select("item_id", F.explode(FP.text_fingerprints(FP.text_tokens(F.col("text")))).alias("f"))
+    items = read_table(spark, sf_dir, "benchmark").select("item_id", F.explode(FP.text_fingerprints(FP.text_tokens(F.col("text")))).alias("f"))
     return items.groupBy("item_id", "f.shingle_size", "f.hash").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -259,7 +256,7 @@ def library_fingerprints(spark, sf_dir):
 SELECT media_id, md5(array_to_string(flatten(list(w ORDER BY pos, array_to_string(w, ' '))), ' ')) AS stream, sum(len(w))::BIGINT AS n, sum(len(w) * start_ms)::BIGINT AS starts FROM tok WHERE len(w) > 0 GROUP BY 1"""
 )
 def token_streams(spark, sf_dir):
-    cues = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("media_id"), F.col("turn").alias("pos"), (F.col("turn") * 5000).alias("start_ms"), "text")
+    cues = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("media_id"), F.col("turn").alias("pos"), (F.col("turn") * 5000).alias("start_ms"), "text")
     streams = FP.token_streams(FP.cue_tokens(cues))
     return streams.select("media_id", F.md5(F.array_join("tokens", " ")).alias("stream"), F.size("tokens").cast("long").alias("n"), F.aggregate("starts", F.lit(0).cast("long"), lambda a, b: a + b).alias("starts"))
 
@@ -276,7 +273,7 @@ def media_fingerprint_counts(spark, sf_dir):
 
 @query(f"WITH {FPS} SELECT count(*) AS n_fingerprints FROM fp WHERE media_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def scoped_count(spark, sf_dir):
-    return L.scoped_count(_fingerprints(spark, sf_dir), _table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("media_id")))
+    return L.scoped_count(_fingerprints(spark, sf_dir), read_table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("media_id")))
 
 
 @query(f"WITH {FPS} SELECT hash, count(DISTINCT media_id) AS df FROM fp GROUP BY 1")
@@ -296,14 +293,14 @@ def hash_lookup(spark, sf_dir):
 
 @query(f"WITH {FPS}, {WINDOWS}, {HITS} SELECT query_id, media_id, count(*) AS n FROM hits WHERE media_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY 1, 2")
 def hash_lookup_scoped(spark, sf_dir):
-    scope = _table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("media_id"))
+    scope = read_table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("media_id"))
     return L.lookup(_fingerprints(spark, sf_dir), _query(spark, sf_dir), scope).groupBy("query_id", "media_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {FPS} SELECT 'doc' || doc_id || '.srt' AS source, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IN (SELECT media_id FROM fp))")
 def unprocessed_sources(spark, sf_dir):
     media = _media(spark, sf_dir)
-    done = _table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("media_id"))
+    done = read_table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("media_id"))
     return L.unprocessed(media.select("source", F.col("media_id").alias("doc_id")), media.join(done, "media_id", "left_semi"), _fingerprints(spark, sf_dir))
 
 
@@ -312,8 +309,8 @@ _EPS = "SELECT doc_id AS media_id, source AS title, CASE WHEN doc_id % 5 = 0 THE
 
 @query(f"WITH m AS ({_EPS}), w AS (SELECT DISTINCT title, season, episode FROM m JOIN labels ON media_id = doc_id WHERE quality = 0) SELECT DISTINCT m.media_id FROM m JOIN w ON m.title IS NOT DISTINCT FROM w.title AND m.season IS NOT DISTINCT FROM w.season AND m.episode IS NOT DISTINCT FROM w.episode")
 def null_safe_resolve(spark, sf_dir):
-    media = _table(spark, sf_dir, "documents").selectExpr("doc_id AS media_id", "source AS title", "CASE WHEN doc_id % 5 = 0 THEN NULL ELSE CAST(doc_id % 3 AS INT) END AS season", "CASE WHEN doc_id % 7 = 0 THEN NULL ELSE CAST(doc_id % 11 AS INT) END AS episode")
-    bad = _table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("media_id"))
+    media = read_table(spark, sf_dir, "documents").selectExpr("doc_id AS media_id", "source AS title", "CASE WHEN doc_id % 5 = 0 THEN NULL ELSE CAST(doc_id % 3 AS INT) END AS season", "CASE WHEN doc_id % 7 = 0 THEN NULL ELSE CAST(doc_id % 11 AS INT) END AS episode")
+    bad = read_table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("media_id"))
     return L.resolve_episodes(media, media.join(bad, "media_id", "left_semi"))
 
 
@@ -326,14 +323,14 @@ UNION ALL SELECT (SELECT max(media_id) FROM old) + row_number() OVER (ORDER BY t
 )
 def upsert_backfill(spark, sf_dir):
     same = ["CAST(NULL AS INT) AS year", "'tv' AS media_type", "CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 1 END AS season", "CAST(NULL AS INT) AS episode", "'x' AS source", "CAST(NULL AS STRING) AS show_title", "CAST(NULL AS STRING) AS episode_title"]
-    old = _table(spark, sf_dir, "documents").where("doc_id % 2 = 0").selectExpr("doc_id AS media_id", "concat('doc ', doc_id) AS title", *same, "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 60 END AS duration_seconds", "CAST(NULL AS STRING) AS duration_source", "lang AS language")
-    new = _table(spark, sf_dir, "labels").selectExpr("concat('doc ', doc_id) AS title", *same, "CAST(90 + toxic AS INT) AS duration_seconds", "CAST(NULL AS STRING) AS duration_source", "CASE WHEN quality = 1 THEN 'fr' END AS language")
+    old = read_table(spark, sf_dir, "documents").where("doc_id % 2 = 0").selectExpr("doc_id AS media_id", "concat('doc ', doc_id) AS title", *same, "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 60 END AS duration_seconds", "CAST(NULL AS STRING) AS duration_source", "lang AS language")
+    new = read_table(spark, sf_dir, "labels").selectExpr("concat('doc ', doc_id) AS title", *same, "CAST(90 + toxic AS INT) AS duration_seconds", "CAST(NULL AS STRING) AS duration_source", "CASE WHEN quality = 1 THEN 'fr' END AS language")
     return L.upsert(old, new).select("media_id", "title", "season", "language", "duration_seconds")
 
 
 @query("SELECT doc_id AS media_id, lang AS language FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
 def delete_media(spark, sf_dir):
-    gone = _table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("media_id"))
+    gone = read_table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("media_id"))
     return L.delete_media(gone, _media(spark, sf_dir).select("media_id", "language"))[0]
 
 
@@ -356,7 +353,7 @@ a AS (SELECT media_id, round_even(max(e) / 1000.0, 0)::INTEGER AS seconds, sum(n
 SELECT media_id, seconds, CASE WHEN n_words / (seconds / 60.0::DOUBLE) < 40 OR max_gap_s > 120 THEN 'low' ELSE 'high' END AS confidence, n_words, max_gap_s FROM a"""
 )
 def subtitle_duration_confidence(spark, sf_dir):
-    cues = SRC.documents_as_cues(_table(spark, sf_dir, "documents"))
+    cues = SRC.documents_as_cues(read_table(spark, sf_dir, "documents"))
     late = F.floor(F.col("pos") / 40).cast("long") * 130000 * (F.col("media_id") % 2)
     return L.subtitle_runtime(cues.withColumns({"start_ms": F.col("start_ms") + late, "end_ms": F.col("end_ms") + late}))
 
@@ -364,20 +361,20 @@ def subtitle_duration_confidence(spark, sf_dir):
 @query("SELECT doc_id, round(CASE WHEN n_chars > 0 THEN len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) / (n_chars / 15.0::DOUBLE / 60.0::DOUBLE) ELSE 0 END, 6) AS density FROM documents")
 def dialogue_density(spark, sf_dir):
     words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
-    return _table(spark, sf_dir, "documents").select("doc_id", F.round(T.dialogue_density(words, F.col("n_chars") / 15.0), 6).alias("density"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", F.round(T.dialogue_density(words, F.col("n_chars") / 15.0), 6).alias("density"))
 
 
 @query("SELECT doc_id, min(x.start_s) AS first_s, max(x.start_s) AS last_s, count(*) AS n, round(sum(x.len_s), 4) AS total FROM (SELECT doc_id, unnest(list_distinct(list_transform([0.1, 0.3, 0.5, 0.7, 0.9], lambda p: {start_s: round(greatest(0.0::DOUBLE, least(d - 12.0, d * p)), 2), len_s: round(least(12.0::DOUBLE, greatest(1.0::DOUBLE, d - greatest(0.0::DOUBLE, least(d - 12.0, d * p)))), 2)}))) AS x FROM (SELECT doc_id, n_chars / 15.0::DOUBLE AS d FROM documents)) GROUP BY 1")
 def sample_windows(spark, sf_dir):
     points = F.array(*map(F.lit, sampling.sample_points(5)))
-    windows = _table(spark, sf_dir, "documents").select("doc_id", F.explode(sampling.sample_windows(F.col("n_chars") / 15.0, points, 12.0)).alias("x"))
+    windows = read_table(spark, sf_dir, "documents").select("doc_id", F.explode(sampling.sample_windows(F.col("n_chars") / 15.0, points, 12.0)).alias("x"))
     return windows.groupBy("doc_id").agg(F.min("x.start_s").alias("first_s"), F.max("x.start_s").alias("last_s"), F.count(F.lit(1)).alias("n"), F.round(F.sum("x.len_s"), 4).alias("total"))
 
 
 @query("SELECT item_id, array_to_string(list_transform(CASE WHEN n = 1 THEN [0.5::DOUBLE] ELSE list_transform(range(0, n), lambda k: round(0.1::DOUBLE + 0.8::DOUBLE * k / (n - 1), 4)) END, lambda x: CAST(CAST(round(x * 10000) AS BIGINT) AS VARCHAR)), ',') AS points FROM (SELECT item_id, item_id % 7 + 1 AS n FROM benchmark)")
 def sample_points(spark, sf_dir):
     points = sampling.sample_points_column((F.col("item_id") % 7 + 1).cast("int"))
-    return _table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.transform(points, lambda x: F.round(x * 10000).cast("long").cast("string")), ",").alias("points"))
+    return read_table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.transform(points, lambda x: F.round(x * 10000).cast("long").cast("string")), ",").alias("points"))
 
 
 # -- scoring ----------------------------------------------------------------------------
@@ -395,7 +392,7 @@ def weighted_coverage(spark, sf_dir):
 
 
 def _event_hits(spark, sf_dir):
-    return _table(spark, sf_dir, "events").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    return read_table(spark, sf_dir, "events").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
 
 
 @query(
@@ -496,13 +493,13 @@ names AS (SELECT doc_id, name, count(*) AS n FROM m WHERE name <> '' AND name NO
 
 @query(f"WITH {_NAMES_SQL} SELECT doc_id, name, n FROM names")
 def character_names(spark, sf_dir):
-    return S.character_names(_table(spark, sf_dir, "documents"), "doc_id")
+    return S.character_names(read_table(spark, sf_dir, "documents"), "doc_id")
 
 
 @query(f"WITH {_NAMES_SQL}, a AS (SELECT doc_id, name FROM names WHERE doc_id % 20 = 0), c AS (SELECT doc_id, count(*) AS k FROM a GROUP BY 1) SELECT a.doc_id AS query_id, names.doc_id AS media_id, round(least(0.1::DOUBLE, 0.1::DOUBLE * count(*) / any_value(k)), 6) AS bonus FROM a JOIN names USING (name) JOIN c ON c.doc_id = a.doc_id GROUP BY 1, 2")
 def name_overlap(spark, sf_dir):
     """Queries: the documents whose id is divisible by 20, against all."""
-    names = S.character_names(_table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "name")
+    names = S.character_names(read_table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "name")
     asked = names.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
     total = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("k"))
     shared = asked.join(names, "name").groupBy("query_id", F.col("doc_id").alias("media_id")).agg(F.count(F.lit(1)).alias("n"))
@@ -514,9 +511,9 @@ def name_overlap(spark, sf_dir):
 
 def _candidates(spark, sf_dir):
     """Ranked candidates of made-up files, with what tie-breaks and boosts read."""
-    rows = _table(spark, sf_dir, "documents").selectExpr("CAST(floor(doc_id / 3) AS BIGINT) AS query_id", "doc_id AS media_id", "round(0.9 - (doc_id % 3) * 0.03 - (floor(doc_id / 3) % 5) * 0.1, 4) AS confidence", "CAST(20 - (doc_id % 3) * 7 AS BIGINT) AS match_count", "CAST(doc_id % 3 + 1 AS INT) AS rank")
-    more = _table(spark, sf_dir, "documents").selectExpr("doc_id AS media_id", "CAST(n_chars / 10 AS INT) AS duration_seconds", "CAST(n_chars / 6 AS INT) AS n_tokens")
-    files = _table(spark, sf_dir, "documents").selectExpr("CAST(doc_id AS BIGINT) AS query_id", "n_chars / 10.0D AS duration_s", "CAST(n_chars / 7 AS INT) AS n_words")
+    rows = read_table(spark, sf_dir, "documents").selectExpr("CAST(floor(doc_id / 3) AS BIGINT) AS query_id", "doc_id AS media_id", "round(0.9 - (doc_id % 3) * 0.03 - (floor(doc_id / 3) % 5) * 0.1, 4) AS confidence", "CAST(20 - (doc_id % 3) * 7 AS BIGINT) AS match_count", "CAST(doc_id % 3 + 1 AS INT) AS rank")
+    more = read_table(spark, sf_dir, "documents").selectExpr("doc_id AS media_id", "CAST(n_chars / 10 AS INT) AS duration_seconds", "CAST(n_chars / 6 AS INT) AS n_tokens")
+    files = read_table(spark, sf_dir, "documents").selectExpr("CAST(doc_id AS BIGINT) AS query_id", "n_chars / 10.0D AS duration_s", "CAST(n_chars / 7 AS INT) AS n_words")
     return rows.join(more, "media_id").join(files, "query_id")
 
 
@@ -546,14 +543,14 @@ SELECT query_id, media_id, round(confidence, 6) AS confidence, row_number() OVER
 )
 def metadata_boosts(spark, sf_dir):
     media = _media(spark, sf_dir).select("media_id", "show_title", "episode_title")
-    files = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("source").alias("expected_show"), F.concat(F.lit("part "), (F.col("doc_id") % 5).cast("string")).alias("query_title"))
+    files = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("source").alias("expected_show"), F.concat(F.lit("part "), (F.col("doc_id") % 5).cast("string")).alias("query_title"))
     found = V.metadata_boosts(_candidates(spark, sf_dir).join(media, "media_id").join(files, "query_id"))
     return found.select("query_id", "media_id", F.round("confidence", 6).alias("confidence"), F.col("rank").cast("long").alias("rank"), "boost_notes")
 
 
 def _results(spark, sf_dir):
     """Verdicts on made-up files, one for each leader of ``_candidates``."""
-    docs = _table(spark, sf_dir, "documents")
+    docs = read_table(spark, sf_dir, "documents")
     files = docs.selectExpr("CAST(doc_id AS BIGINT) AS query_id", "concat('Show.S0', doc_id % 4 + 1, 'E0', doc_id % 8 + 1, '.mkv') AS filename", "n_chars / 10.0D AS duration_s")
     named = T.parse_episode(F.col("filename"))
     files = files.withColumns({"file_season": named["season"], "file_episode": named["episode"]})
@@ -594,7 +591,7 @@ def run_summary(spark, sf_dir):
 @query()
 def identify_batch(spark, sf_dir):
     """The whole cascade for every benchmark item: exact, ordered, set, boosts, verdict."""
-    files = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("item"), "item_id", F.lit(".mkv")).alias("filename"), F.lit(1400.0).alias("duration_s"), F.size(F.split("text", r"\s+")).alias("n_words"), F.lit(None).cast("string").alias("expected_show"), F.lit(None).cast("string").alias("query_title"), F.lit(None).cast("int").alias("file_season"), F.lit(None).cast("int").alias("file_episode"))
+    files = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("item"), "item_id", F.lit(".mkv")).alias("filename"), F.lit(1400.0).alias("duration_s"), F.size(F.split("text", r"\s+")).alias("n_words"), F.lit(None).cast("string").alias("expected_show"), F.lit(None).cast("string").alias("query_title"), F.lit(None).cast("int").alias("file_season"), F.lit(None).cast("int").alias("file_episode"))
     windows = _windows(spark, sf_dir).withColumn("tokens", FP.text_tokens(F.col("text")))
     # Built once, as a library is: its tables are read again and again.
     tokens = _tokens(spark, sf_dir).persist()
