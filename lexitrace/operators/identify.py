@@ -34,7 +34,8 @@ def identify(windows: DataFrame, files: DataFrame, media: DataFrame, fingerprint
     asked = windows.groupBy("query_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "tokens"))), lambda x: x["tokens"])).alias("tokens"))
     factors = S.idf_factors(L.document_frequency(fingerprints), media.count())
     query = S.apply_idf(FP.weighted_query(windows, tokens="tokens"), factors)
-    scored = S.exact_scores(query, L.lookup(fingerprints, query), match).select("query_id", "media_id", "confidence", "match_count", "rank")
+    hits = L.lookup(fingerprints, query).persist()
+    scored = S.exact_scores(query, hits, match).select("query_id", "media_id", "confidence", "match_count", "rank")
     sizes = streams.select("media_id", F.size("tokens").alias("n_tokens"))
     facts = files.select("query_id", "duration_s", "n_words", "expected_show", "query_title")
 

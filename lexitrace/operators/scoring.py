@@ -73,7 +73,8 @@ def top(scored: DataFrame, n: int) -> DataFrame:
 
 
 def exact_scores(query: DataFrame, hits: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
-    """Coverage plus the bonuses of clusters and runs, 1 at most."""
+    """Coverage plus the bonuses of clusters and runs, 1 at most. ``hits`` is read three
+    times: keep it, or the index is probed as often."""
     by = ["query_id", "media_id"]
     scored = coverage(query, hits).join(clusters(hits, by, window_ms=config.window_ms), by, "left").join(longest_runs(hits, by, gap_ms=config.run_gap_ms), by, "left")
     confidence = F.least(F.lit(1.0), F.col("base") + cluster_bonus(F.col("best"), F.col("match_count")) + run_bonus(F.col("run")))
@@ -119,7 +120,7 @@ def lcs_scores(queries: DataFrame, streams: DataFrame, config: FuzzyConfig = Fuz
     a stated set, which travels to every partition of the streams in blocks of ``block``
     queries, a pass for each: the streams are never shuffled, and each pair costs its
     co-occurrences."""
-    asked = [(r["query_id"], r["tokens"]) for r in queries.select("query_id", "tokens").toLocalIterator()]
+    asked = [(r["query_id"], r["tokens"]) for r in queries.select("query_id", "tokens").collect()]
     blocks = [asked[k : k + block] for k in range(0, len(asked), block)] or [[]]
     shape = "query_id long, media_id long, confidence double, match_count long, query_count long, win_start long, win_end long"
     out = None

@@ -422,7 +422,7 @@ def contiguous_run_bonus(spark, sf_dir):
 
 def _exact(spark, sf_dir):
     asked = S.apply_idf(_query(spark, sf_dir), _idf(spark, sf_dir))
-    return S.exact_scores(asked, L.lookup(_fingerprints(spark, sf_dir), asked))
+    return S.exact_scores(asked, L.lookup(_fingerprints(spark, sf_dir), asked).persist())
 
 
 @query(f"WITH {FPS}, {WINDOWS}, {IDF}, {QI}, {HITS}, {_coverage('qi')}, {EXACT} SELECT query_id, media_id, round(confidence, 6) AS confidence, match_count, rank FROM ranked WHERE rank <= 5")
