@@ -4,25 +4,29 @@ Base spans follow four fixed patterns, leftmost and non-overlapping for each kin
 Places come from splitting the text at the matches and summing lengths, all in SQL
 expressions; possessive quantifiers keep the matcher linear and its stack flat.
 
-The protected entities are the matched values. A term is a whole word within
-``radius`` code points of an entity, on its line. With N documents, df(t) documents
-that hold term t, df(c) that hold entity c and df(c, t) where t is near c,
+The protected entities are the matched values. Counts are over distinct texts, so that
+copies of a text are no evidence. A term is a whole word; it is near an entity within
+``radius`` code points on its line. With N texts, df(t) that hold term t, df(c) that
+hold entity c and df(c, t) where t is near c, P(c) = df(c) / N and
 
-    PMI(c; t) = ln(N df(c, t) / (df(c) df(t))),   IC(c) = ln(N / df(c)),
+    P(c | t) = (df(c, t) + m P(c)) / (df(t) + m),
+    PMI(c; t) = ln(P(c | t) / P(c)),   IC(c) = -ln P(c),
 
 and t discloses c if PMI reaches ``disclosure`` of IC: knowing t then gives away that
-share of the information in c. Chance meetings are kept out by ``support``, the least
-number of documents where t is near c. Spans of a disclosing term near its entity have
-kind ``term``; ``sanitise`` replaces base spans by their kind and
-generalises terms with a digit to their shape or removes the others.
-
-Counts cover every document. df(t) is counted only for terms with that support: the
-words of all texts pass a bitmap filter of fixed size, are counted partially before
-the shuffle, and an exact join drops what the filter let through by chance.
-
-Defined results: null text counts as empty; without matches both lists are ''. Rows
-that repeat an identifier count as one document in df and are each judged. An empty table
-gives no rows; only the two named columns are read.
+share of the information in c. The smoothing m draws little evidence towards
+independence without a floor: a value that one text holds is disclosed by a word that
+occurs nowhere else. ``support`` may ask for more texts where t is near c. A disclosing
+term has kind ``term`` wherever it occurs outside base spans, in any text; ``sanitise``
+replaces base spans by their kind and generalises terms with a digit to their shape or
+removes the others.
+
+Words of all texts pass bitmap filters of fixed size, of the terms near entities for
+df(t) and of the disclosing terms for their places; exact joins drop what a filter let
+through by chance. Texts are moved only where a disclosing term occurs.
+
+Defined results: null text counts as empty; without matches both lists are ''. Every row
+is judged, whatever its identifier. An empty table gives no rows; only the two named
+columns are read.
 """
 
 from __future__ import annotations
@@ -42,7 +46,9 @@ KINDS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 DISCLOSURE = 0.9
-SUPPORT = 3
+SUPPORT = 1
+#: m, in texts.
+SMOOTHING = 0.1
 RADIUS = 60
 #: What ends a term.
 GAP = "[^\\p{L}\\p{N}_'-]+"
@@ -135,34 +141,63 @@ def term_occurrences(found: DataFrame, radius: int = RADIUS) -> DataFrame:
     return near.where(free).select("row", "w.start", "w.end", "w.term", "entity")
 
 
-def disclosing_terms(docs: DataFrame, met: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, text_col: str = "text") -> DataFrame:
+def _terms(body: Column) -> Column:
+    """The distinct words of ``body``, as terms."""
+    return F.array_distinct(F.transform(F.split(body, GAP, -1), F.lower))
+
+
+def disclosing_terms(met: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """(entity, term) with PMI of at least ``disclosure`` times the entity's IC."""
-    n_docs = docs.count()
-    pairs = met.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("df_ct")).where(F.col("df_ct") >= support)
+    texts = materialise(found.groupBy("digest").agg(F.min("row").alias("row")).select("row"))
+    n_texts = texts.count()
+    pairs = met.select("row", "entity", "term").distinct().join(texts, "row", "left_semi").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("df_ct")).where(F.col("df_ct") >= support)
     likely = materialise(pairs)
-    entities = found.select(F.explode(F.array_distinct(F.transform("base", lambda s: s["value"]))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("df_c"))
-    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    words = docs.select(F.explode(F.array_distinct(F.split(text, GAP, -1))).alias("term"))
+    holders = found.where(F.size("base") > 0).join(texts, "row", "left_semi")
+    entities = holders.select(F.explode(F.array_distinct(F.transform("base", lambda s: s["value"]))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("df_c"))
+    # Only what the filter takes for copies is moved to leave the copies out.
+    copies = materialise(found.select("row").join(texts, "row", "left_anti"))
+    marked = may_contain(found.select("row", "body"), "row", member_bitmaps(copies, "row"), keep=True)
+    once = marked.where(~F.col("maybe")).unionByName(marked.where("maybe").join(copies, "row", "left_anti"))
+    words = once.select(F.explode(_terms(F.col("body"))).alias("term"))
     counted = may_contain(words, "term", member_bitmaps(likely, "term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
     scored = likely.join(entities, "entity").join(counted, "term")
-    pmi = F.log(F.lit(float(n_docs)) * F.col("df_ct") / (F.col("df_c") * F.col("df_t")))
-    known = F.log(F.lit(float(n_docs)) / F.col("df_c"))
+    prior = F.col("df_c") / F.lit(float(n_texts))
+    pmi = F.log((F.col("df_ct") + SMOOTHING * prior) / (F.col("df_t") + SMOOTHING) / prior)
+    known = -F.log(prior)
     return scored.where((known > 0) & (pmi >= disclosure * known)).select("entity", "term")
 
 
+def term_places(found: DataFrame, told: DataFrame) -> DataFrame:
+    """row and ``added``: the spans of the terms of ``told``, outside base spans, by start."""
+    terms = materialise(told.select("term").distinct())
+    words = found.select("row", F.explode(_terms(F.col("body"))).alias("term"))
+    held = may_contain(words, "term", member_bitmaps(terms, "term")).join(terms, "term", "left_semi").groupBy("row").agg(F.collect_set("term").alias("terms"))
+    held = materialise(held)
+    rows = may_contain(found.select("row", "body", "base"), "row", member_bitmaps(held, "row")).join(held, "row")
+    body, none = F.col("body"), F.array().cast(f"array<{SPAN}>")
+    pieces = F.arrays_zip(F.split(body, GAP, -1).alias("word"), F.regexp_extract_all(body, F.lit(GAP), F.lit(0)).alias("gap"))
+
+    def step(acc: Column, x: Column) -> Column:
+        end = acc["at"] + F.length(x["word"])
+        term = F.lower(x["word"])
+        span = F.struct(F.lit("term").alias("kind"), acc["at"].alias("start"), end.alias("end"), term.alias("value"))
+        free = ~F.exists("base", lambda s: (s["start"] < end) & (acc["at"] < s["end"]))
+        put = F.when(F.array_contains("terms", term) & free, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
+        return F.struct((end + F.coalesce(F.length(x["gap"]), F.lit(0))).alias("at"), put.cast(f"array<{SPAN}>").alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    return rows.select("row", F.aggregate(pieces, start, step, lambda acc: acc["out"]).alias("added"))
+
+
 def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row, doc_id, body (null where nothing was found), base and added spans."""
     base = base_spans(docs, id_col, text_col)
-    found = materialise(base.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.when(F.size("base") > 0, F.col("body")).alias("body"), "base"))
-    met = term_occurrences(found, radius)
-    told = disclosing_terms(docs, met, found, disclosure, support, text_col)
-    added = (
-        met.join(told, ["entity", "term"], "left_semi")
-        .groupBy("row")
-        .agg(F.array_sort(F.collect_set(F.struct("start", "end", F.col("term").alias("value")))).alias("added"))
-    )
-    added = added.select("row", F.transform("added", lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))).alias("added"))
-    return found.join(added, "row", "left").withColumn("added", F.coalesce("added", F.array().cast(f"array<{SPAN}>")))
+    found = materialise(base.select(F.monotonically_increasing_id().alias("row"), "doc_id", "body", "base", F.sha2("body", 256).alias("digest")))
+    told = disclosing_terms(term_occurrences(found, radius), found, disclosure, support)
+    # Empty lists are kept out, so that only rows with a term meet the join.
+    added = term_places(found, told).where(F.size("added") > 0)
+    both = found.drop("digest").join(added, "row", "left").withColumn("added", F.coalesce("added", F.array().cast(f"array<{SPAN}>")))
+    return both.select("row", "doc_id", F.when(F.size("base") + F.size("added") > 0, F.col("body")).alias("body"), "base", "added")
 
 
 def sanitise(found: DataFrame) -> DataFrame:
@@ -178,7 +213,7 @@ def sanitise(found: DataFrame) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), put.alias("out"))
 
     last = lambda acc: F.concat(acc["out"], F.substring(F.col("body"), acc["at"] + 1, F.length(F.col("body"))))
-    return found.where(F.size("base") > 0).select("doc_id", F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, last).alias("text"))
+    return found.where(F.size("base") + F.size("added") > 0).select("doc_id", F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, last).alias("text"))
 
 
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,6 +96,26 @@ def test_disclosing_terms_equal_brute_force(spark):
     assert "[email]" in clean[1] and "@" not in clean[1] and "Agent77" not in clean[1] and "agent00" in clean[1]
 
 
+def test_rare_values_are_disclosed_wherever_the_term_occurs(spark):
+    rng = random.Random(11)
+    far = f"{prose(rng, 40, 40)}\nQuillon again, 100 % Quillon"
+    rows = [(k, prose(rng, 60, 40)) for k in range(50)]
+    rows += [(60, f"{prose(rng, 5, 40)} Quillon: only.one@mail.com {prose(rng, 5, 40)}\n{far}"), (61, None)]
+    got = {r.doc_id: r for r in pii.find_personal_data(documents(spark, rows)).collect()}
+    assert {i for i, r in got.items() if r.added} == {60}
+    assert [(s.start, s.end) for s in got[60].added] == [m.span() for m in re.finditer("Quillon", rows[50][1])] and len(got[60].added) == 3
+
+    # Copies of a text are one text; a term counts in texts without the value, too.
+    often = [(k, f"{prose(rng, 8, 40)} Quillon wrote q@mail.com {prose(rng, 8, 40)}") for k in range(30)]
+    rows = often + [(100 + k, prose(rng, 60, 40)) for k in range(300)] + [(500, f"{prose(rng, 9, 40)}\nask Quillon")]
+    rows += [(600 + k, "w1 w2 other@mail.com w3") for k in range(3)]
+    got = {r.doc_id: r for r in pii.find_personal_data(documents(spark, rows)).collect()}
+    assert [s.value for s in got[500].added] == ["quillon"] and got[500].body == rows[330][1] and got[101].body is None
+    assert not any(got[600 + k].added for k in range(3))
+    clean = {r.doc_id: r.text for r in pii.sanitise(pii.find_personal_data(documents(spark, rows))).collect()}
+    assert "Quillon" not in clean[500] and 101 not in clean
+
+
 def test_personal_data_of_nothing(spark):
     assert pii.find_personal_data(documents(spark, [])).count() == 0
 
