@@ -7,6 +7,13 @@ only units with t / (2 - t) to (2 - t) / t times a template's bigrams are compar
 with it. From the same bound follow words of which any match must contain one; texts
 without them are passed over, which loses no match.
 
+A notice that no unit holds, as it is wrapped over lines or stands amid other words, is
+looked for in windows of words over the whole text, for licences that no unit matches.
+A template with b bigrams is passed over unless the text has t b / (2 - t) of them. A
+best window starts and ends with a bigram of the template, doesn't repeat its first one,
+and has at most (2 - t) b / t different bigrams; all such windows are compared. Each
+licence found so adds its best window to ``n_units``.
+
 Defined results: one row for each row of documents. Null, empty and short texts
 match nothing: ``licences`` is '' and ``best_dice`` 0. Ties for the best licence go to
 the name that sorts first. Repeated rows give repeated rows; an empty table gives none.
@@ -80,6 +87,43 @@ def needed_words(templates: list[tuple[str, str]], threshold: float) -> list[str
     return chosen
 
 
+def _windows(whole: Column, names: Column, sets: list[tuple[str, list[str]]], threshold: float) -> Column:
+    """(dice, name) of the best window over ``whole``, a text's bigrams in order, for
+    each template that reaches the threshold and whose licence isn't in ``names``."""
+    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    each = F.array(*[F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, b)).alias("b")) for n, b in sets if b])
+    n = F.size(whole)
+    held = F.filter(each, lambda t: ~F.array_contains(names, t["name"]) & (F.size(F.array_intersect(t["b"], whole)) >= low * F.size(t["b"])))
+    # Each transform binds what the next one's lambdas use more than once.
+    held = F.transform(held, lambda t: F.struct(t["name"].alias("name"), t["b"].alias("b"), F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.array_contains(t["b"], whole[i])).alias("at")))
+
+    def stop(i: Column, b: Column) -> Column:
+        """Behind the last end of windows from ``i``."""
+        most = F.ceil(high * F.size(b)).cast("int")
+        again = F.array_position(F.slice(whole, i + 2, n), whole[i]).cast("int")
+        reach = F.lit(None).cast("int")
+        for k in (64, 16, 4, 2):
+            full = F.size(F.array_distinct(F.slice(whole, i + 1, most * k))) > high * F.size(b)
+            reach = F.when(full, i + most * k).otherwise(reach)
+        return F.least(n, F.when(again > 0, i + again), reach)
+
+    held = F.transform(held, lambda t: F.struct(t["name"].alias("name"), t["b"].alias("b"), t["at"].alias("at"), F.transform(t["at"], lambda i: F.struct(i.alias("i"), stop(i, t["b"]).alias("stop"))).alias("starts")))
+
+    def dice(part: Column, b: Column) -> Column:
+        return 2.0 * F.size(F.array_intersect(part, b)) / (F.size(F.array_distinct(part)) + F.size(b))
+
+    best = F.transform(
+        held,
+        lambda t: F.named_struct(
+            F.lit("dice"),
+            F.array_max(F.transform(t["starts"], lambda s: F.array_max(F.transform(F.filter(t["at"], lambda j: (j >= s["i"]) & (j < s["stop"])), lambda j: dice(F.slice(whole, s["i"] + 1, j - s["i"] + 1), t["b"]))))),
+            F.lit("name"),
+            t["name"],
+        ),
+    )
+    return F.filter(best, lambda x: x["dice"] >= threshold)
+
+
 def scan_licences(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, licences (names, sorted, comma-joined), best_licence, best_dice (six
     decimals), n_units (units that match a template)."""
@@ -109,15 +153,23 @@ def scan_licences(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     scored = F.filter(F.transform(pairs, against), lambda x: F.size(x) > 0)
     none = F.array().cast("array<array<struct<dice:double,name:string>>>")
     needed = reduce(lambda a, b: a | b, [F.col("low").contains(w) for w in needed_words(templates, threshold)])
-    rows = rows.select("doc_id", F.when(needed, scored).otherwise(none).alias("hits"))
-    every = F.flatten("hits")
+    text_words = F.array_remove(F.split(F.col("low"), "[^a-z0-9]+"), "")
+    rows = rows.select("doc_id", "body", "low", F.explode(F.array(F.when(needed, text_words).otherwise(F.array().cast("array<string>")))).alias("word"))
+    spread = F.when(F.size("word") >= 2, F.zip_with(F.slice("word", 1, F.size("word") - 1), F.slice("word", 2, F.size("word")), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
+    rows = rows.select("doc_id", "word", F.when(F.size("word") > 0, scored).otherwise(none).alias("hits"))
+    rows = rows.select("doc_id", "hits", F.explode(F.array(spread)).alias("spread"))
+    rows = rows.select("doc_id", "spread", F.explode(F.array("hits")).alias("hits"))
+    found = F.when(F.size("spread") > 0, _windows(F.col("spread"), F.transform(F.flatten("hits"), lambda x: x["name"]), sets, threshold)).otherwise(F.flatten(none))
+    rows = rows.select("doc_id", "hits", found.alias("found"))
+    rows = rows.select("doc_id", "hits", F.explode(F.array("found")).alias("found"))
+    every = F.concat(F.flatten("hits"), F.col("found"))
     best = F.array_max(F.transform(every, lambda x: x["dice"]))
     return rows.select(
         "doc_id",
         F.array_join(F.array_sort(F.array_distinct(F.transform(every, lambda x: x["name"]))), ",").alias("licences"),
         F.coalesce(F.array_min(F.transform(F.filter(every, lambda x: x["dice"] == best), lambda x: x["name"])), F.lit("")).alias("best_licence"),
         F.coalesce(F.round(best, 6), F.lit(0.0)).alias("best_dice"),
-        F.size("hits").cast("long").alias("n_units"),
+        (F.size("hits") + F.size(F.array_distinct(F.transform("found", lambda x: x["name"])))).cast("long").alias("n_units"),
     )
 
 

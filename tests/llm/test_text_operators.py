@@ -249,6 +249,19 @@ def test_licences_equal_brute_force(spark):
     assert licences.scan_licences(documents(spark, [])).count() == 0
 
 
+def test_notices_over_several_lines(spark):
+    import textwrap
+
+    rng = random.Random(5)
+    apache, mit, gpl = licences.TEMPLATES[1][1], licences.TEMPLATES[4][1], licences.TEMPLATES[8][1]
+    wrap = lambda t, n: "\n".join(f" * {x}" for x in textwrap.wrap(t, n))
+    around = lambda t: f"{prose(rng, 300)}\n{t}\n{prose(rng, 300)}"
+    texts = [around(wrap(mit, 76)), around(wrap(gpl, 40)), around(f"Copyright us. {wrap(apache, 25)}"), around(wrap(mit.replace("charge", "any charge whatever"), 60) + "\n\n" + wrap(gpl, 76)), around("released of the software under a licensed copy"), wrap(mit, 76)[:250] + around("")]
+    got = {r.doc_id: r for r in licences.scan_licences(documents(spark, list(enumerate(texts)))).collect()}
+    assert [got[k].licences for k in range(6)] == ["MIT", "GPL-3.0", "Apache-2.0", "GPL-3.0,MIT", "", ""]
+    assert got[0].best_dice == got[1].best_dice == got[2].best_dice == 1 and [got[k].n_units for k in range(6)] == [1, 1, 1, 2, 0, 0]
+
+
 def test_licences_equal_their_sql(spark):
     same(spark, licences.op6_licence_scan, licences.SQL)
 
