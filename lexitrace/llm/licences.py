@@ -136,8 +136,7 @@ def scan_licences(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     sentences = F.flatten(F.transform(lines, lambda x: F.split(x, "(?<=[.!?])[ \t]+", -1)))
     units = F.array_distinct(F.concat(F.array("body"), lines, sentences))
     words = F.transform(units, lambda u: F.array_remove(F.split(F.lower(u), "[^a-z0-9]+"), ""))
-    most = max(len(b) for _, b in sets) * high + 1
-    fit = F.filter(words, lambda w: (F.size(w) >= 2) & (F.size(w) <= 2 * most))
+    fit = F.filter(words, lambda w: F.size(w) >= 2)
     pairs = F.transform(fit, lambda w: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", w[i], w[i + 1]))))
 
     def against(b: Column) -> Column:

@@ -262,6 +262,13 @@ def test_notices_over_several_lines(spark):
     assert got[0].best_dice == got[1].best_dice == got[2].best_dice == 1 and [got[k].n_units for k in range(6)] == [1, 1, 1, 2, 0, 0]
 
 
+def test_long_units_that_repeat_a_notice(spark):
+    notice = "licensed under the mit license"
+    texts = [" ".join([notice] * n) for n in (60, 450)] + ["\n".join([notice] * 450)]
+    got = {r.doc_id: r for r in licences.scan_licences(documents(spark, list(enumerate(texts)))).collect()}
+    assert [(got[k].licences, got[k].best_dice, got[k].n_units) for k in range(3)] == [("MIT", 0.888889, 1), ("MIT", 0.888889, 1), ("MIT", 1.0, 2)]
+
+
 def test_licences_equal_their_sql(spark):
     same(spark, licences.op6_licence_scan, licences.SQL)
 
