@@ -1,14 +1,14 @@
 """Main text of web pages by smoothed text-to-tag ratios.
 
 The standard library's parser streams each page as events. Block-level tags end a
-line; a line knows its text, its tags, and the nearest enclosing article or main
+line; a line knows its text, its tags, and the outermost enclosing article or main
 element. Lines inside menus, headers, footers, side bars, notices, adverts, forms,
 scripts, styles or reader comments (by element, role, or a word of class or id) are
 boilerplate. The text-to-tag ratios of the rest are smoothed with a Gaussian and
 split by a threshold of half their standard deviation, capped by their mean. Lines
-above it select content regions: an article element is taken whole if any of its
-lines is selected; without such elements the selected lines are taken with the lines
-between them under the same parent.
+above it select the content region, which is taken whole: all article elements if a
+line of any is selected; else the innermost section-like element around all selected
+lines that has more than one line, or the page if there is none.
 
 A page is read once in one pass; memory is that of one page. Defined results: null or
 empty html gives ''; broken markup is read as far as the parser recovers, and an
@@ -41,18 +41,22 @@ ENDS_P = set("address article aside blockquote details div dl fieldset figure fo
 MARKS = set("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices notification outbrain pager pagination popup promo promoted promotion related replies reply respond search share sharing sidebar skip social sponsor sponsored subscribe subscription taboola toolbar".split())
 #: Elements that hold an article.
 REGION = set("article main".split())
+#: Elements that may hold the content; others (lists, tables, quotes) are part of it.
+SECTION = REGION | set("html body div section center".split())
 
 SIGMA = 1.0
 SHARE_OF_DEVIATION = 0.5
 
 
 class _Lines(HTMLParser):
-    """Lines of a page: [text, tags, article number or 0, parent number]."""
+    """Lines of a page: (text, tags, article number or 0); of each section-like element
+    its first line and the one behind its last, inner elements before outer ones."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int]] = []
-        self.stack: list[tuple[str, bool, int, int]] = []  # tag, boilerplate, article, number
+        self.lines: list[tuple[str, int, int]] = []
+        self.sections: list[tuple[int, int]] = []
+        self.stack: list[tuple[str, bool, int, int]] = []  # tag, boilerplate, article, first line
         self.text: list[str] = []
         self.tags = self.made = 0
 
@@ -62,14 +66,14 @@ class _Lines(HTMLParser):
     def _end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            _, _, article, parent = next((x for x in reversed(self.stack) if x[0] not in INLINE and x[0] not in ("p", "li")), ("", False, 0, 0))
-            self.lines.append((text, self.tags, self._top()[2], parent))
+            self.lines.append((text, self.tags, self._top()[2]))
             self.tags = 0
         self.text = []
 
     def _pop_to(self, k: int) -> None:
         if any(x[0] not in INLINE for x in self.stack[k:]):
             self._end_line()
+        self.sections += [(x[3], len(self.lines)) for x in reversed(self.stack[k:]) if x[0] in SECTION and x[3] < len(self.lines)]
         del self.stack[k:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -98,7 +102,7 @@ class _Lines(HTMLParser):
             out = tag in HIDDEN or framed or marked
         if tag in REGION and not article:
             article = self.made
-        self.stack.append((tag, out, article, self.made))
+        self.stack.append((tag, out, article, len(self.lines)))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -137,22 +141,22 @@ def content_blocks(html: str | None) -> list[str]:
     parser.feed(html)
     parser.close()
     parser._end_line()
+    parser._pop_to(0)
     lines = parser.lines
     if not lines:
         return []
-    ratio = smoothed([len(text) / max(1, tags) for text, tags, _, _ in lines])
+    ratio = smoothed([len(text) / max(1, tags) for text, tags, _ in lines])
     mean = sum(ratio) / len(ratio)
     deviation = math.sqrt(sum((r - mean) ** 2 for r in ratio) / len(ratio))
     cut = min(mean, SHARE_OF_DEVIATION * deviation)
     chosen = [r >= cut for r in ratio]
-    articles = {line[2] for line, c in zip(lines, chosen) if c and line[2]}
-    if articles:
-        return [text for text, _, article, _ in lines if article in articles]
-    ends: dict[int, tuple[int, int]] = {}
-    for k, (line, c) in enumerate(zip(lines, chosen)):
-        if c:
-            ends[line[3]] = (ends.get(line[3], (k, k))[0], k)
-    return [line[0] for k, (line, c) in enumerate(zip(lines, chosen)) if c or ends.get(line[3], (k + 1, 0))[0] <= k <= ends.get(line[3], (0, -1))[1]]
+    if any(c and line[2] for line, c in zip(lines, chosen)):
+        return [text for text, _, article in lines if article]
+    if True not in chosen:
+        return []
+    low, high = chosen.index(True), len(chosen) - chosen[::-1].index(True)
+    first, last = next(((a, b) for a, b in parser.sections if a <= low and high <= b and b - a > 1), (0, len(lines)))
+    return [text for text, _, _ in lines[first:last]]
 
 
 @F.pandas_udf(T.StringType())

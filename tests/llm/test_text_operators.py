@@ -197,6 +197,20 @@ def test_main_text(spark):
     assert html_text.extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_content_region_is_kept_whole():
+    long, blocks = "many words of a long paragraph " * 20, html_text.content_blocks
+    p = lambda *texts: "".join(f"<p>{t}</p>" for t in texts)
+    for texts in ([long] * 3 + ["b1", "b2", "b3"], ["Title", "b1", "b2", *[long] * 3], [long, "b1", long]):
+        texts = [" ".join(t.split()) for t in texts]
+        for page in (f"<body><nav>menu</nav><div>{p(*texts)}</div></body>", f"<div><div>{p(*texts)}"):
+            assert blocks(page) == texts
+        assert blocks(p(*texts)) == blocks("".join(f"<div>{t}</div>" for t in texts)) == texts
+    inner = "<h1>T</h1><h2>a</h2><h3>b</h3><h2>c</h2><h3>d</h3><table><tr><td>1<td>2<td>3<tr><td>4<td>5</table>"
+    line = " ".join(long.split())
+    assert blocks(f"<div>{p(long, long)}{inner}{p(long)}{inner}<div class=share>x</div></div>") == [line, line, *"Tabcd12345", line, *"Tabcd12345"]
+    assert blocks(f"<article>{p(*[long] * 4)}</article><article><p>a</p><p>b</p><p>c</p><p>d</p></article>") == [line] * 4 + list("abcd")
+
+
 def test_smoothing_keeps_the_sum_of_flat_lines():
     assert all(abs(x - 5) < 1e-9 for x in html_text.smoothed([5.0] * 7)) and html_text.smoothed([]) == []
 
