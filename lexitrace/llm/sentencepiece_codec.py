@@ -155,9 +155,10 @@ def decode_column(model: bytes, ids_col: str = "token_ids"):
     return text(F.col(ids_col))
 
 
-def encode_and_check(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_and_check(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_tokens, token_ids, decoded_sha256 (of what the ids decode to) and
-    round_trip (whether that is the text). One pass over the texts."""
+    round_trip (whether that is the text), then the columns ``also`` as they are. One
+    pass over the texts."""
 
     @F.pandas_udf("n_tokens long, token_ids array<int>, decoded_sha256 string, round_trip boolean")
     def codes(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -174,7 +175,7 @@ def encode_and_check(docs: DataFrame, model: bytes, id_col: str = "doc_id", text
                 }
             )
 
-    return docs.select(F.col(id_col).alias("doc_id"), codes(F.coalesce(F.col(text_col), F.lit(""))).alias("c")).select("doc_id", "c.*")
+    return docs.select(F.col(id_col).alias("doc_id"), codes(F.coalesce(F.col(text_col), F.lit(""))).alias("c"), *also).select("doc_id", "c.*", *also)
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

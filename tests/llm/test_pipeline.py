@@ -53,6 +53,22 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert len(WORDS(left[0][1])) == 80 and SCHEMA
 
 
+def test_the_mixture_outlives_the_reread(spark, tmp_path):
+    import random
+
+    rng = random.Random(7)
+    sf = f"file://{tmp_path}"
+    rows = [(k, prose(rng, 60 + 40 * (k % 3), 3000), "en", "big" if k % 10 else "small", 0) for k in range(200)]
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    path = f"{sf}/out"
+    corpus_pipeline.run(spark, sf).repartition(5).write.parquet(path)
+    got = {r.doc_id: (r.mix_slot, r.mix_position) for r in spark.read.parquet(path).collect()}
+    want = mixing.mix_sources(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    assert got == {r.doc_id: (r.mix_slot, r.mix_position) for r in want} and len(got) == 200
+    assert sorted(p for _, p in got.values()) == list(range(200))
+
+
 def test_no_documents(spark, tmp_path):
     sf = f"file://{tmp_path}"
     documents(spark, []).write.parquet(f"{sf}/documents.parquet")
