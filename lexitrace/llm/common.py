@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,8 +14,15 @@ SPACES = "[\\x20\\x09-\\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; /tmp only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/lexitrace-scratch"
+    """A fresh folder under ``spark.checkpoint.dir``, which all executors share. Only on
+    a session of one machine (a local master) a temporary folder stands in for an unset
+    one; elsewhere that is an error, as each executor would write to its own disk."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}/lexitrace-scratch"
     return f"{base.rstrip('/')}/lexitrace/{uuid.uuid4().hex}"
 
 
@@ -22,7 +31,27 @@ def materialise(df: DataFrame, *sort: str) -> DataFrame:
     a lost executor costs a re-read, not a recomputation."""
     path = scratch_dir(df.sparkSession)
     (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove materialised tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sweep(spark: SparkSession, hours: float) -> int:
+    """Remove what operators left in the shared folder over ``hours`` ago; how many
+    tables went. A returned DataFrame reads such tables until its rows are written."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark)).getParent()
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return 0
+    old = [x.getPath() for x in fs.listStatus(folder) if x.getModificationTime() < (time.time() - 3600 * hours) * 1000]
+    return sum(bool(fs.delete(x, True)) for x in old)
 
 
 def words_of(text: Column) -> Column:

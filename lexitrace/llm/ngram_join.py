@@ -1,6 +1,7 @@
 """Self-join of documents by the Jaccard similarity of their word n-gram sets.
 
-Documents with one and the same set of n-grams form a node. MinHash values, in bands,
+Documents with one and the same set of n-grams form a node, numbered by one of its
+rows; identifiers play no part until classes are named. MinHash values, in bands,
 deal nodes into buckets; two nodes at the threshold share one with probability
 1 - (1 - t^5)^32, all but three in a million at t = 0.8. Inside a bucket pairs are compared on short
 sketches, sixteen values at a time, and dropped as soon as the posterior probability
@@ -18,8 +19,9 @@ Defined results, one row for each row of the input: ``class_id`` is the least
 identifier of the component, ``n_links`` the number of other documents at the
 threshold or above. A text with fewer than n words has one n-gram, all its words; null,
 empty and blank texts link to nothing. Rows without identifier get a null class and no
-links. Rows that repeat an identifier are one document with regard to its class, and
-each counts as a link of the others with the same text. An empty table gives no rows.
+links, nor do they count as links. Rows that repeat an identifier are one document with
+regard to its class, which joins the classes of all their texts; as links each row counts
+for itself. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, may_contain, member_bitmaps, table
+from .common import discard, materialise, may_contain, member_bitmaps, table
 
 N, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 5
@@ -98,18 +100,20 @@ def _sketches(gram: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def describe(docs: DataFrame, n: int = N) -> DataFrame:
-    """``docs``: id, body. id, size, s1, s2 (a hash of the set), keys, sketch."""
+    """``docs``: row, id, given, mark, body, none of them null. row, id, given, mark, size, s1,
+    s2 (a hash of the set), keys, sketch."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            text, ids, held, words = batch["body"].tolist(), batch["id"].to_numpy(), 0, 0
+            text, held, words = batch["body"].tolist(), 0, 0
             for k, x in enumerate(text):
                 words += len(x) // 5
                 if words < CHUNK_WORDS and k + 1 < len(text):
                     continue
                 gram, size = gram_sets(text[held : k + 1], n)
                 full = np.flatnonzero(size)
-                out = pd.DataFrame({"id": ids[held : k + 1], "size": size, "s1": 0, "s2": 0, "keys": None, "sketch": None})
+                out = batch[["row", "id", "given", "mark"]].iloc[held : k + 1].reset_index(drop=True)
+                out = out.assign(size=size, s1=0, s2=0, keys=None, sketch=None)
                 if len(full):
                     first = (np.cumsum(size) - size)[full]
                     keys, sketch = _sketches(gram, size[full])
@@ -123,7 +127,7 @@ def describe(docs: DataFrame, n: int = N) -> DataFrame:
                 yield out
                 held, words = k + 1, 0
 
-    return docs.mapInPandas(rows, "id long, size long, s1 long, s2 long, keys array<long>, sketch binary")
+    return docs.mapInPandas(rows, "row long, id long, given boolean, mark long, size long, s1 long, s2 long, keys array<long>, sketch binary")
 
 
 def least_matches(threshold: float, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
@@ -251,9 +255,12 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("m"))
         low = materialise(labels.join(near, "node").select("node", F.least("label", "m").alias("label"), (F.col("m") < F.col("label")).alias("moved")))
         if low.where("moved").isEmpty():
+            discard(both, low)
             return labels
+        discard(labels)
         jump = low.select(F.col("node").alias("label"), F.col("label").alias("further"))
         labels = materialise(low.select("node", "label").join(jump, "label").select("node", F.least("label", "further").alias("label")))
+        discard(low)
 
 
 def verified(members: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
@@ -308,31 +315,54 @@ def verified(members: DataFrame, n: int = N, threshold: float = THRESHOLD) -> Da
     return members.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "id").mapInPandas(rows, "u long, v long, links long")
 
 
+def _same_document(known: DataFrame, nodes: DataFrame, group: list[str]) -> DataFrame:
+    """Edges (u, v) between nodes that share an identifier; few, as identifiers rarely
+    repeat with another text."""
+    whole = F.struct(*group)
+    repeated = materialise(known.groupBy("id").agg(F.min(whole).alias("a"), F.max(whole).alias("b")).where("a <> b").select("id"))
+    rows = may_contain(known.select("id", *group), "id", member_bitmaps(repeated, "id")).join(repeated, "id").join(nodes.select("node", *group), group)
+    held = materialise(rows.select("id", "node").distinct())
+    return held.join(held.groupBy("id").agg(F.min("node").alias("v")), "id").select(F.col("node").alias("u"), "v").where("u <> v")
+
+
 def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id, n_links."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    described = materialise(describe(rows, n))
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), body.alias("body")).withColumn("mark", F.xxhash64("id", "body"))
+    # Row numbers are written once with what is read again: another scan may give others.
+    given = F.col("id").isNotNull()
+    described = describe(rows.select(F.monotonically_increasing_id().alias("row"), F.coalesce("id", F.lit(0)).alias("id"), given.alias("given"), "mark", "body"), n)
+    described = materialise(described.withColumn("id", F.when(F.col("given"), F.col("id"))).drop("given"))
     known = described.where("id IS NOT NULL AND size > 0")
     group = ["s1", "s2", "size"]
-    nodes = materialise(known.groupBy(*group).agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies")))
-    firsts = known.withColumnRenamed("id", "node").join(nodes, [*group, "node"]).dropDuplicates([*group, "node"])
-    rough = components(materialise(candidate_edges(firsts.select(F.col("node").alias("id"), "keys", "sketch"), threshold)))
+    nodes = materialise(known.groupBy(*group).agg(F.min("row").alias("node"), F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")))
+    firsts = materialise(nodes.select("node", "copies").join(known.withColumnRenamed("row", "node"), "node").select("node", "id", "mark", "copies", "size", "keys", "sketch"))
+    near = materialise(candidate_edges(firsts.select(F.col("node").alias("id"), "keys", "sketch"), threshold))
+    rough = components(near)
 
-    member = nodes.join(rough, "node").select("node", F.col("label").alias("comp"), "copies", "size")
+    member = firsts.select("node", "id", "mark", "copies", "size").join(rough, "node").withColumnRenamed("label", "comp")
     parts = member.groupBy("comp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / VERIFY_BLOCK), F.ceil(F.sum("size") / VERIFY_GRAMS)).alias("parts"))
-    member = materialise(member.join(materialise(parts), "comp").select(F.col("node").alias("id"), "comp", "copies", "parts"))
-    texts = may_contain(rows, "id", member_bitmaps(member, "id"))
+    parts = materialise(parts)
+    member = materialise(member.join(parts, "comp").select("node", "id", "mark", "comp", "copies", "parts"))
+    discard(near, rough, firsts, parts)
+    # The text of a node is that of its first row: same identifier, same hash of the text.
+    texts = may_contain(rows, "mark", member_bitmaps(member, "mark"))
     units = (
-        texts.join(member, "id")
-        .withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")))
+        texts.join(member, ["id", "mark"])
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        .select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "copies", "body")
+        .select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.col("node").alias("id"), "copies", "body")
     )
     found = materialise(verified(units, n, threshold))
-    classes = components(found.where("u <> v").select("u", "v"))
+    same = _same_document(known, nodes, group)
+    classes = components(found.where("u <> v").select("u", "v").unionByName(same))
     links = found.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
-    told = materialise(nodes.join(classes, "node", "left").join(links, "node", "left").select(*group, F.coalesce("label", "node").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
-    out = known.select("id", *group).join(told, group).select(F.col("id").alias("doc_id"), F.col("class").alias("class_id"), F.col("links").cast("long").alias("n_links"))
+    told = nodes.join(classes, "node", "left").join(links, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    told = materialise(told.select(*group, "label", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
+    named = told.groupBy("label").agg(F.min("least").alias("class"))
+    called = materialise(told.join(named, "label").select(*group, "class", "links"))
+    discard(member, found, classes, nodes, told)
+    out = known.select("id", *group).join(called, group).select(F.col("id").alias("doc_id"), F.col("class").alias("class_id"), F.col("links").cast("long").alias("n_links"))
     rest = described.where("id IS NULL OR size = 0").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(rest)
 
@@ -349,3 +379,22 @@ def one_of_each_class(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
+
+
+#: The exact join on n-grams, which needs no candidates; fit for small tables.
+SQL = f"""
+WITH RECURSIVE
+w AS MATERIALIZED (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS MATERIALIZED (
+  SELECT DISTINCT doc_id, hash(unnest(CASE WHEN len(w) < {N} THEN [w] ELSE list_transform(range(1, len(w) - {N} + 2), lambda i: w[i:i + {N} - 1]) END)) AS gram
+  FROM w WHERE len(w) > 0),
+s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+h AS (SELECT x, y FROM p JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y WHERE c >= {THRESHOLD}::DOUBLE * (a.n + b.n - c) - 1e-6),
+e AS MATERIALIZED (SELECT x, y FROM h UNION ALL SELECT y, x FROM h),
+r AS (SELECT x AS doc_id, x AS reach FROM e UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.reach),
+c AS (SELECT doc_id, min(reach) AS class_id FROM r GROUP BY 1),
+k AS (SELECT x AS doc_id, count(*) AS n_links FROM e GROUP BY 1)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0)::BIGINT AS n_links
+FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
+"""

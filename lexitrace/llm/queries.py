@@ -19,5 +19,6 @@ QUERIES = {
 SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op6_licence_scan": licences.SQL,
+    "op7_ngram_jaccard_join": ngram_join.SQL,
     "op10_mix_sources": mixing.SQL,
 }

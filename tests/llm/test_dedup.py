@@ -121,7 +121,9 @@ def jaccard_truth(rows, n=5, t=0.8):
 
 @pytest.mark.parametrize("block", [2048, 4])
 def test_join_equals_brute_force(spark, block, monkeypatch):
-    rows = [x for x in corpus(seed=4) if x != (1, corpus(seed=4)[0][1])] + [(1, corpus(seed=4)[0][1])] * (block > 4)
+    known = corpus(seed=4)
+    rows = known + [(known[0][0], known[8][1]), (known[20][0], "one more text of a known identifier"), (known[2][0], None)]
+    assert len({i for i, _ in rows}) < len(rows) - 3  # some repeat an identifier
     monkeypatch.setattr(ngram_join, "VERIFY_BLOCK", block)
     monkeypatch.setattr(ngram_join, "CHUNK_WORDS", 100)
     monkeypatch.setattr(ngram_join.candidate_edges, "__defaults__", (0.8, block))
@@ -131,6 +133,61 @@ def test_join_equals_brute_force(spark, block, monkeypatch):
     assert sum(k > 5 for _, _, k in want) > 8
 
 
+def test_rows_that_share_an_identifier(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(100)) for x in "abc")
+    other = lambda t: t.replace("50 ", "50x ")
+    big = (1 << 62) + 1
+    rows = [(1, a), (1, b), (2, other(a)), (3, other(b)), (6, c), (6, other(c)), (5, f"{c} more"), (7, "x y z"), (7, "x y z"), (None, a), (big, "q r s t u v"), (big + 1, "q r s t u v")]
+    got = ngram_join.jaccard_join(documents(spark, rows)).collect()
+    assert Counter(map(tuple, got)) == jaccard_truth(rows)
+    assert {r.doc_id: r.class_id for r in got} == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5, 7: 7, None: None, big: big, big + 1: big}
+    assert {r.doc_id: r.n_links for r in got if r.doc_id in (3, 5)} == {3: 1, 5: 2}
+    assert sorted(r.doc_id or 0 for r in ngram_join.one_of_each_class(documents(spark, rows, extra=True)).collect()) == [0, 1, 1, 5, 7, 7, big]
+
+
+def test_join_equals_its_sql(spark):
+    same(spark, ngram_join.op7_ngram_jaccard_join, ngram_join.SQL)
+
+
+def test_recall_against_an_exact_join(spark):
+    """Queries are the identifiers divisible by 20, against all rows: links found."""
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    want = {i: n for i, _, n in con.execute(ngram_join.SQL).fetchall() if i % 20 == 0}
+    got = {r.doc_id: r.n_links for r in ngram_join.op7_ngram_jaccard_join(spark, sf).where("doc_id % 20 = 0").collect()}
+    assert set(got) == set(want) and all(got[i] <= n for i, n in want.items())
+    assert sum(got.values()) >= 0.999 * sum(want.values()) > 0
+
+
+def test_scratch_is_shared_and_swept(spark, monkeypatch):
+    from lexitrace.llm import common
+
+    kept = common.materialise(spark.range(3))
+    assert common.sweep(spark, 1) == 0 and kept.count() == 3
+    gone = common.materialise(spark.range(3))
+    common.discard(gone)
+    assert kept.count() == 3
+
+    class Conf:
+        master = "yarn"
+
+        def get(self, key, default=None):
+            return {"spark.master": self.master}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        Conf.master = master
+        with pytest.raises(ValueError, match="share"):
+            common.scratch_dir(Session())
+    Conf.master = "local[4]"
+    assert "lexitrace" in common.scratch_dir(Session())
+
+
 def test_a_chain_is_one_class(spark):
     words = [f"v{k}" for k in range(120)]
     rows = [(k, " ".join(words[6 * k : 6 * k + 90])) for k in range(5)]
