@@ -60,6 +60,42 @@ def test_base_spans_equal_the_patterns(spark):
     assert sum(len(r.base) for r in got) > 40
 
 
+SECRET = r"""(?i)(?:key|token|secret|password|passwd|pwd)["']?\s?[:=]\s?["']([A-Za-z0-9_+/=.-]{12,})"""
+
+
+def secrets(text):
+    return [("secret", m.start(1), m.end(1), m.group(1)) for m in re.finditer(SECRET, text or "")]
+
+
+def blanked(text):
+    out = list(text or "")
+    for _, a, b, _ in spans(text) + secrets(text):
+        out[a:b] = " " * (b - a)
+    return "".join(out)
+
+
+def disclosed(rows, threshold, support=1, radius=60, m=0.1):
+    """The places of disclosing terms in each row, by the definition."""
+    word = r"[\w'-]+"
+    texts = {t or "" for _, t in rows}
+    near, df_c, df_t = {}, Counter(), Counter()
+    for t in texts:
+        free = blanked(t)
+        df_t.update({w.lower() for w in re.findall(word, free)})
+        df_c.update({s[3] for s in spans(t) + secrets(t)})
+        for _, start, end, value in spans(t) + secrets(t):
+            for x in re.finditer(word, free):
+                inside = start - radius <= x.start() and x.end() <= start or end <= x.start() and x.end() <= end + radius
+                if inside and x.end() - x.start() > 1 and "\n" not in t[min(x.start(), start) : max(x.end(), end)]:
+                    near.setdefault((value, x.group().lower()), set()).add(t)
+    told, n = set(), len(texts)
+    for (c, t), held in near.items():
+        p = df_c[c] / n
+        if len(held) >= support and p < 1 and log((len(held) + m * p) / (df_t[t] + m) / p) >= -threshold * log(p):
+            told.add(t)
+    return Counter((i, tuple(x.span() for x in re.finditer(word, blanked(t)) if x.group().lower() in told)) for i, t in rows)
+
+
 def test_disclosing_terms_equal_brute_force(spark):
     rng = random.Random(3)
     rows = []
@@ -68,32 +104,36 @@ def test_disclosing_terms_equal_brute_force(spark):
         name = ["Zorro", "Agent77", "Xena", "Yoda"][k % 4]
         line = f"{prose(rng, 6, 40)} {name} wrote {who}, {prose(rng, 4, 40)}" if k % 3 else prose(rng, 20, 40)
         rows.append((k, f"{prose(rng, 30, 40)}\n{line}\n{prose(rng, 30, 40)}"))
-    rows += [(100, None), (101, "")]
-    threshold, support, radius = 0.8, 3, 60
-    word = r"[\w'-]+"
-    near, df_c, df_t = {}, Counter(), Counter()
-    for i, t in rows:
-        base = spans(t)
-        df_t.update({w.lower() for w in re.findall(word, t or "")})
-        df_c.update({s[3] for s in base})
-        for s in base:
-            low, high = max(0, s[1] - radius), s[2] + radius
-            for m in re.finditer(word, t):
-                inside = low <= m.start() and m.end() <= s[1] or s[2] <= m.start() and m.end() <= high
-                edge = m.end() == high and len(t) > high  # a word that touches the window's end may go on
-                same_line = "\n" not in t[min(m.start(), s[1]) : max(m.end(), s[2])]
-                if inside and same_line and not edge and m.end() - m.start() > 1 and not any(b[1] < m.end() and m.start() < b[2] for b in base):
-                    near.setdefault((s[3], m.group().lower()), set()).add((i, m.start(), m.end()))
-    told = {}
-    for (c, t), places in near.items():
-        n = len({p[0] for p in places})
-        if n >= support and log(len(rows) * n / (df_c[c] * df_t[t])) >= threshold * log(len(rows) / df_c[c]):
-            for i, a, b in places:
-                told.setdefault(i, set()).add((a, b))
-    assert {i: {(s.start, s.end) for s in r.added} for r in pii.find_personal_data(documents(spark, rows), threshold, support, radius).collect() if r.added for i in [r.doc_id]} == told
-    assert any("Zorro"[0:1] for _ in told) and len(told) > 20
-    clean = {r.doc_id: r.text for r in pii.sanitise(pii.find_personal_data(documents(spark, rows), threshold, support, radius)).collect()}
+    rows += [(100, None), (101, ""), (102, 'nine1.2.3.4ten token = "abcdef0123456789" eleven\n5.6.7.8\ntwelve'), (103, "+1 4111 1111 1111 1111 x@y.zz" * 3), (7, rows[7][1]), (7, rows[8][1]), (None, rows[5][1])]
+    for threshold, support in ((0.8, 3), (0.9, 1)):
+        found = pii.find_personal_data(documents(spark, rows, extra=True), threshold, support).collect()
+        want = disclosed(rows, threshold, support)
+        assert Counter((r.doc_id, tuple((s.start, s.end) for s in r.added if s.kind == "term")) for r in found) == want
+        assert sum(len(p) for _, p in want) > 20
+    assert Counter((r.doc_id, tuple((s.start, s.end) for s in r.added if s.kind == "secret")) for r in found) == Counter((i, tuple(s[1:3] for s in secrets(t))) for i, t in rows)
+    clean = {r.doc_id: r.text for r in pii.sanitise(pii.find_personal_data(documents(spark, rows), 0.8, 3)).collect()}
     assert "[email]" in clean[1] and "@" not in clean[1] and "Agent77" not in clean[1] and "agent00" in clean[1]
+    assert clean[102].startswith("nine[ip]ten token = \"[secret]\" eleven\n[ip]")
+
+
+def test_rows_that_repeat_an_identifier_are_judged_by_their_texts(spark):
+    rows = [(1, "zorro wrote a@mail.com today"), (1, "zorro wrote a@mail.com again"), (1, "zorro wrote a@mail.com"), (2, "other words"), (3, "zorro")] + [(k, f"w{k} x y") for k in range(10, 40)]
+    got = pii.find_personal_data(documents(spark, rows)).collect()
+    assert Counter((r.doc_id, tuple((s.start, s.end) for s in r.added)) for r in got) == disclosed(rows, pii.DISCLOSURE)
+
+
+@pytest.mark.parametrize("n", [500, 100_000])
+def test_a_text_full_of_matches_takes_linear_time(spark, n):
+    """At most five minutes and the memory of a test session for 100,000 matches."""
+    import time
+
+    text = " ".join(f"{k % 256}.{k // 256 % 256}.7.1 w{k % 97}," for k in range(n))
+    began = time.time()
+    found = pii.find_personal_data(documents(spark, [(1, text), (2, "plain words")]))
+    got = {r.doc_id: r for r in found.select("doc_id", "base", "added", pii.sanitised(found.body, pii.F.concat("base", "added")).alias("clean")).collect()}
+    assert time.time() - began < 300
+    assert [(s.start, s.end) for s in got[1].base] == [x.span() for x in re.finditer(r"[0-9.]{7,}", text)]
+    assert len(got[1].added) == sum(1 for _ in re.finditer(r"w[0-9]+", text)) and got[1].clean.startswith("[ip] w0, [ip]")
 
 
 def test_rare_values_are_disclosed_wherever_the_term_occurs(spark):
