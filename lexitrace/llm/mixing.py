@@ -1,108 +1,129 @@
 """Interleave sources to target weights with a Pfair schedule.
 
-Each source's documents form blocks of ``block_size``. Weights are rounded to
-whole shares of a frame of P slots (largest remainder). Block j of a source with
-share a is released at slot floor(j P / a) and due by slot ceil((j + 1) P / a);
-earliest deadline first fills every slot of the frame and keeps each source less
-than one block from its ideal share. The schedule repeats with every frame, so one
-frame (P slots, whatever the number of rows) is simulated and every document finds
-its slot by arithmetic. Slots of a source that has run out are skipped; no row is
-dropped, and the others keep their order.
+Each source's documents form blocks. With w the source's share of the weights, block j
+is released at slot floor(j / w) and due by slot ceil((j + 1) / w); each slot takes, of the
+blocks released and not yet placed, the one due first. That keeps every source less than
+one block from its share of the slots so far, over the whole schedule, until it runs out;
+slots that nobody may fill are passed over. Weights become whole numbers in exactly their
+proportion, so release times and deadlines are exact. No row is dropped.
+
+The schedule is made block by block with two heaps. Blocks hold ``block_size`` documents,
+or more where there would be over ``MOST_BLOCKS`` of them, so the schedule doesn't grow
+with the rows; it has one block at least for each source. It is broadcast only up to
+twice that many blocks.
 
 Within a source documents follow the md5 of their identifier. Ranks come from
-counts over hash buckets and a row number within a bucket, so a source that holds
-most rows is never sorted in one task.
+counts over hash buckets, summed in two steps, and a row number within a bucket, so a
+source that holds most rows is never sorted or summed in one task.
 
 Defined results: a null source is a source of its own; a null identifier sorts as
-the text 'null'; rows that repeat an identifier get neighbouring positions. An
-empty table gives no rows. The frame grows to ten slots a source when there are
-many sources; the sources, their counts and the frame are all that reaches the driver.
+the text 'null'; rows of a source that repeat an identifier get neighbouring positions, in
+the order of a hash of their other columns. Sources that ``weights`` leaves out, or gives 0,
+have no target: they follow behind the others, mixed by their number of rows. Negative,
+infinite or undefined weights are an error. An empty table gives no rows. The sources and
+their counts reach the driver.
 """
 
 from __future__ import annotations
 
 import math
+from fractions import Fraction
+from heapq import heapify, heappop, heappush
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
-FRAME = 1000
 BLOCK_SIZE = 8
+MOST_BLOCKS = 1 << 18
 TEMPERATURE = 0.5
-#: Rows of one hash bucket, on average, at most.
-BUCKET_ROWS = 4096
-
-
-def shares(weights: dict[str, float], frame: int) -> dict[str, int]:
-    """Whole shares that sum to ``frame``, one at least, by largest remainder."""
-    total, spare = sum(weights.values()), frame - len(weights)
-    exact = {k: spare * w / total for k, w in weights.items()}
-    out = {k: 1 + math.floor(x) for k, x in exact.items()}
-    for k in sorted(exact, key=lambda k: (math.floor(exact[k]) - exact[k], k))[: frame - sum(out.values())]:
-        out[k] += 1
-    return out
-
-
-def pfair_frame(share: dict[str, int]) -> list[str]:
-    """Earliest deadline first over one frame; ties go to the first name."""
-    frame, done, plan = sum(share.values()), dict.fromkeys(share, 0), []
-    for slot in range(frame):
-        due = [(-(-(done[k] + 1) * frame // a), k) for k, a in share.items() if done[k] < a and done[k] * frame // a <= slot]
-        _, pick = min(due)
-        done[pick] += 1
-        plan.append(pick)
+#: Rows of one hash bucket, on average, at most; hexadecimal digits of a group of buckets.
+BUCKET_ROWS, HEAD = 4096, 3
+
+
+def whole_weights(weights: dict[str, float]) -> dict[str, int]:
+    """Weights as whole numbers in the same proportion: floats are binary fractions."""
+    exact = {k: Fraction(w) for k, w in weights.items()}
+    unit = max((f.denominator for f in exact.values()), default=1)
+    return {k: int(f * unit) for k, f in exact.items()}
+
+
+def pfair_schedule(blocks: dict[str, int], weights: dict[str, int]) -> list[tuple[int, str]]:
+    """(slot, source) of all blocks, in order; ties go to the first name."""
+    total, done, plan, slot = sum(weights.values()), dict.fromkeys(blocks, 0), [], 0
+    waiting: list[tuple[int, str]] = [(0, k) for k in blocks if blocks[k]]
+    heapify(waiting)
+    due: list[tuple[int, str]] = []
+    while waiting or due:
+        if not due:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            _, k = heappop(waiting)
+            heappush(due, (-(-(done[k] + 1) * total // weights[k]), k))
+        _, k = heappop(due)
+        plan.append((slot, k))
+        done[k] += 1
+        slot += 1
+        if done[k] < blocks[k]:
+            heappush(waiting, (done[k] * total // weights[k], k))
     return plan
 
 
-def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = TEMPERATURE, block_size: int = BLOCK_SIZE, frame: int = FRAME, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def _schedule(counts: dict[str, int], weights: dict[str, float] | None, temperature: float, size: int) -> list[tuple[int, str]]:
+    """The schedule of the sources with a target, then of those without."""
+    natural = {k: float(n) ** temperature for k, n in counts.items()}
+    target = natural if weights is None else {k: w for k, w in weights.items() if w > 0 and k in counts}
+    plan: list[tuple[int, str]] = []
+    for part in (target, {k: w for k, w in natural.items() if k not in target}):
+        start = plan[-1][0] + 1 if plan else 0
+        plan += [(start + slot, k) for slot, k in pfair_schedule({k: -(-counts[k] // size) for k in part}, whole_weights(part))]
+    return plan
+
+
+def _key(source: str | None) -> str:
+    return "null" if source is None else f"s{source}"
+
+
+def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = TEMPERATURE, block_size: int = BLOCK_SIZE, id_col: str = "doc_id", source_col: str = "source", most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """``docs`` with ``mix_slot`` and ``mix_position`` (0 to n - 1, without gaps).
 
     ``weights`` maps sources to target weights; without it a source weighs its
-    number of rows to the power ``temperature``. A source that ``weights`` leaves
-    out weighs as little as the least.
+    number of rows to the power ``temperature``.
     """
+    if weights is not None and not all(math.isfinite(w) and w >= 0 for w in weights.values()):
+        raise ValueError(f"weights must be finite and not negative: {weights}")
+    given = None if weights is None else {_key(k): float(w) for k, w in weights.items()}
     spark, key = docs.sparkSession, F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("null"))
     counts = {r["key"]: r["n"] for r in docs.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return docs.withColumn("mix_slot", F.lit(0).cast("long")).withColumn("mix_position", F.lit(0).cast("long"))
-    if weights is None:
-        weight = {k: float(n) ** temperature for k, n in counts.items()}
-    else:
-        given = {"null" if k is None else f"s{k}": w for k, w in weights.items() if w > 0}
-        weight = {k: given.get(k, min(given.values())) for k in counts}
-    share = shares(weight, max(frame, 10 * len(counts)))
-    plan, names = pfair_frame(share), sorted(share)
-    frame, total = len(plan), sum(counts.values())
-    seen, slots = dict.fromkeys(names, 0), []
-    for slot, name in enumerate(plan):
-        slots.append((name, seen[name], slot, share[name], [seen[k] for k in names]))
-        seen[name] += 1
-    template = spark.createDataFrame(slots, "__key string, __turn long, __at long, __share long, __before array<long>")
-
-    digits = next(d for d in range(2, 16) if total <= BUCKET_ROWS * 16**d)
+    total = sum(counts.values())
+    size = max(block_size, -(-total // most_blocks))
+    plan = _schedule(counts, given, temperature, size)
+    slots: dict[str, list[int]] = {k: [] for k in counts}
+    starts: dict[str, list[int]] = {k: [] for k in counts}
+    at = 0
+    for slot, k in plan:
+        starts[k].append(at)
+        at += min(size, counts[k] - size * len(slots[k]))
+        slots[k].append(slot)
+    lists = spark.createDataFrame([(k, slots[k], starts[k]) for k in sorted(counts)], "__key string, slots array<long>, starts array<long>")
+    blocks = lists.select("__key", F.posexplode(F.arrays_zip("slots", "starts")).alias("__block", "b")).select("__key", F.col("__block").cast("long").alias("__block"), F.col("b.slots").alias("__slot"), F.col("b.starts").alias("__start"))
+
+    digits = next(d for d in range(HEAD, 16) if total <= BUCKET_ROWS * 16**d)
     marked = docs.withColumn("__key", key).withColumn("__hash", F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null")))).withColumn("__bucket", F.substring("__hash", 1, digits))
-    sizes = marked.groupBy("__key", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    starts = sizes.select("__key", "__bucket", (F.sum("__n").over(W.partitionBy("__key").orderBy("__bucket")) - F.col("__n")).alias("__start"))
-    ranked = marked.withColumn("__row", F.row_number().over(W.partitionBy("__key", "__bucket").orderBy("__hash", id_col)) - 1).join(starts, ["__key", "__bucket"])
-    ranked = ranked.withColumn("__rank", F.col("__start") + F.col("__row")).withColumn("__block", F.floor(F.col("__rank") / block_size))
-    shared = F.create_map(*[F.lit(x) for k in names for x in (k, share[k])])
-    ranked = ranked.withColumn("__turn", F.pmod(F.col("__block"), shared[F.col("__key")]))
-    # Every source appears in the frame, which has at most ten slots a source or 1000.
-    placed = ranked.join(F.broadcast(template), ["__key", "__turn"]).withColumn("__round", F.floor(F.col("__block") / F.col("__share")))
-    each = F.array(*[F.struct(F.lit(counts[k]).cast("long").alias("n"), F.lit(share[k]).cast("long").alias("a")) for k in names])
-    earlier = F.aggregate(
-        F.zip_with(F.col("__before"), each, lambda b, s: F.least(s["n"], (F.col("__round") * s["a"] + b) * block_size)),
-        F.lit(0).cast("long"),
-        lambda x, y: x + y,
-    )
-    return placed.select(
-        *[F.col(c) for c in docs.columns],
-        (F.col("__round") * frame + F.col("__at")).alias("mix_slot"),
-        (earlier + F.pmod(F.col("__rank"), F.lit(block_size))).alias("mix_position"),
-    )
+    sizes = marked.groupBy("__key", "__bucket").agg(F.count(F.lit(1)).alias("__n")).withColumn("__head", F.substring("__bucket", 1, HEAD))
+    before = lambda by, order: F.sum("__n").over(W.partitionBy(*by).orderBy(order)) - F.col("__n")
+    heads = sizes.groupBy("__key", "__head").agg(F.sum("__n").alias("__n")).select("__key", "__head", before(["__key"], "__head").alias("__first"))
+    firsts = sizes.select("__key", "__head", "__bucket", before(["__key", "__head"], "__bucket").alias("__more")).join(heads, ["__key", "__head"]).select("__key", "__bucket", (F.col("__first") + F.col("__more")).alias("__first"))
+    plain = [F.col(f.name) for f in docs.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    order = W.partitionBy("__key", "__bucket").orderBy("__hash", id_col, F.xxhash64(*plain))
+    ranked = marked.withColumn("__row", F.row_number().over(order) - 1).join(firsts, ["__key", "__bucket"]).withColumn("__rank", F.col("__first") + F.col("__row")).withColumn("__block", F.floor(F.col("__rank") / size))
+    placed = ranked.join(F.broadcast(blocks) if len(plan) <= 2 * most_blocks else blocks, ["__key", "__block"])
+    return placed.select(*[F.col(c) for c in docs.columns], F.col("__slot").alias("mix_slot"), (F.col("__start") + F.pmod(F.col("__rank"), F.lit(size))).alias("mix_position"))
 
 
 def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
@@ -115,33 +136,31 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
-#: The frame is simulated slot by slot by a recursive query over a list of counters.
+#: The schedule is simulated block by block by a recursive query over a list of counters.
 SQL = f"""
 WITH RECURSIVE
 n AS (SELECT coalesce('s' || source, 'null') AS k, count(*) AS n FROM documents GROUP BY 1),
-f AS (SELECT greatest({FRAME}, 10 * count(*)) AS p, count(*) AS ks, sum(n ** {TEMPERATURE}) AS total FROM n),
-x AS (SELECT k, n, p, (p - ks) * (n ** {TEMPERATURE}) / total AS e FROM n, f),
-r AS (SELECT *, row_number() OVER (ORDER BY floor(e) - e, k) AS o, p - sum(1 + floor(e)) OVER () AS spare FROM x),
-s AS (SELECT k, n, p, CAST(1 + floor(e) + CASE WHEN o <= spare THEN 1 ELSE 0 END AS BIGINT) AS a, row_number() OVER (ORDER BY k) AS i FROM r),
-l AS (SELECT list(a ORDER BY i) AS a, any_value(p) AS p FROM s),
+z AS (SELECT greatest({BLOCK_SIZE}, CAST(ceil(sum(n) / {MOST_BLOCKS}.0) AS BIGINT)) AS size FROM n),
+s AS (SELECT k, n, size, CAST(ceil(n / size) AS BIGINT) AS nb, CAST(n ** {TEMPERATURE} * {2**52}::DOUBLE AS HUGEINT) AS w, row_number() OVER (ORDER BY k) AS i FROM n, z),
+l AS (SELECT list(nb ORDER BY i) AS nb, list(w ORDER BY i) AS w, sum(w)::HUGEINT AS total, sum(nb)::BIGINT AS every FROM s),
 sim AS (
-  SELECT CAST(-1 AS BIGINT) AS slot, list_transform(l.a, lambda v: CAST(0 AS BIGINT)) AS done, CAST(0 AS BIGINT) AS pick FROM l
+  SELECT CAST(-1 AS HUGEINT) AS slot, list_transform(l.nb, lambda v: CAST(0 AS HUGEINT)) AS done, CAST(0 AS HUGEINT) AS pick, CAST(0 AS BIGINT) AS step FROM l
   UNION ALL
-  SELECT slot + 1, list_transform(done, lambda v, j: CASE WHEN j = c THEN v + 1 ELSE v END), c
+  SELECT t, list_transform(done, lambda v, j: CASE WHEN j = c THEN v + 1 ELSE v END), c, step + 1
   FROM (
-    SELECT slot, done, p, list_min(list_filter(list_transform(done, lambda v, j: CASE WHEN v < a[j] AND (v * p) // a[j] <= slot + 1
-        THEN ((((v + 1) * p + a[j] - 1) // a[j]) * 100000 + j) END), lambda v: v IS NOT NULL)) % 100000 AS c
-    FROM sim, l WHERE slot + 1 < p
+    SELECT t, done, step, list_min(list_filter(list_transform(done, lambda v, j: CASE WHEN v < nb[j] AND (v * total) // w[j] <= t
+        THEN ((((v + 1) * total + w[j] - 1) // w[j]) * 100000 + j) END), lambda v: v IS NOT NULL)) % 100000 AS c
+    FROM (
+      SELECT step, done, nb, w, total, greatest(slot + 1, list_min(list_filter(list_transform(done, lambda v, j: CASE WHEN v < nb[j] THEN (v * total) // w[j] END), lambda v: v IS NOT NULL))) AS t
+      FROM sim, l WHERE step < every
+    )
   )
 ),
-t AS (SELECT slot, pick AS i, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS turn FROM sim WHERE slot >= 0),
+t AS (SELECT slot, pick AS i, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS block FROM sim WHERE step > 0),
 d AS (
-  SELECT doc_id, source, s.i, s.a, s.p, row_number() OVER (PARTITION BY s.i ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), doc_id) - 1 AS rnk
+  SELECT doc_id, source, s.i, s.size, row_number() OVER (PARTITION BY s.i ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), doc_id) - 1 AS rnk
   FROM documents JOIN s ON s.k = coalesce('s' || source, 'null')
-),
-q AS (
-  SELECT doc_id, source, rnk, ((rnk // {BLOCK_SIZE}) // a) * p + slot AS mix_slot
-  FROM d JOIN t ON t.i = d.i AND t.turn = (rnk // {BLOCK_SIZE}) % a
 )
-SELECT doc_id, source, CAST(mix_slot AS BIGINT) AS mix_slot, row_number() OVER (ORDER BY mix_slot, rnk) - 1 AS mix_position FROM q
+SELECT doc_id, source, CAST(slot AS BIGINT) AS mix_slot, row_number() OVER (ORDER BY slot, rnk) - 1 AS mix_position
+FROM d JOIN t ON t.i = d.i AND t.block = rnk // size
 """

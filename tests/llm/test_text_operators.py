@@ -2,7 +2,8 @@ import hashlib
 import random
 import re
 from collections import Counter
-from math import log
+from fractions import Fraction
+from math import ceil, floor, log
 
 import pytest
 from helpers import WORDS, corpus, documents, prose
@@ -424,19 +425,28 @@ def test_kept_stretches_dont_change_results(model, monkeypatch):
 # -- mixing -----------------------------------------------------------------------------
 
 
-def mixing_truth(rows, block, frame, weights):
+def mixing_truth(rows, block, weights=None):
+    """Earliest deadline first over all blocks, by search, with fractions."""
     sources = {}
     for i, s in rows:
         sources.setdefault("null" if s is None else f"s{s}", []).append(i)
-    share = mixing.shares({k: weights(k, len(v)) for k, v in sources.items()}, frame)
-    plan = mixing.pfair_frame(share)
     queue = {k: sorted(v, key=lambda i: (hashlib.md5(("null" if i is None else str(i)).encode()).hexdigest(), i is not None, i or 0)) for k, v in sources.items()}
+    natural = {k: len(v) ** 0.5 for k, v in sources.items()}
+    first = natural if weights is None else {k: w for k, w in weights.items() if w > 0 and k in sources}
     out, slot = [], 0
-    while any(queue.values()):
-        k = plan[slot % len(plan)]
-        out += [(i, slot) for i in queue[k][:block]]
-        queue[k] = queue[k][block:]
-        slot += 1
+    for part in (first, {k: w for k, w in natural.items() if k not in first}):
+        whole = mixing.whole_weights(part)
+        share = {k: Fraction(w, sum(whole.values())) for k, w in whole.items()}
+        start, done = slot, Counter()
+        while any(queue[k] for k in part):
+            left = [(ceil((done[k] + 1) / share[k]), k) for k in part if queue[k] and floor(done[k] / share[k]) <= slot - start]
+            if left:
+                k = min(left)[1]
+                out += [(i, slot) for i in queue[k][:block]]
+                queue[k] = queue[k][block:]
+                done[k] += 1
+            slot += 1
+        slot = out[-1][1] + 1 if out else 0
     return Counter((i, s, p) for p, (i, s) in enumerate(out))
 
 
@@ -444,26 +454,42 @@ def test_mixture_equals_simulation(spark):
     rng = random.Random(8)
     rows = [(k, rng.choice(["a", "a", "a", "b", "c", None])) for k in range(400)] + [(None, "b")]
     df = spark.createDataFrame([(i, s, "x", "y") for i, s in rows], "doc_id long, source string, n string, key string")
-    got = mixing.mix_sources(df, block_size=3, frame=50)
-    assert Counter((r.doc_id, r.mix_slot, r.mix_position) for r in got.collect()) == mixing_truth(rows, 3, 50, lambda k, n: n**0.5)
-    assert got.columns == [*df.columns, "mix_slot", "mix_position"]
-    given = mixing.mix_sources(df, {"a": 0.7, "b": 0.2, "c": 0.1}, block_size=2, frame=60)
-    assert Counter((r.doc_id, r.mix_slot, r.mix_position) for r in given.collect()) == mixing_truth(rows, 2, 60, lambda k, n: {"sa": 0.7, "sb": 0.2}.get(k, 0.1))
+    told = lambda mixed: Counter((r.doc_id, r.mix_slot, r.mix_position) for r in mixed.collect())
+    got = mixing.mix_sources(df, block_size=3)
+    assert told(got) == mixing_truth(rows, 3) and got.columns == [*df.columns, "mix_slot", "mix_position"]
+    for given in ({"a": 0.7, "b": 0.2, "c": 0.1, None: 1e-3}, {"a": 0.0, "b": 5, "z": 1}, {}, {"a": 0}):
+        want = mixing_truth(rows, 2, {"null" if k is None else f"s{k}": w for k, w in given.items()})
+        assert told(mixing.mix_sources(df, given, block_size=2)) == want
+    assert told(mixing.mix_sources(df, most_blocks=50)) == mixing_truth(rows, 9)
+    for wrong in ({"a": -1.0}, {"a": float("nan")}, {"a": float("inf")}):
+        with pytest.raises(ValueError, match="weights"):
+            mixing.mix_sources(df, wrong)
     assert mixing.mix_sources(df.limit(0)).count() == 0
-    twice = mixing.mix_sources(df.unionByName(df), block_size=3, frame=50)
+    twice = mixing.mix_sources(df.unionByName(df.withColumn("n", pii.F.lit("z"))), block_size=3)
     assert sorted(r.mix_position for r in twice.collect()) == list(range(802))
+    again = mixing.mix_sources(df.withColumn("n", pii.F.lit("z")).unionByName(df).repartition(7), block_size=3)
+    assert Counter(map(tuple, twice.collect())) == Counter(map(tuple, again.collect()))
     assert mixing.in_mixed_order(df).columns == df.columns and mixing.in_mixed_order(df).count() == 401
 
 
-def test_no_source_strays_a_block_from_its_share():
-    for weights in ({"a": 5, "b": 3, "c": 2}, {"a": 97, "b": 1, "c": 1, "d": 1}, {str(k): k + 1 for k in range(17)}):
-        share = mixing.shares(weights, 200)
-        assert sum(share.values()) == 200
-        plan, done = mixing.pfair_frame(share), Counter()
-        for t, k in enumerate(plan, 1):
+def test_no_source_strays_a_block_from_its_weight():
+    cases = ({"a": 5.0, "b": 3.0, "c": 2.0}, {"a": 97.0, "b": 1.0, "c": 1.0, "d": 1.0}, {str(k): k + 1.0 for k in range(17)}, {"hot": 0.5, **{str(k): 0.5 / 19 for k in range(19)}}, {str(k): (k + 1) ** 0.5 for k in range(30)})
+    for weights in cases:
+        slots, whole = 20_000, mixing.whole_weights(weights)
+        total = sum(whole.values())
+        assert all(Fraction(whole[k], total) == Fraction(w) / sum(map(Fraction, weights.values())) for k, w in weights.items())
+        plan, done = mixing.pfair_schedule({k: slots for k in weights}, whole), Counter()
+        for t, (slot, k) in enumerate(plan[:slots], 1):
+            assert slot == t - 1
             done[k] += 1
-            assert all(abs(done[s] - t * a / 200) < 1 for s, a in share.items())
-        assert done == Counter(share)
+            if t % 7 < 2:
+                assert all(abs(done[s] * total - t * w) < total for s, w in whole.items())
+
+
+def test_many_sources(spark):
+    rows = spark.range(40_000).selectExpr("id AS doc_id", "CASE WHEN id < 15000 THEN 'hot' ELSE concat('s', id % 10000) END AS source")
+    got = mixing.mix_sources(rows, block_size=2).collect()
+    assert sorted(r.mix_position for r in got) == list(range(40_000)) and len({r.source for r in got}) == 10_001
 
 
 def test_mixture_equals_its_sql(spark):
