@@ -4,22 +4,25 @@ The standard library's parser streams each page as events. Block-level tags end
 line; a line knows its text, its tags, and the outermost enclosing article or main
 element. Lines inside menus, headers, footers, side bars, notices, adverts, forms,
 scripts, styles or reader comments (by element, role, or a word of class or id) are
-boilerplate. The text-to-tag ratios of the rest are smoothed with a Gaussian and
-split by a threshold of half their standard deviation, capped by their mean. Lines
-above it select the content region, which is taken whole: all article elements if a
-line of any is selected; else the innermost section-like element around all selected
-lines that has more than one line, or the page if there is none.
+boilerplate. Words of a class can mislead: an element that only such words (or a form)
+mark counts as content after all if it holds over half of the text, and, for words that
+name a frame of the page, an article or main element. The text-to-tag ratios of the rest
+are smoothed with a Gaussian and split by a threshold of half their standard deviation,
+capped by their mean. Lines above it select the content region, which is taken whole: all
+article elements if a line of any is selected; else the innermost section-like element
+around all selected lines that has more than one line, or the page if there is none.
 
 A page is read once in one pass; memory is that of one page. Defined results: null or
-empty html gives ''; broken markup is read as far as the parser recovers, and an
-end tag without a start is passed over; repeated rows give equal rows; an empty
-table gives none. Only the named columns are read.
+empty html gives ''; broken markup is read as far as the parser recovers, an end tag
+without a start and a marked section (``<![``, up to the next ``>``) are passed over;
+repeated rows give equal rows; an empty table gives none. Only the named columns are read.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -37,8 +40,14 @@ FRAME = set("nav header footer aside form menu dialog fieldset search".split())
 IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = set("article main body div section table ul ol dl blockquote td th li nav header footer aside form html".split())
 ENDS_P = set("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-#: Words of class, id or role that mark what isn't the article.
-MARKS = set("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices notification outbrain pager pagination popup promo promoted promotion related replies reply respond search share sharing sidebar skip social sponsor sponsored subscribe subscription taboola toolbar".split())
+#: Words of class, id or role that mark what isn't the article: reader
+#: comments, frames of the page, and what may also be part of an article's own name.
+COMMENTS = set("comment comments commentlist disqus replies reply respond".split())
+FRAMES = set("ad ads adv advert adverts advertisement advertising breadcrumb breadcrumbs complementary consent contentinfo cookie cookies footer gdpr menu menubar modal nav navbar navigation outbrain pager pagination sidebar taboola".split())
+PARTS = set("banner header masthead newsletter notice notices notification popup promo promoted promotion recommended related search share sharing skip social sponsor sponsored subscribe subscription teaser teasers toolbar".split())
+#: Words of a class: runs of letters, and what camel case makes of them.
+NAME = re.compile(r"[A-Za-z]+")
+CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: Elements that hold an article.
 REGION = set("article main".split())
 #: Elements that may hold the content; others (lists, tables, quotes) are part of it.
@@ -49,24 +58,28 @@ SHARE_OF_DEVIATION = 0.5
 
 
 class _Lines(HTMLParser):
-    """Lines of a page: (text, tags, article number or 0); of each section-like element
-    its first line and the one behind its last, inner elements before outer ones."""
+    """Lines of a page: (text, tags, article number or 0, numbers of the enclosing marked
+    elements); of each section-like element its first line and the one behind its last,
+    inner elements before outer ones; of each marked element whether it needs an article
+    to be content, and whether it holds one."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int]] = []
+        self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
         self.sections: list[tuple[int, int]] = []
-        self.stack: list[tuple[str, bool, int, int]] = []  # tag, boilerplate, article, first line
+        self.marked: list[list[bool]] = []
+        self.stack: list[tuple[str, bool, int, int, tuple[int, ...]]] = []  # tag, boilerplate, article, first line, marked
         self.text: list[str] = []
         self.tags = self.made = 0
 
-    def _top(self) -> tuple[str, bool, int, int]:
-        return self.stack[-1] if self.stack else ("", False, 0, 0)
+    def _top(self) -> tuple[str, bool, int, int, tuple[int, ...]]:
+        return self.stack[-1] if self.stack else ("", False, 0, 0, ())
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, self._top()[2]))
+            _, _, article, _, marked = self._top()
+            self.lines.append((text, self.tags, article, marked))
             self.tags = 0
         self.text = []
 
@@ -76,6 +89,24 @@ class _Lines(HTMLParser):
         self.sections += [(x[3], len(self.lines)) for x in reversed(self.stack[k:]) if x[0] in SECTION and x[3] < len(self.lines)]
         del self.stack[k:]
 
+    def _judge(self, tag: str, attrs: list[tuple[str, str | None]], article: int) -> tuple[bool, bool | None]:
+        """(boilerplate for sure, else whether a marked element needs an article, or None)."""
+        runs = [w for k, v in attrs if k in ("class", "id", "role") and v for w in NAME.findall(v)]
+        words = {w.lower() for run in runs for w in (run, *CAMEL.findall(run))}
+        if article:  # an article's own header holds its title
+            words.discard("header")
+        if tag in HIDDEN or tag in FRAME - {"form", "header"} or tag == "header" and not article:
+            return True, None
+        if tag in ("html", "body", "main"):
+            return False, None
+        if words & COMMENTS and tag != "article":
+            return True, None
+        if tag == "article":
+            return False, False if words & (COMMENTS | FRAMES | PARTS) else None
+        if tag == "form" or words & FRAMES:
+            return False, True
+        return False, False if words & PARTS else None
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         closes = IMPLIED.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
         if closes:
@@ -92,17 +123,19 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        _, out, article, _ = self._top()
+        _, out, article, _, marked = self._top()
         self.made += 1
         if not out:
-            # An article's own header holds its title.
-            words = {w for k, v in attrs if k in ("class", "id", "role") and v for w in re.split(r"[^a-z0-9]+", v.lower())}
-            framed = tag in FRAME and not (tag == "header" and article)
-            marked = tag not in ("html", "body") and tag not in REGION and bool(words & (MARKS - {"header"} if article else MARKS))
-            out = tag in HIDDEN or framed or marked
+            out, needs = self._judge(tag, attrs, article)
+            if tag in REGION:
+                for k in marked:
+                    self.marked[k][1] = True
+            if needs is not None:
+                marked = (*marked, len(self.marked))
+                self.marked.append([needs, False])
         if tag in REGION and not article:
             article = self.made
-        self.stack.append((tag, out, article, len(self.lines)))
+        self.stack.append((tag, out, article, len(self.lines), marked))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -121,6 +154,29 @@ class _Lines(HTMLParser):
         if not self._top()[1]:
             self.text.append(data)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else len(self.rawdata)
+
+    def content(self) -> tuple[list[tuple[str, int, int]], list[tuple[int, int]]]:
+        """Lines (text, tags, article) and sections without what marked elements hold,
+        unless it is content after all. Tags of a line that goes count for the next."""
+        held = Counter(dict.fromkeys(range(len(self.marked)), 0))
+        for text, _, _, marked in self.lines:
+            for k in marked:
+                held[k] += len(text)
+        whole = sum(len(x[0]) for x in self.lines)
+        content = [2 * held[k] > whole and (has or not needs) for k, (needs, has) in enumerate(self.marked)]
+        out, before, spare = [], [0], 0
+        for text, tags, article, marked in self.lines:
+            if all(content[k] for k in marked):
+                out.append((text, tags + spare, article))
+                spare = 0
+            else:
+                spare += tags
+            before.append(len(out))
+        return out, [(before[a], before[b]) for a, b in self.sections if before[a] < before[b]]
+
 
 def smoothed(ratios: list[float], sigma: float = SIGMA) -> list[float]:
     """Gaussian smoothing over neighbours, with weights that sum to one at the ends."""
@@ -142,7 +198,7 @@ def content_blocks(html: str | None) -> list[str]:
     parser.close()
     parser._end_line()
     parser._pop_to(0)
-    lines = parser.lines
+    lines, sections = parser.content()
     if not lines:
         return []
     ratio = smoothed([len(text) / max(1, tags) for text, tags, _ in lines])
@@ -155,7 +211,7 @@ def content_blocks(html: str | None) -> list[str]:
     if True not in chosen:
         return []
     low, high = chosen.index(True), len(chosen) - chosen[::-1].index(True)
-    first, last = next(((a, b) for a, b in parser.sections if a <= low and high <= b and b - a > 1), (0, len(lines)))
+    first, last = next(((a, b) for a, b in sections if a <= low and high <= b and b - a > 1), (0, len(lines)))
     return [text for text, _, _ in lines[first:last]]
 
 

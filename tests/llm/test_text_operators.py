@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -228,7 +229,7 @@ here.<p>Unclosed second one with more of the text.<script>var a = "<p>no</p>";</
 
 def test_main_text(spark):
     assert html_text.content_blocks(PAGE) == ["Big title", "First & bold words of a paragraph go on here.", "Unclosed second one with more of the text.", "item", "other item"]
-    assert html_text.content_blocks("<p>plain words</p></div><p>and more</p><") == ["plain words", "and more", "<"][: len(html_text.content_blocks("<p>plain words</p></div><p>and more</p><"))]
+    assert html_text.content_blocks("<p>plain words</p></div><p>and more</p><p>") == ["plain words", "and more"]
     for odd in (None, "", "   ", "<", "<div", "<!-- x", "<script>x", "&#0;&bogus;", "<a" * 50, "</p>" * 50, "<div>" * 3000):
         assert isinstance(html_text.content_blocks(odd), list)
     assert html_text.content_blocks("<div><p>long enough text of a page</p><p>b</p><p>another long text of the page</p></div>") == ["long enough text of a page", "b", "another long text of the page"]
@@ -252,6 +253,64 @@ def test_content_region_is_kept_whole():
     assert blocks(f"<article>{p(*[long] * 4)}</article><article><p>a</p><p>b</p><p>c</p><p>d</p></article>") == [line] * 4 + list("abcd")
 
 
+def test_words_of_classes():
+    long, blocks = " ".join(["many words of a long paragraph"] * 20), html_text.content_blocks
+    body = f"<p>{long}</p><p>short</p>"
+    assert blocks(f'<div class="siteNav"><a>Home</a></div><div>{body}</div>') == [long, "short"]
+    assert blocks(f'<div id="main-SideBar2"><p>Other</p></div><div>{body}</div>') == [long, "short"]
+    assert blocks(f'<article>{body}</article><article class="teaser"><p>Read this other story now</p></article>') == [long, "short"]
+    for wrap in ('<div class="search-results-story share">{}</div>', '<article class="promoted">{}</article>', '<div class="related"><main>{}</main></div>', '<div class="withSidebar"><article>{}</article></div>', '<form><article>{}</article><input></form>', '<body class="has-menu">{}'):
+        assert blocks(f"<nav>menu</nav>{wrap.format(body)}<footer>x</footer>") == [long, "short"]
+    assert blocks(f'<div>{body}</div><div class="share"><p>Share this</p></div><div class="Comments">{"<p>a reader comment</p>" * 90}</div>') == [long, "short"]
+    assert blocks(f'<article>{body}<div class="relatedLinks"><p>More</p></div><form><p>Mail</p></form></article>') == [long, "short"]
+    assert blocks(f'<section class="comments"><article class="comment"><p>{long} {long}</p></article></section><div>{body}</div>') == [long, "short"]
+
+
+def test_odd_markup_never_ends_the_job(spark):
+    rng = random.Random(9)
+    parts = ["<", ">", "![", "<![foo[bar]]>", "<![CDATA[x]]>", "<![if !IE]>", "<![", "]]>", "<!--", "-->", "<!doctype", "<?php", "?>", "</", "<p", "<p>", "</div>", "&", "&#x", "&#99999999;", "&amp", "'", '"', "=", "text ", "\x00", "\n", "<script>", "</script", "<a href=", "<!ELEMENT", "<title>", "</title>", "<textarea>", "<plaintext>", "😀", "<svg/>", "<br/>", "<article>", "<div class=nav>"]
+    pages = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 40))) for _ in range(4000)]
+    rows = [(k, "u", t) for k, t in enumerate(["<p>before</p><![foo[bar]]><p>after</p>", *pages])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in html_text.extract_main_text(df).collect()}
+    assert len(got) == len(rows) and "before" in got[0].text and "after" in got[0].text
+
+
+def test_region_equals_brute_force():
+    """Nested divs of paragraphs, a line each: the region by its definition over the tree."""
+    rng = random.Random(13)
+    for _ in range(300):
+        lines, spans, out = [], [], []
+
+        def grow(depth):
+            first = len(lines)
+            out.append("<div>")
+            grow.tags += 1
+            for _ in range(rng.randint(1, 4)):
+                if depth and rng.random() < 0.5:
+                    grow(depth - 1)
+                else:
+                    text = "w" * rng.choice([1, 3, 10, 80, 300])
+                    out.append(f"<p>{text}</p>")
+                    lines.append((text, grow.tags + 1))
+                    grow.tags = 0
+            out.append("</div>")
+            spans.append((first, len(lines)))
+
+        grow.tags = 0
+        grow(3)
+        ratio = [len(t) / g for t, g in lines]
+        bell = lambda d: math.exp(-d * d / 2)
+        near = [[k for k in range(i - 2, i + 3) if 0 <= k < len(ratio)] for i in range(len(ratio))]
+        flat = [sum(bell(k - i) * ratio[k] for k in ks) / sum(bell(k - i) for k in ks) for i, ks in enumerate(near)]
+        mean = sum(flat) / len(flat)
+        cut = min(mean, math.sqrt(sum((x - mean) ** 2 for x in flat) / len(flat)) / 2)
+        chosen = [k for k, x in enumerate(flat) if x >= cut]
+        fits = [(b - a, a, b) for a, b in spans if b - a > 1 and a <= chosen[0] and chosen[-1] < b]
+        _, a, b = min(fits, default=(0, 0, len(lines)))
+        assert html_text.content_blocks("".join(out)) == [t for t, _ in lines[a:b]]
+
+
 def test_smoothing_keeps_the_sum_of_flat_lines():
     assert all(abs(x - 5) < 1e-9 for x in html_text.smoothed([5.0] * 7)) and html_text.smoothed([]) == []
 
