@@ -73,10 +73,12 @@ def tokenize(text: Column, min_length: int = 2, drop_stopwords: bool = False) ->
     return F.filter(words, lambda w: ~w.isin(*STOPWORDS)) if drop_stopwords else words
 
 
-def media_label(title: Column, year: Column, season: Column, episode: Column) -> Column:
-    """Title (Year) SxxEyy, as far as known."""
-    number = F.when(season.isNotNull() & episode.isNotNull(), F.format_string(" S%02dE%02d", season, episode))
-    return F.concat(_text(title), F.when(year.isNotNull(), F.concat(F.lit(" ("), year.cast("string"), F.lit(")"))).otherwise(""), _text(number))
+def media_label(title: Column, year: Column, season: Column, episode: Column, media_type: Column | None = None) -> Column:
+    """Title (Year) SxxEyy, as far as known; a movie has no number."""
+    number = F.when(season.isNotNull() & episode.isNotNull(), F.format_string(" S%02dE%02d", season, episode)).when(episode.isNotNull(), F.format_string(" E%02d", episode))
+    if media_type is not None:
+        number = F.when(~media_type.eqNullSafe("movie"), number)
+    return F.concat(_text(title), F.when(year.isNotNull() & (year != 0), F.concat(F.lit(" ("), year.cast("string"), F.lit(")"))).otherwise(""), _text(number))
 
 
 def strip_language_code(name: Column) -> Column:
@@ -85,8 +87,8 @@ def strip_language_code(name: Column) -> Column:
 
 
 def base_name(path: Column) -> Column:
-    """The last part of a path."""
-    return F.regexp_extract(_text(path), r"[^/]*$", 0)
+    """The last part of a path; slashes and back-slashes separate."""
+    return F.regexp_extract(_text(path), r"[^/\\]*\z", 0)
 
 
 def extension(path: Column) -> Column:

@@ -51,8 +51,17 @@ def cue_tokens(cues: DataFrame, config: FingerprintConfig = DEFAULT) -> DataFram
 
 
 def library_fingerprints(tokens: DataFrame, config: FingerprintConfig = DEFAULT) -> DataFrame:
-    """hash, shingle_size, media_id, start_ms, end_ms: a row for each occurrence. Narrow."""
-    return tokens.select("media_id", "start_ms", "end_ms", F.explode(text_fingerprints(F.col("tokens"), config)).alias("f")).select("f.hash", "f.shingle_size", "media_id", "start_ms", "end_ms")
+    """hash, shingle_size, media_id, start_ms, end_ms: a row for each occurrence. Narrow.
+
+    Places and sizes are exploded and words picked by place, which stays in generated code;
+    outer explodes keep the planner from computing tokens twice to filter on them."""
+    sizes = [k for k in config.shingle_sizes if k > 0]
+    least, n = min(sizes), F.size("tokens")
+    at = tokens.select("media_id", "start_ms", "end_ms", "tokens", F.explode_outer(F.when(n >= least, F.sequence(F.lit(0), n - least))).alias("i")).where(F.col("i").isNotNull())
+    each = at.select("*", F.explode_outer(F.array(*map(F.lit, sizes))).alias("shingle_size")).where(F.col("i") + F.col("shingle_size") <= n)
+    word = lambda j: F.get("tokens", F.col("i") + j) if j < least else F.when(F.col("shingle_size") > j, F.get("tokens", F.col("i") + j))
+    shingle = F.concat_ws(" ", *[word(j) for j in range(max(sizes))])
+    return each.select(hash_shingle(shingle, config.hash_algorithm, config.hash_length).alias("hash"), "shingle_size", "media_id", "start_ms", "end_ms")
 
 
 def token_streams(tokens: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,12 +14,33 @@ from ..config import FingerprintConfig, FuzzyConfig, MatchConfig, NgramConfig
 from ..functions import text as T
 from ..functions.phonetics import phonetic_tokens
 from ..sources import subtitles as SRC
+from ..sources.scratch import materialise
 from . import fingerprint as FP
 from . import library as L
 from . import scoring as S
 from . import verdict as V
 
 
+class Transcriber(Protocol):
+    """Speech to text, from outside: the engine itself takes transcripts."""
+
+    def transcribe(self, path: str, start_s: float, len_s: float) -> str: ...
+
+
+def transcribe_windows(files: DataFrame, transcriber: Transcriber) -> DataFrame:
+    """``files``: query_id, path, duration_s, windows (array of start_s, len_s, as
+    ``sampling.sample_windows`` gives). query_id, part, start_s, duration_s, text: what the
+    transcriber, which travels to the executors, makes of each window."""
+
+    def heard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = [transcriber.transcribe(p, s, n) for p, s, n in zip(batch["path"], batch["start_s"], batch["len_s"])]
+            yield batch[["query_id", "part", "start_s", "duration_s"]].assign(text=texts)
+
+    each = files.select("query_id", "path", "duration_s", F.posexplode("windows").alias("part", "w")).select("query_id", "path", "duration_s", "part", "w.start_s", "w.len_s")
+    return each.mapInPandas(heard, "query_id long, part int, start_s double, duration_s double, text string")
+
+
 def encoded(rows: DataFrame, config: FingerprintConfig, language: str | None = None) -> DataFrame:
     """``rows`` with text as ``tokens``: phonetic keys where the language suits, by the
     configured one, else by the column ``language``."""
@@ -24,17 +48,24 @@ def encoded(rows: DataFrame, config: FingerprintConfig, language: str | None = N
     return rows.withColumn("tokens", phonetic_tokens(FP.text_tokens(F.col("text"), config), T.uses_phonetics(code)))
 
 
-def identify(windows: DataFrame, files: DataFrame, media: DataFrame, fingerprints: DataFrame, streams: DataFrame, match: MatchConfig = MatchConfig(), fuzzy: FuzzyConfig = FuzzyConfig(), ngram: NgramConfig = NgramConfig(), runtimes: DataFrame | None = None) -> DataFrame:
+def identify(windows: DataFrame, files: DataFrame, media: DataFrame, fingerprints: DataFrame, streams: DataFrame, match: MatchConfig = MatchConfig(), fuzzy: FuzzyConfig = FuzzyConfig(), ngram: NgramConfig = NgramConfig(), runtimes: DataFrame | None = None, factors: DataFrame | None = None, idf: DataFrame | None = None, scope: DataFrame | None = None) -> DataFrame:
     """Verdicts on a batch. ``windows``: query_id, part, start_s, duration_s, tokens. ``files``:
     query_id, filename, duration_s, n_words and, null if unknown, expected_show, query_title,
-    file_season, file_episode.
+    file_season, file_episode. ``factors`` (hash, factor) and ``idf`` (token, idf) come from a
+    library; without them they are computed from its tables. ``scope`` (query_id, media_id)
+    names candidates for the later stages.
 
-    Queries that an early stage settles are taken out of the later ones by anti-joins."""
+    What is read again is written to the shared folder: the queries, their hits and the
+    leaders of the exact stage. Queries that an early stage settles are taken out of the
+    later ones by anti-joins."""
     media = media.withColumnRenamed("title", "media_title").drop("source", "year", "media_type", "language")
-    asked = windows.groupBy("query_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "tokens"))), lambda x: x["tokens"])).alias("tokens"))
-    factors = S.idf_factors(L.document_frequency(fingerprints), media.count())
-    query = S.apply_idf(FP.weighted_query(windows, tokens="tokens"), factors)
-    hits = L.lookup(fingerprints, query).persist()
+    asked = materialise(windows.groupBy("query_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "tokens"))), lambda x: x["tokens"])).alias("tokens")))
+    heard = F.trim(F.coalesce("text", F.lit(""))) != "" if "text" in windows.columns else F.size("tokens") > 0
+    samples = windows.groupBy("query_id").agg(F.sum(heard.cast("int")).cast("int").alias("votes"), F.count(F.lit(1)).cast("int").alias("total_samples"))
+    if factors is None:
+        factors = S.idf_factors(materialise(L.document_frequency(fingerprints)), media.count())
+    query = materialise(S.apply_idf(materialise(FP.weighted_query(windows, tokens="tokens")), factors))
+    hits = materialise(L.lookup(fingerprints, query))
     scored = S.exact_scores(query, hits, match).select("query_id", "media_id", "confidence", "match_count", "rank")
     sizes = streams.select("media_id", F.size("tokens").alias("n_tokens"))
     facts = files.select("query_id", "duration_s", "n_words", "expected_show", "query_title")
@@ -42,79 +73,143 @@ def identify(windows: DataFrame, files: DataFrame, media: DataFrame, fingerprint
     def boosted(found: DataFrame) -> DataFrame:
         return V.metadata_boosts(found.select("query_id", "media_id", "confidence", "match_count", "rank").join(media, "media_id").join(facts, "query_id"))
 
-    exact = V.leaders(V.tie_breaks(boosted(scored).join(sizes, "media_id", "left"), match)).persist()
-    ordered = V.leaders(boosted(S.fuzzy_stage(asked.join(exact, "query_id", "left_anti"), streams, fuzzy, match.top_n)))
-    weak = asked.join(exact.where(F.col("confidence") >= ngram.replace_below), "query_id", "left_anti")
-    sets = V.leaders(boosted(S.ngram_stage(weak, streams, ngram, match.top_n)))
-    notes = [df.select("query_id", "media_id", F.lit(m).alias("method"), "boost_notes") for df, m in ((exact, "phonetic"), (ordered, "fuzzy"), (sets, "ngram"))]
-    told = notes[0].unionByName(notes[1]).unionByName(notes[2])
-    guess = V.cascade(exact, ordered, sets, ngram.replace_below).join(told, ["query_id", "media_id", "method"], "left").join(media, "media_id")
-    return V.verdicts(files.drop("n_words", "expected_show", "query_title"), guess, match, runtimes)
+    exact = materialise(V.leaders(V.tie_breaks(boosted(scored).join(sizes, "media_id", "left"), match)))
+    open_queries = asked.join(exact, "query_id", "left_anti")
+    ordered = materialise(V.leaders(boosted(S.fuzzy_stage(open_queries, streams, fuzzy, match.top_n, scope))))
+    # A query that is settled well enough by either stage isn't asked again.
+    firm = exact.unionByName(ordered, allowMissingColumns=True).where(F.col("confidence") >= ngram.replace_below)
+    weak = materialise(asked.join(firm, "query_id", "left_anti"))
+    found = materialise(S.ngram_stage(weak, streams, ngram, match.top_n, scope, idf))
+    sets = V.with_raw(V.leaders(boosted(found)), found)
+    guess = V.cascade(exact, ordered, sets, ngram.replace_below).join(media, "media_id")
+    return V.verdicts(files.drop("n_words", "expected_show", "query_title").join(samples, "query_id", "left"), guess, match, runtimes)
 
 
 @dataclass
 class Library:
-    """Tables media, fingerprints and streams in numbered versions of one folder. A build
-    writes a new version and its mark last, so readers never see half a library."""
+    """Tables in one folder. A build adds a folder of fingerprints and streams under ``data``
+    and a version: media, hash_df and token_df, then the names of its data folders, whose
+    mark comes last, so readers never see half a library. Older data is written again only
+    if a build replaces media."""
 
     spark: SparkSession
     path: str
     config: FingerprintConfig = FingerprintConfig()
 
+    SHAPES = {
+        "media": L.MEDIA,
+        "fingerprints": "hash string, shingle_size int, media_id long, start_ms long, end_ms long",
+        "streams": "media_id long, tokens array<string>, starts array<long>",
+        "hash_df": "hash string, df long",
+        "token_df": "token string, df long",
+    }
+
+    def _folder(self, path: str):
+        """(path, its file system) in Hadoop's terms."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return folder, folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def check_path(self) -> None:
+        """Make the library's folder; an error at once, not after a long build, if it can't be."""
+        folder, fs = self._folder(self.path)
+        if fs.exists(folder) and not fs.getFileStatus(folder).isDirectory():
+            raise ValueError(f"{self.path} is not a folder")
+        try:
+            made = fs.mkdirs(folder)
+        except Exception as e:
+            raise ValueError(f"cannot make the folder {self.path}") from e
+        if not made:
+            raise ValueError(f"cannot make the folder {self.path}")
+
     def _versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        folder, fs = self._folder(self.path)
         if not fs.exists(folder):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(folder)]
         done = [int(n[1:]) for n in names if n[0] == "v" and n[1:].isdigit()]
-        return sorted(n for n in done if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{n}/streams/_SUCCESS")))
+        return sorted(n for n in done if fs.exists(self._folder(f"{self.path}/v{n}/parts/_SUCCESS")[0]))
+
+    def _parts(self) -> list[str]:
+        versions = self._versions()
+        return sorted(r[0] for r in self.spark.read.text(f"{self.path}/v{versions[-1]}/parts").collect()) if versions else []
 
     def table(self, name: str) -> DataFrame:
         """A table of the newest version; empty before the first build."""
-        if versions := self._versions():
-            return self.spark.read.parquet(f"{self.path}/v{versions[-1]}/{name}")
-        shape = {"media": L.MEDIA, "fingerprints": "hash string, shingle_size int, media_id long, start_ms long, end_ms long", "streams": "media_id long, tokens array<string>, starts array<long>"}
-        return self.spark.createDataFrame([], shape[name])
-
-    def build(self, directory: str, runtimes: DataFrame | None = None, force: bool = False) -> dict[str, int]:
+        read = self.spark.read.schema(self.SHAPES[name])
+        if name in ("fingerprints", "streams"):
+            parts = self._parts()
+            return read.parquet(*[f"{self.path}/data/{p}/{name}" for p in parts]) if parts else self.spark.createDataFrame([], self.SHAPES[name])
+        versions = self._versions()
+        return read.parquet(f"{self.path}/v{versions[-1]}/{name}") if versions else self.spark.createDataFrame([], self.SHAPES[name])
+
+    def hash_factors(self) -> DataFrame:
+        """hash, factor, from the document frequencies that builds have written."""
+        return S.idf_factors(self.table("hash_df"), self.table("media").count())
+
+    def token_idf(self) -> DataFrame:
+        n = self.table("streams").count()
+        return S.idf_of(self.table("token_df"), n)
+
+    def build(self, directory: str, runtimes: DataFrame | None = None, force: bool = False, title: str | None = None, year: int | None = None, media_type: str | None = None, show_title: str | None = None) -> dict[str, int]:
         """Adds the subtitle files under ``directory``; files that have fingerprints already
-        are left out unless ``force``. Returns the numbers of files and fingerprints added."""
-        old = {n: self.table(n) for n in ("media", "fingerprints", "streams")}
+        are left out unless ``force``. What is given of title, year, media type and show wins
+        over the file names. Returns the numbers of files and fingerprints added."""
+        self.check_path()
+        old = {n: self.table(n) for n in self.SHAPES}
         cues = SRC.read_subtitles(self.spark, directory).withColumn("source", T.base_name(F.col("source")))
+        cues = materialise(cues)  # parsed once for all tables
         files = cues.select("source").distinct()
-        todo = files if force else L.unprocessed(files, old["media"], old["fingerprints"])
-        # Cues are parsed once for three tables.
-        cues = cues.join(todo, "source", "left_semi").persist()
+        todo = materialise(files if force else L.unprocessed(files, old["media"], old["fingerprints"]))
+        cues = cues.join(todo, "source", "left_semi")
         spoken = cues.groupBy("source").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])).alias("text"))
         language = F.lit(self.config.language) if self.config.language else T.vote_language(F.col("text"))
         length = L.subtitle_runtime(cues.withColumnRenamed("source", "media_id")).select(F.col("media_id").alias("source"), F.col("seconds").alias("duration_seconds"))
         meta = spoken.select("source", T.file_metadata(F.col("source")).alias("m"), language.alias("language")).join(length, "source", "left")
-        incoming = meta.select("m.title", "m.year", "m.media_type", "m.season", "m.episode", "source", "m.show_title", "m.episode_title", "duration_seconds", F.when(F.col("duration_seconds").isNotNull(), "subtitle").alias("duration_source"), "language")
+        told = lambda name, value, kind: F.coalesce(F.lit(value).cast(kind), F.col(f"m.{name}")).alias(name)
+        incoming = meta.select(told("title", title, "string"), told("year", year, "int"), told("media_type", media_type, "string"), "m.season", "m.episode", "source", told("show_title", show_title, "string"), "m.episode_title", "duration_seconds", F.when(F.col("duration_seconds").isNotNull(), "subtitle").alias("duration_source"), "language")
         if runtimes is not None:
             incoming = L.with_runtimes(incoming, runtimes)
-        version = f"{self.path}/v{next(reversed(self._versions()), 0) + 1}"
+        number = next(reversed(self._versions()), 0) + 1
+        version, parts = f"{self.path}/v{number}", self._parts()
         L.upsert(old["media"], incoming).write.mode("overwrite").parquet(f"{version}/media")
         media = self.spark.read.parquet(f"{version}/media")
-        fresh = media.join(todo, "source", "left_semi").select("media_id", "source", "language")
-        tokens = encoded(cues.join(fresh, "source"), self.config, "language")
-        kept = L.delete_media(fresh, old["fingerprints"], old["streams"])
-        kept[0].unionByName(FP.library_fingerprints(tokens, self.config)).write.mode("overwrite").parquet(f"{version}/fingerprints")
-        kept[1].unionByName(FP.token_streams(tokens)).write.mode("overwrite").parquet(f"{version}/streams")
-        added = self.spark.read.parquet(f"{version}/fingerprints").join(fresh, "media_id", "left_semi").count()
+        fresh = materialise(media.join(todo, "source", "left_semi").select("media_id", "source", "language"))
+        tokens = materialise(encoded(cues.join(fresh, "source"), self.config, "language"))
+
+        def put(part: str, name: str, df: DataFrame) -> DataFrame:
+            df.write.mode("overwrite").parquet(f"{self.path}/data/{part}/{name}")
+            return self.spark.read.schema(self.SHAPES[name]).parquet(f"{self.path}/data/{part}/{name}")
+
+        new = {"fingerprints": put(f"b{number}", "fingerprints", FP.library_fingerprints(tokens, self.config)), "streams": put(f"b{number}", "streams", FP.token_streams(tokens))}
+        base = {"hash_df": old["hash_df"], "token_df": old["token_df"]}
+        if not old["fingerprints"].join(fresh, "media_id", "left_semi").isEmpty():
+            kept = [put(f"r{number}", n, df) for n, df in zip(("fingerprints", "streams"), L.delete_media(fresh, old["fingerprints"], old["streams"]))]
+            parts = [f"r{number}"]
+            base = {"hash_df": L.document_frequency(kept[0]), "token_df": S.token_frequency(kept[1])}
+        # Builds hold different media, so frequencies add up.
+        more = {"hash_df": L.document_frequency(new["fingerprints"]), "token_df": S.token_frequency(new["streams"])}
+        for name, key in (("hash_df", "hash"), ("token_df", "token")):
+            base[name].select(key, "df").unionByName(more[name].select(key, "df")).groupBy(key).agg(F.sum("df").alias("df")).write.mode("overwrite").parquet(f"{version}/{name}")
+        self.spark.createDataFrame([(p,) for p in (*parts, f"b{number}")], "value string").coalesce(1).write.mode("overwrite").text(f"{version}/parts")
         done = fresh.count()
-        cues.unpersist()
-        return {"files": done, "skipped": files.count() - done, "fingerprints": added}
+        return {"files": done, "skipped": files.count() - done, "fingerprints": new["fingerprints"].count()}
+
+    def build_show(self, query: str, directory: str, year: int | None = None, **options) -> dict[str, int]:
+        """``build`` for the files of one show: "Title 1986", or a title and a year."""
+        row = self.spark.range(1).select(T.parse_query(F.lit(query)).alias("q")).first()["q"]
+        options.setdefault("show_title", row["title"])
+        return self.build(directory, title=row["title"], year=year or row["year"], **options)
 
     def identify(self, transcripts: DataFrame, **options) -> DataFrame:
-        """Verdicts on files. ``transcripts``: query_id, filename, part, start_s, duration_s, text
-        (one row for each sampled window) and, if known, expected_show."""
+        """Verdicts on files, in the order of input_pos if known. ``transcripts``: query_id,
+        filename, part, start_s, duration_s, text (one row for each sampled window) and, if
+        known, expected_show and input_pos."""
         windows = encoded(transcripts.select("query_id", "part", "start_s", "duration_s", "text"), self.config)
-        show = F.col("expected_show") if "expected_show" in transcripts.columns else F.lit(None).cast("string")
+        known = lambda c, kind: F.col(c) if c in transcripts.columns else F.lit(None).cast(kind)
         words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != ""))
-        files = transcripts.withColumns({"expected_show": show, "n": words}).groupBy("query_id").agg(F.first("filename").alias("filename"), F.max("duration_s").alias("duration_s"), F.sum("n").cast("int").alias("n_words"), F.first("expected_show", True).alias("expected_show"))
+        files = transcripts.withColumns({"expected_show": known("expected_show", "string"), "input_pos": known("input_pos", "long"), "n": words})
+        files = files.groupBy("query_id").agg(F.first("filename").alias("filename"), F.max("duration_s").alias("duration_s"), F.sum("n").cast("int").alias("n_words"), F.first("expected_show", True).alias("expected_show"), F.min("input_pos").cast("long").alias("input_pos"))
         named = T.parse_episode(F.col("filename"))
         files = files.withColumns({"query_title": named["episode_title"], "file_season": named["season"], "file_episode": named["episode"]})
-        streams = self.table("streams").persist()
-        return identify(windows, files, self.table("media"), self.table("fingerprints"), streams, **options)
+        found = identify(windows, files, self.table("media"), self.table("fingerprints"), self.table("streams"), factors=self.hash_factors(), idf=self.token_idf(), **options)
+        return found.orderBy(F.asc_nulls_last("input_pos"), "query_id")

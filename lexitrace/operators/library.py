@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import materialise
 
 MEDIA = "media_id long, title string, year int, media_type string, season int, episode int, source string, show_title string, episode_title string, duration_seconds int, duration_source string, language string"
 KEY = ["title", "year", "media_type", "season", "episode", "source"]
@@ -96,8 +97,13 @@ def upsert(media: DataFrame, incoming: DataFrame) -> DataFrame:
     old = both.select(*[a[c] for c in ["media_id", *KEY]], *[F.coalesce(F.col(f"new_{c}"), a[c]).alias(c) for c in FILLED])
     fresh = b.join(a, _same(a, b, keys), "left_anti").select(*KEY, *FILLED)
     top = media.agg(F.coalesce(F.max("media_id"), F.lit(0)).alias("top"))
-    # Ids need one order over the new rows of a batch; they are short and sorted once.
-    numbered = fresh.withColumn("rank", F.row_number().over(W.orderBy(*[F.asc_nulls_first(k) for k in KEY]))).join(F.broadcast(top), F.lit(True)).withColumn("media_id", F.col("top") + F.col("rank"))
+    # One order over all new rows, in ranges: a row's number is its place in its range
+    # behind those of the ranges before. The ranges are written, so that they stay.
+    ranged = materialise(fresh.repartitionByRange(*[F.asc_nulls_first(k) for k in KEY]).withColumn("part", F.spark_partition_id()))
+    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
+    place = F.row_number().over(W.partitionBy("part").orderBy(*[F.asc_nulls_first(k) for k in KEY]))
+    numbered = ranged.withColumn("rank", place).join(F.broadcast(before), "part").join(F.broadcast(top), F.lit(True)).withColumn("media_id", F.col("top") + F.col("before") + F.col("rank"))
     return old.unionByName(numbered.select("media_id", *KEY, *FILLED))
 
 

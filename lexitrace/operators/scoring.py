@@ -9,13 +9,16 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heappush, heappushpop
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import FuzzyConfig, MatchConfig, NgramConfig
+from ..sources.scratch import materialise
 from .fingerprint import token_ngrams
 
 
@@ -53,7 +56,10 @@ def idf_factors(df: DataFrame, n_media: int) -> DataFrame:
 
 
 def apply_idf(query: DataFrame, factors: DataFrame) -> DataFrame:
-    return query.join(factors, "hash", "left").withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(1.0))).drop("factor")
+    """``query``, best a written table, with weights times factors. Only factors of its
+    hashes are joined: a small query is broadcast to them by its size."""
+    used = factors.join(query.select("hash").distinct(), "hash", "left_semi")
+    return query.join(used, "hash", "left").withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(1.0))).drop("factor")
 
 
 def coverage(query: DataFrame, hits: DataFrame) -> DataFrame:
@@ -74,7 +80,7 @@ def top(scored: DataFrame, n: int) -> DataFrame:
 
 def exact_scores(query: DataFrame, hits: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
     """Coverage plus the bonuses of clusters and runs, 1 at most. ``hits`` is read three
-    times: keep it, or the index is probed as often."""
+    times: write it, or the index is probed as often."""
     by = ["query_id", "media_id"]
     scored = coverage(query, hits).join(clusters(hits, by, window_ms=config.window_ms), by, "left").join(longest_runs(hits, by, gap_ms=config.run_gap_ms), by, "left")
     confidence = F.least(F.lit(1.0), F.col("base") + cluster_bonus(F.col("best"), F.col("match_count")) + run_bonus(F.col("run")))
@@ -115,41 +121,88 @@ def lis_fold(places: Column) -> Column:
     return F.size(F.aggregate(F.transform(places, lambda p: p.cast("int")), none, step))
 
 
+LCS_SHAPE = "query_id long, media_id long, confidence double, match_count long, query_count long, win_start long, win_end long"
+LCS_COLUMNS = [x.split()[0] for x in LCS_SHAPE.split(", ")]
+
+
 def lcs_scores(queries: DataFrame, streams: DataFrame, config: FuzzyConfig = FuzzyConfig(), top_n: int = 5, block: int = 512) -> DataFrame:
     """``queries``: query_id, tokens; ``streams``: media_id, tokens, starts. Queries are
     a stated set, which travels to every partition of the streams in blocks of ``block``
-    queries, a pass for each: the streams are never shuffled, and each pair costs its
-    co-occurrences."""
+    queries, a pass for each; the streams are never shuffled.
+
+    Tokens that a query and a stream share, counted with repeats, bound the length of a
+    match. Each task goes through its streams by falling bound, and leaves a query when the
+    bound falls below its own ``top_n`` best, so only those are aligned and returned."""
+    spark = queries.sparkSession
     asked = [(r["query_id"], r["tokens"]) for r in queries.select("query_id", "tokens").collect()]
-    blocks = [asked[k : k + block] for k in range(0, len(asked), block)] or [[]]
-    shape = "query_id long, media_id long, confidence double, match_count long, query_count long, win_start long, win_end long"
-    out = None
-    for known in blocks:
+    out = top(spark.createDataFrame([], LCS_SHAPE), top_n)
+    for known in (asked[k : k + block] for k in range(0, len(asked), block)):
 
         def score(batches: Iterator[pd.DataFrame], known: list = known) -> Iterator[pd.DataFrame]:
-            vocabulary = {t for _, q in known for t in q}
+            place = {t: k for k, t in enumerate(dict.fromkeys(t for _, q in known for t in q))}
+            held = np.zeros((len(known), len(place)), np.int32)
+            for k, (_, q) in enumerate(known):
+                np.add.at(held[k], [place[t] for t in q], 1)
+            used = [np.flatnonzero(row) for row in held]
+            best: list[list[tuple]] = [[] for _ in known]  # heaps of (length, -media, row)
             for batch in batches:
-                rows = []
-                for media, tokens, starts in zip(batch["media_id"], batch["tokens"], batch["starts"]):
-                    index: dict[str, list[int]] = defaultdict(list)
-                    for i, t in enumerate(tokens):
-                        if t in vocabulary:
-                            index[t].append(i)
-                    for query, q in known:
-                        length, first, last = alignment(q, tokens, index)
-                        if length:
-                            rows.append((query, media, min(1.0, length / len(q) * config.weight), length, len(q), starts[first], starts[last]))
-                yield pd.DataFrame(rows, columns=["query_id", "media_id", "confidence", "match_count", "query_count", "win_start", "win_end"])
-
-        found = streams.select("media_id", "tokens", "starts").mapInPandas(score, shape)
-        out = found if out is None else out.unionByName(found)
-    return top(out, top_n)
-
-
-def fuzzy_stage(queries: DataFrame, streams: DataFrame, config: FuzzyConfig = FuzzyConfig(), top_n: int = 5) -> DataFrame:
+                found = [[(place[t], i) for i, t in enumerate(tokens) if t in place] for tokens in batch["tokens"]]
+                counts = np.zeros((len(batch), len(place)), np.int32)
+                for k, at in enumerate(found):
+                    np.add.at(counts[k], [p for p, _ in at], 1)
+                index: dict[int, dict[int, list[int]]] = {}
+                media, starts = batch["media_id"].tolist(), batch["starts"].tolist()
+                for k, (query, q) in enumerate(known):
+                    bound = np.minimum(counts[:, used[k]], held[k, used[k]]).sum(axis=1)
+                    for row in np.argsort(-bound, kind="stable").tolist():
+                        if not bound[row] or len(best[k]) == top_n and bound[row] < best[k][0][0]:
+                            break
+                        if row not in index:
+                            index[row] = defaultdict(list)
+                            for p, i in found[row]:
+                                index[row][p].append(i)
+                        length, first, last = alignment([place[t] for t in q], [], index[row])
+                        entry = (length, -media[row], (query, media[row], min(1.0, length / len(q) * config.weight), length, len(q), starts[row][first], starts[row][last]))
+                        (heappush if len(best[k]) < top_n else heappushpop)(best[k], entry)
+            yield pd.DataFrame([x for heap in best for _, _, x in heap], columns=LCS_COLUMNS)
+
+        out = out.unionByName(top(streams.select("media_id", "tokens", "starts").mapInPandas(score, LCS_SHAPE), top_n))
+    return out
+
+
+def scoped_pairs(queries: DataFrame, streams: DataFrame, scope: DataFrame) -> DataFrame:
+    """query_id, media_id of the candidates in ``scope`` that have a stream."""
+    wanted = scope.select("query_id", "media_id").distinct().join(queries.select("query_id"), "query_id", "left_semi")
+    return materialise(wanted.join(streams.select("media_id"), "media_id", "left_semi").select("query_id", "media_id"))
+
+
+def pair_lcs_scores(pairs: DataFrame, queries: DataFrame, streams: DataFrame, config: FuzzyConfig = FuzzyConfig(), top_n: int = 5) -> DataFrame:
+    """``lcs_scores`` of given pairs (query_id, media_id) only."""
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for query, media, q, tokens, starts in zip(batch["query_id"], batch["media_id"], batch["asked"], batch["tokens"], batch["starts"]):
+                length, first, last = alignment(list(q), list(tokens))
+                if length:
+                    rows.append((query, media, min(1.0, length / len(q) * config.weight), length, len(q), starts[first], starts[last]))
+            yield pd.DataFrame(rows, columns=LCS_COLUMNS)
+
+    asked = queries.select("query_id", F.col("tokens").alias("asked"))
+    both = pairs.join(asked, "query_id").join(streams.select("media_id", "tokens", "starts"), "media_id")
+    return top(both.select("query_id", "media_id", "asked", "tokens", "starts").mapInPandas(score, LCS_SHAPE), top_n)
+
+
+def fuzzy_stage(queries: DataFrame, streams: DataFrame, config: FuzzyConfig = FuzzyConfig(), top_n: int = 5, scope: DataFrame | None = None) -> DataFrame:
     """Ordered matches of queries with enough tokens, above the least ratio; nothing for
-    a query whose best two are closer than the margin."""
-    scored = lcs_scores(queries.where(F.size("tokens") >= config.min_query_tokens), streams, config, top_n)
+    a query whose best two are closer than the margin. ``scope`` (query_id, media_id) limits
+    a query to its candidates; one without candidates that have a stream meets them all."""
+    asked = queries.where(F.size("tokens") >= config.min_query_tokens)
+    if scope is None:
+        scored = lcs_scores(asked, streams, config, top_n)
+    else:
+        pairs = scoped_pairs(asked, streams, scope)
+        scored = pair_lcs_scores(pairs, asked, streams, config, top_n).unionByName(lcs_scores(asked.join(pairs, "query_id", "left_anti"), streams, config, top_n))
     return clear_winners(scored.where(F.col("confidence") >= config.min_lcs_ratio), config.min_margin)
 
 
@@ -162,40 +215,70 @@ def clear_winners(ranked: DataFrame, margin: float) -> DataFrame:
 # -- sets of n-grams --------------------------------------------------------------------
 
 
-def token_idf(streams: DataFrame) -> DataFrame:
-    """token, idf over the streams."""
-    n = streams.count()
-    df = streams.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    return df.select("token", "df", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+def token_frequency(streams: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """token, df: the streams that hold it, or those of each group ``by``."""
+    return streams.select(*by, F.explode(F.array_distinct("tokens")).alias("token")).groupBy(*by, "token").agg(F.count(F.lit(1)).alias("df"))
+
+
+def idf_of(tokens: DataFrame, n: int | Column) -> DataFrame:
+    """``tokens`` (token, df) with idf among ``n`` streams."""
+    return tokens.withColumn("idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0)
+
+
+def token_idf(streams: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """token, df, idf over the streams, or over those of each group ``by``."""
+    if not by:
+        return idf_of(token_frequency(streams), streams.count())
+    size = streams.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    return idf_of(token_frequency(streams, by).join(size, list(by)), F.col("n")).drop("n")
 
 
-def _weighted_grams(rows: DataFrame, key: str, idf: DataFrame, n: int) -> DataFrame:
-    """key, gram, weight: distinct n-grams, with the mean weight of their tokens."""
-    grams = rows.select(key, F.explode(F.array_distinct(token_ngrams(F.col("tokens"), n))).alias("gram"))
-    words = grams.select("gram").distinct().select("gram", F.explode(F.split("gram", " ")).alias("token"))
-    weight = words.join(idf.select("token", "idf"), "token", "left").groupBy("gram").agg((F.sum(F.coalesce("idf", F.lit(1.0))) / n).alias("weight"))
-    return grams.join(weight, "gram")
+def _weighted_grams(rows: DataFrame, keys: list[str], idf: DataFrame, n: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """keys, gram, weight: distinct n-grams, with the mean weight of their tokens. ``idf``
+    is joined once for each token of a gram: a small vocabulary is broadcast by its size."""
+    grams = rows.select(*keys, F.explode(F.array_distinct(token_ngrams(F.col("tokens"), n))).alias("gram"))
+    words, total = grams.withColumn("w", F.split("gram", " ")), F.lit(0.0)
+    for k in range(n):
+        words = words.withColumn("token", F.get("w", F.lit(k))).join(idf.select(*by, "token", F.col("idf").alias(f"idf{k}")), [*by, "token"], "left").drop("token")
+        total = total + F.coalesce(f"idf{k}", F.lit(1.0))
+    return words.select(*keys, "gram", (total / n).alias("weight"))
 
 
-def ngram_dice(queries: DataFrame, streams: DataFrame, n: int = 2) -> DataFrame:
+def ngram_dice(queries: DataFrame, streams: DataFrame, n: int = 2, idf: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """query_id, media_id, confidence (weighted Dice), match_count, query_count. Only
-    pairs that share an n-gram meet, through a join on the n-gram."""
-    idf = token_idf(streams)
-    a, b = _weighted_grams(queries, "query_id", idf, n), _weighted_grams(streams, "media_id", idf, n)
+    pairs that share an n-gram meet, through a join on the n-gram. ``idf`` may come from a
+    library. With ``pairs`` (query_id, media_id) each query meets its own candidates, which
+    are also the documents of its idf."""
+    if pairs is None:
+        by, own = (), ["media_id"]
+    else:
+        by, own = ("query_id",), ["query_id", "media_id"]
+        streams = materialise(pairs.join(streams.select("media_id", "tokens"), "media_id"))
+        queries = queries.join(pairs.select("query_id").distinct(), "query_id", "left_semi")
+    idf = materialise(token_idf(streams, by)) if idf is None or by else idf
+    a = materialise(_weighted_grams(queries, ["query_id"], idf, n, by))
+    b = _weighted_grams(streams, own, idf, n, by)
     mass_a = a.groupBy("query_id").agg(F.sum("weight").alias("wa"))
     # A gram weighs the same on either side; only grams of queries have to be joined.
-    shared = b.join(a.select("query_id", "gram"), "gram").groupBy("query_id", "media_id").agg(F.sum("weight").alias("ws"), F.count(F.lit(1)).alias("match_count"))
-    mass_b = b.groupBy("media_id").agg(F.sum("weight").alias("wb"))
+    shared = b.join(a.select("query_id", "gram"), [*by, "gram"]).groupBy("query_id", "media_id").agg(F.sum("weight").alias("ws"), F.count(F.lit(1)).alias("match_count"))
+    shared = materialise(shared)
+    mass_b = b.join(shared.select(*own).distinct(), own, "left_semi").groupBy(*own).agg(F.sum("weight").alias("wb"))
     size = queries.select("query_id", F.greatest(F.lit(1), F.size("tokens") - n + 1).cast("long").alias("query_count"))
-    out = shared.join(mass_a, "query_id").join(mass_b, "media_id").join(size, "query_id")
+    out = shared.join(mass_a, "query_id").join(mass_b, own).join(size, "query_id")
     return out.select("query_id", "media_id", F.least(F.lit(1.0), 2.0 * F.col("ws") / (F.col("wa") + F.col("wb"))).alias("confidence"), "match_count", "query_count")
 
 
-def ngram_stage(queries: DataFrame, streams: DataFrame, config: NgramConfig = NgramConfig(), top_n: int = 5) -> DataFrame:
+def ngram_stage(queries: DataFrame, streams: DataFrame, config: NgramConfig = NgramConfig(), top_n: int = 5, scope: DataFrame | None = None, idf: DataFrame | None = None) -> DataFrame:
     """Set matches of queries with enough tokens; nothing below the least similarity of
-    the best, or for a query whose best two are closer than the margin."""
+    the best, or for a query whose best two are closer than the margin. ``scope`` is that of
+    ``fuzzy_stage``."""
     asked = queries.where(F.size("tokens") >= max(config.n + 1, 4))
-    ranked = top(ngram_dice(asked, streams, config.n), top_n)
+    if scope is None:
+        scored = ngram_dice(asked, streams, config.n, idf)
+    else:
+        pairs = scoped_pairs(asked, streams, scope)
+        scored = ngram_dice(asked, streams, config.n, pairs=pairs).unionByName(ngram_dice(asked.join(pairs, "query_id", "left_anti"), streams, config.n, idf))
+    ranked = top(scored, top_n)
     best = F.max("confidence").over(W.partitionBy("query_id"))
     return clear_winners(ranked.withColumn("best", best).where(F.col("best") >= config.min_similarity).drop("best"), config.min_margin)
 

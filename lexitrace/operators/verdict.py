@@ -75,17 +75,25 @@ def leaders(ranked: DataFrame) -> DataFrame:
 
 def cascade(exact: DataFrame, fuzzy: DataFrame, ngram: DataFrame, replace_below: float = 0.40) -> DataFrame:
     """One guess for each query: exact, or fuzzy where exact has none; an n-gram guess
-    replaces one below ``replace_below`` if it is strictly better. All three: leaders."""
-    keep = ["query_id", "media_id", "confidence", "match_count", "margin"]
-    tag = lambda df, name: df.select(*keep, F.lit(name).alias("method"))
+    replaces one below ``replace_below`` if its ``raw`` confidence, that of the stage's first
+    before boosts, is strictly better. All three: leaders with boost_notes. The notes of a
+    guess that was replaced stay, as ``early_notes``."""
+    keep = ["query_id", "media_id", "confidence", "match_count", "boost_notes", "margin"]
+    tag = lambda df, name, *more: df.select(*keep, *more, F.lit(name).alias("method"))
     # A fuzzy leader's margin isn't carried to the gates.
     early = tag(exact, "phonetic").unionByName(tag(fuzzy.join(exact, "query_id", "left_anti"), "fuzzy").withColumn("margin", F.lit(None).cast("double")))
-    late = tag(ngram, "ngram").select("query_id", *[F.col(c).alias(f"late_{c}") for c in [*keep[1:], "method"]])
+    late = tag(ngram, "ngram", "raw").select("query_id", *[F.col(c).alias(f"late_{c}") for c in [*keep[1:], "raw", "method"]])
     both = early.join(late, "query_id", "full_outer")
-    take = F.col("late_confidence").isNotNull() & (F.col("confidence").isNull() | ((F.col("confidence") < replace_below) & (F.col("late_confidence") > F.col("confidence"))))
+    take = F.col("late_raw").isNotNull() & (F.col("confidence").isNull() | ((F.col("confidence") < replace_below) & (F.col("late_raw") > F.col("confidence"))))
     pick = lambda c: F.when(take, F.col(f"late_{c}")).otherwise(F.col(c)).alias(c)
     margin = F.when(take, F.coalesce("late_margin", "margin")).otherwise(F.col("margin")).alias("margin")
-    return both.select("query_id", *[pick(c) for c in ("media_id", "confidence", "match_count", "method")], margin)
+    notes = F.when(take, F.nullif(F.col("boost_notes"), F.lit(""))).alias("early_notes")
+    return both.select("query_id", *[pick(c) for c in ("media_id", "confidence", "match_count", "boost_notes", "method")], margin, notes)
+
+
+def with_raw(leading: DataFrame, found: DataFrame) -> DataFrame:
+    """Leaders after boosts with ``raw``, the best confidence of a query before them."""
+    return leading.join(found.groupBy("query_id").agg(F.max("confidence").alias("raw")), "query_id")
 
 
 def review_threshold(base: float, match_count: Column, boosted: Column) -> Column:
@@ -100,7 +108,12 @@ def _whole(x: Column) -> Column:
 
 def verdicts(files: DataFrame, guesses: DataFrame, config: MatchConfig = DEFAULT, runtimes: DataFrame | None = None) -> DataFrame:
     """A row for each file. ``guesses``: query_id, media columns, confidence, match_count,
-    margin, method, boost_notes. ``runtimes``: episode_id, minutes."""
+    margin, method, boost_notes and, if known, early_notes. ``runtimes``: episode_id, minutes.
+    Files may have votes and total_samples, the windows with speech and all, and input_pos."""
+    blank = {"votes": "int", "total_samples": "int", "input_pos": "long"}
+    files = files.withColumns({c: F.lit(None).cast(t) for c, t in blank.items() if c not in files.columns})
+    if "early_notes" not in guesses.columns:
+        guesses = guesses.withColumn("early_notes", F.lit(None).cast("string"))
     out = files.join(guesses, "query_id", "left")
     none = F.col("confidence").isNull()
     if runtimes is None:
@@ -127,11 +140,13 @@ def verdicts(files: DataFrame, guesses: DataFrame, config: MatchConfig = DEFAULT
     status = F.when(none | ~confident, "unknown").when(right, "correct").otherwise("rename")
     mins = lambda s: F.concat(_whole(s / 60.0), F.lit("m"))
     percent = F.concat(_whole(rel * 100), F.lit("% off"))
+    #: The texts of notes.
     notes = F.concat_ws(
         "; ",
+        "early_notes",
         F.when(boosted, F.col("boost_notes")),
         F.when(F.col("method") == "ngram", "matched via n-gram fallback"),
-        F.when(none, "no match"),
+        F.when(none, F.when(F.col("votes") == 0, "no speech recognised").otherwise("no match")),
         F.when(low, F.concat(F.lit("low confidence "), _whole(F.col("confidence") * 100), F.lit("%"))),
         F.when(unclear, F.concat(F.lit("ambiguous: runner-up within "), _whole(F.col("margin") * 100), F.lit("%"))),
         F.when(off_run, F.concat(F.lit("runtime "), _whole(minutes), F.lit("m vs expected "), F.col("expected_min").cast("string"), F.lit("m"))),
@@ -157,6 +172,9 @@ def verdicts(files: DataFrame, guesses: DataFrame, config: MatchConfig = DEFAULT
         F.round("duration_s", 1).alias("duration_s"),
         review.alias("needs_review"),
         notes.alias("notes"),
+        F.when(~none, F.col("votes")).alias("votes"),
+        F.when(~none, F.col("total_samples")).alias("total_samples"),
+        "input_pos",
     )
 
 
@@ -169,7 +187,7 @@ def status_bucket(needs_review: Column, name_status: Column) -> Column:
 
 def find_results(results: DataFrame, text: str = "", status: str | None = None) -> DataFrame:
     """Rows that hold ``text`` in a visible column, in one bucket."""
-    words = F.lower(F.concat_ws(" ", "filename", "episode_id", "title", "suggested_filename"))
+    words = F.lower(F.concat_ws(" ", "filename", "episode_id", "episode_title", "suggested_filename"))
     out = results.where(words.contains(text.strip().lower()))
     return out.where(status_bucket(F.col("needs_review"), F.col("name_status")) == status) if status else out
 
@@ -183,16 +201,25 @@ def status_counts(results: DataFrame) -> DataFrame:
 
 
 def sort_results(results: DataFrame, column: str, ascending: bool = True) -> DataFrame:
-    """By a column; unknown seasons and episodes count as -1, text without case."""
-    kind = dict(results.dtypes)[column]
-    key = F.coalesce(F.col(column), F.lit(-1)) if column in ("season", "episode") else F.lower(F.coalesce(column, F.lit(""))) if kind == "string" else F.col(column)
-    return results.orderBy(key.asc() if ascending else key.desc(), "query_id")
+    """By a column: text without case; an episode by season and number, unknown ones as -1;
+    status by its bucket, agreement by the share of votes (0 without samples)."""
+    number = lambda c: F.coalesce(F.col(c), F.lit(-1))
+    keys = {
+        "episode_id": [number("season"), number("episode")],
+        "season": [number("season")],
+        "episode": [number("episode")],
+        "status": [status_bucket(F.col("needs_review"), F.col("name_status"))],
+        "agreement": [F.coalesce(F.try_divide("votes", "total_samples"), F.lit(0.0))],
+    }.get(column)
+    if keys is None:
+        keys = [F.lower(F.coalesce(column, F.lit(""))) if dict(results.dtypes)[column] == "string" else F.col(column)]
+    return results.orderBy(*[k.asc() if ascending else k.desc() for k in keys], "query_id")
 
 
 def title_mismatch(filename: Column, title: Column) -> Column:
-    """Whether a file's own episode title differs from ``title``; false if it has none."""
+    """Whether a file's own episode title differs from ``title``; false if either is none."""
     own = T.parse_episode(filename)["episode_title"]
-    return F.coalesce(own.isNotNull() & ~T.same_title(own, title), F.lit(False))
+    return F.coalesce(own.isNotNull() & (F.trim(title) != "") & ~T.same_title(own, title), F.lit(False))
 
 
 def rename_plan(results: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from ..operators import scoring as S
 from ..operators import verdict as V
 from ..operators.identify import identify
 from ..sources import subtitles as SRC
+from ..sources.scratch import materialise, scratch_dir
 from ..sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,12 +38,27 @@ def query(sql: str | None = None):
     return register
 
 
+#: Tables of the library over a folder of driver tables, by application, folder and name.
+_BUILT: dict[tuple[str, str, str], str] = {}
+
+
+def _built(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A library table: written to the shared folder when a query first asks for it, as a
+    build would, and read from there by all later ones of the application."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _BUILT:
+        path = scratch_dir(spark)
+        make().write.parquet(path)
+        _BUILT[key] = path
+    return spark.read.parquet(_BUILT[key])
+
+
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FP.cue_tokens(SRC.documents_as_cues(read_table(spark, sf_dir, "documents")))
 
 
 def _fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FP.library_fingerprints(_tokens(spark, sf_dir))
+    return _built(spark, sf_dir, "fingerprints", lambda: FP.library_fingerprints(_tokens(spark, sf_dir)))
 
 
 def _media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,15 +70,23 @@ def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FP.weighted_query(_windows(spark, sf_dir))
+    return materialise(FP.weighted_query(_windows(spark, sf_dir)))
+
+
+def _hash_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _built(spark, sf_dir, "hash_df", lambda: L.document_frequency(_fingerprints(spark, sf_dir)))
 
 
 def _idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.idf_factors(L.document_frequency(_fingerprints(spark, sf_dir)), read_table(spark, sf_dir, "documents").count())
+    return S.idf_factors(_hash_df(spark, sf_dir), read_table(spark, sf_dir, "documents").count())
 
 
 def _streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FP.token_streams(_tokens(spark, sf_dir))
+    return _built(spark, sf_dir, "streams", lambda: FP.token_streams(_tokens(spark, sf_dir)))
+
+
+def _token_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _built(spark, sf_dir, "token_idf", lambda: S.token_idf(_streams(spark, sf_dir)))
 
 
 def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,15 +119,15 @@ def _shingles(source: str, keep: str) -> str:
 
 CUES = f"""cue AS (SELECT doc_id AS media_id, unnest(range(0, len(l))) AS pos, unnest(l) AS text
   FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
-tok AS (SELECT media_id, pos, pos * 3000 AS start_ms, pos * 3000 + 2500 AS end_ms, {_words('text')} AS w FROM cue)"""
-FPS = f"{CUES}, fp AS ({_shingles('tok', 'media_id, start_ms, end_ms')})"
+tok AS MATERIALIZED (SELECT media_id, pos, pos * 3000 AS start_ms, pos * 3000 + 2500 AS end_ms, {_words('text')} AS w FROM cue)"""
+FPS = f"{CUES}, fp AS MATERIALIZED ({_shingles('tok', 'media_id, start_ms, end_ms')})"
 WINDOWS = f"""win AS (SELECT query_id, part, (part + 0.5::DOUBLE) / 3 * 1400.0::DOUBLE AS start_s, 1400.0::DOUBLE AS duration_s, {_words("array_to_string(a[part * k + 1:part * k + k], ' ')")} AS w
   FROM (SELECT item_id AS query_id, a, CAST(ceil(len(a) / 3) AS BIGINT) AS k, unnest([0, 1, 2]) AS part FROM (SELECT item_id, string_split_regex(text, '\\s+') AS a FROM benchmark))),
 weighed AS (SELECT query_id, w, CASE WHEN f BETWEEN 0.2 AND 0.8 THEN 1.0::DOUBLE WHEN f < 0.2 THEN 0.6::DOUBLE + f / 0.2::DOUBLE * 0.4::DOUBLE ELSE 0.6::DOUBLE + (1.0::DOUBLE - f) / 0.2::DOUBLE * 0.4::DOUBLE END AS weight
   FROM (SELECT *, start_s / duration_s AS f FROM win)),
 q AS (SELECT query_id, hash, max(weight) AS weight FROM ({_shingles('weighed', 'query_id, weight')}) GROUP BY ALL)"""
-IDF = """df AS (SELECT hash, count(DISTINCT media_id) AS df FROM fp GROUP BY hash),
-idf AS (SELECT hash, df, ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df)) + 1.0::DOUBLE AS idf FROM df, (SELECT count(*) AS n FROM documents)),
+IDF = """df AS MATERIALIZED (SELECT hash, count(DISTINCT media_id) AS df FROM fp GROUP BY hash),
+idf AS MATERIALIZED (SELECT hash, df, ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df)) + 1.0::DOUBLE AS idf FROM df, (SELECT count(*) AS n FROM documents)),
 factor AS (SELECT hash, df, least(3.0::DOUBLE, greatest(0.35::DOUBLE, idf / (SELECT avg(idf) FROM idf))) AS factor FROM idf)"""
 QI = "qi AS (SELECT q.query_id, q.hash, q.weight * coalesce(factor, 1.0::DOUBLE) AS weight FROM q LEFT JOIN factor USING (hash))"
 HITS = "hit AS (SELECT DISTINCT query_id, hash FROM q), hits AS (SELECT query_id, hash, media_id, start_ms FROM hit JOIN fp USING (hash))"
@@ -278,7 +302,7 @@ def scoped_count(spark, sf_dir):
 
 @query(f"WITH {FPS} SELECT hash, count(DISTINCT media_id) AS df FROM fp GROUP BY 1")
 def hash_document_frequency(spark, sf_dir):
-    return L.document_frequency(_fingerprints(spark, sf_dir))
+    return _hash_df(spark, sf_dir)
 
 
 @query(f"WITH {FPS}, {IDF} SELECT hash, round(factor, 6) AS factor FROM factor")
@@ -314,17 +338,19 @@ def null_safe_resolve(spark, sf_dir):
     return L.resolve_episodes(media, media.join(bad, "media_id", "left_semi"))
 
 
+#: All documents are the old library; of what labels bring, good rows are known and bad
+#: ones new.
 @query(
-    """WITH old AS (SELECT doc_id AS media_id, 'doc ' || doc_id AS title, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 1 END AS season, lang AS language, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 60 END AS d FROM documents WHERE doc_id % 2 = 0),
-inc AS (SELECT 'doc ' || doc_id AS title, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 1 END AS season, CASE WHEN quality = 1 THEN 'fr' END AS language, 90 + toxic AS d FROM labels),
+    """WITH old AS (SELECT doc_id AS media_id, 'doc ' || doc_id AS title, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 1 END AS season, lang AS language, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 60 END AS d FROM documents),
+inc AS (SELECT CASE WHEN quality = 0 THEN 'new ' ELSE 'doc ' END || doc_id AS title, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 1 END AS season, CASE WHEN toxic = 1 THEN 'fr' END AS language, 90 + toxic AS d FROM labels),
 fresh AS (SELECT inc.* FROM inc LEFT JOIN old USING (title) WHERE old.title IS NULL)
 SELECT media_id, title, season, coalesce(inc_language, language) AS language, coalesce(inc_d, d)::INTEGER AS duration_seconds FROM (SELECT old.*, inc.language AS inc_language, inc.d AS inc_d FROM old LEFT JOIN inc USING (title))
 UNION ALL SELECT (SELECT max(media_id) FROM old) + row_number() OVER (ORDER BY title), title, season, language, d::INTEGER FROM fresh"""
 )
 def upsert_backfill(spark, sf_dir):
     same = ["CAST(NULL AS INT) AS year", "'tv' AS media_type", "CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 1 END AS season", "CAST(NULL AS INT) AS episode", "'x' AS source", "CAST(NULL AS STRING) AS show_title", "CAST(NULL AS STRING) AS episode_title"]
-    old = read_table(spark, sf_dir, "documents").where("doc_id % 2 = 0").selectExpr("doc_id AS media_id", "concat('doc ', doc_id) AS title", *same, "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 60 END AS duration_seconds", "CAST(NULL AS STRING) AS duration_source", "lang AS language")
-    new = read_table(spark, sf_dir, "labels").selectExpr("concat('doc ', doc_id) AS title", *same, "CAST(90 + toxic AS INT) AS duration_seconds", "CAST(NULL AS STRING) AS duration_source", "CASE WHEN quality = 1 THEN 'fr' END AS language")
+    old = read_table(spark, sf_dir, "documents").selectExpr("doc_id AS media_id", "concat('doc ', doc_id) AS title", *same, "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 60 END AS duration_seconds", "CAST(NULL AS STRING) AS duration_source", "lang AS language")
+    new = read_table(spark, sf_dir, "labels").selectExpr("concat(CASE WHEN quality = 0 THEN 'new ' ELSE 'doc ' END, doc_id) AS title", *same, "CAST(90 + toxic AS INT) AS duration_seconds", "CAST(NULL AS STRING) AS duration_source", "CASE WHEN toxic = 1 THEN 'fr' END AS language")
     return L.upsert(old, new).select("media_id", "title", "season", "language", "duration_seconds")
 
 
@@ -388,7 +414,7 @@ def time_weighted_query(spark, sf_dir):
 @query(f"WITH {FPS}, {WINDOWS}, {HITS}, {_coverage('q')} SELECT query_id, media_id, round(base, 6) AS base, match_count, query_count FROM cov")
 def weighted_coverage(spark, sf_dir):
     asked = _query(spark, sf_dir)
-    return S.coverage(asked, L.lookup(_fingerprints(spark, sf_dir), asked)).withColumn("base", F.round("base", 6))
+    return S.coverage(asked, materialise(L.lookup(_fingerprints(spark, sf_dir), asked))).withColumn("base", F.round("base", 6))
 
 
 def _event_hits(spark, sf_dir):
@@ -421,8 +447,8 @@ def contiguous_run_bonus(spark, sf_dir):
 
 
 def _exact(spark, sf_dir):
-    asked = S.apply_idf(_query(spark, sf_dir), _idf(spark, sf_dir))
-    return S.exact_scores(asked, L.lookup(_fingerprints(spark, sf_dir), asked).persist())
+    asked = materialise(S.apply_idf(_query(spark, sf_dir), _idf(spark, sf_dir)))
+    return S.exact_scores(asked, materialise(L.lookup(_fingerprints(spark, sf_dir), asked)))
 
 
 @query(f"WITH {FPS}, {WINDOWS}, {IDF}, {QI}, {HITS}, {_coverage('qi')}, {EXACT} SELECT query_id, media_id, round(confidence, 6) AS confidence, match_count, rank FROM ranked WHERE rank <= 5")
@@ -472,7 +498,7 @@ dice AS (SELECT query_id, media_id, least(1.0::DOUBLE, 2 * sh.w / (sa.w + sb.w))
 
 @query(f"WITH {_DICE} SELECT query_id, media_id, round(confidence, 6) AS confidence, match_count, query_count FROM dice")
 def ngram_dice(spark, sf_dir):
-    return S.ngram_dice(_transcripts(spark, sf_dir), _streams(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
+    return S.ngram_dice(_transcripts(spark, sf_dir), _streams(spark, sf_dir), idf=_token_idf(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
 
 
 @query(
@@ -481,7 +507,7 @@ g AS (SELECT *, max(confidence) OVER (PARTITION BY query_id) AS best, max(CASE W
 SELECT query_id, media_id, round(confidence, 6) AS confidence, match_count, rank FROM g WHERE rank <= 5 AND best >= 0.2 AND (gap IS NULL OR gap >= 0.05)"""
 )
 def ngram_stage(spark, sf_dir):
-    found = S.ngram_stage(_transcripts(spark, sf_dir), _streams(spark, sf_dir))
+    found = S.ngram_stage(_transcripts(spark, sf_dir), _streams(spark, sf_dir), idf=_token_idf(spark, sf_dir))
     return found.select("query_id", "media_id", F.round("confidence", 6).alias("confidence"), "match_count", F.col("rank").cast("long").alias("rank"))
 
 
@@ -548,7 +574,7 @@ def metadata_boosts(spark, sf_dir):
     return found.select("query_id", "media_id", F.round("confidence", 6).alias("confidence"), F.col("rank").cast("long").alias("rank"), "boost_notes")
 
 
-def _results(spark, sf_dir):
+def _results(spark, sf_dir, runtimes=None):
     """Verdicts on made-up files, one for each leader of ``_candidates``."""
     docs = read_table(spark, sf_dir, "documents")
     files = docs.selectExpr("CAST(doc_id AS BIGINT) AS query_id", "concat('Show.S0', doc_id % 4 + 1, 'E0', doc_id % 8 + 1, '.mkv') AS filename", "n_chars / 10.0D AS duration_s")
@@ -556,7 +582,7 @@ def _results(spark, sf_dir):
     files = files.withColumns({"file_season": named["season"], "file_episode": named["episode"]})
     media = docs.selectExpr("doc_id AS media_id", "concat('doc ', doc_id) AS media_title", "source AS show_title", "concat('Part ', doc_id % 7) AS episode_title", "CAST(doc_id % 4 + 1 AS INT) AS season", "CAST(doc_id % 8 + 1 AS INT) AS episode", "CASE WHEN doc_id % 2 = 0 THEN 'manual' ELSE 'subtitle' END AS duration_source")
     lead = V.leaders(_candidates(spark, sf_dir).drop("duration_s", "n_words")).join(media, "media_id").withColumns({"method": F.lit("phonetic"), "boost_notes": F.lit("")})
-    return V.verdicts(files, lead)
+    return V.verdicts(files, lead, runtimes=runtimes)
 
 
 _VERDICT = f"""{_CAND},
@@ -593,6 +619,5 @@ def identify_batch(spark, sf_dir):
     """The whole cascade for every benchmark item: exact, ordered, set, boosts, verdict."""
     files = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("item"), "item_id", F.lit(".mkv")).alias("filename"), F.lit(1400.0).alias("duration_s"), F.size(F.split("text", r"\s+")).alias("n_words"), F.lit(None).cast("string").alias("expected_show"), F.lit(None).cast("string").alias("query_title"), F.lit(None).cast("int").alias("file_season"), F.lit(None).cast("int").alias("file_episode"))
     windows = _windows(spark, sf_dir).withColumn("tokens", FP.text_tokens(F.col("text")))
-    # Built once, as a library is: its tables are read again and again.
-    tokens = _tokens(spark, sf_dir).persist()
-    return identify(windows, files, _media(spark, sf_dir), FP.library_fingerprints(tokens), FP.token_streams(tokens).persist())
+    found = identify(windows, files, _media(spark, sf_dir), _fingerprints(spark, sf_dir), _streams(spark, sf_dir), factors=_idf(spark, sf_dir), idf=_token_idf(spark, sf_dir))
+    return found.drop("input_pos")

@@ -13,11 +13,15 @@ COLUMNS = ["filename", "episode_id", "title", "episode_title", "name_status", "s
 
 
 def rows(results: DataFrame) -> DataFrame:
-    """The thirteen columns of a report; missing ones are empty. ``agreement`` is the
-    share of sampled windows with speech, from votes and total_samples."""
+    """The thirteen columns of a report. ``agreement`` is votes/samples; files without a
+    guess are UNKNOWN by method none, with 0/0. A batch has no time for a single file:
+    ``elapsed_s`` is empty unless the results have it."""
     have = set(results.columns)
-    if "agreement" not in have and {"votes", "total_samples"} <= have:
-        results = results.withColumn("agreement", F.round(F.try_divide("votes", "total_samples"), 4))
+    if "agreement" not in have:
+        shown = [F.coalesce(F.col(c).cast("string"), F.lit("0")) if c in have else F.lit("0") for c in ("votes", "total_samples")]
+        results = results.withColumn("agreement", F.concat(shown[0], F.lit("/"), shown[1]))
+    told = {"episode_id": F.coalesce("episode_id", F.lit("UNKNOWN")), "method": F.coalesce(F.nullif(F.col("method"), F.lit("")), F.lit("none")), "title": F.coalesce("title", F.lit(""))}
+    results = results.withColumns({c: x for c, x in told.items() if c in have})
     return results.select(*[F.col(c) if c in results.columns else F.lit(None).cast("string").alias(c) for c in COLUMNS])
 
 

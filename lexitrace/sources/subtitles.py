@@ -37,8 +37,9 @@ def parse_cues(files: DataFrame) -> DataFrame:
 
 def read_subtitles(spark: SparkSession, directory: str) -> DataFrame:
     """The cues of all .srt and .vtt files under ``directory``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
-    files = files.where(F.lower("path").rlike(r"\.(srt|vtt)$")).select(F.col("path").alias("source"), F.col("content").alias("__content"))
+    # The glob keeps other files, videos too, from being opened.
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{[sS][rR],[vV][tT]}[tT]").load(directory)
+    files = files.select(F.col("path").alias("source"), F.col("content").alias("__content"))
     return parse_cues(files.select("source", decode_text(F.col("__content")).alias("content")))
 
 

@@ -12,4 +12,4 @@ SMALL = 256 << 20
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(spark.sparkContext.defaultParallelism, df.columns[0]) if 1 << 20 < size < SMALL else df
+    return df.repartition(spark.sparkContext.defaultParallelism) if 1 << 20 < size < SMALL else df
