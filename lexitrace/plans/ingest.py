@@ -434,9 +434,9 @@ def rename_history(spark, sf_dir):
     return spark.createDataFrame(found, "batch long, destination string, operations long")
 
 
-@query(f"WITH {_VERDICT} SELECT query_id FROM v WHERE NOT none AND status = 'correct' AND (contains(lower('Show.' || own || '.mkv ' || id || ' Part ' || (media_id % 7)), 'e03 part 2') OR contains((SELECT lower(source || ' - ' || id || ' - Part ' || (media_id % 7) || '.mkv') FROM documents WHERE doc_id = media_id), 'e03 part 2'))")
+@query(f"WITH {_VERDICT} SELECT query_id FROM v WHERE NOT none AND (review OR status = 'unknown') AND (contains(lower('Show.' || own || '.mkv ' || id || ' Part ' || (media_id % 7)), 'e03 part 2') OR contains((SELECT lower(source || ' - ' || id || ' - Part ' || (media_id % 7) || '.mkv') FROM documents WHERE doc_id = media_id), 'e03 part 2'))")
 def found_results(spark, sf_dir):
-    return V.find_results(_results(spark, sf_dir), " E03 Part 2", "Correct").select("query_id")
+    return V.find_results(_results(spark, sf_dir), " E03 Part 2", "Review").select("query_id")
 
 
 @query(f"WITH {_VERDICT} SELECT query_id, row_number() OVER (ORDER BY CASE WHEN none THEN -1 ELSE media_id % 4 + 1 END DESC, CASE WHEN none THEN -1 ELSE media_id % 8 + 1 END DESC, query_id) AS place FROM v")
