@@ -1,13 +1,17 @@
 """Exact deduplication through a log-structured merge index.
 
-A memtable is one input partition. ``flush`` writes each as a run sorted by
-digest, whose Parquet footers and bloom filters let point look-ups skip files.
-``compact`` merges all runs into one level that keeps the smallest (and largest)
-identifier and the number of rows for each digest. ``resolve`` derives a fixed
-size bitmap filter from the digests met twice; only rows that pass it are hits,
-and hits are verified byte for byte by grouping on the text itself. Partial
-aggregation merges copies before the shuffle, so a text that holds a third of
-all rows arrives as one row per map task.
+A memtable is one input partition. ``flush`` writes each as a run sorted by digest, with a
+filter beside it: a bitmap of fixed size over the digests of the flush. ``compact`` merges
+``fan`` runs of a level into one run of the next, which keeps the smallest and largest
+identifier and the number of rows for each digest; a full compaction leaves one run. The
+state of an index is its folder: a manifest lists the live runs, so it can be opened again.
+
+``lookup`` asks the index about new rows: digests that the filter of a run passes are joined
+with that run, the others never touch it. ``resolve`` takes the identifier to keep and the
+size of a group from the compacted run; rows whose digest occurs twice or more, by a bitmap,
+are hits, and hits are verified byte for byte by grouping on the text itself, which confirms
+a digest or splits it. Partial aggregation merges copies before the shuffle, so a text that
+holds a third of all rows arrives as one row per map task.
 
 Defined results: null text counts as empty. Rows with a null identifier take part
 and keep a row only if all rows of their group have none. Rows that repeat both
@@ -18,70 +22,126 @@ the two named columns are read, so other columns may have any name.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialise, may_contain, member_bitmaps, scratch_dir, table
 
-RUN_SCHEMA = "id long, digest long, sha string"
-LEVEL_SCHEMA = "digest long, min_id long, max_id long, n long"
+RUN = "id long, digest long, sha string"
+MERGED = "digest long, min_id long, max_id long, n long"
 
 
-@dataclass
 class ExactDedupIndex:
-    """A persistent index; ``flush`` and ``compact`` may be called again and again."""
-
-    spark: SparkSession
-    path: str
-    keep: str = "smallest"
-    runs: list[str] = field(default_factory=list)
-    fresh: list[str] = field(default_factory=list)
-    level: str | None = None
+    """An index in a folder of its own; ``flush``, ``compact`` and look-ups in any order."""
+
+    def __init__(self, spark: SparkSession, path: str, keep: str = "smallest", fan: int = 4) -> None:
+        """Opens the index at ``path``, or begins one there."""
+        self.spark, self.path, self.keep, self.fan = spark, path, keep, fan
+        #: Runs of rows, all of them; live runs by level, [0] being runs of rows; a number.
+        self.state: dict = {"log": [], "levels": [[]], "next": 0}
+        if found := self._manifests():
+            self.state = json.loads("".join(r[0] for r in spark.read.text(f"{path}/manifest-{found[-1]:08d}").collect()))
+
+    def _manifests(self) -> list[int]:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(folder):
+            return []
+        names = [x.getPath().getName() for x in fs.listStatus(folder)]
+        done = [n for n in names if n.startswith("manifest-") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
+        return sorted(int(n[9:]) for n in done)
+
+    def _commit(self) -> None:
+        text = self.spark.createDataFrame([(json.dumps(self.state),)], "value string")
+        text.coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest-{self.state['next']:08d}")
+
+    def _name(self, kind: str) -> str:
+        self.state["next"] += 1
+        return f"{kind}-{self.state['next']:08d}"
+
+    def _read(self, schema: str, *names: str) -> DataFrame:
+        if not names:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{n}" for n in names])
+
+    def _entries(self, level: int, *names: str) -> DataFrame:
+        """What runs of a level say of their digests; runs of rows say it row by row."""
+        if level:
+            return self._read(MERGED, *names)
+        return self._read(RUN, *names).select("digest", F.col("id").alias("min_id"), F.col("id").alias("max_id"), F.lit(1).cast("long").alias("n"))
+
+    def _filter(self, name: str) -> None:
+        member_bitmaps(self.spark.read.parquet(f"{self.path}/{name}").select("digest"), "digest").coalesce(1).write.parquet(f"{self.path}/filter-{name}")
 
     def flush(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        """One sorted run for each partition of ``docs``; no shuffle."""
-        run = f"{self.path}/run-{len(self.runs):05d}"
-        text = F.coalesce(F.col(text_col), F.lit(""))
-        (
-            docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("digest"), F.sha2(text, 256).alias("sha"))
-            .sortWithinPartitions("digest")
-            .write.option("parquet.bloom.filter.enabled#digest", "true")
-            .parquet(run)
-        )
-        self.runs.append(run)
-        self.fresh.append(run)
-
-    def _read(self, schema: str, *paths: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(*paths)
+        """One sorted run for each partition of ``docs``, no shuffle; then a compaction of
+        the levels that are full."""
+        name, text = self._name("run"), F.coalesce(F.col(text_col), F.lit(""))
+        rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("digest"), F.sha2(text, 256).alias("sha"))
+        rows.sortWithinPartitions("digest").write.parquet(f"{self.path}/{name}")
+        self._filter(name)
+        self.state["log"].append(name)
+        self.state["levels"][0].append(name)
+        level = 0
+        while len(self.state["levels"][level]) >= self.fan:
+            self._merge([level], level + 1)
+            level += 1
+        self._commit()
+
+    def _merge(self, levels: list[int], into: int) -> None:
+        """Replace all runs of some levels by one of level ``into``."""
+        live = self.state["levels"]
+        live += [[] for _ in range(into + 1 - len(live))]
+        parts = [self._entries(k, *live[k]) for k in levels if live[k]]
+        merged = parts[0]
+        for part in parts[1:]:
+            merged = merged.unionByName(part)
+        name = self._name("merged")
+        grouped = merged.groupBy("digest").agg(F.min("min_id").alias("min_id"), F.max("max_id").alias("max_id"), F.sum("n").alias("n"))
+        grouped.sortWithinPartitions("digest").write.parquet(f"{self.path}/{name}")
+        self._filter(name)
+        for k in levels:
+            live[k] = []
+        live[into].append(name)
 
     def compact(self) -> DataFrame:
-        """Merge the fresh runs and the former level into a new level."""
-        if self.fresh:
-            merged = self._read(RUN_SCHEMA, *self.fresh).select("digest", F.col("id").alias("min_id"), F.col("id").alias("max_id"), F.lit(1).cast("long").alias("n"))
-            if self.level:
-                merged = merged.unionByName(self._read(LEVEL_SCHEMA, self.level))
-            level = f"{self.path}/level-{len(self.runs):05d}"
-            (
-                merged.groupBy("digest")
-                .agg(F.min("min_id").alias("min_id"), F.max("max_id").alias("max_id"), F.sum("n").alias("n"))
-                .sortWithinPartitions("digest")
-                .write.option("parquet.bloom.filter.enabled#digest", "true")
-                .parquet(level)
-            )
-            self.level, self.fresh = level, []
-        return self._read(LEVEL_SCHEMA, self.level)
+        """Merge all live runs into one, unless there is just one merged run."""
+        live = self.state["levels"]
+        runs = [(k, n) for k, names in enumerate(live) for n in names]
+        if not runs:
+            return self._read(MERGED)
+        if len(runs) > 1 or runs[0][0] == 0:
+            self._merge(list(range(len(live))), max(1, len(live) - 1))
+            self._commit()
+        return self._read(MERGED, *[n for names in self.state["levels"][1:] for n in names])
+
+    def lookup(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """doc_id, known_id, known: for each row of ``docs`` the smallest identifier and the
+        number of rows of the index with its digest, null and 0 if there are none."""
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        rows = materialise(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("digest")))
+        asked, found = rows.select("digest").distinct(), self._read(MERGED)
+        for level, names in enumerate(self.state["levels"]):
+            for name in names:
+                maybe = may_contain(asked, "digest", self.spark.read.parquet(f"{self.path}/filter-{name}"))
+                found = found.unionByName(self._entries(level, name).join(maybe, "digest", "left_semi"))
+        met = found.groupBy("digest").agg(F.min("min_id").alias("known_id"), F.sum("n").alias("known"))
+        return rows.join(met, "digest", "left").select("doc_id", "known_id", F.coalesce("known", F.lit(0)).cast("long").alias("known"))
 
     def _verified(self, hits: DataFrame) -> DataFrame:
-        """Groups of two or more among the hits (id, body, digest), by their bytes."""
-        chosen = F.max("id") if self.keep == "largest" else F.min("id")
-        return (
-            hits.groupBy("digest", "body")
-            .agg(chosen.alias("best"), F.count(F.lit(1)).alias("n"))
-            .where("n > 1")
-            .select("digest", F.sha2("body", 256).alias("sha"), "best", "n")
-        )
+        """digest, sha, best, n of groups of two or more among the hits (id, body, digest).
+        A digest that has one text only is confirmed: the index knows its group. Another
+        is split into its texts."""
+        pick = F.max if self.keep == "largest" else F.min
+        bodies = hits.groupBy("digest", "body").agg(pick("id").alias("own_best"), F.count(F.lit(1)).alias("own_n")).select("digest", F.sha2("body", 256).alias("sha"), "own_best", "own_n")
+        told = bodies.withColumn("texts", F.count(F.lit(1)).over(W.partitionBy("digest")))
+        index = self.compact().where("n > 1").select("digest", F.col("max_id" if self.keep == "largest" else "min_id").alias("best"), "n")
+        known = told.join(index, "digest")
+        alone = F.col("texts") == 1
+        return known.select("digest", "sha", F.when(alone, F.col("best")).otherwise(F.col("own_best")).alias("best"), F.when(alone, F.col("n")).otherwise(F.col("own_n")).alias("n")).where("n > 1")
 
     def _bitmaps(self) -> DataFrame:
         return member_bitmaps(self.compact().where("n > 1"), "digest")
@@ -91,7 +151,7 @@ class ExactDedupIndex:
         text = F.coalesce(F.col(text_col), F.lit(""))
         rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("body")).withColumn("digest", F.xxhash64("body"))
         verified = self._verified(may_contain(rows, "digest", self._bitmaps()))
-        every = self._read(RUN_SCHEMA, *self.runs)
+        every = self._read(RUN, *self.state["log"])
         return every.join(verified, ["digest", "sha"], "left").select(
             F.col("id").alias("doc_id"),
             F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("best")).alias("keep_id"),
