@@ -1,22 +1,22 @@
 """Licence detection by Dice coefficient over word bigrams.
 
-Units of a document (the whole text, its lines, its sentences) are normalised to
-lower-case ASCII words. A unit matches a template if the Dice coefficient of their
-bigram sets reaches the threshold t. As 2 min(a, b) / (a + b) bounds the coefficient,
-only units with t / (2 - t) to (2 - t) / t times a template's bigrams are compared
-with it. From the same bound follow words of which any match must contain one; texts
-without them are passed over, which loses no match.
-
-A notice that no unit holds, as it is wrapped over lines or stands amid other words, is
-looked for in windows of words over the whole text, for licences that no unit matches.
-A template with b bigrams is passed over unless the text has t b / (2 - t) of them. A
-best window starts and ends with a bigram of the template, doesn't repeat its first one,
-and has at most (2 - t) b / t different bigrams; all such windows are compared. Each
-licence found so adds its best window to ``n_units``.
+Texts and templates are normalised to lower-case ASCII words. A template matches a text by
+its best window: a run of words anywhere in the whole text, over lines and amid other words,
+whose set of bigrams has the greatest Dice coefficient with the template's, if that reaches
+the threshold t. As 2 min(a, b) / (a + b) bounds the coefficient, a template with b bigrams
+is passed over unless the text has t b / (2 - t) of them, and windows end where they have
+over (2 - t) b / t different ones. A best window starts and ends with a bigram of the
+template and doesn't repeat its first one; all such windows are compared, in texts of any
+length. From the same bound follow words of which any match must contain one; texts without
+them are passed over, which loses no match.
+
+Licences with similar wording match the same words: where windows of two licences overlap,
+the one with the greater coefficient stays, of equal ones the name that sorts first.
 
 Defined results: one row for each row of documents. Null, empty and short texts
-match nothing: ``licences`` is '' and ``best_dice`` 0. Ties for the best licence go to
-the name that sorts first. Repeated rows give repeated rows; an empty table gives none.
+match nothing: ``licences`` is '' and ``best_dice`` 0. Of equal windows the first counts.
+Ties for the best licence go to the name that sorts first. Repeated rows give repeated
+rows; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -53,6 +53,13 @@ TEMPLATES = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
 ]
 
 
@@ -87,13 +94,13 @@ def needed_words(templates: list[tuple[str, str]], threshold: float) -> list[str
     return chosen
 
 
-def _windows(whole: Column, names: Column, sets: list[tuple[str, list[str]]], threshold: float) -> Column:
-    """(dice, name) of the best window over ``whole``, a text's bigrams in order, for
-    each template that reaches the threshold and whose licence isn't in ``names``."""
+def _windows(whole: Column, sets: list[tuple[str, list[str]]], threshold: float) -> Column:
+    """(dice, -first, -last, name) of the best window over ``whole``, a text's bigrams in
+    order, for each template that reaches the threshold."""
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     each = F.array(*[F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, b)).alias("b")) for n, b in sets if b])
     n = F.size(whole)
-    held = F.filter(each, lambda t: ~F.array_contains(names, t["name"]) & (F.size(F.array_intersect(t["b"], whole)) >= low * F.size(t["b"])))
+    held = F.filter(each, lambda t: F.size(F.array_intersect(t["b"], whole)) >= low * F.size(t["b"]))
     # Each transform binds what the next one's lambdas use more than once.
     held = F.transform(held, lambda t: F.struct(t["name"].alias("name"), t["b"].alias("b"), F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.array_contains(t["b"], whole[i])).alias("at")))
 
@@ -109,66 +116,46 @@ def _windows(whole: Column, names: Column, sets: list[tuple[str, list[str]]], th
 
     held = F.transform(held, lambda t: F.struct(t["name"].alias("name"), t["b"].alias("b"), t["at"].alias("at"), F.transform(t["at"], lambda i: F.struct(i.alias("i"), stop(i, t["b"]).alias("stop"))).alias("starts")))
 
-    def dice(part: Column, b: Column) -> Column:
-        return 2.0 * F.size(F.array_intersect(part, b)) / (F.size(F.array_distinct(part)) + F.size(b))
-
-    best = F.transform(
-        held,
-        lambda t: F.named_struct(
-            F.lit("dice"),
-            F.array_max(F.transform(t["starts"], lambda s: F.array_max(F.transform(F.filter(t["at"], lambda j: (j >= s["i"]) & (j < s["stop"])), lambda j: dice(F.slice(whole, s["i"] + 1, j - s["i"] + 1), t["b"]))))),
-            F.lit("name"),
-            t["name"],
-        ),
-    )
-    return F.filter(best, lambda x: x["dice"] >= threshold)
+    def scored(i: Column, j: Column, b: Column) -> Column:
+        part = F.slice(whole, i + 1, j - i + 1)
+        dice = 2.0 * F.size(F.array_intersect(part, b)) / (F.size(F.array_distinct(part)) + F.size(b))
+        return F.struct(dice.alias("dice"), (-i).alias("first"), (-j).alias("last"))
+
+    best = F.transform(held, lambda t: F.struct(F.array_max(F.transform(t["starts"], lambda s: F.array_max(F.transform(F.filter(t["at"], lambda j: (j >= s["i"]) & (j < s["stop"])), lambda j: scored(s["i"], j, t["b"]))))).alias("w"), t["name"].alias("name")))
+    flat = F.transform(best, lambda x: F.struct(x["w"]["dice"].alias("dice"), (-x["w"]["first"]).alias("first"), (-x["w"]["last"]).alias("last"), x["name"].alias("name")))
+    return F.filter(flat, lambda x: x["dice"] >= threshold)
+
+
+def _alone(found: Column) -> Column:
+    """The matches that no better one of another licence overlaps."""
+    better = lambda x, y: (y["name"] != x["name"]) & (x["first"] <= y["last"]) & (y["first"] <= x["last"]) & ((y["dice"] > x["dice"]) | (y["dice"] == x["dice"]) & (y["name"] < x["name"]))
+    return F.filter(found, lambda x: ~F.exists(found, lambda y: better(x, y)))
 
 
 def scan_licences(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, licences (names, sorted, comma-joined), best_licence, best_dice (six
-    decimals), n_units (units that match a template)."""
+    decimals), n_matches (templates that match)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("body")).withColumn("low", F.lower("body"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.lower(text).alias("low"))
     sets = [(name, _bigrams(t)) for name, t in templates]
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-
-    lines = F.split("body", "\n", -1)
-    sentences = F.flatten(F.transform(lines, lambda x: F.split(x, "(?<=[.!?])[ \t]+", -1)))
-    units = F.array_distinct(F.concat(F.array("body"), lines, sentences))
-    words = F.transform(units, lambda u: F.array_remove(F.split(F.lower(u), "[^a-z0-9]+"), ""))
-    fit = F.filter(words, lambda w: F.size(w) >= 2)
-    pairs = F.transform(fit, lambda w: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", w[i], w[i + 1]))))
-
-    def against(b: Column) -> Column:
-        found = [
-            F.when(
-                F.size(b).between(low * len(t), high * len(t)),
-                F.struct((2.0 * F.size(F.array_intersect(b, F.array(*map(F.lit, t)))) / (F.size(b) + len(t))).alias("dice"), F.lit(name).alias("name")),
-            )
-            for name, t in sets
-        ]
-        return F.filter(F.array(*found), lambda x: x["dice"] >= threshold)
-
-    scored = F.filter(F.transform(pairs, against), lambda x: F.size(x) > 0)
-    none = F.array().cast("array<array<struct<dice:double,name:string>>>")
+    none = F.array().cast("array<string>")
     needed = reduce(lambda a, b: a | b, [F.col("low").contains(w) for w in needed_words(templates, threshold)])
     text_words = F.array_remove(F.split(F.col("low"), "[^a-z0-9]+"), "")
-    rows = rows.select("doc_id", "body", "low", F.explode(F.array(F.when(needed, text_words).otherwise(F.array().cast("array<string>")))).alias("word"))
-    spread = F.when(F.size("word") >= 2, F.zip_with(F.slice("word", 1, F.size("word") - 1), F.slice("word", 2, F.size("word")), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    rows = rows.select("doc_id", "word", F.when(F.size("word") > 0, scored).otherwise(none).alias("hits"))
-    rows = rows.select("doc_id", "hits", F.explode(F.array(spread)).alias("spread"))
-    rows = rows.select("doc_id", "spread", F.explode(F.array("hits")).alias("hits"))
-    found = F.when(F.size("spread") > 0, _windows(F.col("spread"), F.transform(F.flatten("hits"), lambda x: x["name"]), sets, threshold)).otherwise(F.flatten(none))
-    rows = rows.select("doc_id", "hits", found.alias("found"))
-    rows = rows.select("doc_id", "hits", F.explode(F.array("found")).alias("found"))
-    every = F.concat(F.flatten("hits"), F.col("found"))
+    # One-element explodes bind what the next step reads more than once.
+    rows = rows.select("doc_id", F.explode(F.array(F.when(needed, text_words).otherwise(none))).alias("word"))
+    whole = F.zip_with(F.slice("word", 1, F.size("word") - 1), F.slice("word", 2, F.size("word")), lambda a, b: F.concat_ws(" ", a, b))
+    rows = rows.select("doc_id", F.explode(F.array(F.when(F.size("word") >= 2, whole).otherwise(none))).alias("whole"))
+    found = F.when(F.size("whole") > 0, _windows(F.col("whole"), sets, threshold)).otherwise(F.array().cast("array<struct<dice:double,first:int,last:int,name:string>>"))
+    rows = rows.select("doc_id", F.explode(F.array(found)).alias("found"))
+    rows = rows.select("doc_id", F.explode(F.array(_alone(F.col("found")))).alias("every"))
+    every = F.col("every")
     best = F.array_max(F.transform(every, lambda x: x["dice"]))
     return rows.select(
         "doc_id",
         F.array_join(F.array_sort(F.array_distinct(F.transform(every, lambda x: x["name"]))), ",").alias("licences"),
         F.coalesce(F.array_min(F.transform(F.filter(every, lambda x: x["dice"] == best), lambda x: x["name"])), F.lit("")).alias("best_licence"),
         F.coalesce(F.round(best, 6), F.lit(0.0)).alias("best_dice"),
-        (F.size("hits") + F.size(F.array_distinct(F.transform("found", lambda x: x["name"])))).cast("long").alias("n_units"),
+        F.size(every).cast("long").alias("n_matches"),
     )
 
 
@@ -177,22 +164,26 @@ def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    quoted = ", ".join("(%d, '%s', [%s])" % (k, n, ", ".join(f"'{x}'" for x in _bigrams(t))) for k, (n, t) in enumerate(TEMPLATES))
+    """Every window between two bigrams of a template, counted by brute force."""
+    quoted = ", ".join("(%d, '%s', '%s')" % (k, n, t.replace("'", "''")) for k, (n, t) in enumerate(TEMPLATES))
+    words = "list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda x: x <> '')"
+    low = THRESHOLD / (2 - THRESHOLD)
     return f"""
-WITH t(k, name, b) AS (VALUES {quoted}),
-d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS body FROM documents),
-l AS (SELECT r, unnest(string_split(body, chr(10))) AS u FROM d),
-u AS (SELECT r, body AS u FROM d UNION SELECT r, u FROM l
-      UNION SELECT r, unnest(string_split(regexp_replace(u, '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), chr(10))) FROM l),
-w AS (SELECT r, u, list_filter(string_split_regex(lower(u), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM u),
-g AS (SELECT r, u, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) BETWEEN 2 AND 2000),
-s AS (SELECT r, u, name, 2.0::DOUBLE * len(list_intersect(g, b)) / (len(g) + len(b)) AS dice FROM g JOIN t
-      ON len(g) BETWEEN {THRESHOLD / (2 - THRESHOLD)} * len(b) AND {(2 - THRESHOLD) / THRESHOLD} * len(b)),
-m AS (SELECT r, count(DISTINCT u) AS n, list_sort(list_distinct(list(name))) AS names, max(dice) AS best, arg_min(name, (-dice, name)) AS top
-      FROM s WHERE dice >= {THRESHOLD} GROUP BY r)
+WITH v(k, name, body) AS (VALUES {quoted}),
+t AS (SELECT k, name, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM (SELECT k, name, {words.format('body')} AS w FROM v)),
+d AS (SELECT row_number() OVER () AS r, doc_id, {words.format("coalesce(text, '')")} AS w FROM documents),
+g AS (SELECT r, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM d WHERE len(w) > 1),
+c AS (SELECT r, k, name, g, b FROM g JOIN t ON len(list_intersect(list_distinct(g), b)) >= {low} * len(b)),
+p AS (SELECT r, k, i FROM (SELECT r, k, g, b, unnest(range(1, len(g) + 1)) AS i FROM c) WHERE list_contains(b, g[i])),
+a AS (SELECT p.r, p.k, i, coalesce(lead(i) OVER (PARTITION BY p.r, p.k, g[i] ORDER BY i), 1000000000000) AS again FROM p JOIN c ON c.r = p.r AND c.k = p.k),
+x AS (SELECT a.r, a.k, a.i, p.i AS j FROM a JOIN p ON a.r = p.r AND a.k = p.k AND p.i >= a.i AND p.i < a.again),
+s AS (SELECT x.r, x.k, name, i, j, 2.0::DOUBLE * len(list_intersect(list_distinct(g[i:j]), b)) / (len(list_distinct(g[i:j])) + len(b)) AS dice FROM x JOIN c ON c.r = x.r AND c.k = x.k),
+m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r, k ORDER BY dice DESC, i, j) AS place FROM s WHERE dice >= {THRESHOLD}) WHERE place = 1),
+o AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m y WHERE y.r = m.r AND y.name <> m.name AND m.i <= y.j AND y.i <= m.j AND (y.dice > m.dice OR y.dice = m.dice AND y.name < m.name))),
+n AS (SELECT r, count(*) AS n, list_sort(list_distinct(list(name))) AS names, max(dice) AS best, arg_min(name, (-dice, name)) AS top FROM o GROUP BY r)
 SELECT doc_id, coalesce(array_to_string(names, ','), '') AS licences, coalesce(top, '') AS best_licence,
-       coalesce(round(best, 6), 0.0::DOUBLE) AS best_dice, coalesce(n, 0)::BIGINT AS n_units
-FROM d LEFT JOIN m USING (r)
+       coalesce(round(best, 6), 0.0::DOUBLE) AS best_dice, coalesce(n, 0)::BIGINT AS n_matches
+FROM d LEFT JOIN n USING (r)
 """
 
 
