@@ -17,6 +17,7 @@ QUERIES = {
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 SQL = {
+    "op1_substring_dedup": substring_dedup.SQL,
     "op2_exact_dedup": exact_dedup.SQL,
     "op6_licence_scan": licences.SQL,
     "op7_ngram_jaccard_join": ngram_join.SQL,

@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 from .common import materialise, may_contain, member_bitmaps, table
 
 K, M = 13, 3
-#: Slots of minimisers; raise it with the corpus, by a bit for each doubling over 10 TB.
-SLOT_BITS = 16
+#: Slots of minimisers: 2 to the power, and one more for each doubling of the input over
+#: ``SLOT_BYTES``, by the planner's estimate of its size.
+SLOT_BITS, SLOT_BYTES = 16, 1 << 40
 #: Super-k-mers of a bucket on average, and of a slot that isn't hot.
 BUCKET_SIZE, HOT = 40_000, 20_000
 #: Words read, and characters packed, before they are dealt out.
@@ -162,9 +163,13 @@ def repeated_windows(packed: list[str], ids: np.ndarray, k: int = K) -> tuple[np
     return group, offset, flagged, sizes
 
 
-def duplicate_spans(docs: DataFrame, k: int = K, m: int = M, slot_bits: int = SLOT_BITS, bucket_size: int = BUCKET_SIZE, hot_size: int = HOT) -> DataFrame:
+def duplicate_spans(docs: DataFrame, k: int = K, m: int = M, slot_bits: int | None = None, bucket_size: int = BUCKET_SIZE, hot_size: int = HOT) -> DataFrame:
     """``docs``: id, key (a hash of the body, 31 bits), body. Spans of words (id, key, a, b) whose windows also start in
     a document with a smaller id; spans of one document may overlap."""
+    if slot_bits is None:
+        size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        known = size < 1 << 60  # the planner's word for any size that it doesn't know
+        slot_bits = SLOT_BITS + min((size // SLOT_BYTES).bit_length() if known else 0, 6)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = np.zeros(1 << slot_bits, np.int64)
@@ -297,3 +302,15 @@ def remove_repeats(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+SQL = f"""
+WITH w AS MATERIALIZED (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, p, array_to_string(w[p:p + {K} - 1], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - {K} + 2)) AS p FROM w)),
+f AS (SELECT x, min(doc_id) AS first FROM g GROUP BY 1),
+hit AS (SELECT DISTINCT doc_id, unnest(range(p, p + {K})) AS i FROM g JOIN f USING (x) WHERE first < doc_id),
+gone AS (SELECT doc_id, list(i) AS gone FROM hit GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda v, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN gone USING (doc_id)
+"""

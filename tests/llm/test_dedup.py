@@ -44,6 +44,10 @@ def test_substrings_equal_brute_force(spark, options, monkeypatch):
     assert sum(x[2] > 0 for x in want) > 10
 
 
+def test_substrings_equal_their_sql(spark):
+    same(spark, substring_dedup.op1_substring_dedup, substring_dedup.SQL)
+
+
 def test_other_window_and_text(spark):
     rows = [(1, "a b c d"), (2, "x b c d y")]
     got = substring_dedup.remove_repeats(documents(spark, rows), k=3, m=1, with_text=True).collect()
@@ -76,13 +80,38 @@ def test_exact_equals_brute_force(spark, keep):
 
 
 def test_index_grows_by_flushes(spark, tmp_path):
-    index = exact_dedup.ExactDedupIndex(spark, f"file://{tmp_path}/index")
+    path = f"file://{tmp_path}/index"
+    index = exact_dedup.ExactDedupIndex(spark, path)
     a, b = documents(spark, [(5, "x"), (6, "y")]), documents(spark, [(2, "x"), (9, "z")])
     index.flush(a)
     assert {(r.min_id, r.n) for r in index.compact().collect()} == {(5, 1), (6, 1)}
     index.flush(b)
-    assert {(r.min_id, r.n) for r in index.compact().collect()} == {(2, 2), (6, 1), (9, 1)}
-    assert {r.doc_id: r.keep_id for r in index.resolve(a.unionByName(b)).collect()} == {5: 2, 6: 6, 2: 2, 9: 9}
+    again = exact_dedup.ExactDedupIndex(spark, path)
+    new = documents(spark, [(20, "x"), (21, "new"), (22, None), (23, "x")])
+    assert {r.doc_id: (r.known_id, r.known) for r in again.lookup(new).collect()} == {20: (2, 2), 21: (None, 0), 22: (None, 0), 23: (2, 2)}
+    assert {(r.min_id, r.n) for r in again.compact().collect()} == {(2, 2), (6, 1), (9, 1)}
+    assert {r.doc_id: r.keep_id for r in again.resolve(a.unionByName(b)).collect()} == {5: 2, 6: 6, 2: 2, 9: 9}
+
+
+def test_levels_are_merged_when_they_are_full(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    for k in range(5):
+        exact_dedup.ExactDedupIndex(spark, path, fan=2).flush(documents(spark, [(k, f"t{k % 2}"), (10 + k, f"u{k}")]))
+    index = exact_dedup.ExactDedupIndex(spark, path, fan=2)
+    assert [len(x) for x in index.state["levels"]] == [1, 0, 1] and len(index.state["log"]) == 5
+    asked = documents(spark, [(50, "t0"), (51, "t1"), (52, "u4"), (53, "v")])
+    assert {r.doc_id: (r.known_id, r.known) for r in index.lookup(asked).collect()} == {50: (0, 3), 51: (1, 2), 52: (14, 1), 53: (None, 0)}
+
+
+def test_a_digest_of_two_texts_is_split(spark, monkeypatch):
+    """All texts get one digest: the bytes tell them apart."""
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: exact_dedup.F.lit(7).cast("long"))
+    monkeypatch.setattr(exact_dedup, "member_bitmaps", lambda df, c: df)
+    monkeypatch.setattr(exact_dedup, "may_contain", lambda df, c, bitmaps, keep=False: df)
+    monkeypatch.setattr(exact_dedup.ExactDedupIndex, "_filter", lambda *a: None)
+    rows = [(1, "x"), (2, "y"), (3, "x"), (4, "z"), (5, "y"), (6, "x")]
+    got = exact_dedup.exact_dedup(documents(spark, rows), "largest").collect()
+    assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in got} == {1: (6, 3, False), 3: (6, 3, False), 6: (6, 3, True), 2: (5, 2, False), 5: (5, 2, True), 4: (4, 1, True)}
 
 
 def test_exact_equals_its_sql(spark):
