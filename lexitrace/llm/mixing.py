@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from .common import table
 
 BLOCK_SIZE = 8
-MOST_BLOCKS = 1 << 18
+MOST_BLOCKS = 1 << 16
 TEMPERATURE = 0.5
 #: Rows of one hash bucket, on average, at most; hexadecimal digits of a group of buckets.
 BUCKET_ROWS, HEAD = 4096, 3
