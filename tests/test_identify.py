@@ -51,4 +51,4 @@ def test_verdicts(spark, library):
     assert got[1].suggested_filename == "Matlock - S01E01 - The Trial.mkv" and "show match +15%" in got[1].notes
     assert (got[2].episode_id, got[2].name_status) == ("S02E05", "correct")
     assert got[3].needs_review and (got[3].episode_id is None or got[3].confidence < 0.4)
-    assert got[4].episode_id is None and got[4].notes == "no match"
+    assert got[4].episode_id is None and got[4].notes == "no speech recognised"

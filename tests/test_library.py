@@ -125,7 +125,7 @@ def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a.mkv", 0.5, 3, 5)], "filename string, confidence double, votes int, total_samples int")
     sinks.write_csv(df, str(tmp_path / "c"))
     back = spark.read.csv(str(tmp_path / "c"), header=True)
-    assert back.columns == sinks.COLUMNS and back.first().agreement == "0.6"
+    assert back.columns == sinks.COLUMNS and back.first().agreement == "3/5"
     sinks.write_json(df, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).first().filename == "a.mkv"
     history = sinks.RenameHistory(str(tmp_path / "h.json"), most=2)

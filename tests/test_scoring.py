@@ -172,7 +172,12 @@ def test_cascade(spark):
     exact = guess(spark, [(1, 1, 0.9, 9, 0.5), (2, 1, 0.2, 1, 0.1), (4, 1, 0.3, 1, None)])
     fuzzy = guess(spark, [(1, 5, 1.0, 9, 0.2), (3, 6, 0.6, 9, 0.2)])
     ngram = guess(spark, [(2, 7, 0.5, 3, None), (3, 8, 0.9, 3, 0.2), (4, 9, 0.3, 3, 0.2), (5, 9, 0.25, 3, 0.1)])
-    got = {r.query_id: (r.media_id, r.method, r.margin) for r in V.cascade(exact, fuzzy, ngram).collect()}
+    noted = lambda df, note: df.withColumn("boost_notes", F.lit(note))
+    # Boosts don't count where a guess is to be replaced.
+    late = noted(ngram, "c").withColumn("raw", F.when(F.col("query_id") == 4, 0.2).otherwise(F.col("confidence")))
+    found = V.cascade(noted(exact, "a"), noted(fuzzy, ""), late).collect()
+    got = {r.query_id: (r.media_id, r.method, r.margin) for r in found}
+    assert {r.query_id: (r.early_notes, r.boost_notes) for r in found} == {1: (None, "a"), 2: ("a", "c"), 3: (None, ""), 4: (None, "a"), 5: (None, "c")}
     assert got == {1: (1, "phonetic", 0.5), 2: (7, "ngram", 0.1), 3: (6, "fuzzy", None), 4: (1, "phonetic", None), 5: (9, "ngram", 0.1)}
 
 
