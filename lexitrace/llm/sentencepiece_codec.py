@@ -8,7 +8,9 @@ least score less ten and becomes byte pieces.
 
 No piece of the model holds a space after another character (checked when it is read),
 so the best path splits before each run of spaces, and best paths of short stretches
-are kept in a dictionary of bounded size. A text gets one leading space, as the
+are kept in two generations of bounded size: when the younger is full, the older goes,
+so frequent stretches stay. A worker process builds one codec and keeps it for its later
+tasks. A text gets one leading space, as the
 model's own normaliser does; a literal U+2581 is spelled in bytes, so decoding gives
 back every text exactly.
 
@@ -22,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -32,8 +35,10 @@ from pyspark.sql import functions as F
 from .common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Stretches of up to so many characters are kept, and so many of them.
+#: Stretches of up to so many characters are kept, and so many of them in a generation.
 KEPT_LENGTH, KEPT = 48, 100_000
+#: Rows are handed on when they hold so many ids.
+SLICE = 1 << 20
 
 
 class Codec:
@@ -64,7 +69,8 @@ class Codec:
         alphabet = set("".join(self.text.values()))
         free = "".join(c for c in "\n\t" if c not in alphabet)
         self.cut = None if inner else re.compile(f" *[^ {free}]+|[{free}]| +" if free else " *[^ ]+| +")
-        self.kept: dict[str, list[int]] = {}
+        self.kept: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def best_path(self, part: str) -> list[int]:
         """Piece ids of the best segmentation of ``part``; uncovered characters in bytes."""
@@ -101,10 +107,11 @@ class Codec:
         for part in self.cut.findall(text):
             ids = kept.get(part)
             if ids is None:
-                ids = self.best_path(part)
+                ids = self.older.get(part) or tuple(self.best_path(part))
                 if len(part) <= KEPT_LENGTH:
                     if len(kept) >= KEPT:
-                        kept.clear()
+                        self.older, self.kept = kept, {}
+                        kept = self.kept
                     kept[part] = ids
             out += ids
         return out
@@ -127,6 +134,11 @@ class Codec:
         return whole[1:] if whole.startswith(" ") else whole
 
 
+@lru_cache(maxsize=1)
+def codec_of(model: bytes) -> Codec:
+    return Codec(model)
+
+
 def read_model(path: str = MODEL) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -137,7 +149,7 @@ def encode_column(model: bytes, text_col: str = "text"):
 
     @F.pandas_udf("array<int>")
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(model)
+        codec = codec_of(model)
         for batch in texts:
             yield batch.map(codec.encode, na_action=None)
 
@@ -149,24 +161,27 @@ def decode_column(model: bytes, ids_col: str = "token_ids"):
 
     @F.pandas_udf("string")
     def text(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(model)
+        codec = codec_of(model)
         for batch in ids:
             yield batch.map(lambda x: "" if x is None else codec.decode(x), na_action=None)
 
     return text(F.col(ids_col))
 
 
-def encode_and_check(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+def encode_and_check(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = (), slice_ids: int = SLICE) -> DataFrame:
     """doc_id, n_tokens, token_ids, decoded_sha256 (of what the ids decode to) and
     round_trip (whether that is the text), then the columns ``also`` as they are. One
     pass over the texts."""
 
+    def new_rows() -> dict[str, list]:
+        return {"n_tokens": [], "token_ids": [], "decoded_sha256": [], "round_trip": []}
+
     @F.pandas_udf("n_tokens long, token_ids array<int>, decoded_sha256 string, round_trip boolean")
     def codes(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = Codec(model)
+        codec = codec_of(model)
         for batch in texts:
-            # Row by row, with ids in four bytes each: a batch may hold millions.
-            out: dict[str, list] = {"n_tokens": [], "token_ids": [], "decoded_sha256": [], "round_trip": []}
+            # Ids take four bytes each; a batch of long texts is handed on in slices.
+            out, held = new_rows(), 0
             for text in batch:
                 ids = codec.encode(text)
                 back = codec.decode(ids)
@@ -174,7 +189,12 @@ def encode_and_check(docs: DataFrame, model: bytes, id_col: str = "doc_id", text
                 out["token_ids"].append(np.array(ids, np.int32))
                 out["decoded_sha256"].append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
                 out["round_trip"].append(back == text)
-            yield pd.DataFrame(out)
+                held += len(ids)
+                if held >= slice_ids:
+                    yield pd.DataFrame(out)
+                    out, held = new_rows(), 0
+            if out["n_tokens"]:
+                yield pd.DataFrame(out)
 
     return docs.select(F.col(id_col).alias("doc_id"), codes(F.coalesce(F.col(text_col), F.lit(""))).alias("c"), *also).select("doc_id", "c.*", *also)
 

@@ -521,6 +521,8 @@ def test_round_trip(spark, model):
     want = Counter((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
     assert Counter((r.doc_id, r.decoded_sha256) for r in got) == want and all(r.round_trip and r.n_tokens == len(r.token_ids) for r in got)
     assert encode_and_check(documents(spark, []), model).count() == 0
+    for few in (1, 7):
+        assert sorted(encode_and_check(documents(spark, rows, extra=True), model, slice_ids=few).collect(), key=str) == sorted(got, key=str)
     ids = documents(spark, rows).select("text", encode_column(model).alias("token_ids"))
     assert all((r.text or "") == r.back for r in ids.select("text", decode_column(model).alias("back")).collect())
 
