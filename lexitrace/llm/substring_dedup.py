@@ -12,7 +12,9 @@ sets the number of buckets and finds hot slots. Windows of a hot slot (a copied
 document or a passage in a third of all rows) don't go to one bucket: they are keyed by
 the window itself, merged to their first document before the shuffle, and joined back
 by a join whose hot keys adaptive execution splits. Super-k-mers for one bucket from
-one stretch of input are compressed together. Memory is one bucket or one document.
+one stretch of input are compressed together. Memory is one bucket or one document: a slot
+of over ``LARGEST`` super-k-mers is hot at any size of the input, and the driver learns
+the hot slots as bitmaps of at most 2 MB.
 
 Defined results: null text has no words. A null identifier counts as larger than any
 other. Rows that repeat an identifier don't remove each other's words; their equal
@@ -36,10 +38,11 @@ from .common import materialise, may_contain, member_bitmaps, table
 
 K, M = 13, 3
 #: Slots of minimisers: 2 to the power, and one more for each doubling of the input over
-#: ``SLOT_BYTES``, by the planner's estimate of its size.
-SLOT_BITS, SLOT_BYTES = 16, 1 << 40
-#: Super-k-mers of a bucket on average, and of a slot that isn't hot.
-BUCKET_SIZE, HOT = 40_000, 20_000
+#: ``SLOT_BYTES``, up to ``MORE_BITS``, by the planner's estimate of its size.
+SLOT_BITS, MORE_BITS, SLOT_BYTES = 16, 8, 1 << 37
+#: Super-k-mers of a bucket on average; of a slot that isn't hot whatever the mean; and of
+#: the largest slot that isn't hot, at any size of the input.
+BUCKET_SIZE, HOT, LARGEST = 40_000, 20_000, 500_000
 #: Words read, and characters packed, before they are dealt out.
 CHUNK_WORDS, FLUSH_CHARS = 200_000, 16 << 20
 LONGEST = 64
@@ -163,29 +166,38 @@ def repeated_windows(packed: list[str], ids: np.ndarray, k: int = K) -> tuple[np
     return group, offset, flagged, sizes
 
 
-def duplicate_spans(docs: DataFrame, k: int = K, m: int = M, slot_bits: int | None = None, bucket_size: int = BUCKET_SIZE, hot_size: int = HOT) -> DataFrame:
+def duplicate_spans(docs: DataFrame, k: int = K, m: int = M, slot_bits: int | None = None, bucket_size: int = BUCKET_SIZE, hot_size: int = HOT, largest: int = LARGEST) -> DataFrame:
     """``docs``: id, key (a hash of the body, 31 bits), body. Spans of words (id, key, a, b) whose windows also start in
     a document with a smaller id; spans of one document may overlap."""
     if slot_bits is None:
         size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
         known = size < 1 << 60  # the planner's word for any size that it doesn't know
-        slot_bits = SLOT_BITS + min((size // SLOT_BYTES).bit_length() if known else 0, 6)
+        slot_bits = SLOT_BITS + min((size // SLOT_BYTES).bit_length() if known else 0, MORE_BITS)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = np.zeros(1 << slot_bits, np.int64)
         for words, doc, _, _, _ in _chunks(batches):
             _, _, low = _super_k_mers(words, doc, k, m)
-            n += np.bincount(_slots(low, slot_bits), minlength=1 << slot_bits)
+            slot, times = np.unique(_slots(low, slot_bits), return_counts=True)
+            n[slot] += times
         at = np.flatnonzero(n)
         yield pd.DataFrame({"slot": at, "n": n[at]})
 
     slots = docs.mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     slots = materialise(slots)
     total = slots.agg(F.sum("n")).collect()[0][0] or 0
-    most = max(hot_size, 8 * total >> slot_bits)
-    # At most total / most slots are hot, and never more than there are slots.
-    hot = np.zeros(1 << slot_bits, bool)
-    hot[[r["slot"] for r in slots.where(F.col("n") > most).select("slot").collect()]] = True
+    most = min(max(hot_size, 8 * total >> slot_bits), largest)
+    # One bit a slot: at most 512 bitmaps of 4 KB reach the driver and the workers.
+    place = F.col("slot") + 1
+    maps = slots.where(F.col("n") > most).groupBy(F.bitmap_bucket_number(place).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    hot_bits = np.zeros(max(4096, (1 << slot_bits) // 8), np.uint8)
+    for r in maps.collect():
+        hot_bits[4096 * (r["at"] - 1) : 4096 * r["at"]] = np.frombuffer(r["bits"], np.uint8)
+
+    def is_hot(low: np.ndarray) -> np.ndarray:
+        slot = _slots(low, slot_bits).astype(np.int64)
+        return (hot_bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+
     buckets = max(64, total // bucket_size)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,7 +219,7 @@ def duplicate_spans(docs: DataFrame, k: int = K, m: int = M, slot_bits: int | No
 
         for words, doc, ids, keys, place in _chunks(batches):
             first, size, low = _super_k_mers(words, doc, k, m)
-            cool = ~hot[_slots(low, slot_bits)]
+            cool = ~is_hot(low)
             first, size, low = first[cool], size[cool], low[cool]
             if not len(first):
                 continue
@@ -246,13 +258,13 @@ def duplicate_spans(docs: DataFrame, k: int = K, m: int = M, slot_bits: int | No
 
     shape = "id long, key long, a long, b long"
     found = docs.mapInPandas(pack, "bucket long, numbers binary, packed binary").repartition("bucket").sortWithinPartitions("bucket").mapInPandas(match, shape)
-    if not hot.any():
+    if not hot_bits.any():
         return found
 
     def single(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for words, doc, ids, keys, place in _chunks(batches):
             first, size, low = _super_k_mers(words, doc, k, m)
-            warm = hot[_slots(low, slot_bits)]
+            warm = is_hot(low)
             first, size = first[warm], size[warm]
             if not len(first):
                 continue

@@ -34,7 +34,7 @@ def substring_truth(rows, k=13):
     return Counter(out)
 
 
-@pytest.mark.parametrize("options", [{}, {"hot_size": 0}, {"hot_size": 10, "bucket_size": 3}])
+@pytest.mark.parametrize("options", [{}, {"hot_size": 0}, {"hot_size": 10, "bucket_size": 3}, {"largest": 4}, {"largest": 4, "slot_bits": 20}])
 def test_substrings_equal_brute_force(spark, options, monkeypatch):
     monkeypatch.setattr(substring_dedup, "CHUNK_WORDS", 500)
     rows = corpus()
