@@ -67,16 +67,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 FILTER_BITS = 1 << 23
 
 
-def member_bitmaps(members: DataFrame, column: str) -> DataFrame:
-    """A filter of the values of ``column``: at most 256 rows of 4 KB, fit to broadcast."""
-    slot = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)) + 1
+def filter_bits(members: int) -> int:
+    """Bits of a filter for so many members: sixteen or more a member, 2^20 to 2^28 in all
+    (32 MB), so it prunes well up to some hundred million members."""
+    return min(1 << 28, max(1 << 20, 1 << (16 * members).bit_length()))
+
+
+def member_bitmaps(members: DataFrame, column: str, bits: int = FILTER_BITS) -> DataFrame:
+    """A filter of the values of ``column``: a row of 4 KB for each 32,768 bits, at most, fit
+    to broadcast."""
+    slot = F.pmod(F.xxhash64(column), F.lit(bits)) + 1
     return members.groupBy(F.bitmap_bucket_number(slot).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("__bitmap"))
 
 
-def may_contain(rows: DataFrame, column: str, bitmaps: DataFrame, keep: bool = False) -> DataFrame:
+def may_contain(rows: DataFrame, column: str, bitmaps: DataFrame, keep: bool = False, bits: int = FILTER_BITS) -> DataFrame:
     """The rows whose ``column`` is among the members, and a few others by chance; with
     ``keep`` all rows, and whether they pass in ``maybe``."""
-    slot = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)) + 1
+    slot = F.pmod(F.xxhash64(column), F.lit(bits)) + 1
     bit = F.bitmap_bit_position(slot)
     byte = F.conv(F.hex(F.substring(F.col("__bitmap"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     probed = rows.withColumn("__bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bitmaps), "__bucket", "left" if keep else "inner")

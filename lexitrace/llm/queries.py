@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, language_id, licences, mixing, ngram_join, pii, quality_rules, sentencepiece_codec, substring_dedup
+from . import decontamination, exact_dedup, fill_in_middle, html_text, language_id, licences, mixing, ngram_join, pii, quality_rules, sentencepiece_codec, substring_dedup, whitening
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op11_embedding_whitening": whitening.op11_embedding_whitening,
+    "op12_benchmark_decontamination": decontamination.op12_benchmark_decontamination,
+    "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
 }
 SQL = {
     "op1_substring_dedup": substring_dedup.SQL,
@@ -22,4 +25,6 @@ SQL = {
     "op6_licence_scan": licences.SQL,
     "op7_ngram_jaccard_join": ngram_join.SQL,
     "op10_mix_sources": mixing.SQL,
+    "op12_benchmark_decontamination": decontamination.SQL,
+    "op13_fill_in_middle": fill_in_middle.SQL,
 }
