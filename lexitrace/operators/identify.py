@@ -48,12 +48,13 @@ def encoded(rows: DataFrame, config: FingerprintConfig, language: str | None = N
     return rows.withColumn("tokens", phonetic_tokens(FP.text_tokens(F.col("text"), config), T.uses_phonetics(code)))
 
 
-def identify(windows: DataFrame, files: DataFrame, media: DataFrame, fingerprints: DataFrame, streams: DataFrame, match: MatchConfig = MatchConfig(), fuzzy: FuzzyConfig = FuzzyConfig(), ngram: NgramConfig = NgramConfig(), runtimes: DataFrame | None = None, factors: DataFrame | None = None, idf: DataFrame | None = None, scope: DataFrame | None = None) -> DataFrame:
+def identify(windows: DataFrame, files: DataFrame, media: DataFrame, fingerprints: DataFrame, streams: DataFrame, match: MatchConfig = MatchConfig(), fuzzy: FuzzyConfig = FuzzyConfig(), ngram: NgramConfig = NgramConfig(), runtimes: DataFrame | None = None, factors: DataFrame | None = None, idf: DataFrame | None = None, scope: DataFrame | None = None, postings: DataFrame | None = None, grams: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Verdicts on a batch. ``windows``: query_id, part, start_s, duration_s, tokens. ``files``:
     query_id, filename, duration_s, n_words and, null if unknown, expected_show, query_title,
     file_season, file_episode. ``factors`` (hash, factor) and ``idf`` (token, idf) come from a
     library; without them they are computed from its tables. ``scope`` (query_id, media_id)
-    names candidates for the later stages.
+    names candidates for the later stages; ``postings`` and ``grams`` are their indexes
+    (``token_postings``; ``gram_postings`` and ``gram_masses``).
 
     What is read again is written to the shared folder: the queries, their hits and the
     leaders of the exact stage. Queries that an early stage settles are taken out of the
@@ -75,11 +76,11 @@ def identify(windows: DataFrame, files: DataFrame, media: DataFrame, fingerprint
 
     exact = materialise(V.leaders(V.tie_breaks(boosted(scored).join(sizes, "media_id", "left"), match)))
     open_queries = asked.join(exact, "query_id", "left_anti")
-    ordered = materialise(V.leaders(boosted(S.fuzzy_stage(open_queries, streams, fuzzy, match.top_n, scope))))
+    ordered = materialise(V.leaders(boosted(S.fuzzy_stage(open_queries, streams, fuzzy, match.top_n, scope, postings))))
     # A query that is settled well enough by either stage isn't asked again.
     firm = exact.unionByName(ordered, allowMissingColumns=True).where(F.col("confidence") >= ngram.replace_below)
     weak = materialise(asked.join(firm, "query_id", "left_anti"))
-    found = materialise(S.ngram_stage(weak, streams, ngram, match.top_n, scope, idf))
+    found = materialise(S.ngram_stage(weak, streams, ngram, match.top_n, scope, idf, grams))
     sets = V.with_raw(V.leaders(boosted(found)), found)
     guess = V.cascade(exact, ordered, sets, ngram.replace_below).join(media, "media_id")
     return V.verdicts(files.drop("n_words", "expected_show", "query_title").join(samples, "query_id", "left"), guess, match, runtimes)

@@ -8,17 +8,14 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
-from heapq import heappush, heappushpop
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import FuzzyConfig, MatchConfig, NgramConfig
 from ..sources.scratch import materialise
+from . import bitlcs
 from .fingerprint import token_ngrams
 
 
@@ -121,53 +118,83 @@ def lis_fold(places: Column) -> Column:
     return F.size(F.aggregate(F.transform(places, lambda p: p.cast("int")), none, step))
 
 
-LCS_SHAPE = "query_id long, media_id long, confidence double, match_count long, query_count long, win_start long, win_end long"
-LCS_COLUMNS = [x.split()[0] for x in LCS_SHAPE.split(", ")]
-
-
-def lcs_scores(queries: DataFrame, streams: DataFrame, config: FuzzyConfig = FuzzyConfig(), top_n: int = 5, block: int = 512) -> DataFrame:
-    """``queries``: query_id, tokens; ``streams``: media_id, tokens, starts. Queries are
-    a stated set, which travels to every partition of the streams in blocks of ``block``
-    queries, a pass for each; the streams are never shuffled.
-
-    Tokens that a query and a stream share, counted with repeats, bound the length of a
-    match. Each task goes through its streams by falling bound, and leaves a query when the
-    bound falls below its own ``top_n`` best, so only those are aligned and returned."""
-    spark = queries.sparkSession
-    asked = [(r["query_id"], r["tokens"]) for r in queries.select("query_id", "tokens").collect()]
-    out = top(spark.createDataFrame([], LCS_SHAPE), top_n)
-    for known in (asked[k : k + block] for k in range(0, len(asked), block)):
-
-        def score(batches: Iterator[pd.DataFrame], known: list = known) -> Iterator[pd.DataFrame]:
-            place = {t: k for k, t in enumerate(dict.fromkeys(t for _, q in known for t in q))}
-            held = np.zeros((len(known), len(place)), np.int32)
-            for k, (_, q) in enumerate(known):
-                np.add.at(held[k], [place[t] for t in q], 1)
-            used = [np.flatnonzero(row) for row in held]
-            best: list[list[tuple]] = [[] for _ in known]  # heaps of (length, -media, row)
-            for batch in batches:
-                found = [[(place[t], i) for i, t in enumerate(tokens) if t in place] for tokens in batch["tokens"]]
-                counts = np.zeros((len(batch), len(place)), np.int32)
-                for k, at in enumerate(found):
-                    np.add.at(counts[k], [p for p, _ in at], 1)
-                index: dict[int, dict[int, list[int]]] = {}
-                media, starts = batch["media_id"].tolist(), batch["starts"].tolist()
-                for k, (query, q) in enumerate(known):
-                    bound = np.minimum(counts[:, used[k]], held[k, used[k]]).sum(axis=1)
-                    for row in np.argsort(-bound, kind="stable").tolist():
-                        if not bound[row] or len(best[k]) == top_n and bound[row] < best[k][0][0]:
-                            break
-                        if row not in index:
-                            index[row] = defaultdict(list)
-                            for p, i in found[row]:
-                                index[row][p].append(i)
-                        length, first, last = alignment([place[t] for t in q], [], index[row])
-                        entry = (length, -media[row], (query, media[row], min(1.0, length / len(q) * config.weight), length, len(q), starts[row][first], starts[row][last]))
-                        (heappush if len(best[k]) < top_n else heappushpop)(best[k], entry)
-            yield pd.DataFrame([x for heap in best for _, _, x in heap], columns=LCS_COLUMNS)
-
-        out = out.unionByName(top(streams.select("media_id", "tokens", "starts").mapInPandas(score, LCS_SHAPE), top_n))
-    return out
+#: Postings of a token that are kept as its champions, and pairs of a query they seed.
+CHAMPIONS, SEEDS = 16, 4
+
+
+def token_postings(streams: DataFrame) -> DataFrame:
+    """token, media_id, n: how often each stream holds a token. Best a library table."""
+    return streams.select("media_id", F.explode("tokens").alias("token")).groupBy("token", "media_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def aligned_pairs(pairs: DataFrame, queries: DataFrame, streams: DataFrame, block: int = 256) -> DataFrame:
+    """query_id, media_id, match_count, query_count, win_start, win_end of ``pairs`` (query_id,
+    media_id, least), each once, whose match has ``least`` tokens. A stream travels
+    with its queries, some ``block`` of them in a row, so one that all queries meet is split."""
+    asked = queries.select("query_id", "tokens")
+    blocks = F.lit(max(1, asked.count() // block))
+    both = pairs.select("query_id", "media_id", "least").join(asked, "query_id")
+    rows = both.groupBy("media_id", F.pmod(F.xxhash64("query_id"), blocks).alias("block")).agg(F.collect_list(F.struct("query_id", "tokens", F.col("least").cast("long").alias("least"))).alias("asked"))
+    held = rows.join(streams.select("media_id", "tokens", "starts"), "media_id").select("media_id", "tokens", "starts", "asked")
+    return held.mapInArrow(bitlcs.aligned, bitlcs.SHAPE)
+
+
+def _asked_tokens(queries: DataFrame, df: DataFrame) -> DataFrame:
+    """query_id, token, k, df, before, known: the distinct tokens of each query that streams
+    hold, ``k`` times in the query; those before it when rare ones come first, with repeats,
+    and all of them."""
+    each = queries.select("query_id", F.explode("tokens").alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("k"))
+    order = W.partitionBy("query_id").orderBy("df", "token")
+    found = each.join(df.select("token", "df"), "token")
+    return found.select("query_id", "token", "k", "df", (F.sum("k").over(order) - F.col("k")).alias("before"), F.sum("k").over(W.partitionBy("query_id")).alias("known"))
+
+
+def ordered_candidates(tokens: DataFrame, least: DataFrame, postings: DataFrame) -> DataFrame:
+    """query_id, media_id, least: the streams that may share ``least`` (query_id, least) tokens
+    with a query. Of ``known`` tokens, the rarest known - least + 1 must hold a shared one;
+    more tokens join them as long as that no more than doubles the postings to read, as
+    those left then say more. A pair needs as many shared as the tokens left over can't give."""
+    each = tokens.join(least, "query_id").withColumn("must", F.col("before") < F.col("known") - F.col("least") + 1)
+    run = W.partitionBy("query_id").orderBy("df", "token")
+    each = each.withColumns({"read": F.sum("df").over(run), "most": 2 * F.sum(F.when(F.col("must"), F.col("df"))).over(W.partitionBy("query_id"))})
+    used = each.where(F.col("must") | (F.col("read") <= F.col("most")))
+    used = used.withColumn("need", F.col("least") - F.col("known") + F.sum("k").over(W.partitionBy("query_id")))
+    met = used.join(postings, "token").groupBy("query_id", "media_id").agg(F.sum(F.least("k", "n")).alias("shared"), F.any_value("need").alias("need"), F.any_value("least").alias("least"))
+    return met.where(F.col("shared") >= F.col("need")).select("query_id", "media_id", "least")
+
+
+def _scored(found: DataFrame, config: FuzzyConfig) -> DataFrame:
+    share = F.least(F.lit(1.0), F.col("match_count") / F.col("query_count") * config.weight)
+    return found.select("query_id", "media_id", share.alias("confidence"), "match_count", "query_count", "win_start", "win_end")
+
+
+def lcs_scores(queries: DataFrame, streams: DataFrame, config: FuzzyConfig = FuzzyConfig(), top_n: int = 5, block: int = 256, postings: DataFrame | None = None, floor: float = 0.0) -> DataFrame:
+    """The ``top_n`` best ordered matches of each query, by the length of the longest common
+    subsequence. ``queries``: query_id, tokens, an id once; ``streams``: media_id, tokens,
+    starts; ``postings``, of a library, saves making them. Matches under ``floor`` (a
+    confidence) may be left out.
+
+    Matches with a few champions of each token, the streams that hold it most often, give each
+    query a length that its first ``top_n`` reach at least. Streams that can't share as
+    many tokens, by an inverted index and counts, are never aligned. Nothing is collected;
+    joins are on tokens and identifiers."""
+    if postings is None:
+        postings = materialise(token_postings(streams))
+    asked = materialise(queries.select("query_id", "tokens").where(F.size("tokens") > 0))
+    df = postings.join(asked.select(F.explode("tokens").alias("token")).distinct(), "token", "left_semi")
+    champion = F.row_number().over(W.partitionBy("token").orderBy(F.desc("n"), "media_id"))
+    tokens = materialise(_asked_tokens(asked, df.groupBy("token").agg(F.count(F.lit(1)).alias("df"))))
+    champions = df.withColumn("place", champion).where(F.col("place") <= CHAMPIONS).drop("place")
+    met = tokens.join(champions, "token").groupBy("query_id", "media_id").agg(F.sum(F.least("k", "n")).alias("shared"))
+    seed = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("shared"), "media_id"))
+    seeds = met.withColumn("place", seed).where(F.col("place") <= SEEDS * top_n).select("query_id", "media_id", F.lit(1).alias("least"))
+    reached = aligned_pairs(seeds, asked, streams, block).withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("match_count"))))
+    reached = reached.where(F.col("place") == top_n).select("query_id", "match_count")
+    # A floor in tokens, a hair lower, so that rounding leaves no match out.
+    enough = F.ceil(F.size("tokens") * (floor / config.weight) - 1e-6)
+    least = asked.select("query_id", enough.alias("enough")).join(reached, "query_id", "left").select("query_id", F.greatest(F.lit(1), "enough", F.coalesce("match_count", F.lit(1))).cast("long").alias("least"))
+    pairs = ordered_candidates(tokens, materialise(least), postings)
+    return top(_scored(aligned_pairs(pairs, asked, streams, block), config), top_n)
 
 
 def scoped_pairs(queries: DataFrame, streams: DataFrame, scope: DataFrame) -> DataFrame:
@@ -176,33 +203,25 @@ def scoped_pairs(queries: DataFrame, streams: DataFrame, scope: DataFrame) -> Da
     return materialise(wanted.join(streams.select("media_id"), "media_id", "left_semi").select("query_id", "media_id"))
 
 
-def pair_lcs_scores(pairs: DataFrame, queries: DataFrame, streams: DataFrame, config: FuzzyConfig = FuzzyConfig(), top_n: int = 5) -> DataFrame:
+def pair_lcs_scores(pairs: DataFrame, queries: DataFrame, streams: DataFrame, config: FuzzyConfig = FuzzyConfig(), top_n: int = 5, floor: float = 0.0) -> DataFrame:
     """``lcs_scores`` of given pairs (query_id, media_id) only."""
+    enough = F.greatest(F.lit(1), F.ceil(F.size("tokens") * (floor / config.weight) - 1e-6)).cast("long")
+    given = pairs.join(queries.select("query_id", enough.alias("least")), "query_id")
+    return top(_scored(aligned_pairs(given, queries, streams), config), top_n)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for query, media, q, tokens, starts in zip(batch["query_id"], batch["media_id"], batch["asked"], batch["tokens"], batch["starts"]):
-                length, first, last = alignment(list(q), list(tokens))
-                if length:
-                    rows.append((query, media, min(1.0, length / len(q) * config.weight), length, len(q), starts[first], starts[last]))
-            yield pd.DataFrame(rows, columns=LCS_COLUMNS)
 
-    asked = queries.select("query_id", F.col("tokens").alias("asked"))
-    both = pairs.join(asked, "query_id").join(streams.select("media_id", "tokens", "starts"), "media_id")
-    return top(both.select("query_id", "media_id", "asked", "tokens", "starts").mapInPandas(score, LCS_SHAPE), top_n)
-
-
-def fuzzy_stage(queries: DataFrame, streams: DataFrame, config: FuzzyConfig = FuzzyConfig(), top_n: int = 5, scope: DataFrame | None = None) -> DataFrame:
+def fuzzy_stage(queries: DataFrame, streams: DataFrame, config: FuzzyConfig = FuzzyConfig(), top_n: int = 5, scope: DataFrame | None = None, postings: DataFrame | None = None) -> DataFrame:
     """Ordered matches of queries with enough tokens, above the least ratio; nothing for
     a query whose best two are closer than the margin. ``scope`` (query_id, media_id) limits
     a query to its candidates; one without candidates that have a stream meets them all."""
     asked = queries.where(F.size("tokens") >= config.min_query_tokens)
+    floor = config.min_lcs_ratio
     if scope is None:
-        scored = lcs_scores(asked, streams, config, top_n)
+        scored = lcs_scores(asked, streams, config, top_n, postings=postings, floor=floor)
     else:
         pairs = scoped_pairs(asked, streams, scope)
-        scored = pair_lcs_scores(pairs, asked, streams, config, top_n).unionByName(lcs_scores(asked.join(pairs, "query_id", "left_anti"), streams, config, top_n))
+        wide = lcs_scores(asked.join(pairs, "query_id", "left_anti"), streams, config, top_n, postings=postings, floor=floor)
+        scored = pair_lcs_scores(pairs, asked, streams, config, top_n, floor).unionByName(wide)
     return clear_winners(scored.where(F.col("confidence") >= config.min_lcs_ratio), config.min_margin)
 
 
@@ -244,18 +263,83 @@ def _weighted_grams(rows: DataFrame, keys: list[str], idf: DataFrame, n: int, by
     return words.select(*keys, "gram", (total / n).alias("weight"))
 
 
-def ngram_dice(queries: DataFrame, streams: DataFrame, n: int = 2, idf: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
+def gram_postings(streams: DataFrame, n: int = 2) -> DataFrame:
+    """gram, media_id: the distinct n-grams of each stream. Best a library table."""
+    return streams.select(F.explode(F.array_distinct(token_ngrams(F.col("tokens"), n))).alias("gram"), "media_id")
+
+
+def gram_masses(streams: DataFrame, idf: DataFrame, n: int = 2) -> DataFrame:
+    """media_id, wb: the summed weights of a stream's distinct n-grams. A gram weighs the mean
+    of its tokens, so each token counts as often as distinct grams hold it; tokens are
+    joined once, not grams. Best a library table, made anew when ``idf`` changes."""
+    held = F.flatten(F.transform(F.array_distinct(token_ngrams(F.col("tokens"), n)), lambda g: F.split(g, " ")))
+    each = streams.select("media_id", F.explode(held).alias("token")).groupBy("media_id", "token").agg(F.count(F.lit(1)).alias("c"))
+    return each.join(idf.select("token", "idf"), "token", "left").groupBy("media_id").agg((F.sum(F.col("c") * F.coalesce("idf", F.lit(1.0))) / n).alias("wb"))
+
+
+def _asked_grams(queries: DataFrame, idf: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(query_id, gram, weight), and (query_id, wa, query_count) of all queries."""
+    grams = materialise(_weighted_grams(queries, ["query_id"], idf, n))
+    mass = grams.groupBy("query_id").agg(F.sum("weight").alias("wa"))
+    size = queries.select("query_id", F.greatest(F.lit(1), F.size("tokens") - n + 1).cast("long").alias("query_count"))
+    return grams, materialise(mass.join(size, "query_id"))
+
+
+def _dice(shared: DataFrame, asked: DataFrame, masses: DataFrame) -> DataFrame:
+    out = shared.join(asked, "query_id").join(masses, "media_id")
+    return out.select("query_id", "media_id", F.least(F.lit(1.0), 2.0 * F.col("ws") / (F.col("wa") + F.col("wb"))).alias("confidence"), "match_count", "query_count")
+
+
+def gram_candidates(grams: DataFrame, asked: DataFrame, hits: DataFrame, floor: DataFrame) -> DataFrame:
+    """query_id, media_id that may reach the Dice coefficient ``floor`` (query_id, floor). As
+    a stream weighs no less than what it shares, a match shares floor * wa / (2 - floor) of
+    the query's weight wa; so it holds one of the rarest grams, taken until the rest weigh
+    less. ``hits`` are the postings of the queries' grams."""
+    df = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    rest = F.sum("weight").over(W.partitionBy("query_id").orderBy(F.desc("df"), "gram"))
+    each = grams.join(df, "gram").join(asked, "query_id").join(floor, "query_id").withColumn("rest", rest)
+    needed = F.col("floor") * F.col("wa") / (2.0 - F.col("floor"))
+    return each.where(F.col("rest") >= needed - 1e-6).select("query_id", "gram").join(hits, "gram").select("query_id", "media_id").distinct()
+
+
+def ngram_best(queries: DataFrame, streams: DataFrame, n: int, idf: DataFrame, top_n: int, floor: float, index: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """The ``top_n`` of ``ngram_dice`` of each query whose best reaches ``floor``, with ranks.
+
+    First only streams that may reach the floor are scored. Queries whose best does, but
+    which have fewer than ``top_n`` such matches, are asked again with the least of their
+    first ``top_n`` as the floor, or none."""
+    postings, masses = index
+    grams, asked = _asked_grams(queries, idf, n)
+    hits = materialise(postings.join(grams.select("gram").distinct(), "gram", "left_semi"))
+
+    def scores(floors: DataFrame) -> DataFrame:
+        pairs = gram_candidates(grams, asked, hits, floors)
+        shared = pairs.join(grams, "query_id").join(hits, ["gram", "media_id"]).groupBy("query_id", "media_id").agg(F.sum("weight").alias("ws"), F.count(F.lit(1)).alias("match_count"))
+        return materialise(top(_dice(shared, asked, masses), top_n))
+
+    first = scores(asked.select("query_id", F.lit(float(floor)).alias("floor")))
+    told = first.groupBy("query_id").agg(F.max("confidence").alias("best"), F.min("confidence").alias("least"), F.count(F.lit(1)).alias("n"))
+    live = told.where(F.col("best") >= floor)
+    whole = (F.col("n") == top_n) & (F.col("least") >= floor)
+    again = materialise(live.where(~whole).select("query_id", F.when(F.col("n") == top_n, F.col("least")).otherwise(0.0).alias("floor")))
+    return first.join(live.where(whole).select("query_id"), "query_id", "left_semi").unionByName(scores(again))
+
+
+def ngram_dice(queries: DataFrame, streams: DataFrame, n: int = 2, idf: DataFrame | None = None, pairs: DataFrame | None = None, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """query_id, media_id, confidence (weighted Dice), match_count, query_count. Only
-    pairs that share an n-gram meet, through a join on the n-gram. ``idf`` may come from a
-    library. With ``pairs`` (query_id, media_id) each query meets its own candidates, which
-    are also the documents of its idf."""
+    pairs that share an n-gram meet, through a join on the n-gram. ``idf`` and ``index``
+    (``gram_postings``, ``gram_masses``) may come from a library. With ``pairs`` (query_id,
+    media_id) each query meets its own candidates, which are also the documents of its idf."""
     if pairs is None:
-        by, own = (), ["media_id"]
-    else:
-        by, own = ("query_id",), ["query_id", "media_id"]
-        streams = materialise(pairs.join(streams.select("media_id", "tokens"), "media_id"))
-        queries = queries.join(pairs.select("query_id").distinct(), "query_id", "left_semi")
-    idf = materialise(token_idf(streams, by)) if idf is None or by else idf
+        idf = materialise(token_idf(streams)) if idf is None else idf
+        postings, masses = index or (gram_postings(streams, n), gram_masses(streams, idf, n))
+        grams, asked = _asked_grams(queries, idf, n)
+        shared = postings.join(grams, "gram").groupBy("query_id", "media_id").agg(F.sum("weight").alias("ws"), F.count(F.lit(1)).alias("match_count"))
+        return _dice(shared, asked, masses)
+    by, own = ("query_id",), ["query_id", "media_id"]
+    streams = materialise(pairs.join(streams.select("media_id", "tokens"), "media_id"))
+    queries = queries.join(pairs.select("query_id").distinct(), "query_id", "left_semi")
+    idf = materialise(token_idf(streams, by))
     a = materialise(_weighted_grams(queries, ["query_id"], idf, n, by))
     b = _weighted_grams(streams, own, idf, n, by)
     mass_a = a.groupBy("query_id").agg(F.sum("weight").alias("wa"))
@@ -268,17 +352,19 @@ def ngram_dice(queries: DataFrame, streams: DataFrame, n: int = 2, idf: DataFram
     return out.select("query_id", "media_id", F.least(F.lit(1.0), 2.0 * F.col("ws") / (F.col("wa") + F.col("wb"))).alias("confidence"), "match_count", "query_count")
 
 
-def ngram_stage(queries: DataFrame, streams: DataFrame, config: NgramConfig = NgramConfig(), top_n: int = 5, scope: DataFrame | None = None, idf: DataFrame | None = None) -> DataFrame:
+def ngram_stage(queries: DataFrame, streams: DataFrame, config: NgramConfig = NgramConfig(), top_n: int = 5, scope: DataFrame | None = None, idf: DataFrame | None = None, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Set matches of queries with enough tokens; nothing below the least similarity of
     the best, or for a query whose best two are closer than the margin. ``scope`` is that of
-    ``fuzzy_stage``."""
+    ``fuzzy_stage``; ``idf`` and ``index`` are those of ``ngram_dice``."""
     asked = queries.where(F.size("tokens") >= max(config.n + 1, 4))
+    idf = materialise(token_idf(streams)) if idf is None else idf
+    index = index or (materialise(gram_postings(streams, config.n)), gram_masses(streams, idf, config.n))
     if scope is None:
-        scored = ngram_dice(asked, streams, config.n, idf)
+        ranked = ngram_best(asked, streams, config.n, idf, top_n, config.min_similarity, index)
     else:
         pairs = scoped_pairs(asked, streams, scope)
-        scored = ngram_dice(asked, streams, config.n, pairs=pairs).unionByName(ngram_dice(asked.join(pairs, "query_id", "left_anti"), streams, config.n, idf))
-    ranked = top(scored, top_n)
+        wide = ngram_best(asked.join(pairs, "query_id", "left_anti"), streams, config.n, idf, top_n, config.min_similarity, index)
+        ranked = top(ngram_dice(asked, streams, config.n, pairs=pairs), top_n).unionByName(wide)
     best = F.max("confidence").over(W.partitionBy("query_id"))
     return clear_winners(ranked.withColumn("best", best).where(F.col("best") >= config.min_similarity).drop("best"), config.min_margin)
 

@@ -26,7 +26,7 @@ from ..sources import sinks
 from ..sources import subtitles as SRC
 from ..sources.scratch import scratch_dir
 from ..sources.tables import read_table
-from .queries import _BUILT, _CAND, _DICE, _LCS, _VERDICT, _candidates, _clean, _fingerprints, _media, _results, _shingles, _streams, _transcripts, _words, query
+from .queries import _BUILT, _CAND, _DICE, _LCS, _VERDICT, _candidates, _clean, _fingerprints, _gram_index, _media, _postings, _results, _shingles, _streams, _token_idf, _transcripts, _words, query
 
 WORDS_OF_CUE = 6
 
@@ -336,22 +336,22 @@ g AS (SELECT *, max(CASE WHEN rank = 1 THEN confidence END) OVER (PARTITION BY q
 SELECT query_id, media_id, round(confidence, 6) AS confidence, rank FROM g WHERE gap IS NULL OR gap >= 0.12"""
 )
 def fuzzy_stage_scoped(spark, sf_dir):
-    found = S.fuzzy_stage(_transcripts(spark, sf_dir), _streams(spark, sf_dir), scope=_scope(spark, sf_dir))
+    found = S.fuzzy_stage(_transcripts(spark, sf_dir), _streams(spark, sf_dir), scope=_scope(spark, sf_dir), postings=_postings(spark, sf_dir))
     return found.select("query_id", "media_id", F.round("confidence", 6).alias("confidence"), F.col("rank").cast("long").alias("rank"))
 
 
 _GOOD = _DICE.replace("SELECT DISTINCT media_id, unnest(tokens) AS t FROM stream", "SELECT DISTINCT media_id, unnest(tokens) AS t FROM good").replace("(SELECT count(*) FROM stream)", "(SELECT count(*) FROM good)").replace("unnest(range(1, len(tokens))) AS i FROM stream", "unnest(range(1, len(tokens))) AS i FROM good").replace(", t AS (", ", good AS (SELECT * FROM stream WHERE media_id IN (SELECT doc_id FROM labels WHERE quality = 1)), t AS (", 1)
 
 
-@query(
-    f"""WITH {_GOOD}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(confidence, 9) DESC, match_count DESC, media_id) AS rank FROM dice WHERE query_id IN (SELECT query_id FROM asked WHERE len(tokens) >= 4)),
+_SETS = """r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(confidence, 9) DESC, match_count DESC, media_id) AS rank FROM dice WHERE query_id IN (SELECT query_id FROM asked WHERE len(tokens) >= 4)),
 g AS (SELECT *, max(confidence) OVER (PARTITION BY query_id) AS best, max(CASE WHEN rank = 1 THEN confidence END) OVER (PARTITION BY query_id) - max(CASE WHEN rank = 2 THEN confidence END) OVER (PARTITION BY query_id) AS gap FROM r)
-SELECT query_id, media_id, round(confidence, 6) AS confidence, match_count, rank FROM g WHERE query_id % 2 = 0 AND rank <= 5 AND best >= 0.2 AND (gap IS NULL OR gap >= 0.05)"""
-)
+SELECT query_id, media_id, round(confidence, 6) AS confidence, match_count, rank FROM g WHERE rank <= 5 AND best >= 0.2 AND (gap IS NULL OR gap >= 0.05)"""
+
+
+@query(f"SELECT * FROM (WITH {_GOOD}, {_SETS} AND query_id % 2 = 0) UNION ALL SELECT * FROM (WITH {_DICE}, {_SETS} AND query_id % 2 = 1)")
 def ngram_stage_scoped(spark, sf_dir):
-    """The queries that have candidates; their idf is over the candidates."""
-    asked = _transcripts(spark, sf_dir).where("query_id % 2 = 0")
-    found = S.ngram_stage(asked, _streams(spark, sf_dir), scope=_scope(spark, sf_dir))
+    """The idf of a query with candidates is over these, that of others over all."""
+    found = S.ngram_stage(_transcripts(spark, sf_dir), _streams(spark, sf_dir), scope=_scope(spark, sf_dir), idf=_token_idf(spark, sf_dir), index=_gram_index(spark, sf_dir))
     return found.select("query_id", "media_id", F.round("confidence", 6).alias("confidence"), "match_count", F.col("rank").cast("long").alias("rank"))
 
 
