@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
-from typing import Protocol
+from typing import Any, Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +18,7 @@ from . import fingerprint as FP
 from . import library as L
 from . import scoring as S
 from . import verdict as V
+from .store import Store
 
 
 class Transcriber(Protocol):
@@ -86,120 +86,140 @@ def identify(windows: DataFrame, files: DataFrame, media: DataFrame, fingerprint
     return V.verdicts(files.drop("n_words", "expected_show", "query_title").join(samples, "query_id", "left"), guess, match, runtimes)
 
 
-@dataclass
-class Library:
-    """Tables in one folder. A build adds a folder of fingerprints and streams under ``data``
-    and a version: media, hash_df and token_df, then the names of its data folders, whose
-    mark comes last, so readers never see half a library. Older data is written again only
-    if a build replaces media."""
-
-    spark: SparkSession
-    path: str
-    config: FingerprintConfig = FingerprintConfig()
-
-    SHAPES = {
-        "media": L.MEDIA,
-        "fingerprints": "hash string, shingle_size int, media_id long, start_ms long, end_ms long",
-        "streams": "media_id long, tokens array<string>, starts array<long>",
-        "hash_df": "hash string, df long",
-        "token_df": "token string, df long",
-    }
-
-    def _folder(self, path: str):
-        """(path, its file system) in Hadoop's terms."""
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return folder, folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def check_path(self) -> None:
-        """Make the library's folder; an error at once, not after a long build, if it can't be."""
-        folder, fs = self._folder(self.path)
-        if fs.exists(folder) and not fs.getFileStatus(folder).isDirectory():
-            raise ValueError(f"{self.path} is not a folder")
-        try:
-            made = fs.mkdirs(folder)
-        except Exception as e:
-            raise ValueError(f"cannot make the folder {self.path}") from e
-        if not made:
-            raise ValueError(f"cannot make the folder {self.path}")
-
-    def _versions(self) -> list[int]:
-        folder, fs = self._folder(self.path)
-        if not fs.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        done = [int(n[1:]) for n in names if n[0] == "v" and n[1:].isdigit()]
-        return sorted(n for n in done if fs.exists(self._folder(f"{self.path}/v{n}/parts/_SUCCESS")[0]))
-
-    def _parts(self) -> list[str]:
-        versions = self._versions()
-        return sorted(r[0] for r in self.spark.read.text(f"{self.path}/v{versions[-1]}/parts").collect()) if versions else []
-
-    def table(self, name: str) -> DataFrame:
-        """A table of the newest version; empty before the first build."""
-        read = self.spark.read.schema(self.SHAPES[name])
-        if name in ("fingerprints", "streams"):
-            parts = self._parts()
-            return read.parquet(*[f"{self.path}/data/{p}/{name}" for p in parts]) if parts else self.spark.createDataFrame([], self.SHAPES[name])
-        versions = self._versions()
-        return read.parquet(f"{self.path}/v{versions[-1]}/{name}") if versions else self.spark.createDataFrame([], self.SHAPES[name])
+class Library(Store):
+    """A library on disk. A build adds parts in proportion to its files; deletions, edits and
+    replaced streams are small parts that count when tables are read (see ``store``)."""
+
+    def __init__(self, spark: SparkSession, path: str, config: FingerprintConfig = FingerprintConfig()) -> None:
+        super().__init__(spark, path)
+        self.config = config
 
     def hash_factors(self) -> DataFrame:
-        """hash, factor, from the document frequencies that builds have written."""
+        """hash, factor, from the document frequencies that changes have written."""
         return S.idf_factors(self.table("hash_df"), self.table("media").count())
 
     def token_idf(self) -> DataFrame:
         n = self.table("streams").count()
         return S.idf_of(self.table("token_df"), n)
 
-    def build(self, directory: str, runtimes: DataFrame | None = None, force: bool = False, title: str | None = None, year: int | None = None, media_type: str | None = None, show_title: str | None = None) -> dict[str, int]:
-        """Adds the subtitle files under ``directory``; files that have fingerprints already
-        are left out unless ``force``. What is given of title, year, media type and show wins
-        over the file names. Returns the numbers of files and fingerprints added."""
+    def _add_streams(self, state: dict[str, Any], streams: DataFrame) -> None:
+        self.add(state, "streams", streams.select("media_id", "tokens", "starts"))
+        fresh = self.parts("streams", [state["streams"][-1][0]])
+        self.add(state, "postings", S.token_postings(fresh))
+        self.add_run(state, "token_df", S.token_frequency(fresh))
+
+    def _drop_streams(self, state: dict[str, Any], old: dict[str, DataFrame], gone: DataFrame) -> None:
+        """Streams, postings and frequencies of ``gone`` (media_id), a written table."""
+        self.forget(state, gone, "streams", "postings")
+        self.add_run(state, "token_df", S.token_frequency(old["streams"].join(gone, "media_id", "left_semi")).withColumn("df", -F.col("df")))
+
+    def _drop_fingerprints(self, state: dict[str, Any], old: dict[str, DataFrame], gone: DataFrame) -> None:
+        self.forget(state, gone, "fingerprints")
+        self.add_run(state, "hash_df", L.document_frequency(old["fingerprints"].join(gone, "media_id", "left_semi")).withColumn("df", -F.col("df")))
+
+    def build(self, files: str | DataFrame, runtimes: DataFrame | None = None, force: bool = False, title: str | None = None, year: int | None = None, media_type: str | None = None, show_title: str | None = None) -> dict[str, int]:
+        """Adds the subtitle files under a folder, or those of a table of path and content;
+        files that have fingerprints already are left out unless ``force``. What is given of
+        title, year, media type and show wins over the file names. Returns the numbers of files
+        and fingerprints added. Other builds may run at the same time."""
         self.check_path()
-        old = {n: self.table(n) for n in self.SHAPES}
-        cues = SRC.read_subtitles(self.spark, directory).withColumn("source", T.base_name(F.col("source")))
-        cues = materialise(cues)  # parsed once for all tables
-        files = cues.select("source").distinct()
-        todo = materialise(files if force else L.unprocessed(files, old["media"], old["fingerprints"]))
-        cues = cues.join(todo, "source", "left_semi")
-        spoken = cues.groupBy("source").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])).alias("text"))
-        language = F.lit(self.config.language) if self.config.language else T.vote_language(F.col("text"))
-        length = L.subtitle_runtime(cues.withColumnRenamed("source", "media_id")).select(F.col("media_id").alias("source"), F.col("seconds").alias("duration_seconds"))
-        meta = spoken.select("source", T.file_metadata(F.col("source")).alias("m"), language.alias("language")).join(length, "source", "left")
-        told = lambda name, value, kind: F.coalesce(F.lit(value).cast(kind), F.col(f"m.{name}")).alias(name)
-        incoming = meta.select(told("title", title, "string"), told("year", year, "int"), told("media_type", media_type, "string"), "m.season", "m.episode", "source", told("show_title", show_title, "string"), "m.episode_title", "duration_seconds", F.when(F.col("duration_seconds").isNotNull(), "subtitle").alias("duration_source"), "language")
-        if runtimes is not None:
-            incoming = L.with_runtimes(incoming, runtimes)
-        number = next(reversed(self._versions()), 0) + 1
-        version, parts = f"{self.path}/v{number}", self._parts()
-        L.upsert(old["media"], incoming).write.mode("overwrite").parquet(f"{version}/media")
-        media = self.spark.read.parquet(f"{version}/media")
-        fresh = materialise(media.join(todo, "source", "left_semi").select("media_id", "source", "language"))
-        tokens = materialise(encoded(cues.join(fresh, "source"), self.config, "language"))
-
-        def put(part: str, name: str, df: DataFrame) -> DataFrame:
-            df.write.mode("overwrite").parquet(f"{self.path}/data/{part}/{name}")
-            return self.spark.read.schema(self.SHAPES[name]).parquet(f"{self.path}/data/{part}/{name}")
-
-        new = {"fingerprints": put(f"b{number}", "fingerprints", FP.library_fingerprints(tokens, self.config)), "streams": put(f"b{number}", "streams", FP.token_streams(tokens))}
-        base = {"hash_df": old["hash_df"], "token_df": old["token_df"]}
-        if not old["fingerprints"].join(fresh, "media_id", "left_semi").isEmpty():
-            kept = [put(f"r{number}", n, df) for n, df in zip(("fingerprints", "streams"), L.delete_media(fresh, old["fingerprints"], old["streams"]))]
-            parts = [f"r{number}"]
-            base = {"hash_df": L.document_frequency(kept[0]), "token_df": S.token_frequency(kept[1])}
-        # Builds hold different media, so frequencies add up.
-        more = {"hash_df": L.document_frequency(new["fingerprints"]), "token_df": S.token_frequency(new["streams"])}
-        for name, key in (("hash_df", "hash"), ("token_df", "token")):
-            base[name].select(key, "df").unionByName(more[name].select(key, "df")).groupBy(key).agg(F.sum("df").alias("df")).write.mode("overwrite").parquet(f"{version}/{name}")
-        self.spark.createDataFrame([(p,) for p in (*parts, f"b{number}")], "value string").coalesce(1).write.mode("overwrite").text(f"{version}/parts")
-        done = fresh.count()
-        return {"files": done, "skipped": files.count() - done, "fingerprints": new["fingerprints"].count()}
-
-    def build_show(self, query: str, directory: str, year: int | None = None, **options) -> dict[str, int]:
+        cues = SRC.read_subtitles(self.spark, files) if isinstance(files, str) else SRC.subtitle_cues(files)
+        cues = materialise(cues.withColumn("source", T.base_name(F.col("source"))))  # parsed once for all tables
+        named = cues.select("source").distinct()
+
+        def make(state: dict[str, Any]) -> dict[str, int]:
+            old = {n: self.table(n, state) for n in ("media", "fingerprints", "streams")}
+            todo = materialise(named if force else L.unprocessed(named, old["media"], old["fingerprints"]))
+            done = todo.count()
+            counts = {"files": done, "skipped": named.count() - done, "fingerprints": 0}
+            if not done:
+                return counts
+            mine = cues.join(todo, "source", "left_semi")
+            spoken = mine.groupBy("source").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])).alias("text"))
+            language = F.lit(self.config.language) if self.config.language else T.vote_language(F.col("text"))
+            length = L.subtitle_runtime(mine.withColumnRenamed("source", "media_id")).select(F.col("media_id").alias("source"), F.col("seconds").alias("duration_seconds"))
+            meta = spoken.select("source", T.file_metadata(F.col("source")).alias("m"), language.alias("language")).join(length, "source", "left")
+            told = lambda name, value, kind: F.coalesce(F.lit(value).cast(kind), F.col(f"m.{name}")).alias(name)
+            incoming = meta.select(told("title", title, "string"), told("year", year, "int"), told("media_type", media_type, "string"), "m.season", "m.episode", "source", told("show_title", show_title, "string"), "m.episode_title", "duration_seconds", F.when(F.col("duration_seconds").isNotNull(), "subtitle").alias("duration_source"), "language")
+            if runtimes is not None:
+                incoming = L.with_runtimes(incoming, runtimes)
+            self.add(state, "media", L.upsert(old["media"], incoming, changed_only=True, top=state["top"]))
+            changed = self.parts("media", [state["media"][-1][0]])
+            state["top"] = max(state["top"], changed.agg(F.max("media_id")).first()[0])
+            fresh = materialise(changed.join(todo, "source", "left_semi").select("media_id", "source", "language"))
+            if not old["fingerprints"].join(fresh, "media_id", "left_semi").isEmpty():
+                gone = materialise(fresh.select("media_id"))
+                self._drop_fingerprints(state, old, gone)
+                self._drop_streams(state, old, gone)
+            tokens = materialise(encoded(mine.join(fresh, "source"), self.config, "language"))
+            self.add(state, "fingerprints", FP.library_fingerprints(tokens, self.config))
+            added = self.parts("fingerprints", [state["fingerprints"][-1][0]])
+            self.add_run(state, "hash_df", L.document_frequency(added))
+            self._add_streams(state, FP.token_streams(tokens))
+            return counts | {"fingerprints": added.count()}
+
+        return self.change(make)
+
+    def delete(self, gone: DataFrame | list[int]) -> int:
+        """Media with all that belongs to them; how many there were. Identifiers aren't
+        given again."""
+        ids = gone if isinstance(gone, DataFrame) else self.spark.createDataFrame([(i,) for i in gone], "media_id long")
+
+        def make(state: dict[str, Any]) -> int:
+            old = {n: self.table(n, state) for n in ("media", "fingerprints", "streams")}
+            here = materialise(old["media"].join(ids.select("media_id").distinct(), "media_id", "left_semi").select("media_id"))
+            if n := here.count():
+                self.forget(state, here, "media")
+                self._drop_fingerprints(state, old, here)
+                self._drop_streams(state, old, here)
+            return n
+
+        return self.change(make)
+
+    def clear(self) -> None:
+        """Everything; identifiers aren't given again."""
+
+        def make(state: dict[str, Any]) -> None:
+            state.update({n: [] for n in ("deletes", *self.SHAPES)})
+
+        self.change(make)
+
+    def update(self, rows: DataFrame) -> int:
+        """New values of media: ``rows`` has media_id, once each, and some editable columns,
+        which are taken as they are, nulls too. Returns the number of media that were met."""
+        given = [c for c in rows.columns if c != "media_id"]
+        if unknown := set(given) - set(L.EDITABLE):
+            raise ValueError(f"not editable: {sorted(unknown)}")
+
+        def make(state: dict[str, Any]) -> int:
+            media = self.table("media", state)
+            new = rows.select("media_id", *[F.col(c).cast(media.schema[c].dataType).alias(f"new_{c}") for c in given])
+            both = materialise(media.join(new, "media_id").select(*[F.col(f"new_{c}").alias(c) if c in given else F.col(c) for c in media.columns]))
+            if n := both.count():
+                self.add(state, "media", both)
+            return n
+
+        return self.change(make)
+
+    def replace_streams(self, incoming: DataFrame) -> int:
+        """New token streams (media_id, tokens, starts) of known media; an empty one changes
+        nothing. Returns how many were replaced."""
+
+        def make(state: dict[str, Any]) -> int:
+            old = {n: self.table(n, state) for n in ("media", "streams")}
+            fresh = materialise(incoming.where(F.size("tokens") > 0).join(old["media"].select("media_id"), "media_id", "left_semi").select("media_id", "tokens", "starts"))
+            if n := fresh.count():
+                self._drop_streams(state, old, fresh.select("media_id"))
+                self._add_streams(state, fresh)
+            return n
+
+        return self.change(make)
+
+    def build_show(self, query: str, files: str | DataFrame, year: int | None = None, **options) -> dict[str, int]:
         """``build`` for the files of one show: "Title 1986", or a title and a year."""
         row = self.spark.range(1).select(T.parse_query(F.lit(query)).alias("q")).first()["q"]
         options.setdefault("show_title", row["title"])
-        return self.build(directory, title=row["title"], year=year or row["year"], **options)
+        return self.build(files, title=row["title"], year=year or row["year"], **options)
 
     def identify(self, transcripts: DataFrame, **options) -> DataFrame:
         """Verdicts on files, in the order of input_pos if known. ``transcripts``: query_id,
@@ -212,5 +232,5 @@ class Library:
         files = files.groupBy("query_id").agg(F.first("filename").alias("filename"), F.max("duration_s").alias("duration_s"), F.sum("n").cast("int").alias("n_words"), F.first("expected_show", True).alias("expected_show"), F.min("input_pos").cast("long").alias("input_pos"))
         named = T.parse_episode(F.col("filename"))
         files = files.withColumns({"query_title": named["episode_title"], "file_season": named["season"], "file_episode": named["episode"]})
-        found = identify(windows, files, self.table("media"), self.table("fingerprints"), self.table("streams"), factors=self.hash_factors(), idf=self.token_idf(), **options)
+        found = identify(windows, files, self.table("media"), self.table("fingerprints", slot=True), self.table("streams"), factors=self.hash_factors(), idf=self.token_idf(), postings=self.table("postings"), **options)
         return found.orderBy(F.asc_nulls_last("input_pos"), "query_id")

@@ -2,14 +2,15 @@
 
 A library is three tables: media (media_id and what is known of each), fingerprints
 (hash, shingle_size, media_id, start_ms, end_ms) and token streams. Changes return new
-tables, to be written and swapped; nothing is updated in place.
+tables; ``store`` keeps such changes on disk. Fingerprints may have a column ``slot``, the
+folder of their hash on disk, by which look-ups leave out what they don't ask for.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,10 +24,36 @@ FILLED = ["show_title", "episode_title", "duration_seconds", "duration_source",
 EDITABLE = ["title", "year", "media_type", "season", "episode", "source", *FILLED]
 
 
+#: Folders of an index by hash, fixed for the tables on disk.
+SLOTS = 64
+
+
+def slot_of(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int")
+
+
+def write_slotted(df: DataFrame, key: str, path: str) -> None:
+    """``df`` in a folder for each slot of ``key``, sorted by it, with Bloom filters. Large
+    slots, those of frequent keys too, are several files."""
+    rows = df.withColumn("slot", slot_of(F.col(key))).hint("rebalance", "slot").sortWithinPartitions("slot", key)
+    rows.write.option(f"parquet.bloom.filter.enabled#{key}", "true").option("parquet.bloom.filter.adaptive.enabled", "true").partitionBy("slot").parquet(path)
+
+
+def in_slots(indexed: DataFrame, asked: DataFrame, key: str = "hash") -> DataFrame:
+    """``indexed`` without the slots that no key of ``asked`` falls in; their files aren't
+    read. The driver learns ``SLOTS`` numbers at most. Tables without slots stay as they are."""
+    if "slot" not in indexed.columns:
+        return indexed
+    used = sorted(r[0] for r in asked.select(slot_of(F.col(key))).distinct().collect())
+    return indexed if len(used) == SLOTS else indexed.where(F.col("slot").isin(used))
+
+
 def lookup(fingerprints: DataFrame, query: DataFrame, scope: DataFrame | None = None) -> DataFrame:
     """Rows of the index whose hash a query holds: query_id, hash, media_id, start_ms.
     ``scope`` (media_id) limits the media; an empty one matches nothing. A hash common
-    to many media is a hot key, which adaptive execution splits."""
+    to many media is a hot key, which adaptive execution splits. ``query`` is best a
+    written table."""
+    fingerprints = in_slots(fingerprints, query)
     if scope is not None:
         fingerprints = fingerprints.join(scope.select("media_id").distinct(), "media_id", "left_semi")
     return query.select("query_id", "hash").distinct().join(fingerprints.select("hash", "media_id", "start_ms"), "hash")
@@ -83,27 +110,31 @@ def unprocessed(files: DataFrame, media: DataFrame, fingerprints: DataFrame) ->
     return files.join(done, "source", "left_anti")
 
 
-def upsert(media: DataFrame, incoming: DataFrame) -> DataFrame:
+def in_order(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``rows`` with their place, from 1, in an order over all of them: they are written in
+    ranges, and a row's place is that in its range behind the rows of the ranges before."""
+    ranged = materialise(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__before"))
+    place = F.row_number().over(W.partitionBy("__part").orderBy(*order))
+    return ranged.withColumn(name, place).join(F.broadcast(before), "__part").withColumn(name, F.col(name) + F.col("__before")).drop("__part", "__before")
+
+
+def upsert(media: DataFrame, incoming: DataFrame, changed_only: bool = False, top: int | None = None) -> DataFrame:
     """``media`` with ``incoming`` (no ids) merged by the null-safe key; -1 counts as null
     in numbers. Known rows take new values that aren't null; new rows get ids behind the
-    largest, in the order of their key. Of equal incoming rows the one that sorts last
-    wins."""
+    largest, or behind ``top``, in the order of their key. Of equal incoming rows the one
+    that sorts last wins. With ``changed_only`` just the known rows that were met, and new ones."""
     norm = lambda df: df.select("*", *[(F.coalesce(F.col(k), F.lit(-1)) if k in ("year", "season", "episode") else F.col(k)).alias(f"__{k}") for k in KEY])
     keys = [f"__{k}" for k in KEY]
     # The rest of the row decides which of equal rows wins.
     given = incoming.groupBy(*KEY).agg(*[F.max_by(c, F.struct(F.col(c).isNotNull(), *FILLED)).alias(c) for c in FILLED])
     a, b = norm(media), norm(given)
-    both = a.join(b.select(*keys, *[F.col(c).alias(f"new_{c}") for c in FILLED]), _same(a, b, keys), "left")
+    both = a.join(b.select(*keys, *[F.col(c).alias(f"new_{c}") for c in FILLED]), _same(a, b, keys), "inner" if changed_only else "left")
     old = both.select(*[a[c] for c in ["media_id", *KEY]], *[F.coalesce(F.col(f"new_{c}"), a[c]).alias(c) for c in FILLED])
     fresh = b.join(a, _same(a, b, keys), "left_anti").select(*KEY, *FILLED)
-    top = media.agg(F.coalesce(F.max("media_id"), F.lit(0)).alias("top"))
-    # One order over all new rows, in ranges: a row's number is its place in its range
-    # behind those of the ranges before. The ranges are written, so that they stay.
-    ranged = materialise(fresh.repartitionByRange(*[F.asc_nulls_first(k) for k in KEY]).withColumn("part", F.spark_partition_id()))
-    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
-    place = F.row_number().over(W.partitionBy("part").orderBy(*[F.asc_nulls_first(k) for k in KEY]))
-    numbered = ranged.withColumn("rank", place).join(F.broadcast(before), "part").join(F.broadcast(top), F.lit(True)).withColumn("media_id", F.col("top") + F.col("before") + F.col("rank"))
+    last = media.agg(F.coalesce(F.max("media_id"), F.lit(0)).alias("top")) if top is None else media.sparkSession.createDataFrame([(top,)], "top long")
+    numbered = in_order(fresh, [F.asc_nulls_first(k) for k in KEY], "place").join(F.broadcast(last), F.lit(True)).withColumn("media_id", F.col("top") + F.col("place"))
     return old.unionByName(numbered.select("media_id", *KEY, *FILLED))
 
 

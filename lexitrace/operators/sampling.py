@@ -34,6 +34,13 @@ def parse_points(spec: str) -> list[float]:
     return out
 
 
+def points_of(spec: Column) -> Column:
+    """``parse_points`` of a column: array of fractions; null parts where one is no number."""
+    parts = F.filter(F.split(spec, r"[,\s;]+"), lambda x: x != "")
+    value = lambda x: F.regexp_replace(x, "%$", "").try_cast("double")
+    return F.transform(parts, lambda x: F.when(x.endswith("%") | (value(x) > 1), value(x) / 100).otherwise(value(x)))
+
+
 def sample_windows(duration: Column, points: Column, length: float) -> Column:
     """array of (start_s, len_s) inside the file, without repeats."""
     size = F.lit(float(length))

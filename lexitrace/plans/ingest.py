@@ -6,16 +6,12 @@ cues hold six words. The SQL builds cues from the table itself.
 
 from __future__ import annotations
 
-import json
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import FingerprintConfig
 from ..functions import text as T
-from ..functions.phonetics import encode_vocabulary, phonetic_tokens
+from ..functions.phonetics import phonetic_tokens
 from ..operators import fingerprint as FP
 from ..operators import library as L
 from ..operators import sampling
@@ -26,43 +22,40 @@ from ..sources import sinks
 from ..sources import subtitles as SRC
 from ..sources.scratch import scratch_dir
 from ..sources.tables import read_table
-from .queries import _BUILT, _CAND, _DICE, _LCS, _VERDICT, _candidates, _clean, _fingerprints, _gram_index, _media, _postings, _results, _shingles, _streams, _token_idf, _transcripts, _words, query
+from .queries import WINDOWS, _BUILT, _CAND, _DICE, _LCS, _VERDICT, _candidates, _clean, _fingerprints, _gram_index, _key, _media, _postings, _query, _results, _shingles, _streams, _token_idf, _transcripts, _words, query
 
 WORDS_OF_CUE = 6
 
 
-def _put(spark: SparkSession, path: str, data: bytes) -> None:
-    """A small file by the driver, on whatever file system holds ``path``."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
-    out.write(data)
-    out.close()
+def _stamp(ms: F.Column, mark: str) -> F.Column:
+    part = lambda unit, of: F.floor(ms / unit) % of
+    return F.format_string(f"%02d:%02d:%02d{mark}%03d", part(3600000, 1 << 40), part(60000, 60), part(1000, 60), part(1, 1000))
 
 
-def _stamp(ms: int, mark: str) -> str:
-    return f"{ms // 3600000:02d}:{ms // 60000 % 60:02d}:{ms // 1000 % 60:02d}{mark}{ms % 1000:03d}"
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content, as a source of binary files gives them: items as Show.S01Exx.srt
+    (even: line ends of either kind, with and without a byte-order mark) or .vtt (odd, a
+    folder deeper), amid other files."""
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    items = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("i"), words.alias("w"))
+    last = F.floor((F.size("w") - 1) / WORDS_OF_CUE)
+    said = lambda k: F.array_join(F.slice("w", (k * WORDS_OF_CUE + 1).cast("int"), WORDS_OF_CUE), " ")
 
+    def cue(k: F.Column, mark: str) -> F.Column:
+        return F.concat(_stamp(k * 3000, mark), F.lit(" --> "), _stamp(k * 3000 + 2500, mark), F.lit("\n"), said(k))
 
-def _folder(spark: SparkSession, sf_dir: str) -> str:
-    """Items as Show.S01Exx.srt (even: line ends of either kind, with and without a
-    byte-order mark) or .vtt (odd, a folder deeper), amid other files."""
-    key = (spark.sparkContext.applicationId, sf_dir, "subtitles")
-    if key not in _BUILT:
-        path = scratch_dir(spark)
-        for r in read_table(spark, sf_dir, "benchmark").select("item_id", "text").collect():
-            i, words = r["item_id"], r["text"].split()
-            cues = [(k * 3000, " ".join(words[n : n + WORDS_OF_CUE])) for k, n in enumerate(range(0, len(words), WORDS_OF_CUE))]
-            if i % 2:
-                body = "WEBVTT\n\n" + "\n\n".join(f"{_stamp(s, '.')} --> {_stamp(s + 2500, '.')}\n{t}" for s, t in cues)
-                _put(spark, f"{path}/deep/Show.S01E{i:02d}.vtt", body.encode())
-            else:
-                body = "\n\n".join(f"{k + 1}\n{_stamp(s, ',')} --> {_stamp(s + 2500, ',')}\n{t}" for k, (s, t) in enumerate(cues))
-                _put(spark, f"{path}/Show.S01E{i:02d}.srt", b"\xef\xbb\xbf" * (i % 4 == 0) + body.replace("\n", "\r\n" if i % 3 == 0 else "\n").encode())
-            _put(spark, f"{path}/{'deep/' * (i % 3)}Show.S01E{i:02d}.{'MKV' if i % 5 else 'txt'}", b"x")
-        _BUILT[key] = path
-    return _BUILT[key]
+    each = lambda f: F.array_join(F.when(F.size("w") > 0, F.transform(F.sequence(F.lit(0).cast("long"), last), f)), "\n\n")
+    srt = each(lambda k: F.concat((k + 1).cast("string"), F.lit("\n"), cue(k, ",")))
+    srt = F.when(F.col("i") % 3 == 0, F.replace(srt, F.lit("\n"), F.lit("\r\n"))).otherwise(srt)
+    srt = F.when(F.col("i") % 4 == 0, F.concat(F.lit("\ufeff"), srt)).otherwise(srt)
+    vtt = F.concat(F.lit("WEBVTT\n\n"), each(lambda k: cue(k, ".")))
+    odd, name = F.col("i") % 2 == 1, F.format_string("Show.S01E%02d", "i")
+    subtitle = F.struct(F.concat(F.lit(f"{_ROOT}/"), F.when(odd, "deep/").otherwise(""), name, F.when(odd, ".vtt").otherwise(".srt")).alias("path"), F.encode(F.when(odd, vtt).otherwise(srt), "UTF-8").alias("content"))
+    other = F.struct(F.concat(F.lit(f"{_ROOT}/"), F.repeat(F.lit("deep/"), (F.col("i") % 3).cast("int")), name, F.when(F.col("i") % 5 > 0, ".MKV").otherwise(".txt")).alias("path"), F.encode(F.lit("x"), "UTF-8").alias("content"))
+    return items.select(F.explode(F.array(subtitle, other)).alias("f")).select("f.*")
 
 
+_ROOT = "/shows"
 _FILE = "'Show.S01E' || lpad(CAST(item_id AS VARCHAR), CAST(greatest(2, length(CAST(item_id AS VARCHAR))) AS INTEGER), '0')"
 _FILES = f"""i AS (SELECT item_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM benchmark),
 fcue AS (SELECT item_id, {_FILE} || CASE WHEN item_id % 2 = 1 THEN '.vtt' ELSE '.srt' END AS source, k AS n, k * 3000 AS start_ms, k * 3000 + 2500 AS end_ms, array_to_string(w[k * {WORDS_OF_CUE} + 1:k * {WORDS_OF_CUE} + {WORDS_OF_CUE}], ' ') AS text
@@ -70,7 +63,7 @@ fcue AS (SELECT item_id, {_FILE} || CASE WHEN item_id % 2 = 1 THEN '.vtt' ELSE '
 
 
 def _cues(spark, sf_dir):
-    return SRC.read_subtitles(spark, _folder(spark, sf_dir)).withColumn("source", T.base_name(F.col("source")))
+    return SRC.subtitle_cues(_files(spark, sf_dir)).withColumn("source", T.base_name(F.col("source")))
 
 
 @query(f"WITH {_FILES} SELECT source, n AS pos, start_ms, end_ms, text FROM fcue WHERE item_id % 2 = 0")
@@ -90,17 +83,41 @@ def subtitle_formats(spark, sf_dir):
 
 @query(f"SELECT {_FILE} || CASE WHEN item_id % 2 = 1 THEN '.vtt' ELSE '.srt' END AS source FROM benchmark")
 def subtitle_listing(spark, sf_dir):
-    return _cues(spark, sf_dir).select("source").distinct()
+    return SRC.subtitles_among(_files(spark, sf_dir)).select(T.base_name(F.col("path")).alias("source"))
 
 
 @query(f"SELECT {_FILE} || '.MKV' AS name FROM benchmark WHERE item_id % 5 <> 0 AND item_id % 3 <= 1")
 def media_discovery(spark, sf_dir):
-    return SRC.discover_media(spark, _folder(spark, sf_dir), "mkv; .MP4", depth=1).select(T.base_name(F.col("path")).alias("name"))
+    return SRC.media_among(_files(spark, sf_dir), _ROOT, "mkv; .MP4", depth=1).select(T.base_name(F.col("path")).alias("name"))
+
 
+#: Lists as people write them, from the languages and sources of documents.
+_SPECS = "CASE doc_id % 4 WHEN 0 THEN lang || ', .' || upper(source) || ';' || lang WHEN 1 THEN '  ..' || source || ' ' || lang WHEN 2 THEN ' ;, ' ELSE upper(lang) END"
+_DEFAULTS = ", ".join(f"'{e}'" for e in SRC.MEDIA_EXTENSIONS)
 
-@query("SELECT * FROM (VALUES ('a, .B;c', '.a .b .c'), ('  mkv', '.mkv')) t(spec, found)")
+
+@query(
+    f"""WITH p AS (SELECT doc_id, list_filter(string_split_regex({_SPECS}, '[,\\s;]+'), lambda x: x <> '') AS p FROM documents),
+e AS (SELECT doc_id, list_sort(list_distinct(list_transform(p, lambda x: '.' || regexp_replace(lower(x), '^\\.+', '')))) AS e FROM p)
+SELECT doc_id, array_to_string(CASE WHEN len(e) > 0 THEN e ELSE [{_DEFAULTS}] END, ' ') AS found FROM e"""
+)
 def extension_lists(spark, sf_dir):
-    return spark.createDataFrame([(s, " ".join(SRC.parse_extensions(s))) for s in ("a, .B;c", "  mkv")], "spec string, found string")
+    docs = read_table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_SPECS} AS spec")
+    return docs.select("doc_id", F.array_join(SRC.extensions_of(F.col("spec")), " ").alias("found"))
+
+
+_POINTS = "CASE doc_id % 3 WHEN 0 THEN (n_chars % 100) || '%,0.' || (n_chars % 7 + 1) || ';' || (2 + n_chars % 97) WHEN 1 THEN ' .5  ' || (n_chars % 100) ELSE '' END"
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id, list_filter(string_split_regex({_POINTS}, '[,\\s;]+'), lambda x: x <> '') AS p FROM documents),
+v AS (SELECT doc_id, list_transform(p, lambda x: CASE WHEN ends_with(x, '%') OR CAST(rtrim(x, '%') AS DOUBLE) > 1 THEN CAST(rtrim(x, '%') AS DOUBLE) / 100 ELSE CAST(rtrim(x, '%') AS DOUBLE) END) AS v FROM p)
+SELECT doc_id, array_to_string(list_transform(v, lambda x: CAST(CAST(round(x * 10000) AS BIGINT) AS VARCHAR)), ' ') AS points FROM v"""
+)
+def point_lists(spark, sf_dir):
+    """Fractions in ten thousandths."""
+    docs = read_table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_POINTS} AS spec")
+    return docs.select("doc_id", F.array_join(F.transform(sampling.points_of(F.col("spec")), lambda x: F.round(x * 10000).cast("long").cast("string")), " ").alias("points"))
 
 
 _STAMPS = "CASE doc_id % 6 WHEN 0 THEN '01:02:03,' || doc_id % 1000 WHEN 1 THEN '00:' || doc_id % 60 || ':07.5' WHEN 2 THEN doc_id % 60 || ':09.1234' WHEN 3 THEN '00:00:' || doc_id % 60 WHEN 4 THEN 'x' || doc_id ELSE '1:2:3:4' END"
@@ -124,11 +141,10 @@ def encoding_ladder(spark, sf_dir):
 
 @query("SELECT 'S01E' || lpad(CAST(item_id % 50 AS VARCHAR), 2, '0') AS episode_id, max(item_id / 2.0::DOUBLE) AS minutes FROM benchmark GROUP BY 1")
 def runtimes_source(spark, sf_dir):
-    path, found = scratch_dir(spark), {}
-    for r in read_table(spark, sf_dir, "benchmark").select("item_id").orderBy("item_id").collect():
-        found[f"S01E{r['item_id'] % 50:02d}"] = r["item_id"] / 2.0
-    _put(spark, f"{path}/runtimes.json", json.dumps(found).encode())
-    return SRC.read_runtimes(spark, f"{path}/runtimes.json")
+    path = scratch_dir(spark)
+    episode = F.format_string("S01E%02d", F.col("item_id") % 50).alias("episode_id")
+    SRC.write_runtimes(read_table(spark, sf_dir, "benchmark").groupBy(episode).agg(F.max(F.col("item_id") / 2.0).alias("minutes")), path)
+    return SRC.read_runtimes(spark, path)
 
 
 @query("SELECT doc_id AS media_id, CASE WHEN toxic IS NOT NULL THEN 'online' ELSE 'subtitle' END AS duration_source, CASE WHEN toxic IS NOT NULL THEN 60 * (30 + doc_id % 5) ELSE greatest(60, n_chars // 15) END::INTEGER AS duration_seconds FROM documents LEFT JOIN labels USING (doc_id)")
@@ -150,11 +166,6 @@ def transcriber_hook(spark, sf_dir):
     return transcribe_windows(files, _Echo())
 
 
-@query("SELECT * FROM (VALUES ('10,50%;.9', '0.1 0.5 0.9'), ('0.25 75', '0.25 0.75')) t(spec, points)")
-def point_lists(spark, sf_dir):
-    return spark.createDataFrame([(s, " ".join(f"{x:g}" for x in sampling.parse_points(s))) for s in ("10,50%;.9", "0.25 75")], "spec string, points string")
-
-
 # -- libraries on disk ------------------------------------------------------------------
 
 #: Another language than English: tokens are the words.
@@ -163,12 +174,28 @@ _CONFIG = FingerprintConfig(language="de")
 
 def _library(spark: SparkSession, sf_dir: str) -> Library:
     """Built in two steps: the .vtt files as a show, then all; the second step appends."""
-    key = (spark.sparkContext.applicationId, sf_dir, "library")
-    folder = _folder(spark, sf_dir)
+    key = _key(spark, sf_dir, "library")
+    if key not in _BUILT:
+        library, files = Library(spark, scratch_dir(spark), _CONFIG), _files(spark, sf_dir)
+        library.build_show("Odd Show 1999", files.where(F.col("path").startswith(f"{_ROOT}/deep/")))
+        library.build(files)
+        _BUILT[key] = library.path
+    return Library(spark, _BUILT[key], _CONFIG)
+
+
+def _changed(spark: SparkSession, sf_dir: str) -> Library:
+    """A library that has lost every fifth item, has other titles for every seventh, and
+    streams that run backwards for every third of what was left."""
+    key = _key(spark, sf_dir, "changed")
     if key not in _BUILT:
         library = Library(spark, scratch_dir(spark), _CONFIG)
-        library.build_show("Odd Show 1999", f"{folder}/deep")
-        library.build(folder)
+        library.build(_files(spark, sf_dir))
+        item = F.regexp_extract("source", r"E(\d+)\.", 1).cast("long")
+        media = library.table("media").select("media_id", item.alias("item_id"))
+        library.update(media.where("item_id % 7 = 1").select("media_id", F.lit("New").alias("title"), F.lit(9).alias("season"), F.lit(None).cast("int").alias("duration_seconds")))
+        library.delete(media.where("item_id % 5 = 0"))
+        words = _transcripts(spark, sf_dir).where("query_id % 3 = 0").select(F.col("query_id").alias("item_id"), F.reverse("tokens").alias("tokens"))
+        library.replace_streams(media.join(words, "item_id").select("media_id", "tokens", F.transform("tokens", lambda t, i: i.cast("long")).alias("starts")))
         _BUILT[key] = library.path
     return Library(spark, _BUILT[key], _CONFIG)
 
@@ -204,29 +231,62 @@ def library_token_idf(spark, sf_dir):
 @query(f"WITH {_FILES} SELECT count(DISTINCT source) AS skipped, 0 AS files, 0 AS fingerprints FROM fcue")
 def library_rebuild(spark, sf_dir):
     """Another build of known files adds nothing."""
-    done = _library(spark, sf_dir).build(_folder(spark, sf_dir))
+    done = _library(spark, sf_dir).build(_files(spark, sf_dir))
     return spark.createDataFrame([(done["skipped"], done["files"], done["fingerprints"])], "skipped long, files int, fingerprints int")
 
 
-@query("SELECT * FROM (VALUES ('file', false), ('folder', true)) t(what, usable)")
-def library_path_check(spark, sf_dir):
-    path, out = scratch_dir(spark), []
-    _put(spark, f"{path}/file", b"x")
-    for what in ("folder", "file"):
-        try:
-            Library(spark, f"{path}/{what}").check_path()
-            out.append((what, True))
-        except ValueError:
-            out.append((what, False))
-    return spark.createDataFrame(out, "what string, usable boolean")
+_LEFT = "item_id % 5 <> 0"
+_NEWSTREAM = f"""{_FTOK}, left_ AS (SELECT DISTINCT item_id, source FROM fcue WHERE {_LEFT}), own AS (SELECT media_id AS item_id, flatten(list(w ORDER BY pos)) AS tokens FROM ftok WHERE len(w) > 0 GROUP BY 1),
+back AS (SELECT item_id, list_reverse({_words('text')}) AS tokens FROM benchmark WHERE item_id % 3 = 0),
+now_ AS (SELECT source, CASE WHEN len(back.tokens) > 0 THEN back.tokens ELSE own.tokens END AS tokens FROM left_ LEFT JOIN own USING (item_id) LEFT JOIN back USING (item_id) WHERE own.tokens IS NOT NULL OR len(back.tokens) > 0)"""
+
+
+@query(
+    f"""WITH {_FTOK}, f AS (SELECT source, count(*) AS n_fingerprints FROM ffp GROUP BY 1), d AS (SELECT item_id, source, round_even(max(end_ms) / 1000.0, 0)::INTEGER AS duration_seconds FROM fcue WHERE {_LEFT} GROUP BY 1, 2)
+SELECT source, CASE WHEN item_id % 7 = 1 THEN 'New' ELSE 'Show' END AS title, CASE WHEN item_id % 7 = 1 THEN 9 ELSE 1 END AS season, CASE WHEN item_id % 7 <> 1 THEN duration_seconds END AS duration_seconds, n_fingerprints FROM d LEFT JOIN f USING (source)"""
+)
+def library_changes(spark, sf_dir):
+    """Media and their fingerprints after deletions and edits on disk."""
+    library = _changed(spark, sf_dir)
+    return library.table("media").join(L.media_counts(library.table("fingerprints")), "media_id", "left").select("source", "title", "season", "duration_seconds", "n_fingerprints")
+
+
+@query(f"WITH {_NEWSTREAM} SELECT source, md5(array_to_string(tokens, ' ')) AS stream FROM now_")
+def library_changed_streams(spark, sf_dir):
+    library = _changed(spark, sf_dir)
+    return library.table("streams").join(library.table("media").select("media_id", "source"), "media_id").select("source", F.md5(F.array_join("tokens", " ")).alias("stream"))
+
+
+@query(f"WITH {_NEWSTREAM} SELECT source, t AS token, count(*) AS n FROM (SELECT source, unnest(tokens) AS t FROM now_) GROUP BY 1, 2")
+def library_changed_postings(spark, sf_dir):
+    library = _changed(spark, sf_dir)
+    return library.table("postings").join(library.table("media").select("media_id", "source"), "media_id").select("source", "token", "n")
+
+
+@query(f"WITH {_FTOK}, m AS (SELECT count(DISTINCT source) AS n FROM fcue WHERE {_LEFT}), d AS (SELECT hash, count(DISTINCT media_id) AS df FROM ffp WHERE media_id % 5 <> 0 GROUP BY 1), x AS (SELECT hash, df, ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df)) + 1.0::DOUBLE AS idf FROM d, m), a AS (SELECT avg(idf) AS mean FROM x) SELECT hash, round(least(3.0::DOUBLE, greatest(0.35::DOUBLE, idf / mean)), 6) AS factor FROM x, a")
+def library_changed_hash_idf(spark, sf_dir):
+    """Runs of frequencies, one of them negative, add up."""
+    return _changed(spark, sf_dir).hash_factors().select("hash", F.round("factor", 6).alias("factor"))
+
+
+@query(f"WITH {_NEWSTREAM}, d AS (SELECT t, count(*) AS df FROM (SELECT DISTINCT source, unnest(tokens) AS t FROM now_) GROUP BY 1), m AS (SELECT count(*) AS n FROM now_) SELECT t AS token, df::BIGINT AS df, round(ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df)) + 1.0::DOUBLE, 6) AS idf FROM d, m")
+def library_changed_token_idf(spark, sf_dir):
+    return _changed(spark, sf_dir).token_idf().select("token", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {_FTOK}, {WINDOWS}, asked_ AS (SELECT DISTINCT query_id, hash FROM q) SELECT query_id, source, hash, start_ms FROM asked_ JOIN ffp USING (hash) WHERE media_id % 5 <> 0")
+def library_lookup(spark, sf_dir):
+    """Probes of the index on disk, by slots of the hash."""
+    library = _changed(spark, sf_dir)
+    found = L.lookup(library.table("fingerprints", slot=True), _query(spark, sf_dir))
+    return found.join(library.table("media").select("media_id", "source"), "media_id").select("query_id", "source", "hash", "start_ms")
 
 
 @query("SELECT doc_id AS media_id, 'doc ' || doc_id AS title, CASE WHEN regexp_matches(source, '[0-9]+$') THEN CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) + 1 ELSE 1 END AS season, CAST(doc_id % 100 + 1 AS INTEGER) AS episode, row_number() OVER (ORDER BY 'doc ' || doc_id) AS place FROM documents")
 def media_list(spark, sf_dir):
-    """In order; the place is counted behind the sort for the comparison."""
-    listed = L.list_media(_media(spark, sf_dir)).select("media_id", "title", "season", "episode")
-    rows = listed.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
-    return spark.createDataFrame(rows, "media_id long, title string, season int, episode int, place long")
+    """The order of ``list_media`` as a place."""
+    listed = _media(spark, sf_dir).select("media_id", "title", "season", "episode")
+    return L.in_order(listed, [F.asc_nulls_first("title"), F.asc_nulls_first("season"), F.asc_nulls_first("episode")], "place")
 
 
 @query("SELECT doc_id AS media_id, 'doc 7' AS title, lang AS language FROM documents WHERE doc_id = 7")
@@ -300,15 +360,6 @@ def voted_languages(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").select("doc_id", T.vote_language(F.col("text")).alias("language"))
 
 
-#: Published keys of Double Metaphone.
-_KEYS = {"smith": "SM0", "schmidt": "XMT", "thomas": "TMS", "wright": "RT", "xavier": "SF", "1986": "1986"}
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{k}')" for w, k in _KEYS.items()) + ") t(word, code)")
-def phonetic_keys(spark, sf_dir):
-    return encode_vocabulary(spark.createDataFrame([(w,) for w in _KEYS], "word string")).select("word", "code")
-
-
 @query(f"SELECT doc_id, len(w)::BIGINT AS n, CASE WHEN lang <> 'en' THEN md5(array_to_string(w, ' ')) END AS stream FROM (SELECT doc_id, lang, {_words('text')} AS w FROM documents)")
 def phonetic_streams(spark, sf_dir):
     """A key for each word of English, the words of other languages; SQL knows the number
@@ -422,18 +473,6 @@ def json_report(spark, sf_dir):
     return spark.read.json(path).select(*_REPORT)
 
 
-@query("SELECT i AS batch, 'to' || i AS destination, i AS operations FROM range(10, 59) t(i)")
-def rename_history(spark, sf_dir):
-    """Sixty batches pushed, the last taken back: the newest fifty were kept."""
-    with tempfile.TemporaryDirectory() as folder:
-        history = sinks.RenameHistory(os.path.join(folder, "history.json"))
-        for k in range(60):
-            history.push(f"to{k}", [{"src": str(n), "dest": str(n)} for n in range(k)])
-        history.pop()
-        found = [(int(b["destination"][2:]), b["destination"], len(b["operations"])) for b in history.batches()]
-    return spark.createDataFrame(found, "batch long, destination string, operations long")
-
-
 @query(f"WITH {_VERDICT} SELECT query_id FROM v WHERE NOT none AND (review OR status = 'unknown') AND (contains(lower('Show.' || own || '.mkv ' || id || ' Part ' || (media_id % 7)), 'e03 part 2') OR contains((SELECT lower(source || ' - ' || id || ' - Part ' || (media_id % 7) || '.mkv') FROM documents WHERE doc_id = media_id), 'e03 part 2'))")
 def found_results(spark, sf_dir):
     return V.find_results(_results(spark, sf_dir), " E03 Part 2", "Review").select("query_id")

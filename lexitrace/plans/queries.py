@@ -38,17 +38,30 @@ def query(sql: str | None = None):
     return register
 
 
-#: Tables of the library over a folder of driver tables, by application, folder and name.
-_BUILT: dict[tuple[str, str, str], str] = {}
+#: Tables of the library over a folder of driver tables, by application, folder, state of
+#: the folder and name.
+_BUILT: dict[tuple[str, str, str, str], str] = {}
 
 
-def _built(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+def _key(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, str, str, str]:
+    """A table that is written anew in the folder gives another key."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    found = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    stamp = max((f.getModificationTime() for f in found), default=0)
+    return spark.sparkContext.applicationId, sf_dir, f"{len(found)}-{stamp}", name
+
+
+def _built(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
     """A library table: written to the shared folder when a query first asks for it, as a
-    build would, and read from there by all later ones of the application."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    build would, and read from there by all later ones of the application. ``by``: in slots
+    of that column."""
+    key = _key(spark, sf_dir, name)
     if key not in _BUILT:
         path = scratch_dir(spark)
-        make().write.parquet(path)
+        if by:
+            L.write_slotted(make(), by, path)
+        else:
+            make().write.parquet(path)
         _BUILT[key] = path
     return spark.read.parquet(_BUILT[key])
 
@@ -58,7 +71,7 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _built(spark, sf_dir, "fingerprints", lambda: FP.library_fingerprints(_tokens(spark, sf_dir)))
+    return _built(spark, sf_dir, "fingerprints", lambda: FP.library_fingerprints(_tokens(spark, sf_dir)), by="hash")
 
 
 def _media(spark: SparkSession, sf_dir: str) -> DataFrame:

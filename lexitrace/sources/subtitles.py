@@ -35,12 +35,29 @@ def parse_cues(files: DataFrame) -> DataFrame:
     return block.select("source", "pos", T.timestamp_ms(start).alias("start_ms"), T.timestamp_ms(end).alias("end_ms"), words.alias("text")).where(F.trim("text") != "")
 
 
+def subtitle_cues(files: DataFrame) -> DataFrame:
+    """The cues of subtitle files among ``files`` (path, content as bytes), which may come
+    from any source; names tell which they are."""
+    subtitles = files.where(F.lower(F.col("path")).rlike(r"\.(srt|vtt)$"))
+    return parse_cues(subtitles.select(F.col("path").alias("source"), decode_text(F.col("content")).alias("content")))
+
+
+def subtitles_among(files: DataFrame) -> DataFrame:
+    """path of the subtitle files among ``files`` (path), by their names."""
+    return files.select("path").where(F.lower(T.extension(F.col("path"))).isin(".srt", ".vtt"))
+
+
+def list_subtitles(spark: SparkSession, directory: str) -> DataFrame:
+    """path of the subtitle files under ``directory``; contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name_glob([".srt", ".vtt"])).load(directory)
+    return subtitles_among(files)
+
+
 def read_subtitles(spark: SparkSession, directory: str) -> DataFrame:
     """The cues of all .srt and .vtt files under ``directory``."""
     # The glob keeps other files, videos too, from being opened.
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{[sS][rR],[vV][tT]}[tT]").load(directory)
-    files = files.select(F.col("path").alias("source"), F.col("content").alias("__content"))
-    return parse_cues(files.select("source", decode_text(F.col("__content")).alias("content")))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name_glob([".srt", ".vtt"])).load(directory)
+    return subtitle_cues(files.select("path", "content"))
 
 
 def parse_extensions(spec: str | list[str] | None) -> list[str]:
@@ -50,22 +67,50 @@ def parse_extensions(spec: str | list[str] | None) -> list[str]:
     return found or MEDIA_EXTENSIONS
 
 
+def extensions_of(spec: Column) -> Column:
+    """``parse_extensions`` of a column of texts: array of extensions."""
+    parts = F.filter(F.split(F.coalesce(spec, F.lit("")), r"[,\s;]+"), lambda x: x != "")
+    found = F.array_sort(F.array_distinct(F.transform(parts, lambda x: F.concat(F.lit("."), F.regexp_replace(F.lower(x), r"^\.+", "")))))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(*map(F.lit, MEDIA_EXTENSIONS)))
+
+
+def name_glob(extensions: list[str]) -> str:
+    """A glob of file names with one of the extensions, in either case."""
+    either = lambda e: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e)
+    return "*{" + ",".join(map(either, extensions)) + "}"
+
+
+def media_among(files: DataFrame, root: str, extensions: str | list[str] | None = None, depth: int = -1) -> DataFrame:
+    """path: media files among ``files`` (path), ``depth`` folders below ``root`` at most (-1:
+    any)."""
+    found = files.select("path").where(F.lower(T.extension(F.col("path"))).isin(*parse_extensions(extensions)))
+    top = F.lit(re.sub(r"^file:/*", "/", root).rstrip("/"))
+    inner = F.ltrim(F.replace(F.regexp_replace("path", "^file:/*", "/"), top, F.lit("")), F.lit("/"))
+    return found.where(F.size(F.split(inner, "/")) - 1 <= depth) if depth >= 0 else found
+
+
 def discover_media(spark: SparkSession, path: str, extensions: str | list[str] | None = None, depth: int = -1) -> DataFrame:
     """path: media files under ``path``, ``depth`` folders deep at most (-1: any), sorted.
-    Contents aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
-    files = files.where(F.lower(T.extension(F.col("path"))).isin(*parse_extensions(extensions)))
-    root = F.lit(re.sub(r"^file:/*", "/", path).rstrip("/"))
-    inner = F.ltrim(F.replace(F.regexp_replace("path", "^file:/*", "/"), root, F.lit("")), F.lit("/"))
-    if depth >= 0:
-        files = files.where(F.size(F.split(inner, "/")) - 1 <= depth)
-    return files.orderBy("path")
+    Other names aren't listed, contents aren't read."""
+    glob = name_glob(parse_extensions(extensions))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    return media_among(files, path, extensions, depth).orderBy("path")
+
+
+def write_runtimes(runtimes: DataFrame, path: str) -> None:
+    """``runtimes`` (episode_id, minutes; an episode once) as JSON objects {episode_id:
+    minutes}, one a line, of some ten thousand episodes each."""
+    few = F.pmod(F.xxhash64("episode_id"), F.lit(runtimes.count() // 10_000 + 1))
+    entry = F.struct("episode_id", F.col("minutes").cast("double"))
+    runtimes.groupBy(few).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")).select("value").write.text(path)
 
 
 def read_runtimes(spark: SparkSession, path: str) -> DataFrame:
-    """episode_id, minutes from a JSON object {episode_id: minutes}."""
+    """episode_id, minutes from JSON objects {episode_id: minutes}: one in a file, over any
+    lines, or one a line."""
     text = spark.read.text(path, wholetext=True)
-    return text.select(F.explode(F.from_json("value", "map<string,double>")).alias("episode_id", "minutes"))
+    each = text.select(F.explode(F.split("value", r"(?<=\})\s*\n\s*(?=\{)")).alias("value"))
+    return each.select(F.explode(F.from_json("value", "map<string,double>")).alias("episode_id", "minutes"))
 
 
 # -- the driver tables as dialogue ------------------------------------------------------
