@@ -7,10 +7,11 @@ one block from its share of the slots so far, over the whole schedule, until it
 slots that nobody may fill are passed over. Weights become whole numbers in exactly their
 proportion, so release times and deadlines are exact. No row is dropped.
 
-The schedule is made block by block with two heaps. Blocks hold ``block_size`` documents,
-or more where there would be over ``MOST_BLOCKS`` of them, so the schedule doesn't grow
-with the rows; it has one block at least for each source. It is broadcast only up to
-twice that many blocks.
+Blocks hold ``block_size`` documents whatever the size of the table. The schedule is made
+block by block with two heaps, as each decision hangs on all before it: some 400,000 blocks
+(3 million documents) a second, on the driver, which holds counters of the sources and a
+slice of ``SLICE`` blocks. Slices are written to the shared folder, and documents are joined
+with them on source and block; the planner broadcasts a small schedule only.
 
 Within a source documents follow the md5 of their identifier. Ranks come from
 counts over hash buckets, summed in two steps, and a row number within a bucket, so a
@@ -27,18 +28,21 @@ their counts reach the driver.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from fractions import Fraction
 from heapq import heapify, heappop, heappush
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import scratch_dir, table
 
 BLOCK_SIZE = 8
-MOST_BLOCKS = 1 << 16
+#: Blocks of the schedule that the driver holds at once.
+SLICE = 1 << 18
 TEMPERATURE = 0.5
 #: Rows of one hash bucket, on average, at most; hexadecimal digits of a group of buckets.
 BUCKET_ROWS, HEAD = 4096, 3
@@ -51,9 +55,9 @@ def whole_weights(weights: dict[str, float]) -> dict[str, int]:
     return {k: int(f * unit) for k, f in exact.items()}
 
 
-def pfair_schedule(blocks: dict[str, int], weights: dict[str, int]) -> list[tuple[int, str]]:
+def pfair_schedule(blocks: dict[str, int], weights: dict[str, int]) -> Iterator[tuple[int, str]]:
     """(slot, source) of all blocks, in order; ties go to the first name."""
-    total, done, plan, slot = sum(weights.values()), dict.fromkeys(blocks, 0), [], 0
+    total, done, slot = sum(weights.values()), dict.fromkeys(blocks, 0), 0
     waiting: list[tuple[int, str]] = [(0, k) for k in blocks if blocks[k]]
     heapify(waiting)
     due: list[tuple[int, str]] = []
@@ -64,54 +68,65 @@ def pfair_schedule(blocks: dict[str, int], weights: dict[str, int]) -> list[tupl
             _, k = heappop(waiting)
             heappush(due, (-(-(done[k] + 1) * total // weights[k]), k))
         _, k = heappop(due)
-        plan.append((slot, k))
+        yield slot, k
         done[k] += 1
         slot += 1
         if done[k] < blocks[k]:
             heappush(waiting, (done[k] * total // weights[k], k))
-    return plan
 
 
-def _schedule(counts: dict[str, int], weights: dict[str, float] | None, temperature: float, size: int) -> list[tuple[int, str]]:
+def _schedule(counts: dict[str, int], weights: dict[str, float] | None, temperature: float, size: int) -> Iterator[tuple[int, str]]:
     """The schedule of the sources with a target, then of those without."""
     natural = {k: float(n) ** temperature for k, n in counts.items()}
     target = natural if weights is None else {k: w for k, w in weights.items() if w > 0 and k in counts}
-    plan: list[tuple[int, str]] = []
+    start = 0
     for part in (target, {k: w for k, w in natural.items() if k not in target}):
-        start = plan[-1][0] + 1 if plan else 0
-        plan += [(start + slot, k) for slot, k in pfair_schedule({k: -(-counts[k] // size) for k in part}, whole_weights(part))]
-    return plan
+        last = -1
+        for slot, k in pfair_schedule({k: -(-counts[k] // size) for k in part}, whole_weights(part)):
+            last = slot
+            yield start + slot, k
+        start += last + 1
+
+
+def _write_schedule(spark: SparkSession, plan: Iterator[tuple[int, str]], counts: dict[str, int], size: int, slice_blocks: int) -> DataFrame:
+    """__key, __block, __slot, __start: the slot of each block and the place of its first
+    document in the mixture; written slice by slice, a row for each source in a slice."""
+    path, done, at = scratch_dir(spark), dict.fromkeys(counts, 0), 0
+    shape = "key string, first long, slots array<long>, starts array<long>"
+    while part := list(islice(plan, slice_blocks)):
+        rows: dict[str, tuple[int, list[int], list[int]]] = {}
+        for slot, k in part:
+            _, slots, starts = rows.setdefault(k, (done[k], [], []))
+            slots.append(slot)
+            starts.append(at)
+            at += min(size, counts[k] - size * done[k])
+            done[k] += 1
+        spark.createDataFrame([(k, *row) for k, row in sorted(rows.items())], shape).coalesce(1).write.mode("append").parquet(path)
+    each = spark.read.schema(shape).parquet(path).select(F.col("key").alias("__key"), "first", F.posexplode(F.arrays_zip("slots", "starts")).alias("p", "b"))
+    return each.select("__key", (F.col("first") + F.col("p")).alias("__block"), F.col("b.slots").alias("__slot"), F.col("b.starts").alias("__start"))
 
 
 def _key(source: str | None) -> str:
     return "null" if source is None else f"s{source}"
 
 
-def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = TEMPERATURE, block_size: int = BLOCK_SIZE, id_col: str = "doc_id", source_col: str = "source", most_blocks: int = MOST_BLOCKS) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = TEMPERATURE, block_size: int = BLOCK_SIZE, id_col: str = "doc_id", source_col: str = "source", slice_blocks: int = SLICE, names: tuple[str, str] = ("mix_slot", "mix_position")) -> DataFrame:
     """``docs`` with ``mix_slot`` and ``mix_position`` (0 to n - 1, without gaps).
 
     ``weights`` maps sources to target weights; without it a source weighs its
-    number of rows to the power ``temperature``.
+    number of rows to the power ``temperature``. ``names`` are those of the two columns;
+    columns of ``docs`` that are named so give way to them.
     """
+    docs = docs.drop(*names)
     if weights is not None and not all(math.isfinite(w) and w >= 0 for w in weights.values()):
         raise ValueError(f"weights must be finite and not negative: {weights}")
     given = None if weights is None else {_key(k): float(w) for k, w in weights.items()}
     spark, key = docs.sparkSession, F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("null"))
     counts = {r["key"]: r["n"] for r in docs.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
-        return docs.withColumn("mix_slot", F.lit(0).cast("long")).withColumn("mix_position", F.lit(0).cast("long"))
-    total = sum(counts.values())
-    size = max(block_size, -(-total // most_blocks))
-    plan = _schedule(counts, given, temperature, size)
-    slots: dict[str, list[int]] = {k: [] for k in counts}
-    starts: dict[str, list[int]] = {k: [] for k in counts}
-    at = 0
-    for slot, k in plan:
-        starts[k].append(at)
-        at += min(size, counts[k] - size * len(slots[k]))
-        slots[k].append(slot)
-    lists = spark.createDataFrame([(k, slots[k], starts[k]) for k in sorted(counts)], "__key string, slots array<long>, starts array<long>")
-    blocks = lists.select("__key", F.posexplode(F.arrays_zip("slots", "starts")).alias("__block", "b")).select("__key", F.col("__block").cast("long").alias("__block"), F.col("b.slots").alias("__slot"), F.col("b.starts").alias("__start"))
+        return docs.withColumn(names[0], F.lit(0).cast("long")).withColumn(names[1], F.lit(0).cast("long"))
+    total, size = sum(counts.values()), block_size
+    blocks = _write_schedule(spark, _schedule(counts, given, temperature, size), counts, size, slice_blocks)
 
     digits = next(d for d in range(HEAD, 16) if total <= BUCKET_ROWS * 16**d)
     marked = docs.withColumn("__key", key).withColumn("__hash", F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null")))).withColumn("__bucket", F.substring("__hash", 1, digits))
@@ -122,14 +137,15 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     plain = [F.col(f.name) for f in docs.schema.fields if isinstance(f.dataType, T.AtomicType)]
     order = W.partitionBy("__key", "__bucket").orderBy("__hash", id_col, F.xxhash64(*plain))
     ranked = marked.withColumn("__row", F.row_number().over(order) - 1).join(firsts, ["__key", "__bucket"]).withColumn("__rank", F.col("__first") + F.col("__row")).withColumn("__block", F.floor(F.col("__rank") / size))
-    placed = ranked.join(F.broadcast(blocks) if len(plan) <= 2 * most_blocks else blocks, ["__key", "__block"])
-    return placed.select(*[F.col(c) for c in docs.columns], F.col("__slot").alias("mix_slot"), (F.col("__start") + F.pmod(F.col("__rank"), F.lit(size))).alias("mix_position"))
+    placed = ranked.join(blocks, ["__key", "__block"])
+    return placed.select(*[F.col(c) for c in docs.columns], F.col("__slot").alias(names[0]), (F.col("__start") + F.pmod(F.col("__rank"), F.lit(size))).alias(names[1]))
 
 
 def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
     """``docs``, all rows and columns, in files whose order is that of the mixture."""
-    mixed = mix_sources(docs, **options)
-    return mixed.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
+    slot, place = (next(n for n in (name, *(f"{name}_{k}" for k in range(len(docs.columns)))) if n not in docs.columns) for name in ("mix_slot", "mix_position"))
+    mixed = mix_sources(docs, names=(slot, place), **options)
+    return mixed.repartitionByRange(place).sortWithinPartitions(place).select(*docs.columns)
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +156,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = f"""
 WITH RECURSIVE
 n AS (SELECT coalesce('s' || source, 'null') AS k, count(*) AS n FROM documents GROUP BY 1),
-z AS (SELECT greatest({BLOCK_SIZE}, CAST(ceil(sum(n) / {MOST_BLOCKS}.0) AS BIGINT)) AS size FROM n),
+z AS (SELECT {BLOCK_SIZE} AS size),
 s AS (SELECT k, n, size, CAST(ceil(n / size) AS BIGINT) AS nb, CAST(n ** {TEMPERATURE} * {2**52}::DOUBLE AS HUGEINT) AS w, row_number() OVER (ORDER BY k) AS i FROM n, z),
 l AS (SELECT list(nb ORDER BY i) AS nb, list(w ORDER BY i) AS w, sum(w)::HUGEINT AS total, sum(nb)::BIGINT AS every FROM s),
 sim AS (

@@ -574,7 +574,11 @@ def test_mixture_equals_simulation(spark):
     for given in ({"a": 0.7, "b": 0.2, "c": 0.1, None: 1e-3}, {"a": 0.0, "b": 5, "z": 1}, {}, {"a": 0}):
         want = mixing_truth(rows, 2, {"null" if k is None else f"s{k}": w for k, w in given.items()})
         assert told(mixing.mix_sources(df, given, block_size=2)) == want
-    assert told(mixing.mix_sources(df, most_blocks=50)) == mixing_truth(rows, 9)
+    assert told(mixing.mix_sources(df, slice_blocks=7)) == mixing_truth(rows, mixing.BLOCK_SIZE)
+    clash = df.withColumn("mix_slot", pii.F.lit("a")).withColumn("mix_position", pii.F.lit("b"))
+    assert told(mixing.mix_sources(clash, block_size=3)) == mixing_truth(rows, 3)
+    kept = mixing.in_mixed_order(clash).collect()
+    assert {(r.mix_slot, r.mix_position) for r in kept} == {("a", "b")} and len(kept) == 401
     for wrong in ({"a": -1.0}, {"a": float("nan")}, {"a": float("inf")}):
         with pytest.raises(ValueError, match="weights"):
             mixing.mix_sources(df, wrong)
@@ -606,5 +610,19 @@ def test_many_sources(spark):
     assert sorted(r.mix_position for r in got) == list(range(40_000)) and len({r.source for r in got}) == 10_001
 
 
+def test_blocks_keep_their_size(spark):
+    """The first rows of the schedule are the same in a table ten times as large."""
+    weights = {"a": 0.5, "b": 0.3, "c": 0.2}
+    of = lambda n: spark.range(n).selectExpr("id AS doc_id", "substring('aaaaabbbcc', CAST(id % 10 AS INT) + 1, 1) AS source")
+    order = lambda n: [r.source for r in mixing.mix_sources(of(n), weights).where("mix_position < 80000").orderBy("mix_position").collect()]
+    small, large = order(100_000), order(1_000_000)
+    assert small == large
+    done = Counter()
+    for at, source in enumerate(large, 1):
+        done[source] += 1
+        if at % mixing.BLOCK_SIZE == 0:
+            assert all(abs(done[k] - w * at) < mixing.BLOCK_SIZE for k, w in weights.items())
+
+
 def test_mixture_equals_its_sql(spark):
     same(spark, mixing.op10_mix_sources, mixing.SQL)
