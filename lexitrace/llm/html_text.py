@@ -6,13 +6,16 @@ element. Lines inside menus, headers, footers, side bars, notices, adverts, form
 scripts, styles or reader comments (by element, role, or a word of class or id) are
 boilerplate. Words of a class can mislead: an element that only such words (or a form)
 mark counts as content after all if it holds over half of the text, and, for words that
-name a frame of the page, an article or main element. The text-to-tag ratios of the rest
+name a frame of the page, an article or main element. Words that tell a state (open, allowed,
+free, no) make what they stand with no role. Elements and articles of comments go whatever
+they hold, but for one whose name only contains such a word and which holds the page's only
+articles and over half of its text. The text-to-tag ratios of the rest
 are smoothed with a Gaussian and split by a threshold of half their standard deviation,
 capped by their mean. Lines above it select the content region, which is taken whole: all
 article elements if a line of any is selected; else the innermost section-like element
 around all selected lines that has more than one line, or the page if there is none.
 
-A page is read once in one pass; memory is that of one page. Defined results: null or
+A page is read once in one pass; memory is in proportion to the page. Defined results: null or
 empty html gives ''; broken markup is read as far as the parser recovers, an end tag
 without a start and a marked section (``<![``, up to the next ``>``) are passed over;
 repeated rows give equal rows; an empty table gives none. Only the named columns are read.
@@ -45,6 +48,8 @@ ENDS_P = set("address article aside blockquote details div dl fieldset figure fo
 COMMENTS = set("comment comments commentlist disqus replies reply respond".split())
 FRAMES = set("ad ads adv advert adverts advertisement advertising breadcrumb breadcrumbs complementary consent contentinfo cookie cookies footer gdpr menu menubar modal nav navbar navigation outbrain pager pagination sidebar taboola".split())
 PARTS = set("banner header masthead newsletter notice notices notification popup promo promoted promotion recommended related search share sharing skip social sponsor sponsored subscribe subscription teaser teasers toolbar".split())
+#: Words that tell of a state, as in comments-open, no-comments or ad-free.
+STATES = set("allowed closed disabled enabled free has hidden no non not off on open supported with without".split())
 #: Words of a class: runs of letters, and what camel case makes of them.
 NAME = re.compile(r"[A-Za-z]+")
 CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
@@ -57,23 +62,34 @@ SIGMA = 1.0
 SHARE_OF_DEVIATION = 0.5
 
 
+class _Marked:
+    """An element that counts as content only if it turns out so: what marks it, the marked
+    element around it (a number, -1 for none), whether it lies in comments, holds an
+    article or main element, and the length of its text."""
+
+    __slots__ = ("kind", "around", "comments", "region", "held")
+
+    def __init__(self, kind: str, around: int, comments: bool) -> None:
+        self.kind, self.around, self.comments, self.region, self.held = kind, around, comments, False, 0
+
+
 class _Lines(HTMLParser):
-    """Lines of a page: (text, tags, article number or 0, numbers of the enclosing marked
-    elements); of each section-like element its first line and the one behind its last,
-    inner elements before outer ones; of each marked element whether it needs an article
-    to be content, and whether it holds one."""
+    """Lines of a page: (text, tags, article number or 0, number of the innermost marked
+    element or -1); of each section-like element its first line and the one behind its
+    last, inner elements before outer ones."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, int, int]] = []
         self.sections: list[tuple[int, int]] = []
-        self.marked: list[list[bool]] = []
-        self.stack: list[tuple[str, bool, int, int, tuple[int, ...]]] = []  # tag, boilerplate, article, first line, marked
+        self.marked: list[_Marked] = []
+        self.stack: list[tuple[str, bool, int, int, int]] = []  # tag, boilerplate, article, first line, marked
+        self.open: Counter[str] = Counter()
         self.text: list[str] = []
-        self.tags = self.made = 0
+        self.tags = self.made = self.regions = 0  # regions: article and main elements outside comments
 
-    def _top(self) -> tuple[str, bool, int, int, tuple[int, ...]]:
-        return self.stack[-1] if self.stack else ("", False, 0, 0, ())
+    def _top(self) -> tuple[str, bool, int, int, int]:
+        return self.stack[-1] if self.stack else ("", False, 0, 0, -1)
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -84,32 +100,40 @@ class _Lines(HTMLParser):
         self.text = []
 
     def _pop_to(self, k: int) -> None:
-        if any(x[0] not in INLINE for x in self.stack[k:]):
+        gone = self.stack[k:]
+        if any(x[0] not in INLINE for x in gone):
             self._end_line()
-        self.sections += [(x[3], len(self.lines)) for x in reversed(self.stack[k:]) if x[0] in SECTION and x[3] < len(self.lines)]
+        self.sections += [(x[3], len(self.lines)) for x in reversed(gone) if x[0] in SECTION and x[3] < len(self.lines)]
+        self.open.subtract(x[0] for x in gone)
         del self.stack[k:]
 
-    def _judge(self, tag: str, attrs: list[tuple[str, str | None]], article: int) -> tuple[bool, bool | None]:
-        """(boilerplate for sure, else whether a marked element needs an article, or None)."""
-        runs = [w for k, v in attrs if k in ("class", "id", "role") and v for w in NAME.findall(v)]
-        words = {w.lower() for run in runs for w in (run, *CAMEL.findall(run))}
+    def _judge(self, tag: str, attrs: list[tuple[str, str | None]], article: int) -> tuple[bool, str | None]:
+        """(boilerplate for sure, else what marks the element, or None)."""
+        words: set[str] = set()
+        whole: set[str] = set()
+        for token in (t for k, v in attrs if k in ("class", "id", "role") and v for t in v.split()):
+            runs = NAME.findall(token)
+            own = {w.lower() for run in runs for w in (run, *CAMEL.findall(run))}
+            if not own & STATES:
+                words |= own
+                whole.add(token.lower())
         if article:  # an article's own header holds its title
             words.discard("header")
         if tag in HIDDEN or tag in FRAME - {"form", "header"} or tag == "header" and not article:
             return True, None
         if tag in ("html", "body", "main"):
             return False, None
-        if words & COMMENTS and tag != "article":
-            return True, None
+        if words & COMMENTS:
+            return (True, None) if tag == "article" or whole & COMMENTS else (False, "comments")
         if tag == "article":
-            return False, False if words & (COMMENTS | FRAMES | PARTS) else None
+            return False, "part" if words & (FRAMES | PARTS) else None
         if tag == "form" or words & FRAMES:
-            return False, True
-        return False, False if words & PARTS else None
+            return False, "frame"
+        return False, "part" if words & PARTS else None
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         closes = IMPLIED.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
-        if closes:
+        if any(self.open[c] for c in closes):
             for k in range(len(self.stack) - 1, -1, -1):
                 if self.stack[k][0] in closes:
                     self._pop_to(k)
@@ -126,16 +150,19 @@ class _Lines(HTMLParser):
         _, out, article, _, marked = self._top()
         self.made += 1
         if not out:
-            out, needs = self._judge(tag, attrs, article)
-            if tag in REGION:
-                for k in marked:
-                    self.marked[k][1] = True
-            if needs is not None:
-                marked = (*marked, len(self.marked))
-                self.marked.append([needs, False])
+            out, kind = self._judge(tag, attrs, article)
+            if tag in REGION and not out:
+                if marked >= 0:
+                    self.marked[marked].region = True
+                self.regions += not (marked >= 0 and self.marked[marked].comments)
+            if kind:
+                inside = kind == "comments" or marked >= 0 and self.marked[marked].comments
+                self.marked.append(_Marked(kind, marked, inside))
+                marked = len(self.marked) - 1
         if tag in REGION and not article:
             article = self.made
         self.stack.append((tag, out, article, len(self.lines), marked))
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -143,10 +170,9 @@ class _Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                self._pop_to(k)
-                return
+        if self.open[tag]:
+            self._pop_to(next(k for k in range(len(self.stack) - 1, -1, -1) if self.stack[k][0] == tag))
+            return
         if tag not in INLINE:
             self._end_line()
 
@@ -161,15 +187,21 @@ class _Lines(HTMLParser):
     def content(self) -> tuple[list[tuple[str, int, int]], list[tuple[int, int]]]:
         """Lines (text, tags, article) and sections without what marked elements hold,
         unless it is content after all. Tags of a line that goes count for the next."""
-        held = Counter(dict.fromkeys(range(len(self.marked)), 0))
-        for text, _, _, marked in self.lines:
-            for k in marked:
-                held[k] += len(text)
+        for text, _, _, k in self.lines:
+            if k >= 0:
+                self.marked[k].held += len(text)
+        for m in reversed(self.marked):  # inner elements come behind outer ones
+            if m.around >= 0:
+                self.marked[m.around].held += m.held
+                self.marked[m.around].region |= m.region
         whole = sum(len(x[0]) for x in self.lines)
-        content = [2 * held[k] > whole and (has or not needs) for k, (needs, has) in enumerate(self.marked)]
+        content: list[bool] = []
+        for m in self.marked:
+            own = 2 * m.held > whole and (m.kind == "part" or m.region) and not (m.kind == "comments" and self.regions)
+            content.append(own and (m.around < 0 or content[m.around]))
         out, before, spare = [], [0], 0
         for text, tags, article, marked in self.lines:
-            if all(content[k] for k in marked):
+            if marked < 0 or content[marked]:
                 out.append((text, tags + spare, article))
                 spare = 0
             else:

@@ -149,6 +149,10 @@ def declaration(value: Column, langs: list[str]) -> Column:
     return F.when(tag == "", "none").when(tag.isin(*langs), tag).otherwise("other")
 
 
+#: The attribute lang of the html element, not one whose name only ends so.
+MARKUP = "(?is)<html\\b[^>]*?[\\s\"'/]lang\\s*=\\s*[\"']?([A-Za-z-]+)"
+
+
 def identify_languages(docs: DataFrame, pages: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     """A row for each document (declared: its lang; host: its source) and each page
     (declared: its html element's lang): doc_id, page_id, lang, confidence, text_lang."""
@@ -158,7 +162,7 @@ def identify_languages(docs: DataFrame, pages: DataFrame, max_train: int = MAX_T
         shape = lambda df, d, p: df.select(d.alias("doc_id"), p.alias("page_id"), F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("text_lang"))
         return shape(docs, F.col("doc_id"), none).unionByName(shape(pages, none, F.col("page_id")))
     host, domain, suffix = address(F.col("url"))
-    markup = F.regexp_extract(F.coalesce("html", F.lit("")), "(?is)<html\\b[^>]*?\\blang\\s*=\\s*[\"']?([A-Za-z-]+)", 1)
+    markup = F.regexp_extract(F.coalesce("html", F.lit("")), MARKUP, 1)
     source = F.coalesce("source", F.lit(""))
     of_docs = docs.select(F.col("doc_id").cast("long"), none.alias("page_id"), declaration(F.col("lang"), langs).alias("declared"), F.lit("").alias("suffix"), source.alias("host"), F.lit("").alias("domain"), text_posteriors(model)(F.coalesce("text", F.lit(""))).alias("text_p"))
     of_pages = pages.select(none.alias("doc_id"), F.col("page_id").cast("long"), declaration(markup, langs).alias("declared"), suffix.alias("suffix"), host.alias("host"), domain.alias("domain"), text_posteriors(model, html=True)(F.coalesce("html", F.lit(""))).alias("text_p"))

@@ -461,6 +461,12 @@ def test_fusion_equals_brute_force(spark):
     assert got == want
 
 
+def test_only_the_attribute_itself_declares(spark):
+    told = lambda html: spark.range(1).select(pii.F.regexp_extract(pii.F.lit(html), language_id.MARKUP, 1)).first()[0]
+    assert told('<html data-lang="de" lang="en">') == "en" and told("<HTML xml:lang=de\n LANG = 'fr-CA'>") == "fr-CA"
+    assert told("<html class='x'lang=es>") == "es" and told("<html data-lang=de><p lang=en>") == "" and told("<html lang>") == ""
+
+
 def test_languages_of_repeated_rows_and_clashing_names(spark):
     docs = spark.createDataFrame([(1, "the cat and the dog of the house", "en", "s"), (1, "the cat and the dog of the house", "en", "s"), (2, "der hund und die katze", "de", None)], "doc_id long, text string, lang string, source string")
     pages = spark.createDataFrame([(1, "http://h.de/x", "<p>der hund <![foo[bar]]> und die katze"), (1, "http://h.de/x", "<p>der hund <![foo[bar]]> und die katze")], "page_id long, url string, html string")
@@ -564,6 +570,34 @@ def mixing_truth(rows, block, weights=None):
     return Counter((i, s, p) for p, (i, s) in enumerate(out))
 
 
+def test_names_that_mislead_and_comments_that_go():
+    blocks, story, reply = html_text.content_blocks, "words of the story itself " * 30, "somebody says something " * 60
+    text = [story.strip()]
+    assert blocks(f'<div class="post comments-open"><article><p>{story}</p></article></div>') == text
+    assert blocks(f'<div class="reply-allowed"><p>{story}</p></div>') == text
+    assert blocks(f'<div class="ad-free-story"><p>{story}</p></div>') == text
+    assert blocks(f'<div id="post-with-comments"><p>{story}</p></div>') == text
+    assert blocks(f'<p>a short text</p><article class="comment"><p>{reply}</p></article>') == ["a short text"]
+    assert blocks(f'<article><p>{story}</p></article><div class="comments-area"><article><p>{reply}</p></article></div>') == text
+    assert blocks(f'<div id="comments-page"><article><p>{story}</p></article></div>') == text
+    assert blocks(f'<div class="no-comments"><p>{story}</p></div><section id="comments"><article><p>{reply}</p></article></section>') == text
+    assert blocks(f'<article class="post has-comments"><p>{story}</p><div class="commentlist"><p>{reply}</p></div></article>') == text
+
+
+@pytest.mark.parametrize("inner", ['<div class="share">', '<div class="menu">', "<span>", '<p class="ad">', "<b></i><p>"])
+def test_deep_pages_take_memory_in_proportion(inner):
+    import time
+    import tracemalloc
+
+    page = inner * (300_000 // len(inner)) + "<article><p>" + "text of the page " * 50
+    began = time.time()
+    tracemalloc.start()
+    found = html_text.content_blocks(page)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and time.time() - began < 30 and isinstance(found, list)
+
+
 def test_mixture_equals_simulation(spark):
     rng = random.Random(8)
     rows = [(k, rng.choice(["a", "a", "a", "b", "c", None])) for k in range(400)] + [(None, "b")]
