@@ -68,9 +68,9 @@ FILTER_BITS = 1 << 23
 
 
 def filter_bits(members: int) -> int:
-    """Bits of a filter for so many members: sixteen or more a member, 2^20 to 2^28 in all
-    (32 MB), so it prunes well up to some hundred million members."""
-    return min(1 << 28, max(1 << 20, 1 << (16 * members).bit_length()))
+    """Bits of a filter for so many members: sixteen or more a member, 2^20 to 2^30 in all
+    (128 MB), so it prunes well up to some hundred million members."""
+    return min(1 << 30, max(1 << 20, 1 << (16 * members).bit_length()))
 
 
 def member_bitmaps(members: DataFrame, column: str, bits: int = FILTER_BITS) -> DataFrame:

@@ -1,16 +1,18 @@
 """Exact deduplication through a log-structured merge index.
 
-A memtable is one input partition. ``flush`` writes each as a run sorted by digest, with a
-filter beside it: a bitmap of fixed size over the digests of the flush. ``compact`` merges
-``fan`` runs of a level into one run of the next, which keeps the smallest and largest
-identifier and the number of rows for each digest; a full compaction leaves one run. The
-state of an index is its folder: a manifest lists the live runs, so it can be opened again.
+A memtable is a share of the input partitions. ``flush`` writes each as a run sorted by
+digest; ``fan`` runs of a level are merged into one of the next, which keeps the smallest and
+largest identifier and the number of rows for each digest and text hash. Live runs have a
+filter beside them: a bitmap over their digests, of a size that follows their number. A
+full compaction leaves one run. The state of an index is its folder: a manifest lists the
+live runs, so it can be opened again.
 
 ``lookup`` asks the index about new rows: digests that the filter of a run passes are joined
-with that run, the others never touch it. ``resolve`` takes the identifier to keep and the
-size of a group from the compacted run; rows whose digest occurs twice or more, by a bitmap,
-are hits, and hits are verified byte for byte by grouping on the text itself, which confirms
-a digest or splits it. Partial aggregation merges copies before the shuffle, so a text that
+with that run, the others never touch it; a hit is known only if the sha256 of its text is
+that of the entry, as the index holds no texts. ``resolve`` takes the identifier to keep and
+the size of a group from the compacted run; rows whose digest occurs twice or more, by a
+bitmap, are hits, and hits are verified byte for byte by grouping on the text itself, which
+confirms an entry or splits it. Partial aggregation merges copies before the shuffle, so a text that
 holds a third of all rows arrives as one row per map task.
 
 Defined results: null text counts as empty. Rows with a null identifier take part
@@ -28,10 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, may_contain, member_bitmaps, scratch_dir, table
+from .common import filter_bits, materialise, may_contain, member_bitmaps, scratch_dir, table
 
 RUN = "id long, digest long, sha string"
-MERGED = "digest long, min_id long, max_id long, n long"
+MERGED = "digest long, sha string, min_id long, max_id long, n long"
 
 
 class ExactDedupIndex:
@@ -41,7 +43,7 @@ class ExactDedupIndex:
         """Opens the index at ``path``, or begins one there."""
         self.spark, self.path, self.keep, self.fan = spark, path, keep, fan
         #: Runs of rows, all of them; live runs by level, [0] being runs of rows; a number.
-        self.state: dict = {"log": [], "levels": [[]], "next": 0}
+        self.state: dict = {"log": [], "levels": [[]], "next": 0, "bits": {}}
         if found := self._manifests():
             self.state = json.loads("".join(r[0] for r in spark.read.text(f"{path}/manifest-{found[-1]:08d}").collect()))
 
@@ -71,26 +73,35 @@ class ExactDedupIndex:
         """What runs of a level say of their digests; runs of rows say it row by row."""
         if level:
             return self._read(MERGED, *names)
-        return self._read(RUN, *names).select("digest", F.col("id").alias("min_id"), F.col("id").alias("max_id"), F.lit(1).cast("long").alias("n"))
+        return self._read(RUN, *names).select("digest", "sha", F.col("id").alias("min_id"), F.col("id").alias("max_id"), F.lit(1).cast("long").alias("n"))
 
     def _filter(self, name: str) -> None:
-        member_bitmaps(self.spark.read.parquet(f"{self.path}/{name}").select("digest"), "digest").coalesce(1).write.parquet(f"{self.path}/filter-{name}")
+        """The filter of a run that stays live."""
+        digests = self.spark.read.parquet(f"{self.path}/{name}").select("digest")
+        bits = self.state["bits"][name] = filter_bits(digests.count())
+        member_bitmaps(digests, "digest", bits).coalesce(1).write.parquet(f"{self.path}/filter/{name}")
 
-    def flush(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        """One sorted run for each partition of ``docs``, no shuffle; then a compaction of
+    def flush(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtables: int = 1) -> None:
+        """Sorted runs of ``docs``, one for each memtable, no shuffle; then a compaction of
         the levels that are full."""
         name, text = self._name("run"), F.coalesce(F.col(text_col), F.lit(""))
-        rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("digest"), F.sha2(text, 256).alias("sha"))
-        rows.sortWithinPartitions("digest").write.parquet(f"{self.path}/{name}")
-        self._filter(name)
-        self.state["log"].append(name)
-        self.state["levels"][0].append(name)
+        rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("digest"), F.sha2(text, 256).alias("sha"), (F.spark_partition_id() % memtables).alias("memtable"))
+        rows.sortWithinPartitions("memtable", "digest").write.partitionBy("memtable").parquet(f"{self.path}/{name}")
+        made = [f"{name}/memtable={k}" for k in range(memtables) if self._exists(f"{name}/memtable={k}")]
+        self.state["log"] += made
+        self.state["levels"][0] += made
         level = 0
         while len(self.state["levels"][level]) >= self.fan:
             self._merge([level], level + 1)
             level += 1
+        for run in (r for names in self.state["levels"] for r in names if r not in self.state["bits"]):
+            self._filter(run)
         self._commit()
 
+    def _exists(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
     def _merge(self, levels: list[int], into: int) -> None:
         """Replace all runs of some levels by one of level ``into``."""
         live = self.state["levels"]
@@ -100,10 +111,11 @@ class ExactDedupIndex:
         for part in parts[1:]:
             merged = merged.unionByName(part)
         name = self._name("merged")
-        grouped = merged.groupBy("digest").agg(F.min("min_id").alias("min_id"), F.max("max_id").alias("max_id"), F.sum("n").alias("n"))
+        grouped = merged.groupBy("digest", "sha").agg(F.min("min_id").alias("min_id"), F.max("max_id").alias("max_id"), F.sum("n").alias("n"))
         grouped.sortWithinPartitions("digest").write.parquet(f"{self.path}/{name}")
-        self._filter(name)
         for k in levels:
+            for gone in live[k]:
+                self.state["bits"].pop(gone, None)
             live[k] = []
         live[into].append(name)
 
@@ -115,42 +127,47 @@ class ExactDedupIndex:
             return self._read(MERGED)
         if len(runs) > 1 or runs[0][0] == 0:
             self._merge(list(range(len(live))), max(1, len(live) - 1))
+            self._filter(self.state["levels"][-1][-1])
             self._commit()
         return self._read(MERGED, *[n for names in self.state["levels"][1:] for n in names])
 
     def lookup(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """doc_id, known_id, known: for each row of ``docs`` the smallest identifier and the
-        number of rows of the index with its digest, null and 0 if there are none."""
+        number of rows of the index with its text, null and 0 if there are none."""
         text = F.coalesce(F.col(text_col), F.lit(""))
-        rows = materialise(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("digest")))
-        asked, found = rows.select("digest").distinct(), self._read(MERGED)
+        rows = materialise(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), F.sha2(text, 256).alias("sha")))
+        asked, found = rows.select("digest", "sha").distinct(), self._read(MERGED)
         for level, names in enumerate(self.state["levels"]):
             for name in names:
-                maybe = may_contain(asked, "digest", self.spark.read.parquet(f"{self.path}/filter-{name}"))
-                found = found.unionByName(self._entries(level, name).join(maybe, "digest", "left_semi"))
-        met = found.groupBy("digest").agg(F.min("min_id").alias("known_id"), F.sum("n").alias("known"))
-        return rows.join(met, "digest", "left").select("doc_id", "known_id", F.coalesce("known", F.lit(0)).cast("long").alias("known"))
+                maybe = may_contain(asked, "digest", self.spark.read.parquet(f"{self.path}/filter/{name}"), bits=self.state["bits"][name])
+                found = found.unionByName(self._entries(level, name).join(maybe, ["digest", "sha"], "left_semi"))
+        met = found.groupBy("digest", "sha").agg(F.min("min_id").alias("known_id"), F.sum("n").alias("known"))
+        return rows.join(met, ["digest", "sha"], "left").select("doc_id", "known_id", F.coalesce("known", F.lit(0)).cast("long").alias("known"))
 
     def _verified(self, hits: DataFrame) -> DataFrame:
         """digest, sha, best, n of groups of two or more among the hits (id, body, digest).
-        A digest that has one text only is confirmed: the index knows its group. Another
-        is split into its texts."""
+        An entry that has one text only is confirmed: the index knows its group. Another is
+        split into its texts."""
         pick = F.max if self.keep == "largest" else F.min
         bodies = hits.groupBy("digest", "body").agg(pick("id").alias("own_best"), F.count(F.lit(1)).alias("own_n")).select("digest", F.sha2("body", 256).alias("sha"), "own_best", "own_n")
-        told = bodies.withColumn("texts", F.count(F.lit(1)).over(W.partitionBy("digest")))
-        index = self.compact().where("n > 1").select("digest", F.col("max_id" if self.keep == "largest" else "min_id").alias("best"), "n")
-        known = told.join(index, "digest")
+        told = bodies.withColumn("texts", F.count(F.lit(1)).over(W.partitionBy("digest", "sha")))
+        index = self.compact().where("n > 1").select("digest", "sha", F.col("max_id" if self.keep == "largest" else "min_id").alias("best"), "n")
+        known = told.join(index, ["digest", "sha"])
         alone = F.col("texts") == 1
         return known.select("digest", "sha", F.when(alone, F.col("best")).otherwise(F.col("own_best")).alias("best"), F.when(alone, F.col("n")).otherwise(F.col("own_n")).alias("n")).where("n > 1")
 
-    def _bitmaps(self) -> DataFrame:
-        return member_bitmaps(self.compact().where("n > 1"), "digest")
+    def _bitmaps(self) -> tuple[DataFrame, int]:
+        """A filter of the digests that occur twice or more, and its size in bits."""
+        twice = self.compact().where("n > 1").select("digest")
+        bits = filter_bits(twice.count())
+        return member_bitmaps(twice, "digest", bits), bits
 
     def resolve(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """The verdict of every flushed row; ``docs`` are the rows that were flushed."""
         text = F.coalesce(F.col(text_col), F.lit(""))
         rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("body")).withColumn("digest", F.xxhash64("body"))
-        verified = self._verified(may_contain(rows, "digest", self._bitmaps()))
+        bitmaps, bits = self._bitmaps()
+        verified = self._verified(may_contain(rows, "digest", bitmaps, bits=bits))
         every = self._read(RUN, *self.state["log"])
         return every.join(verified, ["digest", "sha"], "left").select(
             F.col("id").alias("doc_id"),
@@ -165,8 +182,8 @@ class ExactDedupIndex:
         the filter passes over stay where they are; only hits are shuffled."""
         text = F.coalesce(F.col(text_col), F.lit(""))
         rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), text.alias("body"))
-        bitmaps = self._bitmaps()
-        marked = may_contain(rows.withColumn("digest", F.xxhash64("body")), "digest", bitmaps, keep=True)
+        bitmaps, bits = self._bitmaps()
+        marked = may_contain(rows.withColumn("digest", F.xxhash64("body")), "digest", bitmaps, keep=True, bits=bits)
         hits = marked.where("maybe")
         verified = materialise(self._verified(hits))
         met = hits.withColumn("sha", F.sha2("body", 256)).drop("body", "maybe").join(verified, ["digest", "sha"], "left")
@@ -177,14 +194,14 @@ class ExactDedupIndex:
 def exact_dedup(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Flush, compact and resolve ``docs`` in a new index in the shared folder."""
     index = ExactDedupIndex(docs.sparkSession, scratch_dir(docs.sparkSession), keep)
-    index.flush(docs, id_col, text_col)
+    index.flush(docs, id_col, text_col, index.fan)
     return index.resolve(docs, id_col, text_col)
 
 
 def drop_copies(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row for each text."""
     index = ExactDedupIndex(docs.sparkSession, scratch_dir(docs.sparkSession), keep)
-    index.flush(docs, id_col, text_col)
+    index.flush(docs, id_col, text_col, index.fan)
     return index.survivors(docs, id_col, text_col)
 
 

@@ -106,14 +106,50 @@ def test_levels_are_merged_when_they_are_full(spark, tmp_path):
 def test_a_digest_of_two_texts_is_split(spark, monkeypatch):
     """All texts get one digest: the bytes tell them apart."""
     monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: exact_dedup.F.lit(7).cast("long"))
-    monkeypatch.setattr(exact_dedup, "member_bitmaps", lambda df, c: df)
-    monkeypatch.setattr(exact_dedup, "may_contain", lambda df, c, bitmaps, keep=False: df)
+    monkeypatch.setattr(exact_dedup, "member_bitmaps", lambda df, c, bits=0: df)
+    monkeypatch.setattr(exact_dedup, "may_contain", lambda df, c, bitmaps, keep=False, bits=0: df)
     monkeypatch.setattr(exact_dedup.ExactDedupIndex, "_filter", lambda *a: None)
     rows = [(1, "x"), (2, "y"), (3, "x"), (4, "z"), (5, "y"), (6, "x")]
     got = exact_dedup.exact_dedup(documents(spark, rows), "largest").collect()
     assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in got} == {1: (6, 3, False), 3: (6, 3, False), 6: (6, 3, True), 2: (5, 2, False), 5: (5, 2, True), 4: (4, 1, True)}
 
 
+def test_a_digest_alone_makes_nothing_known(spark, monkeypatch, tmp_path):
+    """All texts get one digest: look-ups are told apart by the hash of the text."""
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: exact_dedup.F.lit(7).cast("long"))
+    index = exact_dedup.ExactDedupIndex(spark, f"file://{tmp_path}/index", fan=2)
+    for rows in ([(1, "x"), (2, "y")], [(3, "x")], [(4, "x")]):
+        index.flush(documents(spark, rows))
+    asked = documents(spark, [(9, "other text"), (10, "x"), (11, "y"), (12, None)])
+    want = {9: (None, 0), 10: (1, 3), 11: (2, 1), 12: (None, 0)}
+    assert {r.doc_id: (r.known_id, r.known) for r in index.lookup(asked).collect()} == want
+    index.compact()
+    assert {r.doc_id: (r.known_id, r.known) for r in index.lookup(asked).collect()} == want
+
+
+def test_memtables_fill_a_level(spark, tmp_path):
+    docs = documents(spark, [(k, f"t{k % 30}") for k in range(90)]).repartition(8)
+    index = exact_dedup.ExactDedupIndex(spark, f"file://{tmp_path}/index")
+    index.flush(docs, memtables=4)
+    assert [len(x) for x in index.state["levels"]] == [0, 1] and len(index.state["log"]) == 4
+    index.flush(documents(spark, [(100, "t1"), (101, "new")]), memtables=4)
+    assert len(index.state["levels"][0]) >= 1 and set(index.state["bits"]) == {n for names in index.state["levels"] for n in names}
+    got = {r.doc_id: (r.known_id, r.known) for r in index.lookup(documents(spark, [(1, "t1"), (2, "new"), (3, "?")])).collect()}
+    assert got == {1: (1, 4), 2: (101, 1), 3: (None, 0)}
+
+
+def test_filters_grow_with_their_members(spark):
+    from lexitrace.llm import common
+
+    assert [common.filter_bits(n) for n in (0, 1 << 16, 1 << 20, 50_000_000, 1 << 40)] == [1 << 20, 1 << 21, 1 << 25, 1 << 30, 1 << 30]
+    members = spark.range(300_000).selectExpr("id * 7 AS x")
+    bits = common.filter_bits(300_000)
+    rows = spark.range(1_000_000).selectExpr("id AS x")
+    passed = common.may_contain(rows, "x", common.member_bitmaps(members, "x", bits), bits=bits)
+    n, hits = passed.count(), passed.where("x % 7 = 0").count()
+    assert hits == 142_858 and n - hits < 0.08 * 1_000_000
+
+
 def test_exact_equals_its_sql(spark):
     same(spark, exact_dedup.op2_exact_dedup, exact_dedup.SQL)
 
