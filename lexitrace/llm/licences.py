@@ -6,8 +6,9 @@ whose set of bigrams has the greatest Dice coefficient with the template's, if t
 the threshold t. As 2 min(a, b) / (a + b) bounds the coefficient, a template with b bigrams
 is passed over unless the text has t b / (2 - t) of them, and windows end where they have
 over (2 - t) b / t different ones. A best window starts and ends with a bigram of the
-template and doesn't repeat its first one; all such windows are compared, in texts of any
-length. From the same bound follow words of which any match must contain one; texts without
+template, doesn't repeat its first one, and has no new one of the template before it; all such
+windows are compared, in texts of any length, word by word from their start: as a window ends
+at the next bigram equal to its first, that is b times the text's words at most. From the same bound follow words of which any match must contain one; texts without
 them are passed over, which loses no match.
 
 Licences with similar wording match the same words: where windows of two licences overlap,
@@ -94,34 +95,60 @@ def needed_words(templates: list[tuple[str, str]], threshold: float) -> list[str
     return chosen
 
 
-def _windows(whole: Column, sets: list[tuple[str, list[str]]], threshold: float) -> Column:
-    """(dice, -first, -last, name) of the best window over ``whole``, a text's bigrams in
-    order, for each template that reaches the threshold."""
+def _windows(whole: Column, after: Column, before: Column, sets: list[tuple[str, list[str]]], threshold: float) -> Column:
+    """(dice, first, last, name) of the best window over ``whole``, a text's bigrams in
+    order, for each template that reaches the threshold. ``after`` and ``before`` are the
+    places of the next and the last equal bigram of each: one is new in a window if the last
+    equal one lies before its start."""
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     each = F.array(*[F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, b)).alias("b")) for n, b in sets if b])
     n = F.size(whole)
     held = F.filter(each, lambda t: F.size(F.array_intersect(t["b"], whole)) >= low * F.size(t["b"]))
     # Each transform binds what the next one's lambdas use more than once.
-    held = F.transform(held, lambda t: F.struct(t["name"].alias("name"), t["b"].alias("b"), F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.array_contains(t["b"], whole[i])).alias("at")))
+    held = F.transform(held, lambda t: F.struct(t["name"].alias("name"), F.size(t["b"]).alias("b"), F.transform(whole, lambda g: F.array_contains(t["b"], g)).alias("own")))
 
     def stop(i: Column, b: Column) -> Column:
-        """Behind the last end of windows from ``i``."""
-        most = F.ceil(high * F.size(b)).cast("int")
-        again = F.array_position(F.slice(whole, i + 2, n), whole[i]).cast("int")
-        reach = F.lit(None).cast("int")
-        for k in (64, 16, 4, 2):
-            full = F.size(F.array_distinct(F.slice(whole, i + 1, most * k))) > high * F.size(b)
-            reach = F.when(full, i + most * k).otherwise(reach)
-        return F.least(n, F.when(again > 0, i + again), reach)
-
-    held = F.transform(held, lambda t: F.struct(t["name"].alias("name"), t["b"].alias("b"), t["at"].alias("at"), F.transform(t["at"], lambda i: F.struct(i.alias("i"), stop(i, t["b"]).alias("stop"))).alias("starts")))
-
-    def scored(i: Column, j: Column, b: Column) -> Column:
-        part = F.slice(whole, i + 1, j - i + 1)
-        dice = 2.0 * F.size(F.array_intersect(part, b)) / (F.size(F.array_distinct(part)) + F.size(b))
-        return F.struct(dice.alias("dice"), (-i).alias("first"), (-j).alias("last"))
-
-    best = F.transform(held, lambda t: F.struct(F.array_max(F.transform(t["starts"], lambda s: F.array_max(F.transform(F.filter(t["at"], lambda j: (j >= s["i"]) & (j < s["stop"])), lambda j: scored(s["i"], j, t["b"]))))).alias("w"), t["name"].alias("name")))
+        """Behind the last end of windows from ``i``: at the next equal bigram, or where
+        they are known to have too many different ones."""
+        most, reach = F.ceil(high * b).cast("int"), n
+        for k in (256, 64, 16, 4, 2):
+            new = F.size(F.filter(F.slice(before, i + 1, most * k), lambda p: p < i))
+            reach = F.when(new > high * b, F.least(n, i + most * k)).otherwise(reach)
+        again = F.get(after, i)
+        return F.when(again - i <= 2 * most, again).otherwise(F.least(reach, again))
+
+    starts = lambda t: F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(t["own"], i)), lambda i: F.struct(i.alias("i"), stop(i, t["b"]).alias("stop")))
+    held = F.transform(held, lambda t: F.struct(t["name"].alias("name"), t["b"].alias("b"), t["own"].alias("own"), F.transform(t["own"], lambda x, i: F.when(x, F.get(before, i)).otherwise(n)).alias("own_before"), starts(t).alias("starts")))
+
+    def worth(s: Column, own: Column) -> Column:
+        """A window gains by a new bigram of the template before it, so it starts behind
+        another bigram or holds that one again."""
+        return ~F.coalesce(F.get(own, s["i"] - 1), F.lit(False)) | (F.get(after, s["i"] - 1) < s["stop"])
+
+    def scored(s: Column, b: Column, own: Column, own_before: Column) -> Column:
+        def step(x: Column, p: Column) -> Column:
+            new = F.get(before, p) < s["i"]
+            hit = new & F.get(own, p)
+            d, c = x["d"] + new.cast("int"), x["c"] + hit.cast("int")
+            dice = 2.0 * c / (d + b)
+            more = hit & (dice > x["dice"])
+            return F.struct(d.alias("d"), c.alias("c"), F.when(more, dice).otherwise(x["dice"]).alias("dice"), F.when(more, p).otherwise(x["last"]).alias("last"))
+
+        none = F.struct(F.lit(0).alias("d"), F.lit(0).alias("c"), F.lit(0.0).alias("dice"), F.lit(-1).alias("last"))
+        every = F.aggregate(F.sequence(s["i"], s["stop"] - 1), none, step, lambda x: F.struct(x["dice"].alias("dice"), (-s["i"]).alias("first"), (-x["last"]).alias("last")))
+
+        def only(j: Column) -> Column:
+            size = j - s["i"] + 1
+            d = F.size(F.filter(F.slice(before, s["i"] + 1, size), lambda p: p < s["i"]))
+            c = F.size(F.filter(F.slice(own_before, s["i"] + 1, size), lambda p: p < s["i"]))
+            return F.struct((2.0 * c / (d + b)).alias("dice"), (-s["i"]).alias("first"), (-j).alias("last"))
+
+        # Behind a bigram of the template windows must reach its next place; where that
+        # leaves one end, as in notices that follow each other, it is counted directly.
+        end = s["stop"] - 1
+        return F.when(F.coalesce(F.get(own, s["i"] - 1), F.lit(False)) & (F.get(after, s["i"] - 1) == end), only(end)).otherwise(every)
+
+    best = F.transform(held, lambda t: F.struct(F.array_max(F.transform(F.filter(t["starts"], lambda s: worth(s, t["own"])), lambda s: scored(s, t["b"], t["own"], t["own_before"]))).alias("w"), t["name"].alias("name")))
     flat = F.transform(best, lambda x: F.struct(x["w"]["dice"].alias("dice"), (-x["w"]["first"]).alias("first"), (-x["w"]["last"]).alias("last"), x["name"].alias("name")))
     return F.filter(flat, lambda x: x["dice"] >= threshold)
 
@@ -145,7 +172,15 @@ def scan_licences(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     rows = rows.select("doc_id", F.explode(F.array(F.when(needed, text_words).otherwise(none))).alias("word"))
     whole = F.zip_with(F.slice("word", 1, F.size("word") - 1), F.slice("word", 2, F.size("word")), lambda a, b: F.concat_ws(" ", a, b))
     rows = rows.select("doc_id", F.explode(F.array(F.when(F.size("word") >= 2, whole).otherwise(none))).alias("whole"))
-    found = F.when(F.size("whole") > 0, _windows(F.col("whole"), sets, threshold)).otherwise(F.array().cast("array<struct<dice:double,first:int,last:int,name:string>>"))
+    # Equal bigrams are neighbours in order of bigram and place; then back in order of place.
+    by_gram = F.array_sort(F.transform("whole", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+    rows = rows.select("doc_id", "whole", F.explode(F.array(by_gram)).alias("by_gram"))
+    beside = lambda x, k: F.when(F.get("by_gram", k)["g"] == x["g"], F.get("by_gram", k)["i"])
+    links = F.array_sort(F.transform("by_gram", lambda x, k: F.struct(x["i"].alias("i"), beside(x, k + 1).alias("after"), F.coalesce(beside(x, k - 1), F.lit(-1)).alias("before"))))
+    rows = rows.select("doc_id", "whole", F.explode(F.array(links)).alias("links"))
+    rows = rows.select("doc_id", "whole", F.transform("links", lambda x: x["after"]).alias("after"), F.transform("links", lambda x: x["before"]).alias("before"))
+    rows = rows.select("doc_id", F.explode(F.array(F.struct("whole", "after", "before"))).alias("t")).select("doc_id", "t.*")
+    found = F.when(F.size("whole") > 0, _windows(F.col("whole"), F.col("after"), F.col("before"), sets, threshold)).otherwise(F.array().cast("array<struct<dice:double,first:int,last:int,name:string>>"))
     rows = rows.select("doc_id", F.explode(F.array(found)).alias("found"))
     rows = rows.select("doc_id", F.explode(F.array(_alone(F.col("found")))).alias("every"))
     every = F.col("every")

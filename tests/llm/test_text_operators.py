@@ -400,6 +400,18 @@ def test_long_texts_that_repeat_a_notice(spark):
     assert [(got[k].licences, got[k].best_dice, got[k].n_matches) for k in range(3)] == [("MIT", 1.0, 2)] * 3
 
 
+def test_long_texts_of_notices_take_linear_time(spark):
+    import time
+
+    long = licences.TEMPLATES[24][1]
+    text = f"{long} and some more " * (100_000 // (len(long.split()) + 3) + 1)
+    assert len(text.split()) >= 100_000
+    began = time.time()
+    got = {r.doc_id: r for r in licences.scan_licences(documents(spark, [(1, text), (2, "no " * 100_000 + licences.TEMPLATES[4][1])])).collect()}
+    assert time.time() - began < 100
+    assert (got[1].licences, got[1].best_dice, got[2].licences, got[2].best_dice) == ("MIT", 1.0, "MIT", 1.0)
+
+
 def test_licences_equal_their_sql(spark):
     same(spark, licences.op6_licence_scan, licences.SQL)
 
