@@ -19,21 +19,48 @@ from . import bitlcs
 from .fingerprint import token_ngrams
 
 
-def clusters(hits: DataFrame, by: list[str], ts: str = "start_ms", window_ms: int = 30_000) -> DataFrame:
+#: A group is cut into stretches of so many windows (or gaps) of time, a task's share.
+STRETCH = 64
+
+
+def _ticks(hits: DataFrame, by: list[str], ts: str, span: int) -> DataFrame:
+    """by, ts, m, part: the hits at each time, added up first, and its stretch."""
+    each = hits.where(F.col(ts).isNotNull()).groupBy(*by, ts).agg(F.count(F.lit(1)).alias("m"))
+    return each.withColumn("part", F.floor(F.col(ts) / F.lit(span)))
+
+
+def clusters(hits: DataFrame, by: list[str], ts: str = "start_ms", window_ms: int = 30_000, stretch: int = STRETCH) -> DataFrame:
     """For each group: ``best``, the most hits in any span of ``window_ms``, and the first
-    such span (null if best is 1). Null times don't count."""
-    order = W.partitionBy(*by).orderBy(ts).rangeBetween(-window_ms, W.currentRow)
-    spans = hits.where(F.col(ts).isNotNull()).select(*by, F.col(ts).alias("end"), F.count(F.lit(1)).over(order).alias("n"), F.min(ts).over(order).alias("start"))
+    such span (null if best is 1). Null times don't count. Groups are dealt out by stretches
+    of time; what lies a window before a stretch is counted in it as well."""
+    span = stretch * max(1, window_ms)
+    ticks = _ticks(hits, by, ts, span)
+    late = F.col(ts) >= (F.col("part") + 1) * span - window_ms
+    both = ticks.select(*by, ts, "m", F.explode(F.array(F.struct("part", F.lit(True).alias("own")), F.when(late, F.struct((F.col("part") + 1).alias("part"), F.lit(False).alias("own"))))).alias("p")).where(F.col("p").isNotNull())
+    order = W.partitionBy(*by, "part").orderBy(ts).rangeBetween(-window_ms, W.currentRow)
+    spans = both.select(*by, ts, "m", "p.part", "p.own").select(*by, "own", F.col(ts).alias("end"), F.sum("m").over(order).alias("n"), F.min(ts).over(order).alias("start")).where("own")
     best = spans.groupBy(*by).agg(F.max("n").alias("best"), F.min_by(F.struct("start", "end"), F.struct(-F.col("n"), F.col("end"))).alias("span"))
     return best.select(*by, "best", F.when(F.col("best") > 1, F.col("span.start")).alias("win_start"), F.when(F.col("best") > 1, F.col("span.end")).alias("win_end"))
 
 
-def longest_runs(hits: DataFrame, by: list[str], ts: str = "start_ms", gap_ms: int = 4_000) -> DataFrame:
-    """For each group: ``run``, the most hits in a row with gaps of ``gap_ms`` at most."""
-    order = W.partitionBy(*by).orderBy(ts)
-    island = F.sum(F.when(F.col("gap") > gap_ms, 1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
-    marked = hits.where(F.col(ts).isNotNull()).select(*by, F.col(ts), (F.col(ts) - F.lag(ts).over(order)).alias("gap")).select(*by, island.alias("island"))
-    return marked.groupBy(*by, "island").agg(F.count(F.lit(1)).alias("n")).groupBy(*by).agg(F.max("n").alias("run"))
+def longest_runs(hits: DataFrame, by: list[str], ts: str = "start_ms", gap_ms: int = 4_000, stretch: int = STRETCH) -> DataFrame:
+    """For each group: ``run``, the most hits in a row with gaps of ``gap_ms`` at most. Runs
+    are found in stretches of time; the first and last of each are then joined over edges."""
+    ticks = _ticks(hits, by, ts, stretch * max(1, gap_ms))
+
+    def islands(rows: DataFrame, keys: list[str]) -> DataFrame:
+        """keys, begin, end, n of runs of rows (begin, end, n) in a row."""
+        order = W.partitionBy(*keys).orderBy("begin")
+        new = F.when(F.col("begin") - F.lag("end").over(order) > gap_ms, 1).otherwise(0)
+        marked = rows.withColumn("new", new).withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+        return marked.groupBy(*keys, "island").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum("n").alias("n"))
+
+    keys = [*by, "part"]
+    inner = islands(ticks.select(*keys, F.col(ts).alias("begin"), F.col(ts).alias("end"), F.col("m").alias("n")), keys)
+    told = inner.groupBy(*keys).agg(F.max("n").alias("most"), F.min_by(F.struct("begin", "end", "n"), "begin").alias("first"), F.max_by(F.struct("begin", "end", "n"), "begin").alias("last"))
+    edges = told.select(*by, "most", F.explode(F.array_distinct(F.array("first", "last"))).alias("e")).select(*by, "most", "e.*")
+    joined = islands(edges.drop("most"), by).select(*by, "n")
+    return joined.unionByName(edges.select(*by, F.col("most").alias("n"))).groupBy(*by).agg(F.max("n").alias("run"))
 
 
 def cluster_bonus(best: Column, match_count: Column) -> Column:

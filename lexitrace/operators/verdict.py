@@ -27,13 +27,35 @@ def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)], dtype=float)
 
 
+#: A title counts from this similarity on.
+CLOSE = 0.6
+
+
+def letter_bound(a: Column, b: Column) -> Column:
+    """No less than ``similarity_ratio``: letters that both hold, in any order."""
+    times = lambda s, c: F.length(s) - F.length(F.replace(s, c, F.lit("")))
+    shared = F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(times(a, c), times(b, c))))
+    return 2.0 * shared / (F.length(a) + F.length(b))
+
+
+def title_ratios(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """a, b, ratio of the different pairs in two columns whose similarity may reach
+    ``CLOSE``. Equal titles and the bound are settled by expressions; what is left is
+    compared by the exact measure, each pair once."""
+    pairs = rows.where((F.col(a) != "") & (F.col(b) != "")).select(a, b).distinct()
+    near = pairs.where((F.col(a) == F.col(b)) | (letter_bound(F.col(a), F.col(b)) >= CLOSE))
+    same = near.where(F.col(a) == F.col(b)).withColumn("ratio", F.lit(1.0))
+    return same.unionByName(near.where(F.col(a) != F.col(b)).withColumn("ratio", similarity_ratio(F.col(a), F.col(b))))
+
+
 def metadata_boosts(candidates: DataFrame) -> DataFrame:
     """Adds 0.15 for an equal show and up to 0.10 for a similar episode title, capped at
     1, and ranks anew. Columns: expected_show, query_title, show_title, episode_title."""
     show = (T.normalise_title(F.col("expected_show")) == T.normalise_title(F.col("show_title"))) & (T.normalise_title(F.col("show_title")) != "")
-    out = candidates.withColumn("show_match", show).withColumn("title_ratio", similarity_ratio(T.normalise_title(F.col("query_title")), T.normalise_title(F.col("episode_title"))))
+    out = candidates.withColumn("show_match", show).withColumns({"__a": T.normalise_title(F.col("query_title")), "__b": T.normalise_title(F.col("episode_title"))})
+    out = out.join(title_ratios(out, "__a", "__b"), ["__a", "__b"], "left").withColumn("title_ratio", F.coalesce("ratio", F.lit(0.0))).drop("__a", "__b", "ratio")
     raised = F.when(F.col("show_match"), F.least(F.lit(1.0), F.col("confidence") + 0.15)).otherwise(F.col("confidence"))
-    close = F.col("title_ratio") >= 0.6
+    close = F.col("title_ratio") >= CLOSE
     out = out.withColumn("confidence", F.when(close, F.least(F.lit(1.0), raised + 0.10 * F.col("title_ratio"))).otherwise(raised))
     notes = F.concat_ws(", ", F.when(F.col("show_match"), "show match +15%"), F.when(close, F.concat(F.lit("episode title +"), F.bround(10 * F.col("title_ratio")).cast("int").cast("string"), F.lit("%"))))
     order = W.partitionBy("query_id").orderBy(F.desc("confidence"), F.desc("match_count"), "rank")

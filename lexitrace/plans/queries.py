@@ -148,9 +148,10 @@ WINDOWS = f"""win AS (SELECT query_id, part, (part + 0.5::DOUBLE) / 3 * 1400.0::
 weighed AS (SELECT query_id, w, CASE WHEN f BETWEEN 0.2 AND 0.8 THEN 1.0::DOUBLE WHEN f < 0.2 THEN 0.6::DOUBLE + f / 0.2::DOUBLE * 0.4::DOUBLE ELSE 0.6::DOUBLE + (1.0::DOUBLE - f) / 0.2::DOUBLE * 0.4::DOUBLE END AS weight
   FROM (SELECT *, start_s / duration_s AS f FROM win)),
 q AS (SELECT query_id, hash, max(weight) AS weight FROM ({_shingles('weighed', 'query_id, weight')}) GROUP BY ALL)"""
-IDF = """df AS MATERIALIZED (SELECT hash, count(DISTINCT media_id) AS df FROM fp GROUP BY hash),
+IDF = """df AS MATERIALIZED (SELECT hash, count(*) AS df FROM (SELECT DISTINCT hash, media_id FROM fp) GROUP BY hash),
 idf AS MATERIALIZED (SELECT hash, df, ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df)) + 1.0::DOUBLE AS idf FROM df, (SELECT count(*) AS n FROM documents)),
-factor AS (SELECT hash, df, least(3.0::DOUBLE, greatest(0.35::DOUBLE, idf / (SELECT avg(idf) FROM idf))) AS factor FROM idf)"""
+mean AS MATERIALIZED (SELECT avg(idf) AS mean FROM idf),
+factor AS (SELECT hash, df, least(3.0::DOUBLE, greatest(0.35::DOUBLE, idf / mean)) AS factor FROM idf, mean)"""
 QI = "qi AS (SELECT q.query_id, q.hash, q.weight * coalesce(factor, 1.0::DOUBLE) AS weight FROM q LEFT JOIN factor USING (hash))"
 HITS = "hit AS (SELECT DISTINCT query_id, hash FROM q), hits AS (SELECT query_id, hash, media_id, start_ms FROM hit JOIN fp USING (hash))"
 

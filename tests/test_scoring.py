@@ -52,11 +52,40 @@ def test_clusters_and_runs_equal_loops(spark):
     rng = random.Random(3)
     groups = {g: sorted(rng.choices(range(0, 200_000, 500), k=rng.randint(1, 40))) for g in range(60)}
     hits = spark.createDataFrame([(g, t) for g, ts in groups.items() for t in ts] + [(1, None)], "g int, start_ms long")
-    runs = {r.g: r.run for r in S.longest_runs(hits, ["g"]).collect()}
-    for r in S.clusters(hits, ["g"]).collect():
-        best, at = two_pointers(groups[r.g], 30_000)
-        assert (r.best, (r.win_start, r.win_end)) == (best, at or (None, None))
-        assert runs[r.g] == longest_run(groups[r.g], 4_000)
+    for stretch in (1, 64):
+        runs = {r.g: r.run for r in S.longest_runs(hits, ["g"], stretch=stretch).collect()}
+        found = S.clusters(hits, ["g"], stretch=stretch).collect()
+        assert len(found) == len(runs) == 60
+        for r in found:
+            best, at = two_pointers(groups[r.g], 30_000)
+            assert (r.best, (r.win_start, r.win_end)) == (best, at or (None, None))
+            assert runs[r.g] == longest_run(groups[r.g], 4_000)
+
+
+def test_a_hot_group_is_dealt_out(spark):
+    """One group holds all hits, some at one time, over many stretches."""
+    rng = random.Random(4)
+    times = sorted(rng.choices(range(-5_000_000, 20_000_000, 700), k=6000) + [77_000] * 500)
+    hits = spark.createDataFrame([(1, t) for t in times], "g int, start_ms long")
+    assert S._ticks(hits, ["g"], "start_ms", 64 * 4_000).select("part").distinct().count() > 90
+    found = S.clusters(hits, ["g"], stretch=2).first()
+    best, at = two_pointers(times, 30_000)
+    assert (found.best, (found.win_start, found.win_end)) == (best, at)
+    assert S.longest_runs(hits, ["g"], stretch=2).first().run == longest_run(times, 4_000)
+
+
+def test_titles_are_compared_once_where_they_may_be_close(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcde ") for _ in range(rng.randrange(9)))
+    pairs = [(word(), word()) for _ in range(400)] + [("same title", "same title")] * 50 + [("a", None), (None, None)]
+    rows = spark.createDataFrame(pairs, "a string, b string")
+    got = {(r.a, r.b): r.ratio for r in V.title_ratios(rows, "a", "b").collect()}
+    for a, b in set(pairs):
+        exact = SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+        assert got.get((a, b), exact if exact < V.CLOSE else -1.0) == exact
+    assert len(got) < 300
 
 
 def test_run_bonus(spark):
