@@ -58,7 +58,8 @@ def metadata_boosts(candidates: DataFrame) -> DataFrame:
     close = F.col("title_ratio") >= CLOSE
     out = out.withColumn("confidence", F.when(close, F.least(F.lit(1.0), raised + 0.10 * F.col("title_ratio"))).otherwise(raised))
     notes = F.concat_ws(", ", F.when(F.col("show_match"), "show match +15%"), F.when(close, F.concat(F.lit("episode title +"), F.bround(10 * F.col("title_ratio")).cast("int").cast("string"), F.lit("%"))))
-    order = W.partitionBy("query_id").orderBy(F.desc("confidence"), F.desc("match_count"), "rank")
+    # Nine decimals count, as in the stages: equal matches stay in their order.
+    order = W.partitionBy("query_id").orderBy(F.desc(F.round("confidence", 9)), F.desc("match_count"), "rank")
     return out.withColumn("boost_notes", notes).withColumn("rank", F.row_number().over(order)).drop("show_match", "title_ratio")
 
 

@@ -637,7 +637,40 @@ def run_summary(spark, sf_dir):
     return V.summary(_results(spark, sf_dir))
 
 
-@query()
+#: In a batch the tokens of a transcript are those of its windows.
+_OWN = (f"asked AS (SELECT item_id AS query_id, {_words('text')} AS tokens FROM benchmark)", f"{WINDOWS}, asked AS (SELECT query_id, flatten(list(w ORDER BY part)) AS tokens FROM win GROUP BY 1)")
+_EPISODE = "'S' || lpad(CAST(season AS VARCHAR), CAST(greatest(2, length(CAST(season AS VARCHAR))) AS INTEGER), '0') || 'E' || lpad(CAST(episode AS VARCHAR), CAST(greatest(2, length(CAST(episode AS VARCHAR))) AS INTEGER), '0')"
+_GAP = "max(CASE WHEN rank = 1 THEN confidence END) OVER (PARTITION BY query_id) - max(CASE WHEN rank = 2 THEN confidence END) OVER (PARTITION BY query_id)"
+
+#: The stages as above, then leaders after tie-breaks, the cascade and the verdict. Items have
+#: no show or title to be boosted by, one length, and names without an episode.
+_BATCH = f"""WITH ex AS (WITH {FPS}, {WINDOWS}, {IDF}, {QI}, {HITS}, {_coverage('qi')}, {EXACT} SELECT query_id, media_id, confidence, match_count, rank FROM ranked WHERE rank <= 2),
+lc AS (WITH {_LCS.replace(*_OWN)} SELECT query_id, media_id, confidence, match_count, rank FROM top WHERE rank <= 5 AND query_count >= 8 AND confidence >= 0.45),
+di AS (WITH {_DICE.replace(*_OWN)} SELECT query_id, media_id, confidence, match_count, row_number() OVER (PARTITION BY query_id ORDER BY round(confidence, 9) DESC, match_count DESC, media_id) AS rank FROM dice WHERE query_id IN (SELECT query_id FROM asked WHERE len(tokens) >= 4)),
+sz AS (WITH {STREAMS} SELECT media_id, len(tokens) AS n_tokens FROM stream),
+m AS (SELECT doc_id AS media_id, coalesce(source, 'doc ' || doc_id) AS title, coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER), 0) + 1 AS season, CAST(doc_id % 100 + 1 AS INTEGER) AS episode, 'Part ' || (doc_id % 7) AS episode_title, CAST(greatest(60, n_chars // 15) AS INTEGER) AS ds, n_tokens FROM documents LEFT JOIN sz ON media_id = doc_id),
+b AS (SELECT item_id AS query_id, len(string_split_regex(text, '\\s+')) AS nw FROM benchmark),
+c AS (SELECT ex.*, ds, CASE WHEN n_tokens > 0 THEN n_tokens / (ds / 60.0::DOUBLE) END AS t FROM ex JOIN m USING (media_id)),
+p AS (SELECT b.query_id, x.media_id AS m1, y.media_id AS m2, x.confidence AS c1, y.confidence AS c2, x.match_count AS k1, y.match_count AS k2, y.confidence IS NOT NULL AND x.confidence - y.confidence < 0.06 AS near, abs(1400.0::DOUBLE - x.ds) AS d1, abs(1400.0::DOUBLE - y.ds) AS d2, nw / (1400.0::DOUBLE / 60.0::DOUBLE) AS q, x.t AS t1, y.t AS t2
+  FROM (SELECT * FROM c WHERE rank = 1) x JOIN b ON b.query_id = x.query_id LEFT JOIN (SELECT * FROM c WHERE rank = 2) y ON y.query_id = x.query_id),
+s AS (SELECT *, coalesce(near AND d2 < d1, false) AS a FROM p),
+z AS (SELECT *, a <> coalesce(near AND CASE WHEN a THEN abs(q - t1) < abs(q - t2) ELSE abs(q - t2) < abs(q - t1) END, false) AS other FROM s),
+e AS (SELECT query_id, CASE WHEN other THEN m2 ELSE m1 END AS media_id, CASE WHEN other THEN c2 ELSE c1 END AS confidence, CASE WHEN other THEN k2 ELSE k1 END AS match_count, CASE WHEN other THEN c2 - c1 ELSE c1 - c2 END AS margin, 'phonetic' AS method FROM z),
+o AS (SELECT query_id, media_id, confidence, match_count, NULL::DOUBLE AS margin, 'fuzzy' AS method FROM (SELECT *, {_GAP} AS gap FROM lc) WHERE rank = 1 AND (gap IS NULL OR gap >= 0.12) AND query_id NOT IN (SELECT query_id FROM e)),
+early AS (SELECT * FROM e UNION ALL SELECT * FROM o),
+late AS (SELECT query_id, media_id, confidence, match_count, gap AS margin FROM (SELECT *, {_GAP} AS gap FROM di) WHERE rank = 1 AND confidence >= 0.2 AND (gap IS NULL OR gap >= 0.05) AND query_id NOT IN (SELECT query_id FROM early WHERE confidence >= 0.4)),
+j AS (SELECT b.query_id, early.* EXCLUDE query_id, late.media_id AS lm, late.confidence AS lc, late.match_count AS lk, late.margin AS lg, late.confidence IS NOT NULL AND (early.confidence IS NULL OR late.confidence > early.confidence) AS take FROM b LEFT JOIN early ON early.query_id = b.query_id LEFT JOIN late ON late.query_id = b.query_id),
+g AS (SELECT query_id, CASE WHEN take THEN lm ELSE media_id END AS media_id, CASE WHEN take THEN lc ELSE confidence END AS confidence, CASE WHEN take THEN lk ELSE match_count END AS match_count, CASE WHEN take THEN coalesce(lg, margin) ELSE margin END AS margin, CASE WHEN take THEN 'ngram' ELSE method END AS method FROM j),
+v AS (SELECT g.*, m.* EXCLUDE media_id, confidence IS NULL AS none, coalesce(confidence < 0.35::DOUBLE * CASE WHEN match_count >= 15 THEN 0.7::DOUBLE WHEN match_count >= 8 THEN 0.85::DOUBLE ELSE 1 END, false) AS low, coalesce(margin < 0.06 AND confidence < 0.9, false) AS unclear, abs(1400.0::DOUBLE - ds) / ds AS rel, {_EPISODE} AS id FROM g LEFT JOIN m USING (media_id)),
+w AS (SELECT *, none OR low OR unclear AS review FROM v)
+SELECT query_id, 'item' || query_id || '.mkv' AS filename, CASE WHEN NOT none THEN id END AS episode_id, title, coalesce(episode_title, '') AS episode_title, season, episode, CASE WHEN review THEN 'unknown' ELSE 'rename' END AS name_status, CASE WHEN none THEN '' ELSE title || ' - ' || id || ' - ' || episode_title || '.mkv' END AS suggested_filename,
+  coalesce(round(confidence, 4), 0.0::DOUBLE) AS confidence, coalesce(method, '') AS method, 1400.0::DOUBLE AS duration_s, review AS needs_review,
+  concat_ws('; ', CASE WHEN method = 'ngram' THEN 'matched via n-gram fallback' END, CASE WHEN none THEN 'no match' END, CASE WHEN low THEN 'low confidence ' || round_even(confidence * 100, 0)::BIGINT || '%' END, CASE WHEN unclear THEN 'ambiguous: runner-up within ' || round_even(margin * 100, 0)::BIGINT || '%' END,
+    CASE WHEN NOT none AND rel > 0.15 THEN 'approx duration off ~' || round_even(rel * 100, 0)::BIGINT || '% (subtitle estimate ~' || round_even(ds / 60.0::DOUBLE, 0)::BIGINT || 'm)' END, CASE WHEN NOT review THEN 'no S/E in filename' END) AS notes,
+  CASE WHEN NOT none THEN 3 END AS votes, CASE WHEN NOT none THEN 3 END AS total_samples FROM w"""
+
+
+@query(_BATCH)
 def identify_batch(spark, sf_dir):
     """The whole cascade for every benchmark item: exact, ordered, set, boosts, verdict."""
     files = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("item"), "item_id", F.lit(".mkv")).alias("filename"), F.lit(1400.0).alias("duration_s"), F.size(F.split("text", r"\s+")).alias("n_words"), F.lit(None).cast("string").alias("expected_show"), F.lit(None).cast("string").alias("query_title"), F.lit(None).cast("int").alias("file_season"), F.lit(None).cast("int").alias("file_episode"))
