@@ -15,6 +15,7 @@ from ..functions.phonetics import phonetic_tokens
 from ..sources import subtitles as SRC
 from ..sources.scratch import materialise
 from . import fingerprint as FP
+from . import language as LM
 from . import library as L
 from . import scoring as S
 from . import verdict as V
@@ -117,11 +118,12 @@ class Library(Store):
         self.forget(state, gone, "fingerprints")
         self.add_run(state, "hash_df", L.document_frequency(old["fingerprints"].join(gone, "media_id", "left_semi")).withColumn("df", -F.col("df")))
 
-    def build(self, files: str | DataFrame, runtimes: DataFrame | None = None, force: bool = False, title: str | None = None, year: int | None = None, media_type: str | None = None, show_title: str | None = None) -> dict[str, int]:
+    def build(self, files: str | DataFrame, runtimes: DataFrame | None = None, force: bool = False, title: str | None = None, year: int | None = None, media_type: str | None = None, show_title: str | None = None, languages: LM.LanguageModel | None = None) -> dict[str, int]:
         """Adds the subtitle files under a folder, or those of a table of path and content;
         files that have fingerprints already are left out unless ``force``. What is given of
-        title, year, media type and show wins over the file names. Returns the numbers of files
-        and fingerprints added. Other builds may run at the same time."""
+        title, year, media type and show wins over the file names. ``languages`` tells the
+        language of each file, where the configuration names none; without it frequent words
+        do. Returns the numbers of files and fingerprints added. Other builds may run at the same time."""
         self.check_path()
         cues = SRC.read_subtitles(self.spark, files) if isinstance(files, str) else SRC.subtitle_cues(files)
         cues = materialise(cues.withColumn("source", T.base_name(F.col("source"))))  # parsed once for all tables
@@ -138,7 +140,10 @@ class Library(Store):
             spoken = mine.groupBy("source").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])).alias("text"))
             language = F.lit(self.config.language) if self.config.language else T.vote_language(F.col("text"))
             length = L.subtitle_runtime(mine.withColumnRenamed("source", "media_id")).select(F.col("media_id").alias("source"), F.col("seconds").alias("duration_seconds"))
-            meta = spoken.select("source", T.file_metadata(F.col("source")).alias("m"), language.alias("language")).join(length, "source", "left")
+            spoken = spoken.select("source", T.file_metadata(F.col("source")).alias("m"), language.alias("language"), "text")
+            if languages and not self.config.language:
+                spoken = spoken.drop("language").join(LM.detect(spoken, languages, "source"), "source", "left")
+            meta = spoken.select("source", "m", "language").join(length, "source", "left")
             told = lambda name, value, kind: F.coalesce(F.lit(value).cast(kind), F.col(f"m.{name}")).alias(name)
             incoming = meta.select(told("title", title, "string"), told("year", year, "int"), told("media_type", media_type, "string"), "m.season", "m.episode", "source", told("show_title", show_title, "string"), "m.episode_title", "duration_seconds", F.when(F.col("duration_seconds").isNotNull(), "subtitle").alias("duration_source"), "language")
             if runtimes is not None:

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..config import FingerprintConfig
 from ..functions import text as T
-from ..functions.phonetics import phonetic_tokens
+from ..functions.phonetics import encode_vocabulary, phonetic_tokens
 from ..operators import fingerprint as FP
+from ..operators import language as LM
 from ..operators import library as L
 from ..operators import sampling
 from ..operators import scoring as S
@@ -360,6 +361,41 @@ def voted_languages(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").select("doc_id", T.vote_language(F.col("text")).alias("language"))
 
 
+_LETTERS = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\pL]+'), lambda x: x <> '')"
+
+
+@query(
+    f"""WITH w AS MATERIALIZED (SELECT doc_id, any_value(lang) AS lang, word, count(*) AS c FROM (SELECT doc_id, lang, unnest({_LETTERS}) AS word FROM documents) GROUP BY doc_id, word),
+v AS MATERIALIZED (SELECT word, unnest(list_transform(range(1, length(word) + 1), lambda i: substring(' ' || word || ' ', i, 3))) AS gram FROM (SELECT DISTINCT word FROM w)),
+lw AS (SELECT lang, word, sum(c) AS c FROM w WHERE lang IS NOT NULL GROUP BY 1, 2),
+n AS MATERIALIZED (SELECT lang, gram, sum(c) AS c FROM lw JOIN v USING (word) GROUP BY 1, 2), t AS MATERIALIZED (SELECT lang, sum(c) AS n FROM n GROUP BY 1),
+g AS (SELECT gram FROM n GROUP BY 1 ORDER BY sum(c) DESC, gram LIMIT {LM.MOST_GRAMS}),
+m AS MATERIALIZED (SELECT gram, t.lang, ln((coalesce(n.c, 0) + {LM.PSEUDO}::DOUBLE) / (t.n + {LM.PSEUDO}::DOUBLE * {LM.MOST_GRAMS})) AS weight FROM g CROSS JOIN t LEFT JOIN n USING (gram, lang)),
+s AS MATERIALIZED (SELECT word, lang, sum(weight) AS s FROM v JOIN m USING (gram) GROUP BY 1, 2),
+d AS (SELECT doc_id, s.lang, round(sum(c * s), 6) AS s FROM w JOIN s USING (word) GROUP BY 1, 2),
+b AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, lang) AS k FROM d)
+SELECT doc_id, CASE WHEN length(trim(text)) >= 40 THEN b.lang END AS language FROM documents LEFT JOIN (SELECT * FROM b WHERE k = 1) b USING (doc_id)"""
+)
+def detected_languages(spark, sf_dir):
+    """By a model of trigrams that the labelled documents teach."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return LM.detect(docs, LM.train(docs), "doc_id")
+
+
+_PLAIN = "[abefiknoquv]+"
+
+
+@query(
+    f"""WITH w AS (SELECT DISTINCT unnest({_words('text')}) AS word FROM documents), p AS (SELECT word, regexp_replace(regexp_replace(word, '^kn', 'n'), '^[aeiou]', 'A') AS s FROM w WHERE regexp_full_match(word, '{_PLAIN}'))
+SELECT word, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, 'bb|b', 'P', 'g'), 'kk|k|qq|q', 'K', 'g'), 'nn|n', 'N', 'g'), 'ff|f|vv|v', 'F', 'g'), '[aeiou]', '', 'g') AS code FROM p"""
+)
+def phonetic_plain_words(spark, sf_dir):
+    """Keys of the words of all documents whose letters have one sound each, which SQL can
+    follow; published keys of other words are in the tests."""
+    words = read_table(spark, sf_dir, "documents").select(F.explode(T.tokenize(F.col("text"))).alias("word"))
+    return encode_vocabulary(words.where(F.col("word").rlike(f"^{_PLAIN}$")))
+
+
 @query(f"SELECT doc_id, len(w)::BIGINT AS n, CASE WHEN lang <> 'en' THEN md5(array_to_string(w, ' ')) END AS stream FROM (SELECT doc_id, lang, {_words('text')} AS w FROM documents)")
 def phonetic_streams(spark, sf_dir):
     """A key for each word of English, the words of other languages; SQL knows the number
