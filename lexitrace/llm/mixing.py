@@ -8,8 +8,8 @@ slots that nobody may fill are passed over. Weights become whole numbers in exac
 proportion, so release times and deadlines are exact. No row is dropped.
 
 Blocks hold ``block_size`` documents whatever the size of the table. The schedule is made
-block by block with two heaps, as each decision hangs on all before it: some 400,000 blocks
-(3 million documents) a second, on the driver, which holds counters of the sources and a
+block by block with two heaps, as each decision hangs on all before it: some 200,000 blocks
+(1.6 million documents) a second, on the driver, which holds counters of the sources and a
 slice of ``SLICE`` blocks. Slices are written to the shared folder, and documents are joined
 with them on source and block; the planner broadcasts a small schedule only.
 
