@@ -111,6 +111,11 @@ def _gram_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return postings, _built(spark, sf_dir, "gram_masses", lambda: S.gram_masses(_streams(spark, sf_dir), _token_idf(spark, sf_dir)))
 
 
+def build_tables(spark: SparkSession, sf_dir: str) -> None:
+    """The tables of the library over a folder, unless they are there already."""
+    _hash_df(spark, sf_dir), _postings(spark, sf_dir), _gram_index(spark, sf_dir)
+
+
 def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), FP.text_tokens(F.col("text")).alias("tokens"))
 

@@ -15,7 +15,7 @@ def srt(lines):
 @pytest.fixture(scope="module")
 def library(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("subs")
-    (folder / "Matlock.S01E01.The.Trial.en.srt").write_text(srt(COURT))
+    (folder / "Lanterns.S01E01.The.Trial.en.srt").write_text(srt(COURT))
     (folder / "Voyage.S02E05.Storm.srt").write_text(srt(SHIP))
     out = Library(spark, f"file://{tmp_path_factory.mktemp('lib')}/l")
     first = out.build(str(folder))
@@ -29,8 +29,8 @@ def library(spark, tmp_path_factory):
 def test_tables(library):
     media = {r.source: r for r in library.table("media").collect()}
     assert sorted(r.media_id for r in media.values()) == [1, 2, 3]
-    first = media["Matlock.S01E01.The.Trial.en.srt"]
-    assert (first.title, first.season, first.episode, first.episode_title, first.language, first.duration_seconds) == ("Matlock", 1, 1, "The Trial", "en", 31)
+    first = media["Lanterns.S01E01.The.Trial.en.srt"]
+    assert (first.title, first.season, first.episode, first.episode_title, first.language, first.duration_seconds) == ("Lanterns", 1, 1, "The Trial", "en", 31)
     assert library.table("streams").count() == 3
     assert library.table("fingerprints").select("media_id").distinct().count() == 3
 
@@ -38,8 +38,8 @@ def test_tables(library):
 def test_verdicts(spark, library):
     noisy = "the prosecution would like to call the furst witness objektion your honor that is hearsay"
     rows = [
-        (1, "rip_a.mkv", 0, 10.0, 31.0, noisy, "Matlock"),
-        (1, "rip_a.mkv", 1, 20.0, 31.0, "i saw a man running from the old light house the defense rests its case", "Matlock"),
+        (1, "rip_a.mkv", 0, 10.0, 31.0, noisy, "Lanterns"),
+        (1, "rip_a.mkv", 1, 20.0, 31.0, "i saw a man running from the old light house the defense rests its case", "Lanterns"),
         (2, "Voyage.S02E05.mkv", 0, 10.0, 31.0, "we found gold in the belly of the sunken ship nobody leaves this island before sunrise", None),
         (3, "x.mkv", 0, 10.0, 31.0, "add two cups of flour and stir the butter slowly", None),
         (4, "empty.mkv", 0, 10.0, 31.0, "", None),
@@ -48,7 +48,7 @@ def test_verdicts(spark, library):
     got = {r.query_id: r for r in library.identify(asked).collect()}
     assert sorted(got) == [1, 2, 3, 4]
     assert (got[1].episode_id, got[1].needs_review, got[1].name_status) == ("S01E01", False, "rename") and got[1].confidence > 0.5
-    assert got[1].suggested_filename == "Matlock - S01E01 - The Trial.mkv" and "show match +15%" in got[1].notes
+    assert got[1].suggested_filename == "Lanterns - S01E01 - The Trial.mkv" and "show match +15%" in got[1].notes
     assert (got[2].episode_id, got[2].name_status) == ("S02E05", "correct")
     assert got[3].needs_review and (got[3].episode_id is None or got[3].confidence < 0.4)
     assert got[4].episode_id is None and got[4].notes == "no speech recognised"

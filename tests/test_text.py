@@ -25,7 +25,7 @@ def test_tokenize(spark):
     assert value(spark, T.tokenize(lit(""))) == []
 
 
-@pytest.mark.parametrize("name,want", [("Matlock.S01E04.eng.srt", "Matlock.S01E04.srt"), ("Show.PT.SRT", "Show.SRT"), ("Movie.2020.mkv", "Movie.2020.mkv")])
+@pytest.mark.parametrize("name,want", [("Lanterns.S01E04.eng.srt", "Lanterns.S01E04.srt"), ("Show.PT.SRT", "Show.SRT"), ("Movie.2020.mkv", "Movie.2020.mkv")])
 def test_strip_language_code(spark, name, want):
     assert value(spark, T.strip_language_code(lit(name))) == want
 
@@ -33,10 +33,10 @@ def test_strip_language_code(spark, name, want):
 @pytest.mark.parametrize(
     "name,want",
     [
-        ("Matlock.1x03.The.Judge.mkv", (1, 3, "The Judge")),
-        ("Matlock 103.mp4", (1, 3, None)),
+        ("Lanterns.1x03.The.Ferry.mkv", (1, 3, "The Ferry")),
+        ("Lanterns 103.mp4", (1, 3, None)),
         ("Show.S01E01E02.Double.mkv", (1, 1, "Double")),
-        ("Matlock (1986) - S01E04 - The Stripper.en.srt", (1, 4, "The Stripper")),
+        ("Lanterns (1986) - S01E04 - The Tide.en.srt", (1, 4, "The Tide")),
         ("Season 2 Episode 5.avi", (2, 5, None)),
         ("Film 1999.mkv", (None, None, None)),
         (None, (None, None, None)),
@@ -47,11 +47,11 @@ def test_parse_episode(spark, name, want):
 
 
 def test_file_metadata(spark):
-    m = value(spark, T.file_metadata(lit("/a/Matlock.1986.S01E03.The.Judge.1080p.mkv")))
-    assert (m.title, m.year, m.media_type, m.season, m.episode, m.show_title) == ("Matlock 1986", 1986, "tv", 1, 3, "Matlock 1986")
+    m = value(spark, T.file_metadata(lit("/a/Lanterns.1986.S01E03.The.Ferry.1080p.mkv")))
+    assert (m.title, m.year, m.media_type, m.season, m.episode, m.show_title) == ("Lanterns 1986", 1986, "tv", 1, 3, "Lanterns 1986")
     m = value(spark, T.file_metadata(lit("Some Film.mkv")))
     assert (m.title, m.media_type, m.show_title) == ("Some Film", "movie", None)
-    assert tuple(value(spark, T.parse_query(lit("Matlock 1986")))) == ("Matlock", 1986)
+    assert tuple(value(spark, T.parse_query(lit("Lanterns 1986")))) == ("Lanterns", 1986)
 
 
 @pytest.mark.parametrize("title", ["The Prisoner (1)", "The Prisoner (Part 1)", "The Prisoner - Part I", "The Prisoner Part 1", "the prisoner pt. 1"])
@@ -61,10 +61,10 @@ def test_part_markers(spark, title):
 
 
 def test_names(spark):
-    n = lambda s, e, t="Nowhere To Turn", show="Matlock": value(spark, T.suggested_name(lit(show), F.lit(s).cast("int"), F.lit(e).cast("int"), lit(t), lit(".mp4")))
-    assert n(5, 2) == "Matlock - S05E02 - Nowhere To Turn.mp4"
+    n = lambda s, e, t="Nowhere To Turn", show="Lanterns": value(spark, T.suggested_name(lit(show), F.lit(s).cast("int"), F.lit(e).cast("int"), lit(t), lit(".mp4")))
+    assert n(5, 2) == "Lanterns - S05E02 - Nowhere To Turn.mp4"
     assert n(None, None, None, None) == "Unknown.mp4"
-    assert n(None, 3, "a/b?") == "Matlock - E03 - a b.mp4"
+    assert n(None, 3, "a/b?") == "Lanterns - E03 - a b.mp4"
     assert value(spark, T.replace_illegal(lit('a:b/c'))) == "a_b_c"
     label = lambda y, s, e: value(spark, T.media_label(lit("X"), F.lit(y).cast("int"), F.lit(s).cast("int"), F.lit(e).cast("int")))
     assert label(1986, 1, 3) == "X (1986) S01E03" and label(None, None, None) == "X"
