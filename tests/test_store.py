@@ -10,6 +10,7 @@ from lexitrace.operators import library as L
 from lexitrace.operators import scoring as S
 from lexitrace.operators import store
 from lexitrace.operators.identify import Library
+from lexitrace.streaming import ingest
 
 CONFIG = FingerprintConfig(language="de")
 
@@ -166,6 +167,23 @@ def test_look_up_reads_few_files(spark, tmp_path):
     assert got == sorted(map(tuple, L.lookup(prints, query).collect())) and len(got) == asked
 
 
+def test_a_library_grows_from_a_stream(spark, tmp_path):
+    folder = tmp_path / "subs"
+    folder.mkdir()
+    put = lambda k, words: (folder / f"Show.S01E{k:02d}.srt").write_text(f"1\n00:00:01,000 --> 00:00:03,000\n{words}")
+    library = Library(spark, f"file://{tmp_path}/grown", CONFIG)
+    run = lambda: ingest.grow(ingest.subtitle_stream(spark, f"file://{folder}"), library, f"file://{tmp_path}/check").awaitTermination()
+    put(1, "one two three four five")
+    (folder / "Show.S01E09.txt").write_text("no subtitle")
+    run()
+    put(2, "six seven eight nine")
+    run()
+    run()
+    assert sorted(r.source for r in library.table("media").collect()) == ["Show.S01E01.srt", "Show.S01E02.srt"]
+    assert len(library.versions()) == 2 and library.table("fingerprints").count() == 6 + 3
+    agrees(library)
+
+
 def test_paths(spark, tmp_path):
     (tmp_path / "file").write_text("x")
     Library(spark, f"file://{tmp_path}/folder/deep").check_path()
