@@ -223,8 +223,8 @@ def status_counts(results: DataFrame) -> DataFrame:
     return names.join(counted, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def sort_results(results: DataFrame, column: str, ascending: bool = True) -> DataFrame:
-    """By a column: text without case; an episode by season and number, unknown ones as -1;
+def sort_order(results: DataFrame, column: str, ascending: bool = True) -> list[Column]:
+    """The order by a column: text without case; an episode by season and number, unknown ones as -1;
     status by its bucket, agreement by the share of votes (0 without samples)."""
     number = lambda c: F.coalesce(F.col(c), F.lit(-1))
     keys = {
@@ -236,7 +236,12 @@ def sort_results(results: DataFrame, column: str, ascending: bool = True) -> Dat
     }.get(column)
     if keys is None:
         keys = [F.lower(F.coalesce(column, F.lit(""))) if dict(results.dtypes)[column] == "string" else F.col(column)]
-    return results.orderBy(*[k.asc() if ascending else k.desc() for k in keys], "query_id")
+    return [*[k.asc() if ascending else k.desc() for k in keys], F.col("query_id")]
+
+
+def sort_results(results: DataFrame, column: str, ascending: bool = True) -> DataFrame:
+    """``results`` in the order of ``sort_order``."""
+    return results.orderBy(*sort_order(results, column, ascending))
 
 
 def title_mismatch(filename: Column, title: Column) -> Column:

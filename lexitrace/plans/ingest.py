@@ -23,7 +23,7 @@ from ..sources import sinks
 from ..sources import subtitles as SRC
 from ..sources.scratch import scratch_dir
 from ..sources.tables import read_table
-from .queries import WINDOWS, _BUILT, _CAND, _DICE, _LCS, _VERDICT, _candidates, _clean, _fingerprints, _gram_index, _key, _media, _postings, _query, _results, _shingles, _streams, _token_idf, _transcripts, _words, query
+from .queries import WINDOWS, _BUILT, _CAND, _DICE, _LCS, _NAMES, _PARSED, _VERDICT, _candidates, _clean, _fingerprints, _gram_index, _key, _media, _part, _postings, _query, _results, _shingles, _streams, _token_idf, _transcripts, _words, query
 
 WORDS_OF_CUE = 6
 
@@ -327,23 +327,41 @@ def media_labels(spark, sf_dir):
     return docs.select("doc_id", T.media_label(F.col("source"), F.col("y"), F.col("s"), F.col("e"), F.col("k")).alias("label"))
 
 
-@query("SELECT doc_id, source || CASE WHEN doc_id % 2 = 0 THEN '' ELSE ' show' END AS title, CASE WHEN doc_id % 2 = 0 THEN CAST(1950 + doc_id % 60 AS INTEGER) END AS year FROM documents")
+#: Titles from the words of documents: the first two, their number, and the length of the text.
+_HEADS = f"h AS (SELECT doc_id, array_to_string(w[1:2], ' ') AS head, len(w) AS n, n_chars FROM (SELECT doc_id, n_chars, {_words('text')} AS w FROM documents))"
+
+
+def _heads(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "n_chars", T.tokenize(F.col("text")).alias("w"))
+    return docs.select("doc_id", F.array_join(F.slice("w", 1, 2), " ").alias("head"), F.size("w").alias("n"), "n_chars")
+
+
+_ASKED = "CASE n % 3 WHEN 0 THEN head WHEN 1 THEN head || ' ' || (1850 + n_chars % 250) ELSE (1950 + n_chars % 120) || ' ' || head || ' 1986' END"
+
+
+@query(f"WITH {_HEADS}, q AS (SELECT doc_id, {_ASKED} AS q FROM h) SELECT doc_id, trim(regexp_replace(q, '(19|20)\\d{{2}}', '')) AS title, TRY_CAST(regexp_extract(q, '(19|20)\\d{{2}}') AS INTEGER) AS year FROM q")
 def parsed_queries(spark, sf_dir):
-    q = T.parse_query(F.concat("source", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" "), (1950 + F.col("doc_id") % 60).cast("string"))).otherwise(" show")))
-    return read_table(spark, sf_dir, "documents").select("doc_id", q.alias("q")).select("doc_id", "q.title", "q.year")
+    asked = _heads(spark, sf_dir).selectExpr("doc_id", f"{_ASKED} AS q")
+    return asked.select("doc_id", T.parse_query(F.col("q")).alias("q")).select("doc_id", "q.title", "q.year")
+
 
+_SHOWS = "CASE n % 4 WHEN 0 THEN '(' || (1900 + n_chars % 200) || ')' WHEN 1 THEN head || '   (' || (1850 + n_chars % 250) || ')' WHEN 2 THEN ' ' || head || ' (' || (n_chars % 100) || ')' ELSE '(1986) ' || head || ' (2001)  ' || n END"
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN '(1986)' ELSE source || ' (86)' END AS show FROM documents")
+
+@query(f"WITH {_HEADS}, s AS (SELECT doc_id, {_SHOWS} AS name FROM h), b AS (SELECT *, trim(regexp_replace(regexp_replace(name, '\\((?:19|20)\\d{{2}}\\)', ' ', 'g'), '\\s+', ' ', 'g')) AS bare FROM s) SELECT doc_id, CASE WHEN bare = '' THEN name ELSE bare END AS show FROM b")
 def show_names(spark, sf_dir):
-    name = F.when(F.col("doc_id") % 3 == 0, F.concat(F.col("source"), F.lit("   (1986)"))).when(F.col("doc_id") % 3 == 1, "(1986)").otherwise(F.concat("source", F.lit(" (86)")))
-    return read_table(spark, sf_dir, "documents").select("doc_id", T.normalise_show(name).alias("show"))
+    named = _heads(spark, sf_dir).selectExpr("doc_id", f"{_SHOWS} AS name")
+    return named.select("doc_id", T.normalise_show(F.col("name")).alias("show"))
+
 
+_ONE = "CASE n_chars % 3 WHEN 0 THEN head || ' Part ' || (n_chars % 5 + 1) WHEN 1 THEN head || ' (' || (n_chars % 5 + 1) || ')' ELSE ' ' || head || ' - Pt. IV' END"
+_TWO = "CASE n % 4 WHEN 0 THEN head || ' PART ' || (n % 5 + 1) WHEN 1 THEN head || ', pt ii' WHEN 2 THEN head || ' (0' || (n_chars % 5 + 1) || ') ' ELSE 'the ' || head || ' Part ' || (n_chars % 5 + 1) END"
 
-@query("SELECT doc_id, doc_id % 4 < 3 AS same FROM documents")
+
+@query(f"WITH {_HEADS}, t AS (SELECT doc_id, trim({_ONE}) AS a, trim({_TWO}) AS b FROM h) SELECT doc_id, lower(a) = lower(b) OR {_part('a')} = {_part('b')} AS same FROM t")
 def same_titles(spark, sf_dir):
-    kind = F.col("doc_id") % 4
-    other = F.when(kind == 0, F.upper(F.concat("source", F.lit(" (2)")))).when(kind == 1, F.concat("source", F.lit(" Pt. II"))).when(kind == 2, F.concat("source", F.lit(" - Part 2"))).otherwise(F.concat("source", F.lit(" Part 3")))
-    return read_table(spark, sf_dir, "documents").select("doc_id", T.same_title(F.concat("source", F.lit(" Part 2")), other).alias("same"))
+    pairs = _heads(spark, sf_dir).selectExpr("doc_id", f"{_ONE} AS a", f"{_TWO} AS b")
+    return pairs.select("doc_id", T.same_title(F.col("a"), F.col("b")).alias("same"))
 
 
 @query("SELECT doc_id, source || '.en' AS stem, '.SRT' AS ext, source || '.en.SRT' AS base FROM documents")
@@ -385,10 +403,15 @@ def detected_languages(spark, sf_dir):
 _PLAIN = "[abefiknoquv]+"
 
 
-@query(
-    f"""WITH w AS (SELECT DISTINCT unnest({_words('text')}) AS word FROM documents), p AS (SELECT word, regexp_replace(regexp_replace(word, '^kn', 'n'), '^[aeiou]', 'A') AS s FROM w WHERE regexp_full_match(word, '{_PLAIN}'))
-SELECT word, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, 'bb|b', 'P', 'g'), 'kk|k|qq|q', 'K', 'g'), 'nn|n', 'N', 'g'), 'ff|f|vv|v', 'F', 'g'), '[aeiou]', '', 'g') AS code FROM p"""
-)
+def _plain_key(word: str) -> str:
+    """SQL of the key of a word whose letters have one sound each."""
+    start = f"regexp_replace(regexp_replace({word}, '^kn', 'n'), '^[aeiou]', 'A')"
+    for letters, sound in (("bb|b", "P"), ("kk|k|qq|q", "K"), ("nn|n", "N"), ("ff|f|vv|v", "F"), ("[aeiou]", "")):
+        start = f"regexp_replace({start}, '{letters}', '{sound}', 'g')"
+    return start
+
+
+@query(f"SELECT word, {_plain_key('word')} AS code FROM (SELECT DISTINCT unnest({_words('text')}) AS word FROM documents) WHERE regexp_full_match(word, '{_PLAIN}')")
 def phonetic_plain_words(spark, sf_dir):
     """Keys of the words of all documents whose letters have one sound each, which SQL can
     follow; published keys of other words are in the tests."""
@@ -396,12 +419,17 @@ def phonetic_plain_words(spark, sf_dir):
     return encode_vocabulary(words.where(F.col("word").rlike(f"^{_PLAIN}$")))
 
 
-@query(f"SELECT doc_id, len(w)::BIGINT AS n, CASE WHEN lang <> 'en' THEN md5(array_to_string(w, ' ')) END AS stream FROM (SELECT doc_id, lang, {_words('text')} AS w FROM documents)")
+@query(
+    f"""WITH d AS (SELECT doc_id, lang, {_words('text')} AS w FROM documents)
+SELECT doc_id, len(w)::BIGINT AS n, md5(array_to_string(CASE WHEN lang <> 'en' THEN w ELSE list_transform(w, lambda x: CASE WHEN regexp_full_match(x, '{_PLAIN}') THEN {_plain_key('x')} ELSE '*' END) END, ' ')) AS stream FROM d"""
+)
 def phonetic_streams(spark, sf_dir):
-    """A key for each word of English, the words of other languages; SQL knows the number
-    of keys only."""
-    docs = read_table(spark, sf_dir, "documents").withColumn("tokens", phonetic_tokens(FP.text_tokens(F.col("text")), T.uses_phonetics(F.col("lang"))))
-    return docs.select("doc_id", F.size("tokens").cast("long").alias("n"), F.when(F.col("lang") != "en", F.md5(F.array_join("tokens", " "))).alias("stream"))
+    """A key for each word of English, the words of other languages. Keys that SQL can't
+    follow (``_PLAIN``) count as a star here."""
+    docs = read_table(spark, sf_dir, "documents").withColumns({"words": FP.text_tokens(F.col("text")), "english": T.uses_phonetics(F.col("lang"))})
+    docs = docs.withColumn("tokens", phonetic_tokens(F.col("words"), F.col("english")))
+    shown = F.when(F.col("english"), F.zip_with("words", "tokens", lambda w, k: F.when(w.rlike(f"^{_PLAIN}$"), k).otherwise("*"))).otherwise(F.col("tokens"))
+    return docs.select("doc_id", F.size("tokens").cast("long").alias("n"), F.md5(F.array_join(shown, " ")).alias("stream"))
 
 
 # -- candidates, cascade, reports -------------------------------------------------------
@@ -516,15 +544,16 @@ def found_results(spark, sf_dir):
 
 @query(f"WITH {_VERDICT} SELECT query_id, row_number() OVER (ORDER BY CASE WHEN none THEN -1 ELSE media_id % 4 + 1 END DESC, CASE WHEN none THEN -1 ELSE media_id % 8 + 1 END DESC, query_id) AS place FROM v")
 def sorted_results(spark, sf_dir):
-    """In order; the place is counted behind the sort for the comparison."""
-    listed = V.sort_results(_results(spark, sf_dir), "episode_id", ascending=False).select("query_id")
-    return spark.createDataFrame(listed.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1] + 1)), "query_id long, place long")
+    """The place of each row in the order, counted by ranges."""
+    results = _results(spark, sf_dir)
+    return L.in_order(results, V.sort_order(results, "episode_id", ascending=False), "place").select("query_id", F.col("place").cast("long").alias("place"))
+
+
+_KNOWN = "CASE n_chars % 4 WHEN 0 THEN 'the case ' || lang WHEN 1 THEN 'THE JUDGE' WHEN 2 THEN 'Double ' || source ELSE '  ' END"
 
 
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN false ELSE false END AS mismatch FROM documents")
+@query(f"WITH {_PARSED}, t AS (SELECT doc_id, episode_title AS own, trim({_KNOWN}) AS title FROM p JOIN documents USING (doc_id)) SELECT doc_id, coalesce(own IS NOT NULL AND title <> '' AND NOT (lower(own) = lower(title) OR {_part('own')} = {_part('title')}), false) AS mismatch FROM t")
 def title_mismatches(spark, sf_dir):
-    """A title in another form, another title, none in the name, none known."""
-    kind = F.col("doc_id") % 4
-    name = F.when(kind == 2, "Show.S01E02.mkv").otherwise(F.concat(F.lit("Show.S01E02.The.Case.Part.2."), F.lit("mkv")))
-    title = F.when(kind == 0, "the case (2)").when(kind == 1, F.concat("source", F.lit(" other"))).when(kind == 2, "x").otherwise("  ")
-    return read_table(spark, sf_dir, "documents").select("doc_id", V.title_mismatch(name, title).alias("mismatch"))
+    """The title in a file's name against the one that is known, of each document."""
+    known = read_table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_NAMES} AS name", f"{_KNOWN} AS title")
+    return known.select("doc_id", V.title_mismatch(F.col("name"), F.col("title")).alias("mismatch"))

@@ -232,16 +232,17 @@ b AS (SELECT doc_id, name, regexp_replace(regexp_replace(name, '\\.[a-z]{{2,3}}\
 c AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(base, '[\\[\\{{].*?[\\]\\}}]', ' ', 'g'), '-[A-Za-z0-9]{{2,}}$', ' '), '\\b({_JUNK})\\b', ' ', 'gi'), '[._]+', ' ', 'g'), '\\s{{2,}}', ' ', 'g'), ' -_.') AS clean FROM b)"""
 
 
-@query(
-    f"""WITH {_CLEANED},
+_PARSED = f"""{_CLEANED},
 m AS (SELECT *, CASE WHEN regexp_matches(clean, '{_E1}') THEN 1 WHEN regexp_matches(clean, '{_E2}') THEN 2 WHEN regexp_matches(clean, '{_E3R}', 'i') THEN 3 WHEN regexp_matches(clean, '(^|[^0-9])(\\d)(\\d{{2}})([^0-9]|$)') THEN 4 ELSE 0 END AS k FROM c),
 e AS (SELECT *, CASE k WHEN 1 THEN regexp_extract(clean, '{_E1}', 1) WHEN 2 THEN regexp_extract(clean, '{_E2}', 1) WHEN 3 THEN regexp_extract(clean, '{_E3R}', 1, 'i') WHEN 4 THEN regexp_extract(clean, '(^|[^0-9])(\\d)(\\d{{2}})([^0-9]|$)', 2) END AS s,
   CASE k WHEN 1 THEN regexp_extract(clean, '{_E1}', 2) WHEN 2 THEN regexp_extract(clean, '{_E2}', 2) WHEN 3 THEN regexp_extract(clean, '{_E3R}', 2, 'i') WHEN 4 THEN regexp_extract(clean, '(^|[^0-9])(\\d)(\\d{{2}})([^0-9]|$)', 3) END AS e,
-  CASE k WHEN 1 THEN regexp_extract(clean, '^.*?{_E1}(.*)$', 3) WHEN 2 THEN regexp_extract(clean, '^.*?{_E2}(.*)$', 3) WHEN 3 THEN regexp_extract(clean, '^.*?{_E3R}(.*)$', 3, 'i') WHEN 4 THEN regexp_extract(clean, '^.*?(^|[^0-9])(\\d)(\\d{{2}})([^0-9].*|$)', 4) END AS tail FROM m)
-SELECT doc_id, clean, TRY_CAST(s AS INTEGER) AS season, TRY_CAST(e AS INTEGER) AS episode,
+  CASE k WHEN 1 THEN regexp_extract(clean, '^.*?{_E1}(.*)$', 3) WHEN 2 THEN regexp_extract(clean, '^.*?{_E2}(.*)$', 3) WHEN 3 THEN regexp_extract(clean, '^.*?{_E3R}(.*)$', 3, 'i') WHEN 4 THEN regexp_extract(clean, '^.*?(^|[^0-9])(\\d)(\\d{{2}})([^0-9].*|$)', 4) END AS tail FROM m),
+p AS (SELECT doc_id, clean, TRY_CAST(s AS INTEGER) AS season, TRY_CAST(e AS INTEGER) AS episode,
   nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(tail, '^\\s*[-_.]+\\s*', ' '), '(19|20)\\d{{2}}', ' ', 'g'), '[-_.]+', ' ', 'g'), '\\s{{2,}}', ' ', 'g'), ' -_.'), '') AS episode_title,
-  TRY_CAST(regexp_extract(raw, '(19|20)\\d{{2}}') AS INTEGER) AS year, CASE WHEN k > 0 THEN 'tv' ELSE 'movie' END AS media_type FROM e"""
-)
+  TRY_CAST(regexp_extract(raw, '(19|20)\\d{{2}}') AS INTEGER) AS year, CASE WHEN k > 0 THEN 'tv' ELSE 'movie' END AS media_type FROM e)"""
+
+
+@query(f"WITH {_PARSED} SELECT * FROM p")
 def filename_metadata(spark, sf_dir):
     meta = _names(spark, sf_dir).select("doc_id", T.clean_release_name(F.col("name")).alias("clean"), T.file_metadata(F.col("name")).alias("m"))
     return meta.select("doc_id", "clean", "m.season", "m.episode", "m.episode_title", "m.year", "m.media_type")
@@ -250,12 +251,15 @@ def filename_metadata(spark, sf_dir):
 _PARTS = "CASE doc_id % 5 WHEN 0 THEN 'The Case (Part ' || (doc_id % 9 + 1) || ')' WHEN 1 THEN 'The Case - Pt. IV' WHEN 2 THEN 'The Case (' || (doc_id % 7) || ')' WHEN 3 THEN 'Plain ' || lang ELSE ' The Case Part x ' END"
 
 
-@query(
-    f"""WITH n AS (SELECT doc_id, trim({_PARTS}) AS t FROM documents),
-p AS (SELECT *, regexp_matches(t, '[\\s\\-_]*\\(?(part|pt\\.?|p)?\\s*(\\d{{1,2}}|[ivx]{{1,4}})\\)?\\s*$', 'i') AS hit, lower(regexp_extract(t, '[\\s\\-_]*\\(?(?:part|pt\\.?|p)?\\s*(\\d{{1,2}}|[ivx]{{1,4}})\\)?\\s*$', 1, 'i')) AS num,
-  trim(regexp_replace(t, '[\\s\\-_]*\\(?(?:part|pt\\.?|p)?\\s*(\\d{{1,2}}|[ivx]{{1,4}})\\)?\\s*$', '', 'i'), ' -_') AS front FROM n)
-SELECT doc_id, CASE WHEN hit THEN lower(trim(front || ' part ' || coalesce(CAST(map({list(T.ROMAN)}, {list(T.ROMAN.values())})[num] AS VARCHAR), CAST(TRY_CAST(num AS INTEGER) AS VARCHAR), num))) ELSE lower(t) END AS part FROM p"""
-)
+def _part(t: str) -> str:
+    """SQL of ``normalise_part`` of a trimmed title."""
+    mark = r"[\s\-_]*\(?(?:part|pt\.?|p)?\s*(\d{1,2}|[ivx]{1,4})\)?\s*$"
+    number = f"lower(regexp_extract({t}, '{mark}', 1, 'i'))"
+    plain = f"coalesce(CAST(map({list(T.ROMAN)}, {list(T.ROMAN.values())})[{number}] AS VARCHAR), CAST(TRY_CAST({number} AS INTEGER) AS VARCHAR), {number})"
+    return f"CASE WHEN regexp_matches({t}, '{mark}', 'i') THEN lower(trim(trim(regexp_replace({t}, '{mark}', '', 'i'), ' -_') || ' part ' || {plain})) ELSE lower({t}) END"
+
+
+@query(f"SELECT doc_id, {_part('t')} AS part FROM (SELECT doc_id, trim({_PARTS}) AS t FROM documents)")
 def normalize_part_markers(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").selectExpr("doc_id", "lang", f"{_PARTS} AS t").select("doc_id", T.normalise_part(F.col("t")).alias("part"))
 
