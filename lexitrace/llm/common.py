@@ -89,3 +89,10 @@ def may_contain(rows: DataFrame, column: str, bitmaps: DataFrame, keep: bool = F
     probed = rows.withColumn("__bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bitmaps), "__bucket", "left" if keep else "inner")
     passes = F.coalesce(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1, F.lit(False))
     return (probed.withColumn("maybe", passes) if keep else probed.where(passes)).drop("__bucket", "__bitmap")
+
+
+def among(rows: DataFrame, members: DataFrame, column: str, keep: bool = False) -> DataFrame:
+    """``may_contain`` by a filter whose size follows the number of ``members``, a written
+    table: it prunes as well on large inputs as on small ones."""
+    bits = filter_bits(members.count())
+    return may_contain(rows, column, member_bitmaps(members, column, bits), keep, bits)

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, may_contain, member_bitmaps, table
+from .common import among, discard, materialise, table
 
 N, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 5
@@ -216,7 +216,7 @@ def candidate_edges(nodes: DataFrame, threshold: float = THRESHOLD, block: int =
     bucket and pass the Bayesian test."""
     banded = nodes.select(F.explode("keys").alias("key"), "id", "sketch")
     shared = materialise(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    rows = may_contain(banded, "key", member_bitmaps(shared, "key")).join(shared, "key")
+    rows = among(banded, shared, "key").join(shared, "key")
     # A large bucket goes to each pair of its blocks; a bucket of one block to (0, 0).
     parts = F.ceil(F.col("n") / block)
     rows = rows.withColumn("parts", parts).withColumn("own", F.when(F.col("parts") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), F.col("parts")))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
@@ -320,7 +320,7 @@ def _same_document(known: DataFrame, nodes: DataFrame, group: list[str]) -> Data
     repeat with another text."""
     whole = F.struct(*group)
     repeated = materialise(known.groupBy("id").agg(F.min(whole).alias("a"), F.max(whole).alias("b")).where("a <> b").select("id"))
-    rows = may_contain(known.select("id", *group), "id", member_bitmaps(repeated, "id")).join(repeated, "id").join(nodes.select("node", *group), group)
+    rows = among(known.select("id", *group), repeated, "id").join(repeated, "id").join(nodes.select("node", *group), group)
     held = materialise(rows.select("id", "node").distinct())
     return held.join(held.groupBy("id").agg(F.min("node").alias("v")), "id").select(F.col("node").alias("u"), "v").where("u <> v")
 
@@ -346,7 +346,7 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_c
     member = materialise(member.join(parts, "comp").select("node", "id", "mark", "comp", "copies", "parts"))
     discard(near, rough, firsts, parts)
     # The text of a node is that of its first row: same identifier, same hash of the text.
-    texts = may_contain(rows, "mark", member_bitmaps(member, "mark"))
+    texts = among(rows, member, "mark")
     units = (
         texts.join(member, ["id", "mark"])
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
@@ -373,7 +373,7 @@ def one_of_each_class(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
     joined = jaccard_join(docs, n, threshold, id_col, text_col)
     dropped = materialise(joined.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("id")).distinct())
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"))
-    marked = may_contain(rows, "id", member_bitmaps(dropped, "id"), keep=True)
+    marked = among(rows, dropped, "id", keep=True)
     return marked.where(~F.col("maybe")).select("row.*").unionByName(marked.where("maybe").join(dropped, "id", "left_anti").select("row.*"))
 
 
