@@ -289,6 +289,7 @@ def normalise_language(spark, sf_dir):
 
 @query()
 def phonetic_vocabulary(spark, sf_dir):
+    """Keys of all words of English documents, the language that they are made for."""
     words = read_table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(T.tokenize(F.col("text"))).alias("word"))
     return encode_vocabulary(words).select("word", "code")
 
