@@ -49,11 +49,12 @@ def encoded(rows: DataFrame, config: FingerprintConfig, language: str | None = N
     return rows.withColumn("tokens", phonetic_tokens(FP.text_tokens(F.col("text"), config), T.uses_phonetics(code)))
 
 
-def identify(windows: DataFrame, files: DataFrame, media: DataFrame, fingerprints: DataFrame, streams: DataFrame, match: MatchConfig = MatchConfig(), fuzzy: FuzzyConfig = FuzzyConfig(), ngram: NgramConfig = NgramConfig(), runtimes: DataFrame | None = None, factors: DataFrame | None = None, idf: DataFrame | None = None, scope: DataFrame | None = None, postings: DataFrame | None = None, grams: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def identify(windows: DataFrame, files: DataFrame, media: DataFrame, fingerprints: DataFrame, streams: DataFrame, match: MatchConfig = MatchConfig(), fuzzy: FuzzyConfig = FuzzyConfig(), ngram: NgramConfig = NgramConfig(), runtimes: DataFrame | None = None, factors: DataFrame | None = None, idf: DataFrame | None = None, scope: DataFrame | None = None, postings: DataFrame | None = None, grams: tuple[DataFrame, DataFrame] | None = None, mean: DataFrame | None = None) -> DataFrame:
     """Verdicts on a batch. ``windows``: query_id, part, start_s, duration_s, tokens. ``files``:
     query_id, filename, duration_s, n_words and, null if unknown, expected_show, query_title,
     file_season, file_episode. ``factors`` (hash, factor) and ``idf`` (token, idf) come from a
-    library; without them they are computed from its tables. ``scope`` (query_id, media_id)
+    library; without them they are computed from its tables, factors with the ``mean`` of their
+    ``idf_mean`` if that is known. ``scope`` (query_id, media_id)
     names candidates for the later stages; ``postings`` and ``grams`` are their indexes
     (``token_postings``; ``gram_postings`` and ``gram_masses``).
 
@@ -64,10 +65,13 @@ def identify(windows: DataFrame, files: DataFrame, media: DataFrame, fingerprint
     asked = materialise(windows.groupBy("query_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "tokens"))), lambda x: x["tokens"])).alias("tokens")))
     heard = F.trim(F.coalesce("text", F.lit(""))) != "" if "text" in windows.columns else F.size("tokens") > 0
     samples = windows.groupBy("query_id").agg(F.sum(heard.cast("int")).cast("int").alias("votes"), F.count(F.lit(1)).cast("int").alias("total_samples"))
+    plain = materialise(FP.weighted_query(windows, tokens="tokens"))
+    hits = materialise(L.lookup(fingerprints, plain))
     if factors is None:
-        factors = S.idf_factors(materialise(L.document_frequency(fingerprints)), media.count())
-    query = materialise(S.apply_idf(materialise(FP.weighted_query(windows, tokens="tokens")), factors))
-    hits = materialise(L.lookup(fingerprints, query))
+        n = media.count()
+        mean = materialise(S.idf_mean(L.document_frequency(fingerprints), n)) if mean is None else mean
+        factors = S.idf_factors(L.document_frequency(hits), n, mean)
+    query = materialise(S.apply_idf(plain, factors))
     scored = S.exact_scores(query, hits, match).select("query_id", "media_id", "confidence", "match_count", "rank")
     sizes = streams.select("media_id", F.size("tokens").alias("n_tokens"))
     facts = files.select("query_id", "duration_s", "n_words", "expected_show", "query_title")
