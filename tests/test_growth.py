@@ -49,3 +49,28 @@ def test_factors_of_some_hashes_equal_those_of_all(spark):
     some = S.idf_factors(df.where("hash < 'c'"), 1000, S.idf_mean(df, 1000))
     whole = {r.hash: round(r.factor, 9) for r in S.idf_factors(df, 1000).collect()}
     assert {r.hash: round(r.factor, 9) for r in some.collect()} == {h: whole[h] for h in "ab"}
+
+
+def test_equal_candidates_are_one_set(spark):
+    pairs = spark.createDataFrame([(q, m) for q in (1, 2, 3) for m in range(5)] + [(4, m) for m in range(4)] + [(5, 0)], "query_id long, media_id long")
+    assert {r.query_id: r.set for r in S.candidate_sets(pairs).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+
+
+def test_sets_of_candidates_have_weights_of_their_own(spark):
+    """One query's result is the same by itself as beside queries with other candidates."""
+    streams = spark.createDataFrame([(m, [f"w{(m * k) % 7}" for k in range(9)], list(range(9))) for m in range(1, 9)], "media_id long, tokens array<string>, starts array<long>")
+    queries = spark.createDataFrame([(q, [f"w{(q * k) % 7}" for k in range(5)]) for q in (1, 2, 3)], "query_id long, tokens array<string>")
+    pairs = spark.createDataFrame([(1, m) for m in range(1, 9)] + [(2, m) for m in range(1, 9)] + [(3, m) for m in (2, 3, 5)], "query_id long, media_id long")
+    rows = lambda df: sorted((r.query_id, r.media_id, round(r.confidence, 9), r.match_count) for r in df.collect())
+    alone = [x for q in (1, 2, 3) for x in rows(S.ngram_dice(queries.where(f"query_id = {q}"), streams, pairs=pairs.where(f"query_id = {q}")))]
+    assert rows(S.ngram_dice(queries, streams, pairs=pairs)) == alone and alone
+
+
+def test_scoped_pairs_below_the_floor_are_not_aligned(spark, monkeypatch):
+    seen, aligned = [], S.aligned_pairs
+    monkeypatch.setattr(S, "aligned_pairs", lambda pairs, *a: seen.append(pairs.count()) or aligned(pairs, *a))
+    streams = spark.createDataFrame([(m, ["common"] + [f"w{m}x{k}" for k in range(9)], list(range(10))) for m in range(20)], "media_id long, tokens array<string>, starts array<long>")
+    queries = streams.where("media_id < 2").selectExpr("media_id AS query_id", "tokens")
+    pairs = queries.select("query_id").crossJoin(streams.select("media_id"))
+    got = S.pair_lcs_scores(pairs, queries, streams, floor=0.45).collect()
+    assert [(r.query_id, r.media_id) for r in sorted(got)] == [(0, 0), (1, 1)] and seen == [2]
