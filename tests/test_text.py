@@ -127,3 +127,20 @@ def test_sample_windows(spark):
     assert at(1400) == [(140.0, 12.0), (1260.0, 12.0)]
     assert at(5) == [(0.0, 5.0)]
     assert at(0) == [(0.0, 12.0)]
+
+
+def test_the_class_of_no_words_is_all_but_letters_digits_and_apostrophe(spark):
+    """Its ranges and the negated class agree on every code point that text can hold."""
+    points = [c for c in range(0x3000)] + [0xD7FF, 0xE000, 0xFFFD, 0xFFFF, 0x10000, 0x1F600, 0x10FFFF]
+    df = spark.createDataFrame([(c, f"a{chr(c)}b") for c in points], "c int, t string")
+    apart = df.where(F.regexp_replace("t", T.NO_WORD, " ") != F.regexp_replace("t", "[^a-z0-9']+", " "))
+    assert apart.count() == 0
+
+
+def test_clean_text_of_odd_cues(spark):
+    rows = [" A-B--c\t\u00a0d ", "JOE: it's <i>[x]</i> (y) {z} 9", "<a [b> c]", "\u0130\u03a3 x\u2019y", "'' - '", "", None, "\n\n", "\U0001f600a\U0001f600", "no( open"]
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "k int, t string")
+    bare = T._replace(F.coalesce("t", F.lit("")), ("<[^>]+>", " "), (r"\{[^}]*\}", " "), (r"\[[^\]]*\]", " "), (r"\([^)]*\)", " "), (r"^[A-Z][A-Z0-9 .'-]{1,20}:", " "), ("-", " "))
+    plain = F.trim(T._replace(F.lower(bare), (r"[^a-z0-9'\s]", " "), (r"\s+", " ")))
+    got = df.select("k", T.clean_text(F.col("t")).alias("clean"), plain.alias("plain")).collect()
+    assert len(got) == len(rows) and all(r.clean == r.plain for r in got)
