@@ -74,3 +74,10 @@ def test_scoped_pairs_below_the_floor_are_not_aligned(spark, monkeypatch):
     pairs = queries.select("query_id").crossJoin(streams.select("media_id"))
     got = S.pair_lcs_scores(pairs, queries, streams, floor=0.45).collect()
     assert [(r.query_id, r.media_id) for r in sorted(got)] == [(0, 0), (1, 1)] and seen == [2]
+
+
+def test_texts_dealt_by_their_key_are_not_shuffled_to_tell_their_language(spark):
+    df = queries.QUERIES["detected_languages"](spark, SF)
+    df.collect()
+    dealt = [line for line in plan(df).split("== Initial Plan")[0].splitlines() if "Exchange hashpartitioning" in line and "Reused" not in line]
+    assert not [line for line in dealt if "word" in line]
