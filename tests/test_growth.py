@@ -76,6 +76,15 @@ def test_scoped_pairs_below_the_floor_are_not_aligned(spark, monkeypatch):
     assert [(r.query_id, r.media_id) for r in sorted(got)] == [(0, 0), (1, 1)] and seen == [2]
 
 
+def test_hashes_of_factors_are_shuffled_once_and_not_written(spark):
+    before = dict(queries._BUILT)
+    queries._BUILT.clear()
+    df = queries.QUERIES["hash_idf_factors"](spark, SF)
+    assert df.collect() and not {key[3] for key in queries._BUILT} & {"fingerprints", "hash_df"}
+    assert "ReusedExchange" in plan(df)
+    queries._BUILT.update(before)
+
+
 def test_texts_dealt_by_their_key_are_not_shuffled_to_tell_their_language(spark):
     df = queries.QUERIES["detected_languages"](spark, SF)
     df.collect()
