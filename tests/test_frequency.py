@@ -5,11 +5,13 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from oracle import SF
 from pyspark.sql import functions as F
 
 from lexitrace.operators import fingerprint as FP
 from lexitrace.operators import frequency as DF
 from lexitrace.operators import library as L
+from lexitrace.plans import queries
 from lexitrace.sources import tables
 
 
@@ -56,6 +58,12 @@ def test_packed_numbers_come_back():
         assert DF.unpacked(DF.packed(np.array(values, np.uint64), 3), 3).tolist() == values
 
 
+def test_hashes_are_not_shuffled_one_by_one(spark):
+    """Before, a row for each hash of each document was dealt by the hash."""
+    text = plan(queries.QUERIES["hash_document_frequency"](spark, SF))
+    assert "Exchange hashpartitioning(bucket" in text and "hashpartitioning(hash" not in text
+
+
 def test_what_one_media_holds_alone_stays(spark):
     """Of a hundred media with words of their own and one line in common only that line travels."""
     rows = [(m, [f"m{m}x{k}" for k in range(50)]) for m in range(100)] + [(m, ["all", "have", "this"]) for m in range(100)]
