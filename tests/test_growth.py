@@ -1,13 +1,16 @@
 """What queries over the documents may write and shuffle."""
 
 import pytest
-from oracle import SF
+from oracle import SF, same
 from pyspark.sql import functions as F
 
 from lexitrace.operators import fingerprint as FP
 from lexitrace.operators import library as L
 from lexitrace.operators import scoring as S
 from lexitrace.plans import ingest, queries  # noqa: F401
+from lexitrace.sources import subtitles as SRC
+from lexitrace.sources import tables
+from lexitrace.sources.scratch import materialise
 
 
 def plan(df):
@@ -90,3 +93,66 @@ def test_texts_dealt_by_their_key_are_not_shuffled_to_tell_their_language(spark)
     df.collect()
     dealt = [line for line in plan(df).split("== Initial Plan")[0].splitlines() if "Exchange hashpartitioning" in line and "Reused" not in line]
     assert not [line for line in dealt if "word" in line]
+
+
+@pytest.fixture
+def unbroadcast(spark):
+    """The planner broadcasts nothing by its size, as with tables that are large."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_streams_of_documents_that_lie_whole_are_not_shuffled(spark):
+    texts = ["one two three\n\nfour five", "", None, "\n \n", "[noise]\nBOB: hello there", "same line\nsame line", "x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = FP.whole_streams(SRC.documents_as_lists(docs))
+    want = FP.token_streams(FP.cue_tokens(SRC.documents_as_cues(docs)))
+    rows = lambda df: sorted((r.media_id, r.tokens, r.starts) for r in df.collect())
+    assert rows(whole) == rows(want) and len(rows(want)) == 3
+    assert whole.schema.simpleString() == want.schema.simpleString()
+    assert "Exchange" in plan(want) and "Exchange" not in plan(whole)
+
+
+def test_masses_shuffle_rare_tokens_only(spark, unbroadcast, monkeypatch):
+    streams = spark.createDataFrame([(m, ["the", "of", f"w{m % 3}", "the", f"x{m}", "of", "the"]) for m in range(9)] + [(9, ["the"])], "media_id long, tokens array<string>")
+    idf = materialise(S.token_idf(streams).where("token != 'x0'"))
+    rows = lambda df: {r.media_id: round(r.wb, 9) for r in df.collect()}
+    whole = S.gram_masses(streams, idf)
+    known = {r.token: r.idf for r in idf.collect()}
+    grams = {r.media_id: {w for w in zip(r.tokens, r.tokens[1:])} for r in streams.collect()}
+    assert rows(whole) == {m: round(sum(known.get(w, 1.0) for g in held for w in g) / 2, 9) for m, held in grams.items() if held}
+    assert "BroadcastHashJoin [token" in plan(whole) and "Exchange hashpartitioning(token" not in plan(whole)
+    monkeypatch.setattr(S, "FREQUENT", 5)
+    frequent, rare = S.frequent_tokens(idf)
+    assert {r.token for r in frequent.collect()} == {"the", "of", "w0", "w1", "w2"} and rare.count() == 8
+    assert rows(S.gram_masses(streams, idf)) == rows(whole)
+
+
+def test_only_streams_of_pairs_travel_to_be_aligned(spark, unbroadcast):
+    streams = spark.createDataFrame([(m, [f"w{m}x{k}" for k in range(9)], list(range(9))) for m in range(20)], "media_id long, tokens array<string>, starts array<long>")
+    queries = streams.where("media_id < 2").selectExpr("media_id AS query_id", "tokens")
+    pairs = queries.selectExpr("query_id", "query_id AS media_id", "1 AS least")
+    got = S.aligned_pairs(pairs, queries, streams)
+    assert sorted((r.query_id, r.media_id, r.match_count) for r in got.collect()) == [(0, 0, 9), (1, 1, 9)]
+    assert "BroadcastHashJoin [media_id" in plan(got) and "LeftSemi" in plan(got)
+
+
+def test_no_queries_read_no_stream(spark):
+    streams = spark.createDataFrame([(m, [f"w{k}" for k in range(m, m + 9)], list(range(9))) for m in range(5)], "media_id long, tokens array<string>, starts array<long>")
+    none = streams.where("media_id < 0").selectExpr("media_id AS query_id", "tokens")
+    idf = S.token_idf(streams)
+    found = S.ngram_stage(none, streams, idf=idf)
+    assert found.count() == 0 and S.fuzzy_stage(none, streams).count() == 0
+    assert "explode(flatten" not in plan(found)  # no masses
+
+
+def test_batch_over_tables_that_lie_whole_equals_its_sql(spark, monkeypatch):
+    before = dict(queries._BUILT)
+    queries._BUILT.clear()
+    monkeypatch.setattr(tables, "SMALL", 0)
+    monkeypatch.setattr(S, "FREQUENT", 50)
+    same(spark, queries.QUERIES["identify_batch"], queries.SQL["identify_batch"])
+    queries._BUILT.clear()
+    queries._BUILT.update(before)
