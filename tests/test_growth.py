@@ -107,12 +107,23 @@ def unbroadcast(spark):
 def test_streams_of_documents_that_lie_whole_are_not_shuffled(spark):
     texts = ["one two three\n\nfour five", "", None, "\n \n", "[noise]\nBOB: hello there", "same line\nsame line", "x"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    whole = FP.whole_streams(SRC.documents_as_lists(docs))
+    lists = FP.cue_lists(SRC.documents_as_lists(docs))
+    whole = FP.whole_streams(lists)
     want = FP.token_streams(FP.cue_tokens(SRC.documents_as_cues(docs)))
     rows = lambda df: sorted((r.media_id, r.tokens, r.starts) for r in df.collect())
     assert rows(whole) == rows(want) and len(rows(want)) == 3
     assert whole.schema.simpleString() == want.schema.simpleString()
     assert "Exchange" in plan(want) and "Exchange" not in plan(whole)
+    told = lambda df: sorted((r.media_id, r.start_ms, r.end_ms, r.tokens) for r in df.collect() if r.tokens)
+    assert told(SRC.lists_as_cues(lists)) == told(FP.cue_tokens(SRC.documents_as_cues(docs)))
+
+
+def test_asked_fingerprints_are_those_of_all_that_are_asked_for(spark):
+    cues = spark.createDataFrame([(m, 0, 9, [f"w{(m * k) % 5}" for k in range(m + 2)]) for m in range(8)] + [(9, 0, 9, None)], "media_id long, start_ms long, end_ms long, tokens array<string>")
+    among = spark.createDataFrame([(x,) for x in ("w0 w1 w2 w3", "w0 w0 w0", "w0 w3 w1 w4 w2", "w2 w4", "w9 w9 w9")], "shingle string")
+    hashes = {r[0] for r in among.select(FP.hash_shingle(F.col("shingle"))).collect()}
+    got, whole = (sorted(df.collect()) for df in (FP.library_fingerprints(cues, among=among), FP.library_fingerprints(cues)))
+    assert got == [r for r in whole if r.hash in hashes] and {r.shingle_size for r in got} == {3, 4, 5}
 
 
 def test_masses_shuffle_rare_tokens_only(spark, unbroadcast, monkeypatch):
