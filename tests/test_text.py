@@ -1,9 +1,12 @@
+import duckdb
+import oracle
 import pytest
 from pyspark.sql import functions as F
 
 from lexitrace.functions import text as T
 from lexitrace.functions.phonetics import double_metaphone, phonetic_tokens, word_key
 from lexitrace.operators import sampling
+from lexitrace.plans import queries
 
 
 def value(spark, column, **given):
@@ -144,3 +147,13 @@ def test_clean_text_of_odd_cues(spark):
     plain = F.trim(T._replace(F.lower(bare), (r"[^a-z0-9'\s]", " "), (r"\s+", " ")))
     got = df.select("k", T.clean_text(F.col("t")).alias("clean"), plain.alias("plain")).collect()
     assert len(got) == len(rows) and all(r.clean == r.plain for r in got)
+
+
+def test_windows_of_empty_documents_equal_their_sql(spark, tmp_path):
+    lengths = [0, -3, None, 1, 14, 15, 16, 179, 180, 181, 1800]
+    docs = spark.createDataFrame([(k, "", "en", "s", n) for k, n in enumerate(lengths)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    found, got = con.execute(queries.SQL["sample_windows"]), queries.QUERIES["sample_windows"](spark, str(tmp_path))
+    assert oracle.rows(got.columns, got.collect()) == oracle.rows([c[0] for c in found.description], found.fetchall())
