@@ -84,3 +84,22 @@ def test_keys_that_are_there_once_are_read_as_they_lie(spark, tmp_path, monkeypa
     assert "Exchange" not in plan(once) and once.count() == again.count() == 1000
     at = again.withColumn("p", F.spark_partition_id()).groupBy("doc_id").agg(F.count_distinct("p").alias("n"))
     assert {r.n for r in at.collect()} == {1}
+
+
+@pytest.mark.parametrize("parts, bits", [(1, 3), (5, 3), (3, 6)])
+def test_counts_are_those_of_the_frequencies(spark, parts, bits, monkeypatch):
+    monkeypatch.setattr(DF, "CHUNK", 100)
+    df, counts = DF.frequency_and_counts(cues(spark, parts), bits)
+    want, got = Counter(r.df for r in df.collect()), Counter()
+    for r in counts.collect():
+        got[r.df] += r.k
+    assert got == want and len(want) > 2
+
+
+def test_hashes_of_factors_travel_as_packed_numbers_once(spark):
+    """Before, a row for each hash of each document was dealt by the hash."""
+    df = queries.QUERIES["hash_idf_factors"](spark, SF)
+    df.collect()
+    text = plan(df).split("== Initial Plan")[0]
+    dealt = [line for line in text.splitlines() if "Exchange hashpartitioning(bucket" in line]
+    assert "hashpartitioning(hash" not in text and len([x for x in dealt if "Reused" not in x]) == 1 < len(dealt)
