@@ -1,5 +1,6 @@
 """Frequencies of hashes counted where their media lie, and shuffled only if they may lie in several."""
 
+import hashlib
 from collections import Counter
 
 import numpy as np
@@ -103,3 +104,13 @@ def test_hashes_of_factors_travel_as_packed_numbers_once(spark):
     text = plan(df).split("== Initial Plan")[0]
     dealt = [line for line in text.splitlines() if "Exchange hashpartitioning(bucket" in line]
     assert "hashpartitioning(hash" not in text and len([x for x in dealt if "Reused" not in x]) == 1 < len(dealt)
+
+
+@pytest.mark.parametrize("algorithm", ["md5", "sha1"])
+def test_digests_equal_those_of_the_library(algorithm):
+    words = [("é" if n % 5 == 2 else "x") * n for n in range(1, 140)] * 40
+    for held in (words, words[:1], words[3:3], ["", "a", ""]):
+        text, begin = DF._joined(pa.array(["cut", *held], pa.string()).cast(pa.binary()).slice(1))
+        assert text.tobytes() == "".join(f"{w} " for w in held).encode()
+        got = DF.digests(text, begin[:-1], begin[1:] - 1, algorithm).tolist()
+        assert got == [int(hashlib.new(algorithm, w.encode()).hexdigest()[:16], 16) for w in held]
